@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerleaf.llm import mixing, order_minhash, url_cascade
-from ledgerleaf.llm.common import table
+from ledgerleaf.llm import langid, mixing, order_minhash, piece_sampling, quality, url_cascade
+from ledgerleaf.llm.common import fold, table
 
 #: The contract's rules: action, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -19,13 +25,25 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) != 2)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.round_trip(table(spark, sf_dir, "documents"))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
 QUERIES = {
+    "op1_quality_scores": quality_scores,
     "op3_order_fingerprints": order_fingerprints,
     "op4_source_mix": source_mix,
+    "op6_languages": languages,
+    "op8_sampled_pieces": sampled_pieces,
     "op9_url_filter": url_filter,
 }
 
