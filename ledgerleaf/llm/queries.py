@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import langid, mixing, order_minhash, piece_sampling, quality, url_cascade
+from ledgerleaf.llm import cover_tree, langid, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, url_cascade
 from ledgerleaf.llm.common import fold, table
 
 #: The contract's rules: action, host, path.
@@ -25,11 +25,20 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor.evaluate(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) != 2)
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.round_trip(table(spark, sf_dir, "documents"))
 
@@ -38,13 +47,20 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_scores": quality_scores,
     "op3_order_fingerprints": order_fingerprints,
     "op4_source_mix": source_mix,
+    "op5_language_model": language_model,
     "op6_languages": languages,
+    "op7_embedding_links": embedding_links,
     "op8_sampled_pieces": sampled_pieces,
     "op9_url_filter": url_filter,
+    "op10_shingle_components": shingle_components,
 }
 
 ORACLE: dict[str, str] = {
