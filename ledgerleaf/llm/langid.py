@@ -138,6 +138,20 @@ def fit(rows: DataFrame) -> Centroids | None:
     return Centroids(idf, [r[0] for r in found], np.array([r[1] for r in found])) if found else None
 
 
+def accepter(model: Centroids | None, reject: float = REJECT):  # noqa: ANN201
+    """A function of a text column: whether the text is in one of the learned languages."""
+
+    @F.pandas_udf("boolean")
+    def each(texts: pd.Series) -> pd.Series:
+        known = [i for i, t in enumerate(texts) if model and has_letter(t)]
+        out = np.zeros(len(texts), bool)
+        if known:
+            out[known] = model.nearest([texts.iat[i] for i in known])[1] >= reject
+        return pd.Series(out)
+
+    return each
+
+
 def identify(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",), reject: float = REJECT) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) → ``keep``, lang_pred, score, rejected; learned from the rows where ``learn`` holds.
 

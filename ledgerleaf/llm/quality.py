@@ -7,7 +7,6 @@ Cholesky factor is kept, so that a text's class log density is one triangular so
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[i for i in range(33, 127) if not _ALNUM[i] and chr(i) not in ",.|'-"]] = True
-_UPPER = re.compile(rb"[A-Z]")
 
 
 def _logit(part: float, whole: float) -> float:
@@ -102,6 +100,9 @@ class Discriminant:
         side = [self.prior[k] - self.half[k] - 0.5 * (((x - self.mean[k]) @ self.factor[k].T) ** 2).sum(1) for k in (0, 1)]
         return side[1] - side[0]
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(x), -500, 500)))
+
 
 def fit(rows: DataFrame) -> Discriminant:
     """``rows`` (stats, label 0 or 1) → the discriminant. Every row counts; each class's sums are 1 + p + p * p numbers."""
@@ -122,6 +123,27 @@ def fit(rows: DataFrame) -> Discriminant:
     return Discriminant(out[:, 0], out[:, 1 : 1 + p], out[:, 1 + p :].reshape(2, p, p))
 
 
+def learned(docs: DataFrame, labels: DataFrame, learn: Column) -> Discriminant:
+    """The discriminant of ``docs`` (doc_id, text, ...) and ``labels`` (doc_id, quality), from the rows where ``learn`` holds."""
+    return _learned(with_statistics(docs, "doc_id"), labels, learn)
+
+
+def _learned(stats: DataFrame, labels: DataFrame, learn: Column) -> Discriminant:
+    marks = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).distinct()
+    return fit(stats.where(learn).join(marks, F.col("doc_id") == F.col("_id")).select("label", "stats"))
+
+
+def scorer(model: Discriminant):  # noqa: ANN201
+    """A function of a text column: the score."""
+
+    @F.pandas_udf("double")
+    def each(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], float).reshape(-1, len(NAMES))
+        return pd.Series(model.score(x))
+
+    return each
+
+
 def score(rows: DataFrame, model: Discriminant, limit: float = 0.3) -> DataFrame:
     """``rows`` (stats, ...) with score and predicted in the place of stats."""
     keep = [c for c in rows.columns if c != "stats"]
@@ -129,7 +151,7 @@ def score(rows: DataFrame, model: Discriminant, limit: float = 0.3) -> DataFrame
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array(b["stats"].tolist(), float).reshape(-1, len(NAMES))
-            s = 1 / (1 + np.exp(-np.clip(model.log_odds(x), -500, 500)))
+            s = model.score(x)
             yield b[keep].assign(score=s, predicted=(s >= limit).astype("int32"))
 
     return rows.mapInPandas(each, rows.select(*keep).schema.add("score", "double").add("predicted", "integer"))
@@ -142,6 +164,4 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, keep: tuple[str,
     and null ids teach nothing. Without any label all scores are 0.5; an empty table gives no rows.
     """
     stats = saved(with_statistics(docs, *keep))
-    marks = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).distinct()
-    model = fit(stats.where(learn).join(marks, F.col("doc_id") == F.col("_id")).select("label", "stats"))
-    return score(stats, model)
+    return score(stats, _learned(stats, labels, learn))

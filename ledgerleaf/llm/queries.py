@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import cover_tree, langid, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, url_cascade
+from ledgerleaf.llm import cover_tree, langid, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, url_cascade, warc
 from ledgerleaf.llm.common import fold, table
 
 #: The contract's rules: action, host, path.
@@ -17,6 +17,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("block")
+
+
 def order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_scores": quality_scores,
+    "op2_derived_records": derived_records,
     "op3_order_fingerprints": order_fingerprints,
     "op4_source_mix": source_mix,
     "op5_language_model": language_model,
