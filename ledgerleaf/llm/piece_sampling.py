@@ -29,7 +29,7 @@ SHARPNESS = 1.0
 #: Weight for each unit that a piece covers; it is the same for all paths of a chunk, and keeps long products in range.
 UNIT = 64.0
 #: Characters of the texts walked together; most characters of a chunk whose lattice is built with those of others.
-TOGETHER, SHORT = 4_000_000, 40
+TOGETHER, SHORT = 1_500_000, 40
 CHUNK = re.compile(r" ?[^ \n]+|\n+| +")
 _LIMIT = 1e100
 
@@ -281,26 +281,25 @@ def decoded(ids: np.ndarray, vocabulary: Pieces) -> str:
     return b"".join([text[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")
 
 
-def _grouped(texts: pd.Series) -> Iterator[list[int]]:
-    """Places of the non-null texts, in groups of some TOGETHER characters."""
-    group, size = [], 0
-    for i, t in enumerate(texts):
-        if t is not None:
-            group.append(i)
-            size += len(t)
+def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in order, in frames of some TOGETHER characters, or one row if its text is longer."""
+    for b in batches:
+        start, size = 0, 0
+        for i, t in enumerate(b["text"]):
+            size += len(t or "")
             if size >= TOGETHER:
-                yield group
-                group, size = [], 0
-    if group:
-        yield group
+                yield b.iloc[start : i + 1]
+                start, size = i + 1, 0
+        if start < len(b):
+            yield b.iloc[start:]
 
 
 def _with_ids(batches: Iterator[pd.DataFrame], key: str, vocabulary: Pieces, salt: int) -> Iterator[tuple[pd.DataFrame, list]]:
-    for b in batches:
+    for b in _grouped(batches):
         ids: list = [None] * len(b)
-        for group in _grouped(b["text"]):
-            for i, got in zip(group, sample([b["text"].iat[i] for i in group], [b[key].iat[i] for i in group], vocabulary, salt), strict=True):
-                ids[i] = got
+        known = [i for i, t in enumerate(b["text"]) if t is not None]
+        for i, got in zip(known, sample([b["text"].iat[i] for i in known], [b[key].iat[i] for i in known], vocabulary, salt), strict=True):
+            ids[i] = got
         yield b, ids
 
 
