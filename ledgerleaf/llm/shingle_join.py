@@ -5,7 +5,7 @@
    shingles last that hold a large part of all occurrences (a table of fixed size tells), so a passage that many documents share
    brings no two of them together unless it makes up most of both. Classes that share such a shingle meet in the territory of
    the smallest of them.
-3. In a territory a class is a point: its shingles hashed into GROUPS groups, the counts of the groups its coordinates. An R-tree
+3. In a territory a class is a point: its shingles hashed into groups, the counts of the groups its coordinates. An R-tree
    holds the points; the sum of coordinate minima of a point and a box (or point) bounds the shingles they can share, which
    drops boxes and pairs. Pairs that are left are verified on the sets, unless both are already in one component.
 4. Links become components of classes, and these components of documents.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,39 +27,83 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.common import components, saved
 
 WORDS, PERCENT = 5, 80
-#: Buckets of the table of occurrences (a fixed size, as it is broadcast); coordinates of a point; points of a box; classes of a block.
-BUCKETS, GROUPS, BOX, BLOCK = 1 << 17, 64, 16, 1024
+#: Buckets of the table of occurrences (a fixed size, as it is broadcast); points of a box; classes of a block.
+BUCKETS, BOX, BLOCK = 1 << 17, 16, 1024
+#: Numbers of groups, and the most shingles of a set that gets as many.
+GROUPS, MOST = (64, 256, 1024, 4096), (800, 3200, 12800)
 #: Classes that a task remembers so as not to name them again; candidate rows up to which they are broadcast.
 REMEMBERED, BROADCAST_ROWS = 1_000_000, 1_000_000
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``x`` with its bits spread, in place."""
+    with np.errstate(over="ignore"):
+        x ^= x >> np.uint64(30)
+        x *= _MIX[1]
+        x ^= x >> np.uint64(27)
+        x *= _MIX[2]
+        x ^= x >> np.uint64(31)
+    return x
+
+
 class Shingler:
-    """Texts to sorted arrays of distinct shingle hashes; remembers the hashes of words."""
+    """Texts (UTF-8, or null) to sorted arrays of distinct shingle hashes.
+
+    The hash of a word is a polynomial in its bytes, taken from running sums over the whole text, and then mixed.
+    """
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.array([known[w] for w in words], np.uint64)
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, size: int) -> None:
+        if size > len(self.powers):
+            size = max(size, 2 * len(self.powers), 1 << 16)
+            base = int(_MIX[0])
+            with np.errstate(over="ignore"):
+                self.powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
+                self.inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, pow(base, -1, 1 << 64), np.uint64)]))
+
+    def words(self, text: bytes) -> np.ndarray:
+        raw = np.frombuffer(text.lower(), np.uint8)
+        self._reach(len(raw))
+        space = np.ones(len(raw) + 2, bool)
+        space[1:-1] = _SPACE[raw]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
+            return _mixed((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        h = self.words(text or b"")
         if len(h) <= 1:
             return h
         size = min(WORDS, len(h))
         with np.errstate(over="ignore"):
             out = np.full(len(h) - size + 1, size, np.uint64)
             for i in range(size):
-                out = (out ^ h[i : len(h) - size + 1 + i]) * _MIX[0]
+                out ^= h[i : len(h) - size + 1 + i]
+                out *= _MIX[0]
                 out ^= out >> np.uint64(29)
-            out = (out ^ (out >> np.uint64(30))) * _MIX[1]
-            out = (out ^ (out >> np.uint64(27))) * _MIX[2]
-        return np.unique(out ^ (out >> np.uint64(31)))
+        out = _mixed(out)
+        out.sort()
+        fresh = np.empty(len(out), bool)
+        fresh[0] = True
+        np.not_equal(out[1:], out[:-1], out=fresh[1:])
+        return out[fresh]
+
+
+def point_of(shingles: np.ndarray) -> np.ndarray:
+    """Counts of the groups; a larger set has more of them, and those of a smaller number are sums of these."""
+    groups = next((g for g, most in zip(GROUPS, MOST, strict=False) if len(shingles) <= most), GROUPS[-1])
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point if len(point) == groups else point.reshape(-1, groups).sum(0)
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -70,7 +115,7 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, class) and one for each task with counts: occurrences of shingles by bucket."""
+    """Rows of documents (doc_id, n, class, point) and one for each task with counts: occurrences of shingles by bucket."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, counts = Shingler(), np.zeros(BUCKETS, np.int64)
@@ -78,18 +123,19 @@ def sketched(docs: DataFrame) -> DataFrame:
             sets = [shingler(t) for t in b["text"]]
             if sets:
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "class": [class_of(s) for s in sets], "counts": [None] * len(sets)})
-        yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "counts": [counts]}).astype({"doc_id": "Int64", "n": "Int64", "class": "Int64"})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "class": [class_of(s) for s in sets], "point": [point_of(s) for s in sets], "counts": [None] * len(sets)})
+        yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "point": [None], "counts": [counts]}).astype({"doc_id": "Int64", "n": "Int64", "class": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n long, class long, counts array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(each, "doc_id long, n long, class long, point array<int>, counts array<long>")
 
 
 def _ranks(sketch: DataFrame) -> np.ndarray:
-    """By bucket 0, or how many times twice its occurrences exceed four times the mean."""
+    """By bucket 0, or the binary logarithm of how far its occurrences exceed the mean, in units that chance seldom reaches."""
     counts = np.zeros(BUCKETS)
     for at, n in sketch.where("counts is not null").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col")).collect():
         counts[at] = n
-    return np.log2(np.maximum(1, counts / (4 * counts.mean() + 16))).astype(np.int8)
+    mean = counts.mean()
+    return np.log2(np.maximum(1, (counts - mean) / (6 * np.sqrt(mean) + 16) + 1)).astype(np.int8)
 
 
 def prefix(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -134,7 +180,7 @@ def territories(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
             yield pairs
             yield pd.DataFrame({"root": pairs["root"].unique(), "class": pairs["root"].unique()})
 
-    named = docs.select("text").mapInPandas(keys, "key long, class long")
+    named = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(keys, "key long, class long")
     return named.repartition("key").sortWithinPartitions("key", "class").mapInPandas(meet, "root long, class long").distinct()
 
 
@@ -156,7 +202,7 @@ class Tree:
         a, b = np.divmod(np.arange(len(points) * len(top)), len(top))
         for level in range(len(self.levels) - 1, -1, -1):
             top, least = self.levels[level]
-            keep = [self._may(points[a[i : i + 65536]], sizes[a[i : i + 65536]], top[b[i : i + 65536]], least[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
+            keep = [self.may(points[a[i : i + 65536]], sizes[a[i : i + 65536]], top[b[i : i + 65536]], least[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
             a, b = a[keep], b[keep]
             if level:
@@ -166,7 +212,7 @@ class Tree:
         return a, self.order[b]
 
     @staticmethod
-    def _may(points: np.ndarray, sizes: np.ndarray, top: np.ndarray, least: np.ndarray) -> np.ndarray:
+    def may(points: np.ndarray, sizes: np.ndarray, top: np.ndarray, least: np.ndarray) -> np.ndarray:
         shared = np.minimum(points, top).sum(1)
         return shared * (100 + PERCENT) >= PERCENT * (sizes + least)
 
@@ -182,41 +228,111 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
 
-def compare(group: pd.DataFrame) -> pd.DataFrame:
-    """(a, b): a spanning forest of the links among ``group`` (class, block, shingles); of two blocks only between them."""
-    group = group.sort_values("class")
-    classes = group["class"].to_numpy()
-    sets = [np.asarray(s, np.int64).view(np.uint64) for s in group["shingles"]]
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
-    blocks = group["block"].to_numpy()
-    one, two = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    tree, out = Tree(points[two], sizes[two]), []
-    a, b = tree.near(points[one], sizes[one])
-    for i, j in zip(one[a].tolist(), two[b].tolist(), strict=True):
-        if (i < j or blocks[i] != blocks[j]) and (p := find(i)) != (q := find(j)) and similar(sets[i], sets[j]):
-            root[max(p, q)] = min(p, q)
-            out.append((classes[i], classes[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _runs(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Rows with equal root, low and high, which stand together: root, class, block and the list column as arrays."""
+    held: pa.Table | None = None
+
+    def cut(rows: pa.Table, ends: np.ndarray) -> Iterator[tuple]:
+        root, kind, block = (rows[c].to_numpy() for c in ("root", "class", "block"))
+        column = rows[lists].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        at, values = column.offsets.to_numpy(), column.values.to_numpy()
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            yield root[i:j], kind[i:j], block[i:j], [values[at[k] : at[k + 1]] for k in range(i, j)]
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        if not len(rows):
+            continue
+        keys = np.stack([rows[c].to_numpy() for c in ("root", "low", "high")])
+        ends = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))])
+        yield from cut(rows, ends)
+        held = rows.slice(int(ends[-1]))
+    if held is not None and len(held):
+        yield from cut(held, np.array([0, len(held)]))
+
+
+def _candidates(block: np.ndarray, points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, each once, that the bounds don't exclude; of two blocks only between them."""
+    sizes = np.array([p.sum() for p in points])
+    few = np.stack([folded(p, GROUPS[0]) for p in points])
+    one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    a, b = Tree(few[two], sizes[two]).near(few[one], sizes[one])
+    a, b = one[a], two[b]
+    if block[one[0]] == block[two[0]]:
+        a, b = a[a < b], b[a < b]
+    wide = np.array([len(p) for p in points])
+    for groups in GROUPS[1:]:
+        keep = np.minimum(wide[a], wide[b]) < groups
+        at = np.flatnonzero(~keep)
+        rows = np.unique(np.concatenate([a[at], b[at]]))
+        more = np.stack([folded(points[i], groups) for i in rows]) if len(rows) else few
+        for i in range(0, len(at), 4096):
+            now = at[i : i + 4096]
+            p, q = a[now], b[now]
+            keep[now] = Tree.may(more[np.searchsorted(rows, p)], sizes[p], more[np.searchsorted(rows, q)], sizes[q])
+        a, b = a[keep], b[keep]
+    return a, b
+
+
+def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, class) of those that may be similar to another one in their territory."""
+    for root, kind, block, points in _runs(batches, "point"):
+        if len(kind) > 1:
+            a, b = _candidates(block, points)
+            seen = np.unique(np.concatenate([a, b]))
+            if len(seen):
+                yield pa.RecordBatch.from_arrays([pa.array(root[seen]), pa.array(kind[seen])], ["root", "class"])
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest of the links among the classes of a territory, or between two of its blocks."""
+    for _, kind, block, shingles in _runs(batches, "shingles"):
+        if len(kind) < 2:
+            continue
+        sets = [s.view(np.uint64) for s in shingles]
+        parent = list(range(len(sets)))
+
+        def find(x: int, parent: list[int] = parent) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        a, b = _candidates(block, [point_of(s) for s in sets])
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if (p := find(i)) != (q := find(j)) and similar(sets[i], sets[j]):
+                parent[max(p, q)] = min(p, q)
+                out.append((i, j))
+        if out:
+            at = np.array(out)
+            yield pa.RecordBatch.from_arrays([pa.array(kind[at[:, 0]]), pa.array(kind[at[:, 1]])], ["a", "b"])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (root, class) with block, low and high: a row for each pair of blocks of its territory that it takes part in."""
+    blocks = rows.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rows.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return paired.select("root", "class", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "class")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(class, shingles) of ``docs`` (class, text)."""
+    """(class, shingles) of ``docs`` (class, text) whose text is of that class."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for b in batches:
-            yield pd.DataFrame({"class": b["class"], "shingles": [shingler(t).view(np.int64) for t in b["text"]]})
+            sets = [shingler(t) for t in b["text"]]
+            yield pd.DataFrame({"class": b["class"], "shingles": [s.view(np.int64) for s in sets]})[[class_of(s) == c for s, c in zip(sets, b["class"], strict=True)]]
 
-    return docs.select("class", "text").mapInPandas(each, "class long, shingles array<long>")
+    return docs.select("class", F.col("text").cast("binary").alias("text")).mapInPandas(each, "class long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,18 +344,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sketch = saved(sketched(docs))
     rows = sketch.where("counts is null").select("doc_id", "n", "class")
-    meeting = saved(territories(docs, _ranks(sketch)))
-    heads = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"))
-    wanted = meeting.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("_head"))
-    wanted = saved(wanted)
+    heads = sketch.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"), F.first("point").alias("point"))
+    met = dealt(saved(territories(docs, _ranks(sketch)))).join(heads.select("class", "point"), "class")
+    left = saved(together(met).mapInArrow(with_partner, "root long, class long").distinct())
+    heads = heads.drop("point")
+    wanted = saved(left.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("_head")))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     picked = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_head"))
-    sets = shingle_sets(picked).groupBy("class").agg(F.first("shingles").alias("shingles"))
-    blocks = meeting.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = meeting.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    met = paired.join(sets, "class").select("root", "low", "high", "class", "block", "shingles")
-    links = met.groupBy("root", "low", "high").applyInPandas(compare, "a long, b long")
+    sets = shingle_sets(picked)
+    links = together(dealt(left).join(sets, "class")).mapInArrow(linked, "a long, b long")
     reached = components(links).select(F.col("node").alias("class"), "component")
     told = heads.join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = told.groupBy("component").agg(F.min("head").alias("component_id"))
