@@ -67,13 +67,15 @@ def deep_merge(batches: DataFrame, key: str = "app_id", order: str = "batch_ord"
 
 
 def rebuilt(leaves: DataFrame, key: str = "app_id", levels: int = LEVELS) -> DataFrame:
-    """(``key``, record): the leaves put together as one JSON text for each application, keys in order."""
-    rows = leaves.withColumn("depth", F.size("path"))
+    """(``key``, record): the leaves put together as one JSON text for each application, keys in order; an object without a leaf doesn't show."""
+    rows = leaves
     for depth in range(levels, 0, -1):
+        deep = F.size("path") == depth
         pair = F.concat(F.to_json(F.array(F.element_at("path", -1))), F.lit(":"), F.col("value"))
         text = F.regexp_replace(pair, r'^\[("(?:[^"\\]|\\.)*")\]:', "$1:")
-        up = rows.where(F.col("depth") == depth).groupBy(key, F.slice("path", F.lit(1), F.lit(depth - 1)).alias("path")).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(text)), ","), F.lit("}")).alias("value"))
-        rows = rows.where(F.col("depth") < depth).unionByName(up.withColumn("depth", F.lit(depth - 1)))
+        parts = F.collect_list(F.when(deep, text))
+        whole = F.concat(F.lit("{"), F.array_join(F.sort_array(parts), ","), F.lit("}"))
+        rows = rows.groupBy(key, F.when(deep, F.slice("path", 1, depth - 1)).otherwise(F.col("path")).alias("path")).agg(F.when(F.size(parts) > 0, whole).otherwise(F.first("value")).alias("value"))
     return rows.select(key, F.col("value").alias("record"))
 
 

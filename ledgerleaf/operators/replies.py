@@ -27,7 +27,8 @@ def score(requests: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], sc
             try:
                 yield model(b).assign(ok=True, error=None)[wanted]
             except Exception as e:  # the reply's failure is data
-                yield b.reindex(columns=wanted).assign(ok=False, error=f"{type(e).__name__}: {e}")
+                failed = pd.DataFrame({c: b[c] if c in b else pd.Series([None] * len(b), index=b.index, dtype=object) for c in wanted})
+                yield failed.assign(ok=False, error=f"{type(e).__name__}: {e}")
 
     return requests.mapInPandas(each, schema)
 
