@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,33 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def attached(df: DataFrame, keep: tuple[str, ...], use: tuple[str, ...], added: str, each: Callable[..., Iterator[tuple[int, int, list]]]) -> DataFrame:
+    """The columns ``keep`` of ``df`` and those of the DDL ``added``.
+
+    ``each`` gets lists of the columns ``use`` for a batch, and yields ranges of its rows, in order, with the lists of new values.
+    The kept columns stay in Arrow, so ids next to nulls keep all their digits.
+    """
+    fields = df.sparkSession.createDataFrame([], added).schema
+    types = {f.name: _arrow(f.dataType.simpleString()) for f in fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in filter(len, batches):
+            for start, end, values in each(*[b.column(f"__use_{c}").to_pylist() for c in use]):
+                kept = [b.column(c).slice(start, end - start) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, t) for v, t in zip(values, types.values(), strict=True)]], [*keep, *types])
+
+    schema = df.select(*keep).schema
+    for f in fields:
+        schema = schema.add(f)
+    return df.select(*keep, *[F.col(c).alias(f"__use_{c}") for c in use]).mapInArrow(run, schema)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    if kind.startswith("array<"):
+        return pa.list_(_arrow(kind[6:-1]))
+    return {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[kind]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long): component is the smallest node that links reach.
 

@@ -31,6 +31,7 @@ class Node:
     below: list[Node] = field(default_factory=list)
     centres: np.ndarray | None = None
     radii: np.ndarray | None = None
+    leaves: np.ndarray | None = None
 
 
 def build(x: np.ndarray) -> Node:
@@ -49,6 +50,7 @@ def build(x: np.ndarray) -> Node:
             node.below.append(Node(int(rest[0]), 0.0) if len(rest) == 1 or near.sum() == 1 else grow(int(rest[0]), rest[near]) if not near.all() or radius > SLACK else _flat(int(rest[0]), rest, distance))
             rest = rest[~near]
         node.centres, node.radii = np.array([b.centre for b in node.below]), np.array([b.radius for b in node.below])
+        node.leaves = np.array([not b.below for b in node.below])
         return node
 
     return grow(0, np.arange(len(x)))
@@ -57,7 +59,7 @@ def build(x: np.ndarray) -> Node:
 def _flat(centre: int, members: np.ndarray, distance: np.ndarray) -> Node:
     """Node over vectors that rounding can't tell apart."""
     below = [Node(int(m), 0.0) for m in members]
-    return Node(centre, float(distance[centre, members].max()), below, members, np.zeros(len(members)))
+    return Node(centre, float(distance[centre, members].max()), below, members, np.zeros(len(members)), np.ones(len(members), bool))
 
 
 def linked(x: np.ndarray, y: np.ndarray, a: Node, b: Node, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +75,11 @@ def linked(x: np.ndarray, y: np.ndarray, a: Node, b: Node, threshold: float) ->
         r = p.radii if p.below else np.zeros(1)
         s = q.radii if q.below else np.zeros(1)
         open_ = far <= reach + r[:, None] + s[None, :]
-        i, j = np.nonzero(open_ & (r[:, None] == 0) & (s[None, :] == 0) & (dot >= threshold))
+        end = (p.leaves if p.below else np.ones(1, bool))[:, None] & (q.leaves if q.below else np.ones(1, bool))[None, :]
+        i, j = np.nonzero(open_ & end & (dot >= threshold))
         one.append(at[i])
         other.append(to[j])
-        for i, j in zip(*np.nonzero(open_ & ((r[:, None] > 0) | (s[None, :] > 0))), strict=True):
+        for i, j in zip(*np.nonzero(open_ & ~end), strict=True):
             todo.append((p.below[i] if p.below else p, q.below[j] if q.below else q))
     return np.concatenate(one), np.concatenate(other)
 
@@ -134,10 +137,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     Vectors link when labels are equal and not null, lengths are equal and the cosine reaches ``threshold``. A vector that is null,
     empty or zero, or holds a null or non-finite component, links with nothing. Equal vectors of one label link with each other.
-    A row with a repeated id counts as a vector of its own. An empty table gives no rows.
+    So does a row without an id. A row with a repeated id counts as a vector of its own. An empty table gives no rows.
     """
     v = F.col("embedding").cast("array<double>")
-    fine = F.col("label").isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
+    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     # adding zero makes a negative zero equal to zero
     marked = rows.select("vec_id", "label", F.when(fine, F.transform(v, lambda c: c + F.lit(0.0))).alias("v"))
     whole = marked.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"))

@@ -11,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.common import attached
+
 #: Hash buckets for n-grams; n-gram lengths; centroids of a language; rounds of k-means.
 BUCKETS, GRAMS, CENTROIDS, ROUNDS = 4096, (1, 2, 3), 4, 12
 #: Most labelled texts of a language that the clustering takes (those with the smallest hashes of their ids).
@@ -104,18 +107,19 @@ def fit(rows: DataFrame) -> Centroids | None:
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = {}, np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
-            for text, lang in zip(b["text"], b["lang"], strict=True):
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 x = counts(text)
                 total[1:] += x > 0
                 total[0] += 1
                 seen[lang] = seen.get(lang, 0) + 1
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": [None] * len(at) + list(seen), "at": [*at, *([-1] * len(seen))], "n": [*total[at], *seen.values()]})
+        columns = [None] * len(at) + list(seen), [*at, *([-1] * len(seen))], [*total[at], *seen.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "at", "n"])
 
-    added = rows.mapInPandas(frequencies, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
+    added = rows.mapInArrow(frequencies, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     known = {lang: n for lang, at, n in added if at < 0}
     if not known:
         return None
@@ -127,14 +131,15 @@ def fit(rows: DataFrame) -> Centroids | None:
     share = F.lit(0.0)
     for lang, n in known.items():
         share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n)).otherwise(share)
+    rows = rows.select(F.col("doc_id").cast("string").alias("at"), "doc_id", "text", "lang")
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in group.sort_values(["doc_id", "text"])["text"] if has_letter(t)]
+        texts = [t for t in group.sort_values(["at", "text"])["text"] if has_letter(t)]
         rows = cluster(vectors(texts, idf)) if texts else np.zeros((0, BUCKETS))
         return pd.DataFrame({"lang": [key[0]] * len(rows), "row": list(rows)})
 
-    found = sorted(((r["lang"], r["row"]) for r in drawn.groupBy("lang").applyInPandas(centroids, "lang string, row array<double>").collect()), key=lambda r: (r[0], r[1]))
+    found = sorted(((r["lang"], r["row"]) for r in drawn.drop("doc_id").groupBy("lang").applyInPandas(centroids, "lang string, row array<double>").collect()), key=lambda r: (r[0], r[1]))
     return Centroids(idf, [r[0] for r in found], np.array([r[1] for r in found])) if found else None
 
 
@@ -160,16 +165,14 @@ def identify(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",)
     """
     model = fit(docs.where(learn))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known = [i for i, t in enumerate(b["text"]) if model and has_letter(t)]
-            names, scores = ["und"] * len(b), np.zeros(len(b))
-            if known:
-                found, cosines = model.nearest([b["text"].iat[i] for i in known])
-                scores[known] = cosines
-                for i, name in zip(known, found, strict=True):
-                    names[i] = name
-            yield b[list(keep)].assign(lang_pred=names, score=scores, rejected=[n == "und" or s < reject for n, s in zip(names, scores, strict=True)])
-
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(each, schema)
+    def each(texts: list) -> Iterator[tuple[int, int, list]]:
+        known = [i for i, t in enumerate(texts) if model and has_letter(t)]
+        names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        if known:
+            found, cosines = model.nearest([texts[i] for i in known])
+            scores[known] = cosines
+            for i, name in zip(known, found, strict=True):
+                names[i] = name
+        yield 0, len(texts), [names, scores, [n == "und" or s < reject for n, s in zip(names, scores, strict=True)]]
+
+    return attached(docs, keep, ("text",), "lang_pred string, score double, rejected boolean", each)

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from ledgerleaf.llm.common import attached
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -281,26 +281,25 @@ def decoded(ids: np.ndarray, vocabulary: Pieces) -> str:
     return b"".join([text[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")
 
 
-def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows in order, in frames of some TOGETHER characters, or one row if its text is longer."""
-    for b in batches:
-        start, size = 0, 0
-        for i, t in enumerate(b["text"]):
-            size += len(t or "")
-            if size >= TOGETHER:
-                yield b.iloc[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(b):
-            yield b.iloc[start:]
+def _ranges(texts: list) -> Iterator[tuple[int, int]]:
+    """Ranges of the rows, in order, of some TOGETHER characters, or one row if its text is longer."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= TOGETHER:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
-def _with_ids(batches: Iterator[pd.DataFrame], key: str, vocabulary: Pieces, salt: int) -> Iterator[tuple[pd.DataFrame, list]]:
-    for b in _grouped(batches):
-        ids: list = [None] * len(b)
-        known = [i for i, t in enumerate(b["text"]) if t is not None]
-        for i, got in zip(known, sample([b["text"].iat[i] for i in known], [b[key].iat[i] for i in known], vocabulary, salt), strict=True):
-            ids[i] = got
-        yield b, ids
+def _sampled(keys: list, texts: list, vocabulary: Pieces, salt: int) -> Iterator[tuple[int, int, list]]:
+    for start, end in _ranges(texts):
+        ids: list = [None] * (end - start)
+        known = [i for i in range(start, end) if texts[i] is not None]
+        for i, got in zip(known, sample([texts[i] for i in known], [keys[i] for i in known], vocabulary, salt), strict=True):
+            ids[i - start] = got
+        yield start, end, ids
 
 
 def encode(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, sharpness: float = SHARPNESS, salt: int = 0) -> DataFrame:
@@ -309,23 +308,22 @@ def encode(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("doc_i
     Equal keys and texts get equal ids. A null text has null ids, an empty one none. A null key is a key like any other.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, ids in _with_ids(batches, key, pieces_of(model, sharpness), salt):
-            yield b[list(keep)].assign(ids=ids)
+    def each(keys: list, texts: list) -> Iterator[tuple[int, int, list]]:
+        for start, end, ids in _sampled(keys, texts, pieces_of(model, sharpness), salt):
+            yield start, end, [ids]
 
-    return docs.select(*dict.fromkeys([*keep, key, "text"])).mapInPandas(each, docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())))
+    return attached(docs, keep, (key, "text"), "ids array<int>", each)
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """``rows`` with ids → the same rows with text in its place; null ids give a null text."""
     keep = [c for c in rows.columns if c != "ids"]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(ids: list) -> Iterator[tuple[int, int, list]]:
         vocabulary = pieces_of(model, SHARPNESS)
-        for b in batches:
-            yield b[keep].assign(text=[None if x is None else decoded(np.asarray(x), vocabulary) for x in b["ids"]])
+        yield 0, len(ids), [[None if x is None else decoded(np.asarray(x, np.int32), vocabulary) for x in ids]]
 
-    return rows.mapInPandas(each, rows.select(*keep).schema.add("text", "string"))
+    return attached(rows, tuple(keep), ("ids",), "text string", each)
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, sharpness: float = SHARPNESS, salt: int = 0) -> DataFrame:
@@ -334,14 +332,13 @@ def round_trip(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("d
     Encodes and decodes in one pass. A null text has 0 pieces, null digests and is lossless.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(keys: list, texts: list) -> Iterator[tuple[int, int, list]]:
         vocabulary = pieces_of(model, sharpness)
-        for b, ids in _with_ids(batches, key, vocabulary, salt):
+        for start, end, ids in _sampled(keys, texts, vocabulary, salt):
             back = [None if x is None else decoded(x, vocabulary) for x in ids]
-            yield b[list(keep)].assign(
-                n_pieces=[0 if x is None else len(x) for x in ids], ids_sha256=[None if x is None else hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids],
-                decoded_sha256=[None if x is None else hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back], lossless=[x == t for x, t in zip(back, b["text"], strict=True)],
-            )
+            yield start, end, [
+                [0 if x is None else len(x) for x in ids], [None if x is None else hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids],
+                [None if x is None else hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back], [x == t for x, t in zip(back, texts[start:end], strict=True)],
+            ]
 
-    schema = docs.select(*keep).schema.add("n_pieces", "integer").add("ids_sha256", "string").add("decoded_sha256", "string").add("lossless", "boolean")
-    return docs.select(*dict.fromkeys([*keep, key, "text"])).mapInPandas(each, schema)
+    return attached(docs, keep, (key, "text"), "n_pieces int, ids_sha256 string, decoded_sha256 string, lossless boolean", each)

@@ -13,9 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerleaf.llm.common import saved
+from ledgerleaf.llm.common import attached, saved
 
 #: Share of the pooled covariance and of the scaled identity in each class covariance; least eigenvalue scale.
 POOLED, IDENTITY, LEAST = 0.2, 0.02, 1e-4
@@ -67,12 +66,10 @@ def _marked(word: bytes) -> bool:
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` and stats, array<double>, of its text."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[list(keep)].assign(stats=[statistics(t) for t in b["text"]])
+    def each(texts: list) -> Iterator[tuple[int, int, list]]:
+        yield 0, len(texts), [[statistics(t) for t in texts]]
 
-    schema = docs.select(*keep).schema.add("stats", T.ArrayType(T.DoubleType()))
-    return docs.select(*keep, "text").mapInPandas(each, schema)
+    return attached(docs, keep, ("text",), "stats array<double>", each)
 
 
 class Discriminant:
@@ -148,13 +145,11 @@ def score(rows: DataFrame, model: Discriminant, limit: float = 0.3) -> DataFrame
     """``rows`` (stats, ...) with score and predicted in the place of stats."""
     keep = [c for c in rows.columns if c != "stats"]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array(b["stats"].tolist(), float).reshape(-1, len(NAMES))
-            s = model.score(x)
-            yield b[keep].assign(score=s, predicted=(s >= limit).astype("int32"))
+    def each(stats: list) -> Iterator[tuple[int, int, list]]:
+        s = model.score(np.array(stats, float).reshape(-1, len(NAMES)))
+        yield 0, len(stats), [s, (s >= limit).astype("int32")]
 
-    return rows.mapInPandas(each, rows.select(*keep).schema.add("score", "double").add("predicted", "integer"))
+    return attached(rows, tuple(keep), ("stats",), "score double, predicted int", each)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

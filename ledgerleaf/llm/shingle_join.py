@@ -124,9 +124,10 @@ def sketched(docs: DataFrame) -> DataFrame:
             if sets:
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "class": [class_of(s) for s in sets], "point": [point_of(s) for s in sets], "counts": [None] * len(sets)})
-        yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "point": [None], "counts": [counts]}).astype({"doc_id": "Int64", "n": "Int64", "class": "Int64"})
+        yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "point": [None], "counts": [counts]}).astype({"n": "Int64", "class": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(each, "doc_id long, n long, class long, point array<int>, counts array<long>")
+    told = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(each, "doc_id string, n long, class long, point array<int>, counts array<long>")
+    return told.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _ranks(sketch: DataFrame) -> np.ndarray:
@@ -177,8 +178,9 @@ def territories(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
             least = np.where(at >= 0, c[at], root)
             key, root = k[-1], least[-1]
             pairs = pd.DataFrame({"root": least, "class": c})[c != least].drop_duplicates()
-            yield pairs
-            yield pd.DataFrame({"root": pairs["root"].unique(), "class": pairs["root"].unique()})
+            if len(pairs):
+                yield pairs
+                yield pd.DataFrame({"root": pairs["root"].unique(), "class": pairs["root"].unique()})
 
     named = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(keys, "key long, class long")
     return named.repartition("key").sortWithinPartitions("key", "class").mapInPandas(meet, "root long, class long").distinct()

@@ -11,10 +11,11 @@ import html as entities
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.common import attached
+
 VERSION, CRLF, DATE = "WARC/1.1", "\r\n", "2026-01-01T00:00:00Z"
 _UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
@@ -74,13 +75,11 @@ def derive(sources: DataFrame) -> DataFrame:
     """
     keep = [c for c in sources.columns if c != "payload"]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            told = [facts(p) for p in b["payload"]]
-            yield b[keep].assign(text=[plain_text(p) for p in b["payload"]], title=[x[0] for x in told], language=[x[1] for x in told], links=[x[2] for x in told])
+    def each(payloads: list) -> Iterator[tuple[int, int, list]]:
+        told = [facts(p) for p in payloads]
+        yield 0, len(payloads), [[plain_text(p) for p in payloads], *map(list, zip(*told, strict=True))]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sources.select(*keep).schema) + ", text string, title string, language string, links array<string>"
-    s = sources.mapInPandas(each, schema)
+    s = attached(sources, tuple(keep), ("payload",), "text string, title string, language string, links array<string>", each)
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value))
     fields = F.concat_ws(
         CRLF, field("source-record-type", F.lit("response")), field("source-status", F.col("status")), field("source-content-type", F.col("content_type")), field("source-payload-digest", F.col("payload_digest")),
