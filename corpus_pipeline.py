@@ -30,16 +30,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component. Rows without an id stay; of rows with one id, one stays."""
     found = shingle_join.near_duplicates(ship(spark) and docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    stay = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    stay = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes its words, rounded; those that it takes less than half of go."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_times"))
-    named = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_times > 0")
-    return named.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__mix_times"))
+    named = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__mix_id"))).where("__mix_times > 0")
+    return named.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
