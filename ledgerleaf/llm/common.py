@@ -71,7 +71,7 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b: long): component is the smallest node that links reach.
+    """(node, component) for the nodes of ``edges`` (a, b: long) that reach a smaller one: component is the smallest.
 
     Alternates large-star and small-star rounds until the edge set stays the same; every round is one shuffle by node for each
     star, and no neighbourhood is collected: a node meets its smallest neighbour through an aggregate and a join.

@@ -66,11 +66,11 @@ def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
 
 def laid_out(rows: DataFrame) -> DataFrame:
     """``rows`` (row, doc_id, no, size) with start: the words of the same source that come before it in the shuffled order."""
-    mixed = F.xxhash64(F.lit("mix"), "doc_id", "row")
+    mixed = F.xxhash64(F.lit("mix"), "doc_id")
     r = rows.where("size > 0").withColumn("mixed", mixed).withColumn("chunk", F.pmod(F.shiftright("mixed", 40), F.lit(CHUNKS)))
     sums = r.groupBy("no", "chunk").agg(F.sum("size").alias("words"))
     sums = sums.select("no", "chunk", F.coalesce(F.sum("words").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("no", "chunk").orderBy("mixed", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("no", "chunk").orderBy("mixed", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     return r.join(sums, ["no", "chunk"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
 
