@@ -16,7 +16,7 @@ from ledgerleaf.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-NOW = 1_900_000.0
+NOW = 1_700_000.0
 
 
 def query(*views: str, sql: str | None = None) -> Callable:
@@ -673,6 +673,67 @@ def e3_latency(reply: DataFrame) -> DataFrame:
     return reply.select("event_id", evaluate.latency_band(F.col("event_id") % 13).alias("band"))
 
 
+@query("files", sql="SELECT app_id, CAST(sum(pages) * 1500 AS BIGINT) AS tokens, CASE WHEN sum(pages) * 1500 > 20000 THEN 'warn' ELSE 'ok' END AS actual FROM files GROUP BY 1")
+def p2_page_tokens(files: DataFrame) -> DataFrame:
+    tokens = planning.tokens_by_pages(F.col("pages"))
+    return files.groupBy("app_id").agg(F.sum("pages").alias("pages")).select("app_id", tokens.alias("tokens"), planning.risk_band(tokens, "actual").alias("actual"))
+
+
+def p9_text_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each document as a grey picture of 16 columns."""
+    data = F.col("text").cast("binary")
+    rows = table(spark, sf_dir, "documents").where("octet_length(text) >= 16").withColumn("h", F.floor(F.octet_length("text") / 16).cast("int"))
+    picture = F.struct(F.col("doc_id").cast("string").alias("origin"), F.col("h").alias("height"), F.lit(16).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.substring(data, F.lit(1), F.col("h") * 16).alias("data"))
+    return planning.text_heavy(rows.select(picture.alias("image")))
+
+
+QUERIES["p9_text_heavy"] = p9_text_heavy
+
+
+@query("conversations", sql="SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END AS answer, role || ' form' AS title FROM conversations")
+def n2_answers(conversations: DataFrame) -> DataFrame:
+    said = F.element_at(F.array(F.lit("TRUE"), F.lit("n"), F.lit("maybe"), F.lit("2")), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    return conversations.select("conv_id", "turn", V.yes_no(said).alias("answer"), V.title(F.concat("role", F.lit("_form"))).alias("title"))
+
+
+@query("annotation", sql=""", m AS (SELECT form_id, "T" AS field_name, max("FT") AS type FROM annotation GROUP BY ALL)
+SELECT form_id, field_name, CASE WHEN type LIKE '%tn%' THEN 'checkbox' ELSE 'text' END AS field_type, false AS required FROM m""")
+def f8_static_fields(annotation: DataFrame) -> DataFrame:
+    static = annotation.groupBy("form_id", F.col("T").alias("pdf_field")).agg(F.max("FT").alias("type"))
+    static = static.withColumn("type", F.when(F.col("type").contains("tn"), "PDF Checkbox").otherwise("Text")).withColumn("required", F.lit(None).cast("boolean"))
+    return forms.fields_from_mapping(static).select("form_id", "field_name", "field_type", "required")
+
+
+@query("orders", sql="SELECT o_custkey AS record_id, CAST(sum(o_orderkey) - sum(o_orderkey % 7) AS BIGINT) AS net_worth FROM orders GROUP BY 1")
+def v2_net_worth(orders: DataFrame) -> DataFrame:
+    sums = orders.groupBy(F.col("o_custkey").alias("record_id")).agg(F.sum("o_orderkey").alias("assets"), F.sum(F.col("o_orderkey") % 7).alias("liabilities"))
+    return sums.select("record_id", reconcile.net_worth(F.col("assets"), F.col("liabilities")).alias("net_worth"))
+
+
+def _statement(lineitem: DataFrame, form: str, names: list[str]) -> DataFrame:
+    """Lines of one statement for each order: the quantities by line number, under ``names``."""
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("l_linenumber"))
+    return lineitem.where(F.col("l_linenumber") <= len(names)).groupBy(F.col("l_orderkey").alias("record_id"), F.lit(form).alias("form"), named.alias("line")).agg(F.sum("l_quantity").alias("value"))
+
+
+_LINE_SUMS = ", l AS (SELECT l_orderkey AS id, sum(l_quantity) FILTER (WHERE l_linenumber = 1) AS a, sum(l_quantity) FILTER (WHERE l_linenumber = 2) AS b, sum(l_quantity) FILTER (WHERE l_linenumber = 3) AS c, sum(l_quantity) FILTER (WHERE l_linenumber = 4) AS d, sum(l_quantity) FILTER (WHERE l_linenumber = 5) AS e FROM lineitem GROUP BY 1)"
+
+
+@query("lineitem", sql=_LINE_SUMS + """
+SELECT id AS record_id, 'gross_profit' AS target, c AS stated, coalesce(a, 0) - coalesce(b, 0) AS computed, c = coalesce(a, 0) - coalesce(b, 0) AS ok FROM l WHERE c IS NOT NULL
+UNION ALL SELECT id, 'operating_income', e, coalesce(c, 0) - coalesce(d, 0), e = coalesce(c, 0) - coalesce(d, 0) FROM l WHERE e IS NOT NULL""")
+def v7_income_statement(lineitem: DataFrame) -> DataFrame:
+    lines = _statement(lineitem, "income_statement", ["net_revenue", "cogs", "gross_profit", "operating_expenses", "operating_income"])
+    return reconcile.check_lines(lines, catalog.line_rules(lineitem.sparkSession)).drop("form")
+
+
+@query("lineitem", sql=_LINE_SUMS + """
+SELECT id AS record_id, 'total_assets' AS target, c AS stated, coalesce(a, 0) + coalesce(b, 0) AS computed, c = coalesce(a, 0) + coalesce(b, 0) AS ok FROM l WHERE c IS NOT NULL""")
+def v8_balance(lineitem: DataFrame) -> DataFrame:
+    lines = _statement(lineitem, "balance_sheet", ["total_liabilities", "equity", "total_assets"])
+    return reconcile.check_lines(lines, catalog.line_rules(lineitem.sparkSession)).drop("form")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applicants' records mapped to the common form, with the share of its fields that is filled."""
     filled, _, fields = _mapped(spark, sf_dir)
