@@ -321,7 +321,7 @@ def x10_contract(batch: DataFrame) -> DataFrame:
 
 @query("batch", sql="SELECT app_id, CAST(sum((batch_ord <> 0)::INT + (status <> '')::INT + (x <> 0)::INT + flag::INT + (has_inner AND inner_text <> '')::INT) AS BIGINT) AS data_points FROM batch GROUP BY 1")
 def x12_data_points(batch: DataFrame) -> DataFrame:
-    flat = merge.flatten_levels(_payloads(batch))
+    flat = merge.flatten_levels(_payloads(batch), levels=3)
     return replies.count_data_points(flat.where("not object"))
 
 
@@ -350,7 +350,7 @@ m AS (SELECT app_id, coalesce(min(batch_ord) FILTER (WHERE batch_ord <> 0), 0) A
 SELECT app_id, 'k' AS path, CAST(k AS VARCHAR) AS value FROM m UNION ALL SELECT app_id, 's', '"' || s || '"' FROM m UNION ALL SELECT app_id, 'p/x', CAST(x AS VARCHAR) FROM m
 UNION ALL SELECT app_id, 'p/flag', CAST(flag AS VARCHAR) FROM m UNION ALL SELECT app_id, 'p/in/t', '"' || t || '"' FROM m WHERE t IS NOT NULL""")
 def m1_deep_merge(batch: DataFrame) -> DataFrame:
-    return merge.deep_merge(_payloads(batch)).select("app_id", F.array_join("path", "/").alias("path"), "value")
+    return merge.deep_merge(_payloads(batch), levels=3).select("app_id", F.array_join("path", "/").alias("path"), "value")
 
 
 @query("batch", sql=_MERGED + """
