@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,6 +15,8 @@ from ledgerleaf.session import ship
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch that are turned into Python values at once.
+ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,6 +47,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release() -> None:
+    """Hands the memory that a finished partition leaves in its Python worker back to the system, as workers live on into other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def attached(df: DataFrame, keep: tuple[str, ...], use: tuple[str, ...], added: str, each: Callable[..., Iterator[tuple[int, int, list]]]) -> DataFrame:
     """The columns ``keep`` of ``df`` and those of the DDL ``added``.
 
@@ -53,10 +65,11 @@ def attached(df: DataFrame, keep: tuple[str, ...], use: tuple[str, ...], added:
     types = {f.name: _arrow(f.dataType.simpleString()) for f in fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in filter(len, batches):
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             for start, end, values in each(*[b.column(f"__use_{c}").to_pylist() for c in use]):
                 kept = [b.column(c).slice(start, end - start) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, t) for v, t in zip(values, types.values(), strict=True)]], [*keep, *types])
+        release()
 
     schema = df.select(*keep).schema
     for f in fields:

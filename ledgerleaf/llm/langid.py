@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import attached
+from ledgerleaf.llm.common import attached, release
 
 #: Hash buckets for n-grams; n-gram lengths; centroids of a language; rounds of k-means.
 BUCKETS, GRAMS, CENTROIDS, ROUNDS = 4096, (1, 2, 3), 4, 12
@@ -64,10 +64,14 @@ def has_letter(text: str | None) -> bool:
 
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     """TF-IDF rows of length one (zero where a text has no letter)."""
-    x = np.stack([counts(t) for t in texts]) if texts else np.zeros((0, BUCKETS))
-    x = np.sqrt(x) * idf
+    x = np.empty((len(texts), BUCKETS), np.float32)
+    for row, text in zip(x, texts, strict=True):
+        row[:] = counts(text)
+    np.sqrt(x, out=x)
+    x *= idf.astype(np.float32)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    x /= np.where(norm > 0, norm, 1)
+    return x
 
 
 def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
@@ -91,11 +95,11 @@ class Centroids:
     def nearest(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and cosine of the nearest centroid for each text."""
         names, best = [], np.zeros(len(texts))
-        for i in range(0, len(texts), 512):
-            cosines = vectors(texts[i : i + 512], self.idf) @ self.rows.T
+        for i in range(0, len(texts), 128):
+            cosines = vectors(texts[i : i + 128], self.idf) @ self.rows.T
             at = np.argmax(cosines, axis=1)
             names += [self.names[j] for j in at]
-            best[i : i + 512] = np.clip(cosines[np.arange(len(at)), at], 0, 1)
+            best[i : i + 128] = np.clip(cosines[np.arange(len(at)), at], 0, 1)
         return names, best
 
 
@@ -110,14 +114,14 @@ def fit(rows: DataFrame) -> Centroids | None:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = {}, np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                x = counts(text)
-                total[1:] += x > 0
+            for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
+                total[1:] += counts(text.as_py()) > 0
                 total[0] += 1
                 seen[lang] = seen.get(lang, 0) + 1
         at = np.flatnonzero(total)
         columns = [None] * len(at) + list(seen), [*at, *([-1] * len(seen))], [*total[at], *seen.values()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "at", "n"])
+        release()
 
     added = rows.mapInArrow(frequencies, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     known = {lang: n for lang, at, n in added if at < 0}

@@ -29,7 +29,7 @@ SHARPNESS = 1.0
 #: Weight for each unit that a piece covers; it is the same for all paths of a chunk, and keeps long products in range.
 UNIT = 64.0
 #: Characters of the texts walked together; most characters of a chunk whose lattice is built with those of others.
-TOGETHER, SHORT = 1_500_000, 40
+TOGETHER, SHORT = 500_000, 40
 CHUNK = re.compile(r" ?[^ \n]+|\n+| +")
 _LIMIT = 1e100
 

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import components, saved
+from ledgerleaf.llm.common import ROWS, components, release, saved
 
 WORDS, PERCENT = 5, 80
 #: Buckets of the table of occurrences (a fixed size, as it is broadcast); points of a box; classes of a block.
 BUCKETS, BOX, BLOCK = 1 << 17, 16, 1024
 #: Numbers of groups, and the most shingles of a set that gets as many.
-GROUPS, MOST = (64, 256, 1024, 4096), (800, 3200, 12800)
+GROUPS, MOST = (64, 256, 1024, 4096, 16384, 65536), (800, 3200, 12800, 51200, 204800)
 #: Classes that a task remembers so as not to name them again; candidate rows up to which they are broadcast.
 REMEMBERED, BROADCAST_ROWS = 1_000_000, 1_000_000
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -97,9 +97,12 @@ class Shingler:
 
 
 def point_of(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the groups; a larger set has more of them, and those of a smaller number are sums of these."""
+    """Counts of the groups; a larger set has more of them, and those of a smaller number are sums of these.
+
+    A text of less than 2 GB fills no group beyond 16 bits.
+    """
     groups = next((g for g, most in zip(GROUPS, MOST, strict=False) if len(shingles) <= most), GROUPS[-1])
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int16)
 
 
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
@@ -114,19 +117,27 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - 17)).astype(np.int64)
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in smaller ones, as sets of shingles take more room than texts."""
+    for b in batches:
+        for at in range(0, len(b), ROWS):
+            yield b.iloc[at : at + ROWS]
+    release()
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, class, point) and one for each task with counts: occurrences of shingles by bucket."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, counts = Shingler(), np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in _parts(batches):
             sets = [shingler(t) for t in b["text"]]
             if sets:
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "class": [class_of(s) for s in sets], "point": [point_of(s) for s in sets], "counts": [None] * len(sets)})
         yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "point": [None], "counts": [counts]}).astype({"n": "Int64", "class": "Int64"})
 
-    told = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(each, "doc_id string, n long, class long, point array<int>, counts array<long>")
+    told = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(each, "doc_id string, n long, class long, point array<smallint>, counts array<long>")
     return told.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -153,7 +164,7 @@ def territories(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, seen = Shingler(), set()
-        for b in batches:
+        for b in _parts(batches):
             found, owner = [], []
             for text in b["text"]:
                 s = shingler(text)
@@ -253,6 +264,8 @@ def _runs(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[tuple[np.nd
         held = rows.slice(int(ends[-1]))
     if held is not None and len(held):
         yield from cut(held, np.array([0, len(held)]))
+    held = None
+    release()
 
 
 def _candidates(block: np.ndarray, points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -315,8 +328,10 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dealt(rows: DataFrame) -> DataFrame:
     """``rows`` (root, class) with block, low and high: a row for each pair of blocks of its territory that it takes part in."""
-    blocks = rows.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = rows.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    large = saved(rows.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    own = rows.join(large, "root", "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return paired.select("root", "class", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
@@ -330,7 +345,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
-        for b in batches:
+        for b in _parts(batches):
             sets = [shingler(t) for t in b["text"]]
             yield pd.DataFrame({"class": b["class"], "shingles": [s.view(np.int64) for s in sets]})[[class_of(s) == c for s, c in zip(sets, b["class"], strict=True)]]
 
