@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import langid, mixing, piece_sampling, quality, shingle_join
-from ledgerleaf.llm.common import fold, shared_folder, table
+from ledgerleaf.llm.common import fold, saved, shared_folder, table
 from ledgerleaf.session import ship
 
 
@@ -29,10 +29,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component. Rows without an id stay; of rows with one id, one stays."""
-    found = shingle_join.near_duplicates(ship(spark) and docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    stay = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+    found = saved(shingle_join.near_duplicates(ship(spark) and docs))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    stay = docs.join(_small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    again = _small(again)
+    return stay.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(stay.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids`` saved, and broadcast if they are at most a million."""
+    ids = saved(ids)
+    return F.broadcast(ids) if ids.count() <= 1_000_000 else ids
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
