@@ -7,6 +7,7 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches cut into smaller ones, for work that takes more room than its rows."""
+    for b in batches:
+        for at in range(0, len(b), ROWS):
+            yield b.iloc[at : at + ROWS]
+    release()
+
+
 def release() -> None:
     """Hands the memory that a finished partition leaves in its Python worker back to the system, as workers live on into other stages."""
     gc.collect()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import ROWS, components, release, saved
+from ledgerleaf.llm.common import components, parts, release, saved
 
 WORDS, PERCENT = 5, 80
 #: Buckets of the table of occurrences (a fixed size, as it is broadcast); points of a box; classes of a block.
@@ -117,20 +117,12 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - 17)).astype(np.int64)
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The batches in smaller ones, as sets of shingles take more room than texts."""
-    for b in batches:
-        for at in range(0, len(b), ROWS):
-            yield b.iloc[at : at + ROWS]
-    release()
-
-
 def sketched(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, class, point) and one for each task with counts: occurrences of shingles by bucket."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, counts = Shingler(), np.zeros(BUCKETS, np.int64)
-        for b in _parts(batches):
+        for b in parts(batches):
             sets = [shingler(t) for t in b["text"]]
             if sets:
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
@@ -164,7 +156,7 @@ def territories(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, seen = Shingler(), set()
-        for b in _parts(batches):
+        for b in parts(batches):
             found, owner = [], []
             for text in b["text"]:
                 s = shingler(text)
@@ -345,7 +337,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
-        for b in _parts(batches):
+        for b in parts(batches):
             sets = [shingler(t) for t in b["text"]]
             yield pd.DataFrame({"class": b["class"], "shingles": [s.view(np.int64) for s in sets]})[[class_of(s) == c for s, c in zip(sets, b["class"], strict=True)]]
 
