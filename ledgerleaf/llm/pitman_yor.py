@@ -1,18 +1,18 @@
 """Hierarchical Pitman-Yor language model.
 
-The words of the training texts are customers of one restaurant, whose dishes come from a parent: the spelling model, which gives
-a word the product of its bytes' probabilities. There each context of up to DEPTH bytes before a place in the word has its own
-restaurant, and the restaurant of a context shares its parent, the one for the context without the farthest byte, with all
-contexts that end alike; the last parent is uniform. A table of a restaurant is a customer of its parent.
-
-Seatings are sampled by Gibbs sweeps: all customers of one dish are seated anew, one after another, given everyone else. A text's
-score is the sum of its tokens' log10 probabilities, each averaged over the kept seatings. Words that training never saw count as
-one type: its probability is what the restaurants leave for all other spellings.
-
-Word counts and seats of the words stay distributed. Spelling contexts are held where they are frequent: a context and byte seen
-in less than a 2 ** -SHARE part of all places counts for the shorter context instead, so at most 2 ** SHARE of them exist at any
-depth, at every size of the corpus. The same bound holds for the words that are broadcast for scoring; others meet their
-counts in a join.
+A restaurant for each context of up to two preceding words holds the words seen there. A table of a restaurant is a customer of its
+parent, the restaurant of the context without the farther word; that of no context gets its dishes from the spelling model, which
+gives a word the product of its bytes' probabilities. There each context of up to DEPTH bytes before a place in the word has its own
+restaurant, shared by suffix in the same way; the last parent is uniform.
+
+Seatings are sampled by Gibbs sweeps: all customers of one dish are seated anew, one after another, given the tables that all other
+dishes hold since the sweep before; BURN sweeps come before the first kept one. A text's score is the sum of its tokens' log10
+probabilities, each averaged over the kept seatings. Words that training never saw count as one type: its probability is what the
+restaurants leave for all other spellings.
+
+Word restaurants are Spark tables; each sweep is joins with the totals of restaurants and the shares of parents, and is checkpointed.
+Spelling contexts are swept on the driver and held where they are frequent: a context and byte seen in less than a 2 ** -SHARE part
+of all places counts for the shorter context instead, so at most 2 ** SHARE of them exist at any depth.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm.common import parts, saved
 
-DEPTH, SHARE, WORD_SHARE = 4, 20, 20
+DEPTH, SHARE = 4, 20
 #: Sweeps before the first kept seating, and kept seatings.
 BURN, KEPT = 3, 2
 STRENGTH, SEED = 1.0, 20260101
@@ -49,6 +49,10 @@ def word_id(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+#: The word before a text.
+START = word_id(b"")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(wid, word, c): every token of ``docs`` and its count."""
 
@@ -205,87 +209,178 @@ def spelled(words: list[bytes], models: list[Spelling]) -> np.ndarray:
     return np.stack([np.bincount(owner, np.log(m.probability(kinds))[at], len(words)) for m in models])
 
 
-def seated_words(words: DataFrame, models: list[Spelling], tables: int, discount: float, seed: int) -> DataFrame:
-    """``words`` (wid, word, c) with t and spell, arrays by model: tables of the word, seated given ``tables`` in all, and its spelling's log probability."""
-    send = words.sparkSession.sparkContext.broadcast(models)
+def contexts(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, u, v, w): every token w of ``docs`` (row, doc_id, text) after the words u, v; doc_id stands in one row of each text."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
+        seen: dict[bytes, int] = {}
+        for b in parts(batches):
+            ids, sizes = [], []
+            for text in b["text"]:
+                words = tokens(text)
+                for w in words:
+                    if w not in seen:
+                        seen[w] = word_id(w)
+                ids += [START, START, *[seen[w] for w in words]]
+                sizes.append(len(words) + 2)
+            if len(seen) > HELD:
+                seen.clear()
+            if not ids:
                 continue
-            logs = spelled(b["word"].tolist(), send.value)
-            c = b["c"].to_numpy(float)
-            random = np.random.default_rng([seed, abs(int(b["wid"].iat[0]))])
-            t = np.stack([_seats(c, np.full(len(c), float(tables)), np.exp(x), discount, random) for x in logs])
-            yield pd.DataFrame({"wid": b["wid"], "word": b["word"], "c": b["c"], "t": list(t.T), "spell": list(logs.T)})
+            at, row = np.array(ids, np.int64), np.repeat(b["row"].to_numpy(), sizes)
+            inside = np.ones(len(at), bool)
+            ends = np.cumsum(sizes)
+            inside[ends - sizes] = inside[ends - sizes + 1] = False
+            doc = np.full(len(at), None, object)
+            doc[ends - 1] = b["doc_id"].to_numpy()
+            to = np.flatnonzero(inside)
+            yield pd.DataFrame({"row": row[to], "doc_id": doc[to], "u": at[to - 2], "v": at[to - 1], "w": at[to]})
+
+    return docs.select("row", "doc_id", "text").mapInPandas(each, "row long, doc_id string, u long, v long, w long")
+
+
+def discount_of(once: int, twice: int) -> float:
+    return float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95))
+
+
+def seated(rows: DataFrame, keys: list[str], discount: float, seed: int) -> DataFrame:
+    """``rows`` (``keys``, c, others, p, ...) with t: tables of each dish after its customers are seated anew."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                random = np.random.default_rng([seed, *[abs(int(b[k].iat[0])) for k in keys]])
+                b["t"] = _seats(b["c"].to_numpy(float), b["others"].to_numpy(float), b["p"].to_numpy(float), discount, random).astype(np.int64)
+                yield b[[*keys, "c", "t"]]
 
-    return words.mapInPandas(each, "wid long, word binary, c long, t array<double>, spell array<double>")
+    fields = rows.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("c").cast("long").alias("c"), F.col("others").cast("double").alias("others"), F.col("p").cast("double").alias("p"))
+    return saved(fields.mapInPandas(each, ", ".join(f"{k} long" for k in [*keys, "c", "t"])))
+
+
+def spelled_words(words: DataFrame, model: Spelling) -> DataFrame:
+    """(w, spell): probability of each word's spelling."""
+    send = words.sparkSession.sparkContext.broadcast([model])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"w": b["wid"], "spell": np.exp(spelled(b["word"].tolist(), send.value)[0])})
+
+    return saved(words.select("wid", "word").mapInPandas(each, "w long, spell double"))
 
 
 class Model:
-    """``words``: wid, word, base and score (log10 probabilities) of every token type; ``often``: the same of the frequent ones;
-    ``unseen``: the same for any other word; ``total``: training tokens."""
+    """``words``: wid, base and score (log10 probabilities of the last parent) of every token type; ``unseen``: the same for any other
+    word; ``total``: training tokens; ``kept``: for each kept seating the discounts and the tables two (u, v, w, c, t), one (v, w, c, t),
+    far (u, v, n, k), near (v, n, k) and root (w, p), and what root leaves for unseen words. n and k: customers and tables of a restaurant."""
 
-    def __init__(self, words: DataFrame, total: int, often: dict[bytes, tuple[float, float]], unseen: tuple[float, float]):
-        self.words, self.total, self.often, self.unseen = words, total, often, unseen
+    def __init__(self, words: DataFrame, total: int, unseen: tuple[float, float], kept: list[tuple]):
+        self.words, self.total, self.unseen, self.kept = words, total, unseen, kept
 
 
 def fit(docs: DataFrame, learn: Column) -> Model:
-    words = saved(word_counts(docs.where(learn)))
-    total, kinds, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    discount = float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95))
+    docs = docs.where(learn)
+    words = saved(word_counts(docs))
+    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    events = contexts(docs.select(F.lit(0).cast("long").alias("row"), F.lit(None).cast("string").alias("doc_id"), "text"))
+    two = saved(events.groupBy("u", "v", "w").agg(F.count("*").alias("c")))
+    # a dish with one customer has one table in every seating, so only the others are seated anew
+    once, twice = two.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    d2 = discount_of(once, twice)
+    single = F.when(F.col("c") == 1, 1).otherwise(0)
+    pairs = saved(two.groupBy("v", "w").agg(F.sum(single).alias("s"), F.sum("c").alias("n")))
+    far = saved(two.groupBy("u", "v").agg(F.sum("c").alias("n"), F.sum(single).alias("s")))
+    near = saved(pairs.groupBy("v").agg(F.count_if(F.col("n") == 1).alias("s")))
+    roots = saved(pairs.groupBy("w").agg(F.count_if(F.col("n") == 1).alias("s")))
+    firm = pairs.where("n = 1").select("v", "w", F.lit(1).cast("long").alias("c"), F.lit(1).cast("long").alias("t"))
+    loose = pairs.where("n > 1")
     first = spellings(place_counts(words.withColumn("one", F.lit(1).cast("long")), "one"), SEED)
-    trial = seated_words(words, first[-1:], kinds, discount, SEED + 1).withColumn("tables", F.element_at("t", 1).cast("long"))
-    second = spellings(place_counts(trial, "tables"), SEED + 2)
-    seated = saved(seated_words(words, second, kinds, discount, SEED + 3))
-    sums = [f(F.element_at(c, i + 1)) for c, f in (("t", F.sum), ("spell", lambda x: F.sum(F.exp(x)))) for i in range(KEPT)]
-    sums = [x or 0.0 for x in seated.agg(*sums).first()]
-    rest = [(STRENGTH + discount * t) / (STRENGTH + total) for t in sums[:KEPT]]
-    own = lambda i: F.greatest(F.col("c") - discount * F.element_at("t", i + 1), F.lit(0.0)) / (STRENGTH + total)
-    mean = sum((own(i) + rest[i] * F.exp(F.element_at("spell", i + 1)) for i in range(KEPT)), F.lit(0.0)) / KEPT
-    unseen = sum(r * max(1e-6, 1 - s) for r, s in zip(rest, sums[KEPT:], strict=True)) / KEPT
+    spell, models = spelled_words(words, first[-1]), []
+    root = words.select(F.col("wid").alias("w"), (F.col("c") / F.lit(max(1, total))).alias("p"))
+    share = loose.join(root, "w").select("v", "w", "p")
+    t2 = two.where("c > 1").withColumn("t", F.lit(1).cast("long"))
+    t1 = loose.select("v", "w", F.lit(1).cast("long").alias("t"))
+    t0, tables = None, kinds
+    kept = []
+    for sweep in range(BURN + KEPT):
+        if sweep == BURN:
+            models = spellings(place_counts(words.join(t0.select(F.col("w").alias("wid"), "t"), "wid"), "t"), SEED + 2)
+        if models:
+            spell = spelled_words(words, models[sweep - BURN])
+        held = t2.groupBy("u", "v").agg(F.sum("t").alias("k")).join(far, ["u", "v"]).select("u", "v", (F.col("k") + F.col("s")).alias("k"))
+        t2 = seated(t2.join(held, ["u", "v"]).join(share, ["v", "w"]).withColumn("others", F.col("k") - F.col("t")), ["u", "v", "w"], d2, SEED + 10 * sweep)
+
+        sent = t2.groupBy("v", "w").agg(F.sum("t").alias("k"))
+        now = loose.join(sent, ["v", "w"], "left").join(t1, ["v", "w"]).select("v", "w", "t", (F.col("s") + F.coalesce("k", F.lit(0))).alias("c"))
+        now = saved(now)
+        once, twice = now.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+        d1 = discount_of(once + firm.count(), twice)
+        held = now.groupBy("v").agg(F.sum("t").alias("k")).join(near, "v").select("v", (F.col("k") + F.col("s")).alias("k"))
+        t1 = seated(now.join(held, "v").join(root, "w").withColumn("others", F.col("k") - F.col("t")), ["v", "w"], d1, SEED + 10 * sweep + 1)
+
+        sent = t1.groupBy("w").agg(F.sum("t").alias("k"))
+        now = roots.join(sent, "w", "left").select("w", (F.col("s") + F.coalesce("k", F.lit(0))).alias("c")).join(spell, "w")
+        now = now.withColumn("t", F.lit(1)) if t0 is None else now.join(t0.select("w", "t"), "w")
+        now = saved(now)
+        once, twice = now.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+        d0 = discount_of(once, twice)
+        t0 = seated(now.withColumn("others", F.lit(float(tables)) - F.col("t")).withColumn("p", F.col("spell")), ["w"], d0, SEED + 10 * sweep + 2)
+
+        customers, tables = (x or 0 for x in t0.agg(F.sum("c"), F.sum("t")).first())
+        rest = (STRENGTH + d0 * tables) / (STRENGTH + customers)
+        own = F.greatest(F.col("c") - d0 * F.col("t"), F.lit(0.0)) / (STRENGTH + customers)
+        root = saved(t0.join(spell, "w").select("w", (own + rest * F.col("spell")).alias("p")))
+        one = t1.unionByName(firm)
+        held = saved(one.groupBy("v").agg(F.sum("c").alias("n"), F.sum("t").alias("k")))
+        share = saved(priced(t1, held, root, ["v"], ["w"], d1))
+        if sweep >= BURN:
+            left = rest * max(1e-6, 1 - (spell.agg(F.sum("spell")).first()[0] or 0.0))
+            open_ = t2.groupBy("u", "v").agg(F.sum("t").alias("k"))
+            open_ = saved(far.join(open_, ["u", "v"], "left").select("u", "v", "n", (F.col("s") + F.coalesce("k", F.lit(0))).alias("k")))
+            both = t2.unionByName(two.where("c = 1").withColumn("t", F.lit(1).cast("long")))
+            kept.append((d2, d1, both, one, open_, held, root, left))
     whole = total + 0.1 * (kinds + 1)
-    priced = seated.select("wid", "word", "c", F.log10((F.col("c") + 0.1) / whole).alias("base"), F.log10(F.greatest(mean, F.lit(1e-300))).alias("score"))
-    rows = priced.where(F.col("c") * (1 << WORD_SHARE) >= total).select("word", "base", "score").toArrow()
-    often = {w: (b, s) for w, b, s in zip(rows["word"].to_pylist(), rows["base"].to_pylist(), rows["score"].to_pylist(), strict=True)}
-    return Model(priced.drop("c"), int(total), often, (float(np.log10(0.1 / whole)), float(np.log10(unseen))))
+    mean = kept[0][6].select("w", F.col("p").alias("p0"))
+    for i, (*_, root, _) in enumerate(kept[1:], 1):
+        mean = mean.join(root.select("w", F.col("p").alias(f"p{i}")), "w")
+    mean = mean.select(F.col("w").alias("wid"), (sum((F.col(f"p{i}") for i in range(KEPT)), F.lit(0.0)) / KEPT).alias("p"))
+    base = words.join(mean, "wid").select("wid", F.log10((F.col("c") + 0.1) / F.lit(whole)).alias("base"), F.log10(F.greatest("p", F.lit(1e-300))).alias("score"))
+    unseen = sum(k[-1] for k in kept) / KEPT
+    return Model(saved(base), int(total), (float(np.log10(0.1 / whole)), float(np.log10(unseen))), kept)
+
+
+def priced(dishes: DataFrame, restaurants: DataFrame, parent: DataFrame, context: list[str], up: list[str], discount: float, left: float | None = None) -> DataFrame:
+    """``dishes`` (``context``, ``up``, c, t) with p, their probability: what their tables hold and the ``parent``'s share (``left`` where it has none)."""
+    how = "inner" if left is None else "left"
+    got = dishes.join(restaurants, context, how).join(parent, up, how)
+    n, k = F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
+    own = F.greatest(F.coalesce("c", F.lit(0)) - discount * F.coalesce("t", F.lit(0)), F.lit(0.0))
+    above = F.col("p") if left is None else F.coalesce("p", F.lit(left))
+    keys = [k for k in ("u", "v", "w") if k in dishes.columns]
+    return got.select(*keys, ((own + (STRENGTH + discount * k) * above) / (STRENGTH + n)).alias("p"))
+
+
+def prices(types: DataFrame, model: Model) -> DataFrame:
+    """``types`` (u, v, w) with p: the probability of w after u, v, averaged over the kept seatings; each backs off to v alone, and to no context."""
+    pairs = saved(types.select("v", "w").distinct())
+    out = None
+    for d2, d1, two, one, far, near, root, left in model.kept:
+        short = saved(priced(pairs.join(one, ["v", "w"], "left"), near, root, ["v"], ["w"], d1, left))
+        long = saved(priced(types.join(two, ["u", "v", "w"], "left"), far, short, ["u", "v"], ["v", "w"], d2, left))
+        out = long if out is None else out.unionByName(long)
+    return out.groupBy("u", "v", "w").agg((F.sum("p") / KEPT).alias("p"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text, ...) → row, doc_id, n_tokens, n_known, base_score, score: one row for each input row."""
-    send = docs.sparkSession.sparkContext.broadcast(model.often)
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = send.value
-        for b in parts(batches):
-            out = []
-            for row, doc, text in zip(b["row"], b["doc_id"], b["text"], strict=True):
-                words = tokens(text)
-                rare: dict[bytes, int] = {}
-                base = gain = 0.0
-                known = 0
-                for w in words:
-                    got = often.get(w)
-                    if got is None:
-                        rare[w] = rare.get(w, 0) + 1
-                    else:
-                        known += 1
-                        base += got[0]
-                        gain += got[1]
-                # the row's own sums meet no word
-                out.append((row, doc, xxhash.xxh64_intdigest(b"row %d" % row) - (1 << 63), 0, len(words), known, base, gain))
-                out.extend((row, None, word_id(w), n, 0, 0, 0.0, 0.0) for w, n in rare.items())
-            yield pd.DataFrame(out, columns=["row", "doc_id", "wid", "times", "n", "known", "base", "gain"])
-
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    pieces = rows.mapInPandas(each, "row long, doc_id string, wid long, times int, n int, known int, base double, gain double")
-    told = model.words.select("wid", F.col("base").alias("b"), F.col("score").alias("s"))
-    joined = pieces.join(told, "wid", "left")
-    seen = F.when(F.col("b").isNotNull(), F.col("times")).otherwise(0)
-    return joined.groupBy("row").agg(
-        F.max("doc_id").cast("long").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum(F.col("known") + seen).alias("n_known"),
-        F.sum(F.col("base") + F.coalesce("b", F.lit(model.unseen[0])) * F.col("times")).alias("base_score"),
-        F.sum(F.col("gain") + F.coalesce("s", F.lit(model.unseen[1])) * F.col("times")).alias("score"),
+    events = contexts(rows)
+    types = saved(events.select("u", "v", "w").distinct())
+    known = model.words.select(F.col("wid").alias("w"), F.col("base"))
+    told = prices(types, model).join(known, "w", "left").select("u", "v", "w", F.log10(F.greatest("p", F.lit(1e-300))).alias("s"), "base")
+    return events.join(told, ["u", "v", "w"]).groupBy("row").agg(
+        F.max("doc_id").cast("long").alias("doc_id"), F.count("*").alias("n_tokens"), F.count("base").alias("n_known"),
+        F.sum(F.coalesce("base", F.lit(model.unseen[0]))).alias("base_score"), F.sum("s").alias("score"),
     )
 
 
@@ -302,5 +397,3 @@ def evaluate(docs: DataFrame, learn: Column) -> DataFrame:
 def perplexity(scored: DataFrame) -> Column:
     """Aggregate over scored rows: 10 to the mean negative score of a token."""
     return F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens"))
-
-

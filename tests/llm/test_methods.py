@@ -304,3 +304,27 @@ def test_pipeline(spark, data, rows):
 
 def test_all_are_registered():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE) <= set(QUERIES)
+
+
+def test_model_feels_word_order(spark):
+    """Fluent texts score above their shuffled words, contexts sum to one, and seatings see the tables of other words."""
+    random.seed(4)
+    after = {i: [random.randrange(60) for _ in range(3)] for i in range(60)}
+    texts = []
+    for _ in range(150):
+        at, words = random.randrange(60), []
+        for _ in range(40):
+            words.append(f"w{at}")
+            at = random.choice(after[at])
+        texts.append(words)
+    train = [(i, " ".join(w)) for i, w in enumerate(texts[:120])]
+    held = [(i, " ".join(w)) for i, w in enumerate(texts[120:])]
+    mixed = [(100 + i, " ".join(random.sample(w, len(w)))) for i, w in enumerate(texts[120:])]
+    model = pitman_yor.fit(spark.createDataFrame(train, "doc_id long, text string"), F.lit(True))
+    found = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(held + mixed, "doc_id long, text string"), model).collect()}
+    assert all(found[i] > found[100 + i] + 10 for i, _ in held)
+    ids = [r.wid for r in model.words.collect()]
+    u, v = (pitman_yor.word_id(w.encode()) for w in texts[0][:2])
+    for context in ((u, v), (1, v), (1, 2)):
+        types = spark.createDataFrame([(*context, w) for w in [*ids, 12345]], "u long, v long, w long")
+        assert math.isclose(pitman_yor.prices(types, model).agg(F.sum("p")).first()[0], 1.0, rel_tol=1e-6)
