@@ -38,16 +38,20 @@ def build(x: np.ndarray) -> Node:
     """Cover tree over the rows of ``x``; radii are the largest distances that occur, so they bound as tightly as they can."""
     gram = np.clip(2 - 2 * (x @ x.T), 0, None)
     distance = np.sqrt(gram)
+    np.fill_diagonal(distance, 0)
 
     def grow(centre: int, members: np.ndarray) -> Node:
         node = Node(centre, float(distance[centre, members].max()))
         if len(members) == 1:
             return node
+        if node.radius <= SLACK:
+            return _flat(centre, members, distance)
         radius = node.radius / 2
         rest = members[np.argsort(members != centre, kind="stable")]
         while len(rest):
             near = distance[rest[0], rest] <= radius
-            node.below.append(Node(int(rest[0]), 0.0) if len(rest) == 1 or near.sum() == 1 else grow(int(rest[0]), rest[near]) if not near.all() or radius > SLACK else _flat(int(rest[0]), rest, distance))
+            near[0] = True
+            node.below.append(grow(int(rest[0]), rest[near]))
             rest = rest[~near]
         node.centres, node.radii = np.array([b.centre for b in node.below]), np.array([b.radius for b in node.below])
         node.leaves = np.array([not b.below for b in node.below])

@@ -328,3 +328,24 @@ def test_model_feels_word_order(spark):
     for context in ((u, v), (1, v), (1, 2)):
         types = spark.createDataFrame([(*context, w) for w in [*ids, 12345]], "u long, v long, w long")
         assert math.isclose(pitman_yor.prices(types, model).agg(F.sum("p")).first()[0], 1.0, rel_tol=1e-6)
+
+
+def test_tree_holds_nearly_equal_directions():
+    """Vectors of one direction, told apart by rounding or one last bit: every one stays a leaf, and all link."""
+    random_ = np.random.default_rng(6)
+
+    def leaves(node):
+        return [node.centre] if not node.below else [x for b in node.below for x in leaves(b)]
+
+    for _ in range(100):
+        v = random_.normal(size=64).astype(np.float32)
+        bit = v.copy()
+        bit[0] = np.nextafter(v[0], np.float32(9), dtype=np.float32)
+        for group in ([v, 2 * v], [v, 3 * v], [v, 2 * v, 3 * v, bit], [v, bit]):
+            x = np.array(group, float)
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            tree = cover_tree.build(x)
+            assert sorted(leaves(tree)) == list(range(len(x)))
+            a, b = cover_tree.linked(x, x, tree, tree, 0.93)
+            assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(x) ** 2
