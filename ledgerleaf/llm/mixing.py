@@ -1,9 +1,11 @@
 """Mixing of sources to target weights by a low-discrepancy schedule (DataFrame functions only).
 
-The words of each source are laid out in a shuffled order and cut into blocks of equal size. Slot t of the schedule takes the
-golden-ratio point frac((t + 1) / phi), which the cumulative targets map to a source; the r-th slot of a source takes its block
-r, beginning anew after the last one. Every prefix of the schedule then has nearly the target shares. Positions inside a source
-and ranks of slots are running sums over chunks whose totals are summed first, so that no source is ordered in one task.
+The words of each source are laid out in a shuffled order and cut into blocks of equal size: LEAST blocks at least, or one for each
+word. Slot t of the schedule takes the golden-ratio point frac((t + 1) / phi), which the cumulative targets map to a source; the
+r-th slot of a source takes its block r, beginning anew after the last one. Every prefix of the schedule then has nearly the target
+shares. A source has as many slots as its target has blocks; those that the points don't give it, for a small source all, are
+spread evenly over the schedule. Positions inside a source and ranks of slots are running sums over chunks whose totals are
+summed first, so that no source is ordered in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from ledgerleaf.llm.common import WORD, saved
 #: Most passes over a source; slots that the schedule aims at; most words of a block; cells of [0, 1) by which points meet sources; chunks of a source; slots of a chunk.
 MOST, SLOTS, BLOCK, CELLS, CHUNKS, RUN = 3, 1 << 21, 1024, 4096, 1024, 8192
 GOLDEN = 0.6180339887498949
+#: Fewest blocks of a source that has as many words.
+LEAST = 512
 
 
 def word_count(text: Column) -> Column:
@@ -42,12 +46,24 @@ def targets(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return s.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
+def block_words(block: int) -> Column:
+    """Words of a block of a source of source_size words: at most ``block``, all blocks as even as whole words allow."""
+    size = F.greatest(F.col("source_size"), F.lit(1))
+    count = F.greatest(F.ceil(size / block), F.least(size, F.lit(LEAST)))
+    return F.ceil(size / count)
+
+
 def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
     """(slot, no, epoch, block) from ``goals`` (no, source_size, target): source no's r-th slot takes block r modulo its blocks.
 
-    Slots beyond MOST passes over a source are left out.
+    Slots beyond MOST passes over a source or beyond its target are left out.
     """
     spark, slots = goals.sparkSession, (total + block - 1) // block
+    blocks = F.ceil(F.col("source_size") / block_words(block))
+    own = goals.where("target > 0 and source_size > 0").withColumn("blocks", blocks)
+    own = own.withColumn("ranks", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * MOST))
+    # the points are as dense as blocks of the full size
+    own = own.withColumn("fine", F.col("blocks") != F.ceil(F.col("source_size") / block)).select("no", "blocks", "ranks", "fine")
     upto = F.sum("target").over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(Window.partitionBy())
     cuts = goals.withColumn("hi", upto).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("no")), F.lit(0.0)))
     last = F.col("no") == F.max("no").over(Window.partitionBy())
@@ -55,12 +71,17 @@ def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
     cells = cuts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
     points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * CELLS))
-    placed = points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "no", "source_size", F.floor(F.col("slot") / RUN).alias("run"))
+    placed = points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "no", F.floor(F.col("slot") / RUN).alias("run"))
+    placed = placed.join(F.broadcast(own.where("not fine").select("no")), "no", "left_semi")
     runs = placed.groupBy("no", "run").agg(F.count("*").alias("n"))
+    given = runs.groupBy("no").agg(F.sum("n").alias("given"))
     runs = runs.select("no", "run", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rank = F.col("base") + F.row_number().over(Window.partitionBy("no", "run").orderBy("slot")) - 1
-    blocks = F.floor((F.col("source_size") + block - 1) / block)
-    out = placed.join(runs, ["no", "run"]).withColumn("rank", rank).withColumn("blocks", blocks)
+    ranked = placed.join(runs, ["no", "run"]).select("slot", "no", rank.alias("rank"))
+    lacking = own.join(given, "no", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("ranks > given")
+    lacking = lacking.withColumn("rank", F.explode(F.sequence(F.col("given"), F.col("ranks") - 1)))
+    spread = F.floor((F.col("rank") - F.col("given") + 0.5) / (F.col("ranks") - F.col("given")) * slots)
+    out = ranked.unionByName(lacking.select(spread.alias("slot"), "no", "rank")).join(F.broadcast(own), "no").where("rank < ranks")
     return out.select("slot", "no", F.floor(F.col("rank") / F.col("blocks")).alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block")).where(F.col("epoch") < MOST)
 
 
@@ -76,9 +97,9 @@ def laid_out(rows: DataFrame) -> DataFrame:
 
 def pieces(rows: DataFrame, block: int) -> DataFrame:
     """One row for each block that a document's words fall into: row, no, block, words."""
-    end = F.col("start") + F.col("size")
-    out = laid_out(rows).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
-    words = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    end, step = F.col("start") + F.col("size"), F.col("step")
+    out = laid_out(rows).withColumn("step", block_words(block)).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((end - 1) / step))))
+    words = F.least(end, (F.col("block") + 1) * step) - F.greatest("start", F.col("block") * step)
     return out.select("row", "no", "block", words.alias("words"))
 
 

@@ -349,3 +349,22 @@ def test_tree_holds_nearly_equal_directions():
             assert sorted(leaves(tree)) == list(range(len(x)))
             a, b = cover_tree.linked(x, x, tree, tree, 0.93)
             assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(x) ** 2
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_small_sources_meet_their_targets(spark, monkeypatch, block):
+    """A source of few words beside large ones is taken as often as its target says, whatever the size of the table's blocks."""
+    monkeypatch.setattr(mixing, "SLOTS", 1)
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    sizes = {"a": 100_000, "b": 100, "c": 20_000, "d": 1, "e": 200_000, "f": 60}
+    rows, i = [], 0
+    for source, n in sizes.items():
+        while n > 0:
+            rows.append((i, "w " * min(n, 25), source))
+            n, i = n - 25, i + 1
+    taken, goal = Counter(), {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+        assert r.taken <= 3 * r["size"]
+    assert all(abs(taken[s] - goal[s]) <= 0.005 * goal[s] + 1 for s in sizes)
