@@ -2,7 +2,7 @@
 
 A text becomes the counts of its hashed character n-grams, dampened, weighted by inverse document frequency and scaled to length
 one. Each language has several centroids, found by spherical k-means; the language of the centroid with the highest cosine wins.
-A text whose best cosine is too low is rejected: nothing learned is near it.
+A text is rejected if its best cosine is far below those that the learning rows of that language have: nothing learned is near it.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from ledgerleaf.llm.common import attached, release
 BUCKETS, GRAMS, CENTROIDS, ROUNDS = 4096, (1, 2, 3), 4, 12
 #: Most labelled texts of a language that the clustering takes (those with the smallest hashes of their ids).
 SAMPLE = 2000
-#: A text is rejected below this cosine.
+#: A text is rejected below this cosine, and below the part SLACK of the cosine that all but the part RARE of its language's learning rows reach;
+#: cosines are counted in BINS, and raised for short texts: n letters have n / (n + SHORT) of a long text's cosine.
 REJECT = 0.05
+RARE, SLACK, BINS, SHORT = 0.001, 0.85, 1000, 50
 _FACTORS = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917)]
 
 
@@ -88,9 +90,19 @@ def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarr
     return c
 
 
+def raised(texts: list[str], cosines: np.ndarray) -> np.ndarray:
+    """Cosines that texts as like their centroids would have if they were long."""
+    n = np.array([_letters(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)).sum() for t in texts], float)
+    return cosines * (n + SHORT) / np.maximum(n, 1)
+
+
 class Centroids:
     def __init__(self, idf: np.ndarray, names: list[str], rows: np.ndarray):
         self.idf, self.names, self.rows = idf.astype("float32"), names, rows.astype("float32")
+        self.limits: dict[str, float] = {}
+
+    def accepted(self, texts: list[str], names: list[str], cosines: np.ndarray, reject: float) -> np.ndarray:
+        return np.array([c >= reject and r >= self.limits.get(n, 0.0) for n, c, r in zip(names, cosines, raised(texts, cosines), strict=True)], bool)
 
     def nearest(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and cosine of the nearest centroid for each text."""
@@ -144,7 +156,42 @@ def fit(rows: DataFrame) -> Centroids | None:
         return pd.DataFrame({"lang": [key[0]] * len(rows), "row": list(rows)})
 
     found = sorted(((r["lang"], r["row"]) for r in drawn.drop("doc_id").groupBy("lang").applyInPandas(centroids, "lang string, row array<double>").collect()), key=lambda r: (r[0], r[1]))
-    return Centroids(idf, [r[0] for r in found], np.array([r[1] for r in found])) if found else None
+    if not found:
+        return None
+    model = Centroids(idf, [r[0] for r in found], np.array([r[1] for r in found]))
+    model.limits = limits(rows, model)
+    return model
+
+
+def limits(rows: DataFrame, model: Centroids) -> dict[str, float]:
+    """Least raised cosine that is accepted for each language, from those of all ``rows`` (text, lang) that are nearest to their own language."""
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        for b in batches:
+            for at in range(0, len(b), 128):
+                part = [(t, x) for t, x in zip(b.column("text").slice(at, 128).to_pylist(), b.column("lang").slice(at, 128).to_pylist(), strict=True) if has_letter(t)]
+                names, cosines = model.nearest([t for t, _ in part])
+                cosines = raised([t for t, _ in part], cosines)
+                for (_, lang), name, cosine in zip(part, names, cosines, strict=True):
+                    if name == lang:
+                        key = lang, int(cosine * BINS)
+                        seen[key] = seen.get(key, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["lang", "bin", "n"])
+        release()
+
+    added: dict[str, list[tuple[int, int]]] = {}
+    for lang, bin_, n in rows.select("text", "lang").mapInArrow(binned, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n")).collect():
+        added.setdefault(lang, []).append((bin_, n))
+    out = {}
+    for lang, bins in added.items():
+        whole, below = sum(n for _, n in bins), 0
+        for bin_, n in sorted(bins):
+            below += n
+            if below > RARE * whole:
+                out[lang] = SLACK * bin_ / BINS
+                break
+    return out
 
 
 def accepter(model: Centroids | None, reject: float = REJECT):  # noqa: ANN201
@@ -155,7 +202,8 @@ def accepter(model: Centroids | None, reject: float = REJECT):  # noqa: ANN201
         known = [i for i, t in enumerate(texts) if model and has_letter(t)]
         out = np.zeros(len(texts), bool)
         if known:
-            out[known] = model.nearest([texts.iat[i] for i in known])[1] >= reject
+            some = [texts.iat[i] for i in known]
+            out[known] = model.accepted(some, *model.nearest(some), reject)
         return pd.Series(out)
 
     return each
@@ -165,18 +213,19 @@ def identify(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",)
     """``docs`` (doc_id, text, lang, ...) → ``keep``, lang_pred, score, rejected; learned from the rows where ``learn`` holds.
 
     A text that is null or has no letter is ``und`` with score 0 and is rejected. Others get the nearest learned language, its
-    cosine as score, and are rejected below ``reject``. Where nothing could be learned, every text is ``und`` and rejected.
+    cosine as score, and are rejected below ``reject`` or the language's own limit. Where nothing could be learned, every text is ``und`` and rejected.
     """
     model = fit(docs.where(learn))
 
     def each(texts: list) -> Iterator[tuple[int, int, list]]:
         known = [i for i, t in enumerate(texts) if model and has_letter(t)]
-        names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        names, scores, fine = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if known:
-            found, cosines = model.nearest([texts[i] for i in known])
-            scores[known] = cosines
+            some = [texts[i] for i in known]
+            found, cosines = model.nearest(some)
+            scores[known], fine[known] = cosines, model.accepted(some, found, cosines, reject)
             for i, name in zip(known, found, strict=True):
                 names[i] = name
-        yield 0, len(texts), [names, scores, [n == "und" or s < reject for n, s in zip(names, scores, strict=True)]]
+        yield 0, len(texts), [names, scores, ~fine]
 
     return attached(docs, keep, ("text",), "lang_pred string, score double, rejected boolean", each)

@@ -368,3 +368,20 @@ def test_small_sources_meet_their_targets(spark, monkeypatch, block):
         goal[r.source] = r.target
         assert r.taken <= 3 * r["size"]
     assert all(abs(taken[s] - goal[s]) <= 0.005 * goal[s] + 1 for s in sizes)
+
+
+def test_left_out_language_and_noise_are_rejected(spark):
+    """Full-length texts of a language that was left out of learning, and of random letters, are rejected; those learned are not."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("length(text) > 300")
+    learn = fold(F.col("doc_id"), 4) != 2
+    left_out = docs.groupBy("lang").count().orderBy("count").first().lang
+    random.seed(8)
+    noise = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") if random.random() < 0.85 else " " for _ in range(n)) for n in (100, 1000, 3000)]
+    noise += ["".join(chr(random.randrange(0x4E00, 0x9FA5)) for _ in range(3000))]
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa " * 5
+    model = langid.fit(docs.where(learn & (F.col("lang") != left_out)))
+    texts = spark.createDataFrame([(t,) for t in [*noise, polish]], "text string")
+    assert texts.where(langid.accepter(model)("text")).count() == 0
+    foreign, own = docs.where(~learn & (F.col("lang") == left_out)), docs.where(~learn & (F.col("lang") != left_out))
+    assert foreign.where(langid.accepter(model)("text")).count() <= 0.02 * foreign.count()
+    assert own.where(langid.accepter(model)("text")).count() >= 0.98 * own.count()
