@@ -7,6 +7,7 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,70 @@ def release() -> None:
         trim(0)
 
 
+_SPACES = bytes(range(9, 14))
+_AS_SPACE = bytes.maketrans(_SPACES + UPPER.encode(), b" " * len(_SPACES) + LOWER.encode())
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The uint64 array ``x`` with its bits spread, in place."""
+    with np.errstate(over="ignore"):
+        x ^= x >> np.uint64(30)
+        x *= _MIX[1]
+        x ^= x >> np.uint64(27)
+        x *= _MIX[2]
+        x ^= x >> np.uint64(31)
+    return x
+
+
+class WordHasher:
+    """UTF-8 texts to the hashes (uint64) of their words, A-Z lower-cased, and the places where these begin.
+
+    The hash of a word is a polynomial in its bytes, taken from running sums over a stretch of text, and then mixed. Long texts
+    are cut between words into stretches, so memory follows the stretch, or a longer word.
+    """
+
+    STRETCH = 1 << 21
+
+    def __init__(self) -> None:
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, size: int) -> None:
+        if size > len(self.powers):
+            size = max(size, 2 * len(self.powers), 1 << 16)
+            base = int(_MIX[0])
+            with np.errstate(over="ignore"):
+                self.powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
+                self.inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, pow(base, -1, 1 << 64), np.uint64)]))
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        text = text.translate(_AS_SPACE)
+        at, out = 0, []
+        while at < len(text):
+            end = len(text)
+            if end - at > self.STRETCH:
+                cut = text.rfind(b" ", at, at + self.STRETCH)
+                cut = cut if cut >= 0 else text.find(b" ", at)
+                end = cut + 1 if cut >= 0 else end
+            out.append(self._stretch(text[at:end], at))
+            at = end
+        if not out:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return out[0] if len(out) == 1 else (np.concatenate([h for h, _ in out]), np.concatenate([s for _, s in out]))
+
+    def _stretch(self, text: bytes, offset: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(text, np.uint8)
+        self._reach(len(raw))
+        space = np.ones(len(raw) + 2, bool)
+        np.equal(raw, 32, out=space[1:-1])
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
+            return mixed((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64)), start + offset
+
+
 def attached(df: DataFrame, keep: tuple[str, ...], use: tuple[str, ...], added: str, each: Callable[..., Iterator[tuple[int, int, list]]]) -> DataFrame:
     """The columns ``keep`` of ``df`` and those of the DDL ``added``.
 

@@ -1,399 +1,480 @@
-"""Hierarchical Pitman-Yor language model.
-
-A restaurant for each context of up to two preceding words holds the words seen there. A table of a restaurant is a customer of its
-parent, the restaurant of the context without the farther word; that of no context gets its dishes from the spelling model, which
-gives a word the product of its bytes' probabilities. There each context of up to DEPTH bytes before a place in the word has its own
-restaurant, shared by suffix in the same way; the last parent is uniform.
-
-Seatings are sampled by Gibbs sweeps: all customers of one dish are seated anew, one after another, given the tables that all other
-dishes hold since the sweep before; BURN sweeps come before the first kept one. A text's score is the sum of its tokens' log10
-probabilities, each averaged over the kept seatings. Words that training never saw count as one type: its probability is what the
-restaurants leave for all other spellings.
-
-Word restaurants are Spark tables; each sweep is joins with the totals of restaurants and the shares of parents, and is checkpointed.
-Spelling contexts are swept on the driver and held where they are frequent: a context and byte seen in less than a 2 ** -SHARE part
-of all places counts for the shorter context instead, so at most 2 ** SHARE of them exist at any depth.
+"""Hierarchical Pitman-Yor language model over words.
+
+A restaurant for each context of two preceding words holds the words seen there. A table of it is a customer of the restaurant of
+the nearer word alone, a table of that one a customer of the root. The root's base is diffuse: every word seen has one table there,
+and what the root leaves to new tables is the probability of the one type that stands for all words never seen.
+
+Seatings are sampled by Gibbs: the tables of one dish are drawn anew from their distribution given its customers, the restaurant's
+tables with other dishes and the parent's share, for all dishes of a level, level after level. A score is the sum of its tokens'
+log10 probabilities, each averaged over the kept seatings.
+
+The tokens of all texts are dealt once by their nearer word, so a token's two restaurants stand in one partition, and shuffled as
+compressed arrays; every round reads the same shuffle again. A round starts from the root that the round before has left, sweeps
+its own restaurants and hands the root its new customers, a sum over all partitions for each word. The last round prices every
+token. Nothing is collected but sums over all words and the few frequent contexts. Those with more than LIMIT tokens (or a part
+2 ** -17 of all) have several restaurants, so that none outgrows a task: a nearer word one for each class of farther words, a pair
+of words one for each class of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import parts, saved
+from ledgerleaf.llm.common import ROWS, WordHasher, mixed, release
 
-DEPTH, SHARE = 4, 20
-#: Sweeps before the first kept seating, and kept seatings.
-BURN, KEPT = 3, 2
+#: Rounds that only bring the root up to date, sweeps of a round before its first kept seating, and kept seatings.
+ROUNDS, BURN, KEPT = 2, 2, 2
 STRENGTH, SEED = 1.0, 20260101
-#: A word never contains a line end, so that is the token after the last word.
-END = b"\n"
-#: Marks the start and the end of a spelling; units are bytes or this.
-EDGE, BITS = 256, 9
-#: Counts that a task holds before it hands them on.
-HELD = 250_000
-#: Customers of a dish that are seated one at a time; later ones in groups that grow by this part.
-SINGLY, GROUP = 64, 0.06
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
-
-
-def word_id(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
-#: The word before a text.
-START = word_id(b"")
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(wid, word, c): every token of ``docs`` and its count."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, int] = {}
-
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame({"wid": list(map(word_id, seen)), "word": list(seen), "c": list(seen.values())})
-            seen.clear()
-            return frame
-
-        for b in parts(batches):
-            for text in b["text"]:
-                for w in tokens(text):
-                    seen[w] = seen.get(w, 0) + 1
-                if len(seen) > HELD:
-                    yield out()
-        if seen:
-            yield out()
-
-    rows = docs.select("text").mapInPandas(each, "wid long, word binary, c long")
-    return rows.groupBy("wid", "word").agg(F.sum("c").alias("c"))
-
-
-def places(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Code of context and unit for each place of the spellings (the end too), and which word it belongs to."""
-    spelled = [b"" if w == END else w for w in words]
-    lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
-    ends = np.cumsum(lengths) - 1
-    unit = np.full(int(lengths.sum()), EDGE, np.int64)
-    inside = np.ones(len(unit), bool)
-    inside[ends] = False
-    unit[inside] = np.frombuffer(b"".join(spelled), np.uint8)
-    owner = np.repeat(np.arange(len(spelled)), lengths)
-    at = np.arange(len(unit)) - np.repeat(ends - lengths + 1, lengths)
-    code = unit.copy()
-    for back in range(1, DEPTH + 1):
-        before = np.full(len(unit), EDGE, np.int64)
-        before[back:] = unit[:-back]
-        code |= np.where(at >= back, before, EDGE) << (BITS * back)
-    return code, owner
-
-
-def place_counts(words: DataFrame, weight: str) -> list[DataFrame]:
-    """Customers of the spelling model that enter at each depth 0 .. DEPTH: (code, n). ``words`` has word and the column ``weight``."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, n = np.zeros(0, np.int64), np.zeros(0)
-
-        for b in batches:
-            b = b[b["n"] > 0]
-            if len(b):
-                own, owner = places(b["word"].tolist())
-                code, at = np.unique(np.concatenate([code, own]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, b["n"].to_numpy(float)[owner]]))
-                if len(code) > HELD:
-                    yield pd.DataFrame({"code": code, "n": n.astype(np.int64)})
-                    code, n = np.zeros(0, np.int64), np.zeros(0)
-        if len(code):
-            yield pd.DataFrame({"code": code, "n": n.astype(np.int64)})
-
-    level = saved(words.select("word", F.col(weight).alias("n")).mapInPandas(each, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    whole = level.agg(F.sum("n")).first()[0] or 0
-    out = []
-    for depth in range(DEPTH, -1, -1):
-        often = (F.col("n") * (1 << SHARE) >= whole) | F.lit(depth == 0)
-        out.append(level.where(often))
-        level = level.where(~often).groupBy(F.col("code").bitwiseAND(F.lit((1 << BITS * depth) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-    return out[::-1]
+#: Customers of a dish up to which its tables are drawn from their exact distribution; beyond, seated in groups that grow by this part.
+EXACT, GROUP = 256, 0.06
+#: Ids of the token after the last word and of the places before the first one.
+END, START = np.uint64(1), np.uint64(2)
+#: Tokens of a partition, tokens of a restaurant of one word, tokens that a task holds before it hands them on, buckets of the first count.
+PART, LIMIT, HELD, BUCKETS = 2_500_000, 1 << 20, 3_000_000, 1 << 16
 
 
-def _seats(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its ``customers`` are seated anew: ``others``, the restaurant's tables with other dishes; ``parent``, the dish's share there."""
-    tables = np.minimum(customers, 1).astype(float)
-    active, seated = np.flatnonzero(customers > 1), 1.0
+def packed(*arrays: np.ndarray) -> tuple:
+    """Arrays as compressed bytes. The bytes of one weight stand together."""
+    return tuple((a.dtype.str, len(a), pa.compress(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True)) for a in arrays)
+
+
+def unpacked(told: tuple) -> list[np.ndarray]:
+    out = []
+    for kind, n, data in told:
+        size = np.dtype(kind).itemsize
+        raw = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind))
+    return out
+
+
+def stream(texts: list[bytes | None], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of START, START, words, END of each text, one text after another, and where the texts begin."""
+    ids, at = hasher(b"\n".join(t or b"" for t in texts))
+    begin = np.cumsum([0, *[len(t or b"") + 1 for t in texts]])
+    which = np.searchsorted(begin, at, side="right") - 1
+    words = np.bincount(which, minlength=len(texts))
+    first = np.concatenate([[0], np.cumsum(words + 3)])
+    out = np.full(int(first[-1]), START, np.uint64)
+    out[np.arange(len(ids)) + 3 * which + 2] = ids
+    out[first[1:] - 1] = END
+    return out, first
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, len(b), ROWS):
+            yield b.slice(at, ROWS)
+    release()
+
+
+def pair_ids(far: np.ndarray, near: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(far * np.uint64(0xD1B54A32D192ED03) + near)
+
+
+def class_ids(ids: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(ids + (turn + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def places_of(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of the tokens, END included, in a stream."""
+    inside = np.ones(len(ids), bool)
+    inside[first[:-1]] = inside[first[:-1] + 1] = False
+    return np.flatnonzero(inside)
+
+
+def frequent(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of tokens of ``rows`` (text: binary); contexts of one and two words with more tokens than the limit, sorted, and how many restaurants each has."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        hasher = WordHasher()
+        for b in _batches(batches):
+            ids, first = stream(b.column("text").to_pylist(), hasher)
+            to = places_of(ids, first)
+            yield np.concatenate([ids[to - 1], pair_ids(ids[to - 2], ids[to - 1])])
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for ids in contexts(batches):
+            n += np.bincount((ids % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    counts = rows.select("text").mapInArrow(buckets, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    total = int(counts["n"].sum()) // 2
+    limit = max(LIMIT, total >> 17)
+    heavy = counts.loc[counts["n"] > limit, "at"].to_numpy(np.uint64)
+    if not len(heavy):
+        return total, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighty = np.zeros(BUCKETS, bool)
+        weighty[heavy.astype(np.int64)] = True
+        for ids in contexts(batches):
+            kinds, n = np.unique(ids[weighty[(ids % np.uint64(BUCKETS)).astype(np.int64)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], ["at", "n"])
+
+    # at most 2 ** 18 contexts can have more than the limit
+    words = rows.select("text").mapInArrow(exact, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > limit).toPandas()
+    ids, n = words["at"].to_numpy(np.int64).view(np.uint64), words["n"].to_numpy()
+    order = np.argsort(ids)
+    return total, ids[order], -(-n[order] // limit).astype(np.uint64)
+
+
+def split_contexts(far: np.ndarray, near: np.ndarray, row: np.ndarray, often: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``far`` and ``near`` (ids) of tokens with those of frequent contexts in the place of their own: of a frequent pair one for each class of
+    rows, of a frequent nearer word one for each class of farther ones."""
+    far, near, pair = far.copy(), near.copy(), pair_ids(far, near)
+    at = np.minimum(np.searchsorted(often, pair), len(often) - 1)
+    hot = np.flatnonzero(often[at] == pair)
+    far[hot] = pair[hot] = class_ids(pair[hot], mixed(row[hot].astype(np.uint64)) % classes[at[hot]])
+    at = np.minimum(np.searchsorted(often, near), len(often) - 1)
+    hot = np.flatnonzero(often[at] == near)
+    near[hot] = class_ids(near[hot], pair[hot] % classes[at[hot]])
+    return far, near
+
+
+def dealt(batches: Iterator[pa.RecordBatch], parts: int, often: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (part, blob) of the tokens of ``batches`` (row, doc_id, learn, text): farther word, nearer word or its class, word, row."""
+    hasher, held, size = WordHasher(), [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows, learn, flow, lengths = (np.concatenate([h[i] for h in held]) for i in range(4))
+        named = [x for h in held for x in h[4]]
+        held.clear()
+        kinds, at = np.unique(flow, return_inverse=True)
+        to = places_of(flow, np.cumsum([0, *lengths]))
+        far, near, word, key = at[to - 2], at[to - 1], at[to], kinds
+        owner = np.repeat(np.arange(len(rows)), lengths)[to]
+        if len(often):
+            changed = split_contexts(flow[to - 2], flow[to - 1], rows[owner], often, classes)
+            hot = [np.flatnonzero(c != flow[to - n]) for c, n in zip(changed, (2, 1), strict=True)]
+            extra, turn = np.unique(np.concatenate([c[h] for c, h in zip(changed, hot, strict=True)]), return_inverse=True)
+            far[hot[0]], near[hot[1]] = len(kinds) + turn[: len(hot[0])], len(kinds) + turn[len(hot[0]) :]
+            key = np.concatenate([kinds, extra])
+        part = (key % np.uint64(parts)).astype(np.int64)[near]
+        ends = np.cumsum(lengths - 2) - 1
+        order = np.argsort(part.astype(np.uint16) if parts <= 65536 else part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+        is_end = np.zeros(len(to), bool)
+        is_end[ends] = True
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = order[a:b]
+            three = np.concatenate([far[mine], near[mine], word[mine]])
+            used, n = np.zeros(len(key), bool), len(mine)
+            used[three] = True
+            place = np.cumsum(used) - 1
+            local = place[three]
+            rank = np.argsort(-np.bincount(local), kind="stable")
+            turn = np.empty(len(rank), np.uint32)
+            turn[rank] = np.arange(len(rank), dtype=np.uint32)
+            local = turn[local]
+            texts, row = np.unique(owner[mine], return_inverse=True)
+            names = [named[i] for i in owner[mine[is_end[mine]]]]
+            blob = packed(key[used][rank], local[:n], local[n : 2 * n], local[2 * n :], np.diff(row, prepend=0).astype(np.uint32), np.diff(rows[texts], prepend=0), learn[texts].astype(np.uint8)), names
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[mine[0]])], pa.int32()), pa.array([pickle.dumps(blob)], pa.binary())], ["part", "blob"])
+
+    for b in _batches(batches):
+        if not len(b):
+            continue
+        ids, first = stream(b.column("text").to_pylist(), hasher)
+        rows = b.column("row").to_numpy()
+        held.append((rows, np.asarray(b.column("learn").to_pylist(), bool), ids, np.diff(first), b.column("doc_id").to_pylist()))
+        size += len(ids)
+        if size > HELD:
+            yield from out()
+            size = 0
+    if held:
+        yield from out()
+    release()
+
+
+def log_partitions(discount: float, most: int) -> np.ndarray:
+    """[c, t]: log of the weight of all seatings of c customers at t tables (generalised Stirling numbers)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(most):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore"):
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], out[c, 1 : c + 2] + np.log(np.maximum(c - discount * t, 0)))
+    return out
+
+
+def tables_of(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Tables of each dish drawn given its ``customers``, ``others``, the restaurant's tables with other dishes, and ``parent``, its share there."""
+    tables = np.minimum(customers, 1).astype(np.int64)
+    some = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    some = some[np.argsort(customers[some], kind="stable")]
+    stirling = log_partitions(discount, int(customers[some[-1]])) if len(some) else None
+    cuts = np.flatnonzero(np.diff(customers[some], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        c = int(customers[some[a]])
+        for at in range(a, b, max(1, 2_000_000 // c)):
+            mine = some[at : min(b, at + max(1, 2_000_000 // c))]
+            opened = np.cumsum(np.log(STRENGTH + discount * (others[mine, None] + np.arange(c))), axis=1)
+            weight = stirling[c, 1 : c + 1] + opened + np.arange(1, c + 1) * np.log(parent[mine, None])
+            weight = np.exp(weight - weight.max(axis=1, keepdims=True))
+            upto = np.cumsum(weight, axis=1)
+            tables[mine] = 1 + (upto < random.random(len(mine))[:, None] * upto[:, -1:]).sum(axis=1)
+    active, seated = np.flatnonzero(customers > EXACT), 1.0
     while len(active):
-        group = np.ones(len(active)) if seated < SINGLY else np.minimum(customers[active] - seated, np.ceil(seated * GROUP))
+        group = np.minimum(customers[active] - seated, np.ceil(seated * GROUP))
         t = tables[active]
         new = (STRENGTH + discount * (others[active] + t)) * parent[active]
         p = new / (new + np.maximum(seated - discount * t, 1e-9))
-        tables[active] = np.minimum(t + random.binomial(group.astype(np.int64), np.clip(p, 0, 1)), customers[active])
-        seated += 1.0 if seated < SINGLY else float(np.ceil(seated * GROUP))
+        tables[active] = t + random.binomial(group.astype(np.int64), np.clip(p, 0, 1))
+        seated += float(np.ceil(seated * GROUP))
         active = active[customers[active] > seated]
-    return tables
-
-
-class Spelling:
-    """One seating of the spelling model: by depth the sorted codes, a share for each code, and each context's share for its parent."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.levels = levels
-
-    def probability(self, code: np.ndarray) -> np.ndarray:
-        p = np.full(len(code), 1 / (EDGE + 1))
-        for depth, (codes, own, contexts, rest) in enumerate(self.levels):
-            if not len(codes):
-                continue
-            key = code & ((1 << BITS * (depth + 1)) - 1)
-            context = key >> BITS
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            open_ = contexts[at] == context
-            to = np.minimum(np.searchsorted(codes, key), len(codes) - 1)
-            p = np.where(open_, np.where(codes[to] == key, own[to], 0) + rest[at] * p, p)
-        return p
-
-
-def spellings(counts: list[DataFrame], seed: int) -> list[Spelling]:
-    """KEPT seatings after BURN sweeps. The counts of a depth are bounded (SHARE), so the sweeps run on the driver."""
-    random = np.random.default_rng(seed)
-    got = [t.toArrow() for t in counts]
-    direct = [(np.asarray(t["code"], np.int64), np.asarray(t["n"], float)) for t in got]
-    codes = [np.zeros(0, np.int64)] * (DEPTH + 1)
-    above = np.zeros(0, np.int64)
-    for depth in range(DEPTH, -1, -1):
-        codes[depth] = np.unique(np.concatenate([direct[depth][0], above & ((1 << BITS * (depth + 1)) - 1)]))
-        above = codes[depth]
-    to_parent = [None, *[np.searchsorted(codes[d - 1], codes[d] & ((1 << BITS * d) - 1)) for d in range(1, DEPTH + 1)]]
-    contexts = [np.unique(c >> BITS, return_inverse=True) for c in codes]
-    tables = [np.zeros(len(c)) for c in codes]
-    kept: list[Spelling] = []
-    shares = [np.full(len(c), 1 / (EDGE + 1)) for c in codes]
-    for sweep in range(BURN + KEPT):
-        customers = [np.zeros(len(c)) for c in codes]
-        discounts = [0.5] * (DEPTH + 1)
-        for depth in range(DEPTH, -1, -1):
-            np.add.at(customers[depth], np.searchsorted(codes[depth], direct[depth][0]), direct[depth][1])
-            n, own = customers[depth], contexts[depth][1]
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            discounts[depth] = float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95))
-            parent = shares[depth - 1][to_parent[depth]] if depth else np.full(len(n), 1 / (EDGE + 1))
-            others = np.bincount(own, tables[depth], len(contexts[depth][0]))[own] - tables[depth] if len(n) else n
-            tables[depth] = _seats(n, others, parent, discounts[depth], random)
-            if depth:
-                np.add.at(customers[depth - 1], to_parent[depth], tables[depth])
-        levels = []
-        for depth in range(DEPTH + 1):
-            own, n, t = contexts[depth][1], customers[depth], tables[depth]
-            size = len(contexts[depth][0])
-            whole, open_ = np.bincount(own, n, size), np.bincount(own, t, size)
-            share = np.maximum(n - discounts[depth] * t, 0) / (STRENGTH + whole)[own] if len(n) else n
-            rest = (STRENGTH + discounts[depth] * open_) / (STRENGTH + whole)
-            levels.append((codes[depth], share, contexts[depth][0], rest))
-            parent = shares[depth - 1][to_parent[depth]] if depth else np.full(len(n), 1 / (EDGE + 1))
-            shares[depth] = share + rest[own] * parent if len(n) else n
-        if sweep >= BURN:
-            kept.append(Spelling(levels))
-    return kept
-
-
-def spelled(words: list[bytes], models: list[Spelling]) -> np.ndarray:
-    """Log probability of each word's spelling under each model: [models, words]."""
-    code, owner = places(words)
-    kinds, at = np.unique(code, return_inverse=True)
-    return np.stack([np.bincount(owner, np.log(m.probability(kinds))[at], len(words)) for m in models])
-
-
-def contexts(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, u, v, w): every token w of ``docs`` (row, doc_id, text) after the words u, v; doc_id stands in one row of each text."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, int] = {}
-        for b in parts(batches):
-            ids, sizes = [], []
-            for text in b["text"]:
-                words = tokens(text)
-                for w in words:
-                    if w not in seen:
-                        seen[w] = word_id(w)
-                ids += [START, START, *[seen[w] for w in words]]
-                sizes.append(len(words) + 2)
-            if len(seen) > HELD:
-                seen.clear()
-            if not ids:
-                continue
-            at, row = np.array(ids, np.int64), np.repeat(b["row"].to_numpy(), sizes)
-            inside = np.ones(len(at), bool)
-            ends = np.cumsum(sizes)
-            inside[ends - sizes] = inside[ends - sizes + 1] = False
-            doc = np.full(len(at), None, object)
-            doc[ends - 1] = b["doc_id"].to_numpy()
-            to = np.flatnonzero(inside)
-            yield pd.DataFrame({"row": row[to], "doc_id": doc[to], "u": at[to - 2], "v": at[to - 1], "w": at[to]})
-
-    return docs.select("row", "doc_id", "text").mapInPandas(each, "row long, doc_id string, u long, v long, w long")
-
-
-def discount_of(once: int, twice: int) -> float:
+    return np.minimum(tables, np.maximum(customers, 0).astype(np.int64))
+
+
+def discount_of(customers: np.ndarray) -> float:
+    once, twice = int((customers == 1).sum()), int((customers == 2).sum())
     return float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95))
 
 
-def seated(rows: DataFrame, keys: list[str], discount: float, seed: int) -> DataFrame:
-    """``rows`` (``keys``, c, others, p, ...) with t: tables of each dish after its customers are seated anew."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                random = np.random.default_rng([seed, *[abs(int(b[k].iat[0])) for k in keys]])
-                b["t"] = _seats(b["c"].to_numpy(float), b["others"].to_numpy(float), b["p"].to_numpy(float), discount, random).astype(np.int64)
-                yield b[[*keys, "c", "t"]]
-
-    fields = rows.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("c").cast("long").alias("c"), F.col("others").cast("double").alias("others"), F.col("p").cast("double").alias("p"))
-    return saved(fields.mapInPandas(each, ", ".join(f"{k} long" for k in [*keys, "c", "t"])))
-
-
-def spelled_words(words: DataFrame, model: Spelling) -> DataFrame:
-    """(w, spell): probability of each word's spelling."""
-    send = words.sparkSession.sparkContext.broadcast([model])
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"w": b["wid"], "spell": np.exp(spelled(b["word"].tolist(), send.value)[0])})
-
-    return saved(words.select("wid", "word").mapInPandas(each, "w long, spell double"))
-
-
-class Model:
-    """``words``: wid, base and score (log10 probabilities of the last parent) of every token type; ``unseen``: the same for any other
-    word; ``total``: training tokens; ``kept``: for each kept seating the discounts and the tables two (u, v, w, c, t), one (v, w, c, t),
-    far (u, v, n, k), near (v, n, k) and root (w, p), and what root leaves for unseen words. n and k: customers and tables of a restaurant."""
-
-    def __init__(self, words: DataFrame, total: int, unseen: tuple[float, float], kept: list[tuple]):
-        self.words, self.total, self.unseen, self.kept = words, total, unseen, kept
-
-
-def fit(docs: DataFrame, learn: Column) -> Model:
-    docs = docs.where(learn)
-    words = saved(word_counts(docs))
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    events = contexts(docs.select(F.lit(0).cast("long").alias("row"), F.lit(None).cast("string").alias("doc_id"), "text"))
-    two = saved(events.groupBy("u", "v", "w").agg(F.count("*").alias("c")))
-    # a dish with one customer has one table in every seating, so only the others are seated anew
-    once, twice = two.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    d2 = discount_of(once, twice)
-    single = F.when(F.col("c") == 1, 1).otherwise(0)
-    pairs = saved(two.groupBy("v", "w").agg(F.sum(single).alias("s"), F.sum("c").alias("n")))
-    far = saved(two.groupBy("u", "v").agg(F.sum("c").alias("n"), F.sum(single).alias("s")))
-    near = saved(pairs.groupBy("v").agg(F.count_if(F.col("n") == 1).alias("s")))
-    roots = saved(pairs.groupBy("w").agg(F.count_if(F.col("n") == 1).alias("s")))
-    firm = pairs.where("n = 1").select("v", "w", F.lit(1).cast("long").alias("c"), F.lit(1).cast("long").alias("t"))
-    loose = pairs.where("n > 1")
-    first = spellings(place_counts(words.withColumn("one", F.lit(1).cast("long")), "one"), SEED)
-    spell, models = spelled_words(words, first[-1]), []
-    root = words.select(F.col("wid").alias("w"), (F.col("c") / F.lit(max(1, total))).alias("p"))
-    share = loose.join(root, "w").select("v", "w", "p")
-    t2 = two.where("c > 1").withColumn("t", F.lit(1).cast("long"))
-    t1 = loose.select("v", "w", F.lit(1).cast("long").alias("t"))
-    t0, tables = None, kinds
-    kept = []
-    for sweep in range(BURN + KEPT):
-        if sweep == BURN:
-            models = spellings(place_counts(words.join(t0.select(F.col("w").alias("wid"), "t"), "wid"), "t"), SEED + 2)
-        if models:
-            spell = spelled_words(words, models[sweep - BURN])
-        held = t2.groupBy("u", "v").agg(F.sum("t").alias("k")).join(far, ["u", "v"]).select("u", "v", (F.col("k") + F.col("s")).alias("k"))
-        t2 = seated(t2.join(held, ["u", "v"]).join(share, ["v", "w"]).withColumn("others", F.col("k") - F.col("t")), ["u", "v", "w"], d2, SEED + 10 * sweep)
-
-        sent = t2.groupBy("v", "w").agg(F.sum("t").alias("k"))
-        now = loose.join(sent, ["v", "w"], "left").join(t1, ["v", "w"]).select("v", "w", "t", (F.col("s") + F.coalesce("k", F.lit(0))).alias("c"))
-        now = saved(now)
-        once, twice = now.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-        d1 = discount_of(once + firm.count(), twice)
-        held = now.groupBy("v").agg(F.sum("t").alias("k")).join(near, "v").select("v", (F.col("k") + F.col("s")).alias("k"))
-        t1 = seated(now.join(held, "v").join(root, "w").withColumn("others", F.col("k") - F.col("t")), ["v", "w"], d1, SEED + 10 * sweep + 1)
-
-        sent = t1.groupBy("w").agg(F.sum("t").alias("k"))
-        now = roots.join(sent, "w", "left").select("w", (F.col("s") + F.coalesce("k", F.lit(0))).alias("c")).join(spell, "w")
-        now = now.withColumn("t", F.lit(1)) if t0 is None else now.join(t0.select("w", "t"), "w")
-        now = saved(now)
-        once, twice = now.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-        d0 = discount_of(once, twice)
-        t0 = seated(now.withColumn("others", F.lit(float(tables)) - F.col("t")).withColumn("p", F.col("spell")), ["w"], d0, SEED + 10 * sweep + 2)
-
-        customers, tables = (x or 0 for x in t0.agg(F.sum("c"), F.sum("t")).first())
-        rest = (STRENGTH + d0 * tables) / (STRENGTH + customers)
-        own = F.greatest(F.col("c") - d0 * F.col("t"), F.lit(0.0)) / (STRENGTH + customers)
-        root = saved(t0.join(spell, "w").select("w", (own + rest * F.col("spell")).alias("p")))
-        one = t1.unionByName(firm)
-        held = saved(one.groupBy("v").agg(F.sum("c").alias("n"), F.sum("t").alias("k")))
-        share = saved(priced(t1, held, root, ["v"], ["w"], d1))
-        if sweep >= BURN:
-            left = rest * max(1e-6, 1 - (spell.agg(F.sum("spell")).first()[0] or 0.0))
-            open_ = t2.groupBy("u", "v").agg(F.sum("t").alias("k"))
-            open_ = saved(far.join(open_, ["u", "v"], "left").select("u", "v", "n", (F.col("s") + F.coalesce("k", F.lit(0))).alias("k")))
-            both = t2.unionByName(two.where("c = 1").withColumn("t", F.lit(1).cast("long")))
-            kept.append((d2, d1, both, one, open_, held, root, left))
-    whole = total + 0.1 * (kinds + 1)
-    mean = kept[0][6].select("w", F.col("p").alias("p0"))
-    for i, (*_, root, _) in enumerate(kept[1:], 1):
-        mean = mean.join(root.select("w", F.col("p").alias(f"p{i}")), "w")
-    mean = mean.select(F.col("w").alias("wid"), (sum((F.col(f"p{i}") for i in range(KEPT)), F.lit(0.0)) / KEPT).alias("p"))
-    base = words.join(mean, "wid").select("wid", F.log10((F.col("c") + 0.1) / F.lit(whole)).alias("base"), F.log10(F.greatest("p", F.lit(1e-300))).alias("score"))
-    unseen = sum(k[-1] for k in kept) / KEPT
-    return Model(saved(base), int(total), (float(np.log10(0.1 / whole)), float(np.log10(unseen))), kept)
-
-
-def priced(dishes: DataFrame, restaurants: DataFrame, parent: DataFrame, context: list[str], up: list[str], discount: float, left: float | None = None) -> DataFrame:
-    """``dishes`` (``context``, ``up``, c, t) with p, their probability: what their tables hold and the ``parent``'s share (``left`` where it has none)."""
-    how = "inner" if left is None else "left"
-    got = dishes.join(restaurants, context, how).join(parent, up, how)
-    n, k = F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
-    own = F.greatest(F.coalesce("c", F.lit(0)) - discount * F.coalesce("t", F.lit(0)), F.lit(0.0))
-    above = F.col("p") if left is None else F.coalesce("p", F.lit(left))
-    keys = [k for k in ("u", "v", "w") if k in dishes.columns]
-    return got.select(*keys, ((own + (STRENGTH + discount * k) * above) / (STRENGTH + n)).alias("p"))
-
-
-def prices(types: DataFrame, model: Model) -> DataFrame:
-    """``types`` (u, v, w) with p: the probability of w after u, v, averaged over the kept seatings; each backs off to v alone, and to no context."""
-    pairs = saved(types.select("v", "w").distinct())
-    out = None
-    for d2, d1, two, one, far, near, root, left in model.kept:
-        short = saved(priced(pairs.join(one, ["v", "w"], "left"), near, root, ["v"], ["w"], d1, left))
-        long = saved(priced(types.join(two, ["u", "v", "w"], "left"), far, short, ["u", "v"], ["v", "w"], d2, left))
-        out = long if out is None else out.unionByName(long)
-    return out.groupBy("u", "v", "w").agg((F.sum("p") / KEPT).alias("p"))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text, ...) → row, doc_id, n_tokens, n_known, base_score, score: one row for each input row."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    events = contexts(rows)
-    types = saved(events.select("u", "v", "w").distinct())
-    known = model.words.select(F.col("wid").alias("w"), F.col("base"))
-    told = prices(types, model).join(known, "w", "left").select("u", "v", "w", F.log10(F.greatest("p", F.lit(1e-300))).alias("s"), "base")
-    return events.join(told, ["u", "v", "w"]).groupBy("row").agg(
-        F.max("doc_id").cast("long").alias("doc_id"), F.count("*").alias("n_tokens"), F.count("base").alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(model.unseen[0]))).alias("base_score"), F.sum("s").alias("score"),
-    )
+class Restaurants:
+    """The restaurants of a partition, from tokens (far, near, word: places in ``ids``; row: place in ``rows``; learn of each row).
+
+    Types are distinct (near, far, word), pairs distinct (near, word). A type that isn't learned from has no customers.
+    """
+
+    def __init__(self, ids: np.ndarray, far: np.ndarray, near: np.ndarray, word: np.ndarray, row: np.ndarray, learn: np.ndarray):
+        self.ids, self.learn = ids, learn
+        bits = max(1, int(len(ids) - 1).bit_length())
+        key = near.astype(np.int64) << bits | far
+        if 3 * bits > 63:
+            kinds, key = np.unique(key, return_inverse=True)
+            key = key << bits | word
+        else:
+            kinds, key = None, key << bits | word
+        order = np.argsort(key)
+        key = key[order]
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        self.row = row[order].astype(np.int32)
+        self.type = (np.repeat(np.arange(len(head)), np.diff(head, append=len(key)))).astype(np.int32)
+        self.count = np.add.reduceat(learn[self.row].astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
+        key, mask = key[head], (1 << bits) - 1
+        self.word = (key & mask).astype(np.int32)
+        context = key >> bits
+        near = (kinds[context] if kinds is not None else context) >> bits
+        self.context = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+        pair = near << bits | self.word
+        order = np.argsort(pair)
+        head = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        self.pair = np.empty(len(pair), np.int32)
+        self.pair[order] = np.repeat(np.arange(len(head)), np.diff(head, append=len(pair)))
+        pairs = pair[order][head]
+        self.pair_word = (pairs & mask).astype(np.int32)
+        self.pair_near = np.cumsum(np.diff(pairs >> bits, prepend=-1) != 0) - 1
+        self.size = np.bincount(self.context, self.count, minlength=int(self.context[-1]) + 1) if len(self.context) else np.zeros(0)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``ids`` of all that occurs as a word, and how often training has it."""
+        used = np.zeros(len(self.ids), bool)
+        used[self.pair_word] = True
+        at = np.flatnonzero(used)
+        return at, np.bincount(self.word, self.count, minlength=len(self.ids))[at].astype(np.int64)
+
+    def sweeps(self, root: np.ndarray, seed: list[int], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """After each of ``most`` sweeps the probability of each type's word in its context, and the root's customers by place in ``ids``.
+
+        ``root`` is the root's probability of each of ``ids``."""
+        random = np.random.default_rng(seed)
+        t2 = np.minimum(self.count, 1)
+        d2 = discount_of(self.count)
+        near = int(self.pair_near[-1]) + 1 if len(self.pair_near) else 0
+        above = root[self.pair_word]
+        customers = np.bincount(self.pair, t2, minlength=len(self.pair_word)).astype(np.int64)
+        t1 = np.minimum(customers, 1)
+        for _ in range(most):
+            d1 = discount_of(customers)
+            p1 = self._shares(customers, t1, self.pair_near, near, d1, above)
+            opened = np.bincount(self.context, t2, minlength=len(self.size))[self.context]
+            again = np.flatnonzero(self.count > 1)
+            t2[again] = tables_of(self.count[again], opened[again] - t2[again], p1[self.pair[again]], d2, random)
+            customers = np.bincount(self.pair, t2, minlength=len(self.pair_word)).astype(np.int64)
+            d1 = discount_of(customers)
+            opened = np.bincount(self.pair_near, t1, minlength=near)[self.pair_near] - t1
+            t1 = np.minimum(customers, 1)
+            again = np.flatnonzero(customers > 1)
+            t1[again] = tables_of(customers[again], opened[again], above[again], d1, random)
+            p1 = self._shares(customers, t1, self.pair_near, near, d1, above)
+            yield self._shares(self.count, t2, self.context, len(self.size), d2, p1[self.pair]), np.bincount(self.pair_word, t1, minlength=len(self.ids))
+
+    @staticmethod
+    def _shares(customers: np.ndarray, tables: np.ndarray, place: np.ndarray, places: int, discount: float, above: np.ndarray) -> np.ndarray:
+        """Probability of each dish in its restaurant (``place``): its tables' share, and the parent's (``above``)."""
+        n, t = np.bincount(place, customers, minlength=places)[place], np.bincount(place, tables, minlength=places)[place]
+        return (np.maximum(customers - discount * tables, 0) + (STRENGTH + discount * t) * above) / (STRENGTH + n)
+
+
+def _gathered(part: Iterator[tuple]) -> tuple[Restaurants, np.ndarray, list, dict[int, np.ndarray]]:
+    """The restaurants of a partition, its rows' numbers, (row, doc_id) of the texts that end here, and what the root has sent."""
+    own, sent = [], {}
+    for _, told in part:
+        if isinstance(told, bytes):
+            arrays, names = pickle.loads(told)  # noqa: S301  made by dealt()
+            own.append((*unpacked(arrays), names))
+        else:
+            sent[told[0]] = told[1]
+    ids = np.unique(np.concatenate([o[0] for o in own])) if own else np.zeros(0, np.uint64)
+    columns, rows, learn, ended, base = [[], [], [], []], [], [], [], 0
+    for kinds, far, near, word, row, texts, mark, names in own:
+        to = np.searchsorted(ids, kinds).astype(np.int32)
+        for column, x in zip(columns, (far, near, word), strict=False):
+            column.append(to[x])
+        row, texts = np.cumsum(row.astype(np.int64)), np.cumsum(texts)
+        columns[3].append((row + base).astype(np.int32))
+        if names:
+            # ends stand in the order of their rows, one for each
+            ended.append((texts[row[kinds[word] == END]], names))
+        rows.append(texts)
+        learn.append(mark.astype(bool))
+        base += len(texts)
+    del own
+    whole = [np.concatenate(c) if c else np.zeros(0, np.int32) for c in columns]
+    every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return Restaurants(ids, *whole, np.concatenate(learn) if learn else np.zeros(0, bool)), every, ended, sent
+
+
+def _root(r: Restaurants, at: np.ndarray, sent: dict[int, np.ndarray], owner: np.ndarray, known: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """The root's probability of each of ``ids`` (of those at ``at``), and their counts in training; from this partition's counts where the root has sent none."""
+    root, count = np.ones(len(r.ids)), np.zeros(len(r.ids))
+    if known is None:
+        _, own = r.words()
+        root[at] = (own + 0.5) / (own.sum() + 0.5 * len(own) + 1)
+        return root, count
+    customers = np.zeros(len(at))
+    for q, told in sent.items():
+        mine = np.flatnonzero(owner == q)
+        count[at[mine]], customers[mine] = unpacked(told)
+    left = (STRENGTH + known["discount"] * known["kinds"]) / (STRENGTH + known["customers"])
+    root[at] = np.where(customers > 0, (customers - known["discount"]) / (STRENGTH + known["customers"]), left)
+    return root, count
+
+
+def swept(number: int, part: Iterator[tuple], parts: int, known: dict | None, round_: int) -> Iterator[tuple]:
+    """(q, (number, ids, counts, customers)): the words of partition ``number`` for the root's shares q after a round."""
+    r, _, _, sent = _gathered(part)
+    if len(r.ids):
+        at, count = r.words()
+        owner = (mixed(r.ids[at].copy()) % np.uint64(parts)).astype(np.int64)
+        root, _ = _root(r, at, sent, owner, known)
+        *_, (_, customers) = r.sweeps(root, [SEED, round_, number], BURN)
+        customers = customers[at].astype(np.int64)
+        for q in np.unique(owner):
+            mine = owner == q
+            yield int(q), (number, packed(r.ids[at[mine]], count[mine], customers[mine]))
+    release()
+
+
+def totalled(part: Iterator[tuple]) -> Iterator[tuple]:
+    """(number, words, counts, customers) of a share of the root: for each partition what it has asked for, in its order; last, (None, all)."""
+    asked = [(number, *unpacked(told)) for _, (number, told) in part]
+    if asked:
+        ids, at = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+        count, customers = (np.bincount(at, np.concatenate([a[i] for a in asked]), len(ids)).astype(np.int64) for i in (2, 3))
+        ends = np.cumsum([0, *[len(a[1]) for a in asked]])
+        for (number, *_), a, b in zip(asked, ends[:-1], ends[1:], strict=True):
+            yield number, packed(count[at[a:b]], customers[at[a:b]])
+        seen = customers > 0
+        yield None, np.array([count.sum(), (count > 0).sum(), customers.sum(), seen.sum(), (customers == 1).sum(), (customers == 2).sum()])
+    release()
+
+
+def answered(q: int, part: Iterator[tuple]) -> Iterator[tuple]:
+    return ((number, (q, told)) for number, told in totalled(part) if number is not None)
+
+
+def priced(number: int, part: Iterator[tuple], parts: int, known: dict) -> Iterator[tuple]:
+    """(share of the rows, sums by row) of the tokens of a partition under the kept seatings."""
+    r, rows, ended, sent = _gathered(part)
+    if len(r.ids):
+        at, _ = r.words()
+        owner = (mixed(r.ids[at].copy()) % np.uint64(parts)).astype(np.int64)
+        root, count = _root(r, at, sent, owner, known)
+        p = sum(p for i, (p, _) in enumerate(r.sweeps(root, [SEED, ROUNDS, number], BURN + KEPT)) if i >= BURN) / KEPT
+        base = np.log10((count + 0.1) / known["whole"])
+        word, own = r.word[r.type], r.row
+        sums = [np.bincount(own, w, len(rows)) for w in (None, (count > 0)[word].astype(float), base[word], np.log10(p)[r.type])]
+        # a row may stand in several of the partition's blobs
+        kinds, place = np.unique(rows, return_inverse=True)
+        sums = [np.bincount(place, s, len(kinds)) for s in sums]
+        share = (mixed(kinds.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        names: dict[int, list] = {}
+        for some, ids in ended:
+            to = (mixed(some.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            for q, row, name in zip(to.tolist(), some.tolist(), ids, strict=True):
+                names.setdefault(q, []).append((row, name))
+        for q in np.unique(share):
+            mine = share == q
+            yield int(q), (packed(kinds[mine], sums[0][mine].astype(np.int32), sums[1][mine].astype(np.int32), sums[2][mine], sums[3][mine]), names.get(int(q), []))
+    release()
+
+
+def summed(part: Iterator[tuple]) -> Iterator[tuple]:
+    """(doc_id, n_tokens, n_known, base_score, score) of each row."""
+    got = list(part)
+    if got:
+        arrays = [np.concatenate(x) for x in zip(*[unpacked(told) for _, (told, _) in got], strict=True)]
+        names = dict(x for _, (_, some) in got for x in some)
+        kinds, at = np.unique(arrays[0], return_inverse=True)
+        sums = [np.bincount(at, a, len(kinds)) for a in arrays[1:]]
+        for row, n, k, b, s in zip(kinds.tolist(), *[x.tolist() for x in sums], strict=True):
+            name = names[row]
+            yield None if name is None else int(name), int(n), int(k), b, s
+    release()
+
+
+def _met(tokens: RDD, told: RDD | None) -> RDD:
+    """Partition by partition the tokens and what the root has sent: both are dealt alike, so nothing moves."""
+    if told is None:
+        return tokens
+    both = tokens.union(told)
+    if both.getNumPartitions() != tokens.getNumPartitions():
+        raise RuntimeError("the two aren't dealt alike")
+    return both
 
 
 def evaluate(docs: DataFrame, learn: Column) -> DataFrame:
     """``docs`` (doc_id, text, ...) → doc_id, n_tokens, n_known, train_tokens, base_score, score; learned from the rows where ``learn`` holds.
 
-    A null or empty text is the end token alone. Repeated rows are scored one by one. If nothing is learned, no token is known
-    and all have probability 1. An empty table gives no rows.
+    A null or empty text is the end token alone; texts of any length are read in stretches. Repeated rows are scored one by one,
+    and each counts in training. If nothing is learned, no token is known and every token's probability is that of the unseen
+    type, 1. Other columns don't matter, whatever their names. An empty table gives no rows.
     """
-    model = fit(docs, learn)
-    return score(docs, model).select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("binary").alias("text"))
+    total, often, classes = frequent(rows)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    tokens = rows.mapInArrow(partial(dealt, parts=parts, often=often, classes=classes), "part int, blob binary").rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts, int)
+    told, known = None, None
+    for round_ in range(ROUNDS):
+        asked = _met(tokens, told).mapPartitionsWithIndex(_numbered(swept, parts=parts, known=known, round_=round_)).partitionBy(parts, int)
+        sums = asked.mapPartitions(totalled).filter(lambda x: x[0] is None).map(lambda x: x[1]).collect()
+        count, types, customers, kinds, once, twice = reduce(np.add, sums, np.zeros(6, np.int64)).tolist()
+        known = {"discount": float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95)) if kinds else 0.0, "customers": customers, "kinds": kinds, "whole": count + 0.1 * (types + 1)}
+        told = asked.mapPartitionsWithIndex(answered).partitionBy(parts, int)
+    found = _met(tokens, told).mapPartitionsWithIndex(_numbered(priced, parts=parts, known=known)).partitionBy(parts, int).mapPartitions(summed)
+    out = spark.createDataFrame(found, "doc_id long, n_tokens long, n_known long, base_score double, score double", verifySchema=False)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(count).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _numbered(each: Callable, **fixed: object) -> Callable:
+    return lambda number, part: each(number, part, **fixed)
 
 
 def perplexity(scored: DataFrame) -> Column:
     """Aggregate over scored rows: 10 to the mean negative score of a token."""
     return F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens"))
+

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import components, parts, release, saved
+from ledgerleaf.llm.common import WordHasher, components, mixed, parts, release, saved
 
 WORDS, PERCENT = 5, 80
 #: Buckets of the table of occurrences (a fixed size, as it is broadcast); points of a box; classes of a block.
@@ -33,52 +33,17 @@ BUCKETS, BOX, BLOCK = 1 << 17, 16, 1024
 GROUPS, MOST = (64, 256, 1024, 4096, 16384, 65536), (800, 3200, 12800, 51200, 204800)
 #: Classes that a task remembers so as not to name them again; candidate rows up to which they are broadcast.
 REMEMBERED, BROADCAST_ROWS = 1_000_000, 1_000_000
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """``x`` with its bits spread, in place."""
-    with np.errstate(over="ignore"):
-        x ^= x >> np.uint64(30)
-        x *= _MIX[1]
-        x ^= x >> np.uint64(27)
-        x *= _MIX[2]
-        x ^= x >> np.uint64(31)
-    return x
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
-    """Texts (UTF-8, or null) to sorted arrays of distinct shingle hashes.
-
-    The hash of a word is a polynomial in its bytes, taken from running sums over the whole text, and then mixed.
-    """
+    """Texts (UTF-8, or null) to sorted arrays of distinct shingle hashes."""
 
     def __init__(self) -> None:
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def _reach(self, size: int) -> None:
-        if size > len(self.powers):
-            size = max(size, 2 * len(self.powers), 1 << 16)
-            base = int(_MIX[0])
-            with np.errstate(over="ignore"):
-                self.powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
-                self.inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, pow(base, -1, 1 << 64), np.uint64)]))
-
-    def words(self, text: bytes) -> np.ndarray:
-        raw = np.frombuffer(text.lower(), np.uint8)
-        self._reach(len(raw))
-        space = np.ones(len(raw) + 2, bool)
-        space[1:-1] = _SPACE[raw]
-        edge = np.flatnonzero(space[1:] != space[:-1])
-        start, end = edge[::2], edge[1::2]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
-            return _mixed((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        self.words = WordHasher()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        h = self.words(text or b"")
+        h = self.words(text or b"")[0]
         if len(h) <= 1:
             return h
         size = min(WORDS, len(h))
@@ -86,9 +51,9 @@ class Shingler:
             out = np.full(len(h) - size + 1, size, np.uint64)
             for i in range(size):
                 out ^= h[i : len(h) - size + 1 + i]
-                out *= _MIX[0]
+                out *= _SPREAD
                 out ^= out >> np.uint64(29)
-        out = _mixed(out)
+        out = mixed(out)
         out.sort()
         fresh = np.empty(len(out), bool)
         fresh[0] = True
