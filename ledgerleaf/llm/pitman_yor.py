@@ -28,7 +28,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import ROWS, WordHasher, mixed, release
+from ledgerleaf.llm.common import ROWS, WordHasher, mixed, release, saved
 
 #: Rounds that only bring the root up to date, sweeps of a round before its first kept seating, and kept seatings.
 ROUNDS, BURN, KEPT = 2, 2, 2
@@ -38,23 +38,44 @@ EXACT, GROUP = 256, 0.06
 #: Ids of the token after the last word and of the places before the first one.
 END, START = np.uint64(1), np.uint64(2)
 #: Tokens of a partition, tokens of a restaurant of one word, tokens that a task holds before it hands them on, buckets of the first count.
-PART, LIMIT, HELD, BUCKETS = 2_500_000, 1 << 20, 3_000_000, 1 << 16
+PART, LIMIT, HELD, BUCKETS = 1_800_000, 1 << 20, 2_200_000, 1 << 16
+#: Words that are written as numbers of a list that all tasks have, and how many each task proposes. Which ones are on it changes no result.
+COMMON, PROPOSED = 1 << 15, 1 << 13
 
 
 def packed(*arrays: np.ndarray) -> tuple:
-    """Arrays as compressed bytes. The bytes of one weight stand together."""
-    return tuple((a.dtype.str, len(a), pa.compress(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True)) for a in arrays)
+    """Arrays as compressed bytes. Of hashes (uint64) only the upper two bytes are, as others look random; of numbers the bytes of one weight stand together, upper ones that are all zero are left out."""
+    out = []
+    for a in arrays:
+        plain = a.view(np.uint8).reshape(len(a), 8)[:, :6].tobytes() if a.dtype == np.uint64 else b""
+        raw = (a >> np.uint64(48)).astype(np.uint16) if plain else a.view(f"u{a.itemsize}")
+        size = max(1, (int(raw.max(initial=0)).bit_length() + 7) // 8)
+        planes = [(raw >> raw.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(size)]
+        out.append((a.dtype.str, len(a), size, plain, pa.compress(b"".join(planes), codec="zstd", asbytes=True)))
+    return tuple(out)
 
 
 def unpacked(told: tuple) -> list[np.ndarray]:
     out = []
-    for kind, n, data in told:
-        size = np.dtype(kind).itemsize
-        raw = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind))
+    for kind, n, size, plain, rest in told:
+        planes = np.frombuffer(pa.decompress(rest, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+        x = np.zeros(n, np.uint16 if plain else f"u{np.dtype(kind).itemsize}")
+        for i, plane in enumerate(planes):
+            x |= plane.astype(x.dtype) << x.dtype.type(8 * i)
+        if plain:
+            whole = np.empty((n, 8), np.uint8)
+            whole[:, :6] = np.frombuffer(plain, np.uint8).reshape(n, 6)
+            whole[:, 6:] = x.view(np.uint8).reshape(n, 2)
+            x = whole.reshape(-1)
+        out.append(x.view(kind))
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def stream(texts: list[bytes | None], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
     """Ids of START, START, words, END of each text, one text after another, and where the texts begin."""
     ids, at = hasher(b"\n".join(t or b"" for t in texts))
@@ -92,8 +113,8 @@ def places_of(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inside)
 
 
-def frequent(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of tokens of ``rows`` (text: binary); contexts of one and two words with more tokens than the limit, sorted, and how many restaurants each has."""
+def frequent(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of tokens of ``rows`` (text: binary); contexts of one and two words with more tokens than the limit, sorted, and how many restaurants each has; common words, sorted."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         hasher = WordHasher()
@@ -103,18 +124,27 @@ def frequent(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             yield np.concatenate([ids[to - 1], pair_ids(ids[to - 2], ids[to - 1])])
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
+        n, words, times = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint64), np.zeros(0)
         for ids in contexts(batches):
             n += np.bincount((ids % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
-
-    counts = rows.select("text").mapInArrow(buckets, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+            own, seen = np.unique(ids[: len(ids) // 2], return_counts=True)
+            words, at = np.unique(np.concatenate([words, own]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, seen]))
+            if len(words) > 8 * PROPOSED:
+                most = np.argpartition(-times, 4 * PROPOSED)[: 4 * PROPOSED]
+                words, times = words[most], times[most]
+        most, at = np.argsort(-times, kind="stable")[:PROPOSED], np.flatnonzero(n)
+        columns = [False] * len(at) + [True] * len(most), np.concatenate([at, words[most].view(np.int64)]), np.concatenate([n[at], times[most].astype(np.int64)])
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["word", "at", "n"])
+
+    told = saved(rows.select("text").mapInArrow(buckets, "word boolean, at long, n long").groupBy("word", "at").agg(F.sum("n").alias("n")))
+    counts = told.where("not word").toPandas()
+    common = np.sort(told.where("word").orderBy(F.desc("n"), "at").limit(COMMON).toPandas()["at"].to_numpy(np.int64).view(np.uint64))
     total = int(counts["n"].sum()) // 2
     limit = max(LIMIT, total >> 17)
     heavy = counts.loc[counts["n"] > limit, "at"].to_numpy(np.uint64)
     if not len(heavy):
-        return total, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return total, np.zeros(0, np.uint64), np.zeros(0, np.uint64), common
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighty = np.zeros(BUCKETS, bool)
@@ -127,7 +157,7 @@ def frequent(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     words = rows.select("text").mapInArrow(exact, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > limit).toPandas()
     ids, n = words["at"].to_numpy(np.int64).view(np.uint64), words["n"].to_numpy()
     order = np.argsort(ids)
-    return total, ids[order], -(-n[order] // limit).astype(np.uint64)
+    return total, ids[order], -(-n[order] // limit).astype(np.uint64), common
 
 
 def split_contexts(far: np.ndarray, near: np.ndarray, row: np.ndarray, often: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +173,7 @@ def split_contexts(far: np.ndarray, near: np.ndarray, row: np.ndarray, often: np
     return far, near
 
 
-def dealt(batches: Iterator[pa.RecordBatch], parts: int, often: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def dealt(batches: Iterator[pa.RecordBatch], parts: int, often: np.ndarray, classes: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (part, blob) of the tokens of ``batches`` (row, doc_id, learn, text): farther word, nearer word or its class, word, row."""
     hasher, held, size = WordHasher(), [], 0
 
@@ -152,6 +182,7 @@ def dealt(batches: Iterator[pa.RecordBatch], parts: int, often: np.ndarray, clas
         named = [x for h in held for x in h[4]]
         held.clear()
         kinds, at = np.unique(flow, return_inverse=True)
+        at = at.astype(np.int32)
         to = places_of(flow, np.cumsum([0, *lengths]))
         far, near, word, key = at[to - 2], at[to - 1], at[to], kinds
         owner = np.repeat(np.arange(len(rows)), lengths)[to]
@@ -161,6 +192,8 @@ def dealt(batches: Iterator[pa.RecordBatch], parts: int, often: np.ndarray, clas
             extra, turn = np.unique(np.concatenate([c[h] for c, h in zip(changed, hot, strict=True)]), return_inverse=True)
             far[hot[0]], near[hot[1]] = len(kinds) + turn[: len(hot[0])], len(kinds) + turn[len(hot[0]) :]
             key = np.concatenate([kinds, extra])
+        spot = np.minimum(np.searchsorted(common, key), max(0, len(common) - 1))
+        known = common[spot] == key if len(common) else np.zeros(len(key), bool)
         part = (key % np.uint64(parts)).astype(np.int64)[near]
         ends = np.cumsum(lengths - 2) - 1
         order = np.argsort(part.astype(np.uint16) if parts <= 65536 else part, kind="stable")
@@ -169,18 +202,12 @@ def dealt(batches: Iterator[pa.RecordBatch], parts: int, often: np.ndarray, clas
         is_end[ends] = True
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             mine = order[a:b]
-            three = np.concatenate([far[mine], near[mine], word[mine]])
-            used, n = np.zeros(len(key), bool), len(mine)
-            used[three] = True
-            place = np.cumsum(used) - 1
-            local = place[three]
-            rank = np.argsort(-np.bincount(local), kind="stable")
-            turn = np.empty(len(rank), np.uint32)
-            turn[rank] = np.arange(len(rank), dtype=np.uint32)
-            local = turn[local]
+            n = len(mine)
+            own, local = used_of(np.concatenate([far[mine], near[mine], word[mine]]), known)
+            listed = own[known[own]]
             texts, row = np.unique(owner[mine], return_inverse=True)
             names = [named[i] for i in owner[mine[is_end[mine]]]]
-            blob = packed(key[used][rank], local[:n], local[n : 2 * n], local[2 * n :], np.diff(row, prepend=0).astype(np.uint32), np.diff(rows[texts], prepend=0), learn[texts].astype(np.uint8)), names
+            blob = packed(spot[listed].astype(np.uint32), key[own[len(listed) :]], local[:n], local[n : 2 * n], local[2 * n :], np.diff(row, prepend=0).astype(np.uint32), np.diff(rows[texts], prepend=0), learn[texts].astype(np.uint8)), names
             yield pa.RecordBatch.from_arrays([pa.array([int(part[mine[0]])], pa.int32()), pa.array([pickle.dumps(blob)], pa.binary())], ["part", "blob"])
 
     for b in _batches(batches):
@@ -198,6 +225,16 @@ def dealt(batches: Iterator[pa.RecordBatch], parts: int, often: np.ndarray, clas
     release()
 
 
+def used_of(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that ``at`` holds, those that are ``first`` before others and else frequent ones, and ``at`` as places among them."""
+    n = np.bincount(at, minlength=len(first))
+    kinds = np.flatnonzero(n)
+    kinds = kinds[np.lexsort((-n[kinds], ~first[kinds]))]
+    turn = np.zeros(len(first), np.uint32)
+    turn[kinds] = np.arange(len(kinds), dtype=np.uint32)
+    return kinds, turn[at]
+
+
 def log_partitions(discount: float, most: int) -> np.ndarray:
     """[c, t]: log of the weight of all seatings of c customers at t tables (generalised Stirling numbers)."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -243,39 +280,46 @@ def discount_of(customers: np.ndarray) -> float:
 
 
 class Restaurants:
-    """The restaurants of a partition, from tokens (far, near, word: places in ``ids``; row: place in ``rows``; learn of each row).
+    """The restaurants of a partition, from ``tokens`` (far, near, word: places in ``ids``; row) and whether each row is learned from.
 
     Types are distinct (near, far, word), pairs distinct (near, word). A type that isn't learned from has no customers.
     """
 
-    def __init__(self, ids: np.ndarray, far: np.ndarray, near: np.ndarray, word: np.ndarray, row: np.ndarray, learn: np.ndarray):
+    def __init__(self, ids: np.ndarray, tokens: list[np.ndarray], learn: np.ndarray):
         self.ids, self.learn = ids, learn
+        far, near, word, row = tokens
+        tokens.clear()
         bits = max(1, int(len(ids) - 1).bit_length())
-        key = near.astype(np.int64) << bits | far
+        key = near.astype(np.int64)
+        key <<= bits
+        key |= far
+        kinds = None
         if 3 * bits > 63:
             kinds, key = np.unique(key, return_inverse=True)
-            key = key << bits | word
-        else:
-            kinds, key = None, key << bits | word
+        key <<= bits
+        key |= word
+        del far, near, word
         order = np.argsort(key)
+        self.row = row[order].astype(np.int32)
+        del row
         key = key[order]
+        del order
         head = np.flatnonzero(np.diff(key, prepend=-1))
-        self.row = row[order].astype(np.int32)
-        self.type = (np.repeat(np.arange(len(head)), np.diff(head, append=len(key)))).astype(np.int32)
+        self.type = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(head, append=len(key)))
         self.count = np.add.reduceat(learn[self.row].astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
         key, mask = key[head], (1 << bits) - 1
         self.word = (key & mask).astype(np.int32)
-        context = key >> bits
-        near = (kinds[context] if kinds is not None else context) >> bits
-        self.context = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
-        pair = near << bits | self.word
-        order = np.argsort(pair)
-        head = np.flatnonzero(np.diff(pair[order], prepend=-1))
-        self.pair = np.empty(len(pair), np.int32)
-        self.pair[order] = np.repeat(np.arange(len(head)), np.diff(head, append=len(pair)))
-        pairs = pair[order][head]
-        self.pair_word = (pairs & mask).astype(np.int32)
-        self.pair_near = np.cumsum(np.diff(pairs >> bits, prepend=-1) != 0) - 1
+        key >>= bits
+        self.context = (np.cumsum(np.diff(key, prepend=-1) != 0) - 1).astype(np.int32)
+        key = (kinds[key] if kinds is not None else key) >> bits << bits | self.word
+        order = np.argsort(key)
+        key = key[order]
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        self.pair = np.empty(len(key), np.int32)
+        self.pair[order] = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(head, append=len(key)))
+        key = key[head]
+        self.pair_word = (key & mask).astype(np.int32)
+        self.pair_near = (np.cumsum(np.diff(key >> bits, prepend=-1) != 0) - 1).astype(np.int32)
         self.size = np.bincount(self.context, self.count, minlength=int(self.context[-1]) + 1) if len(self.context) else np.zeros(0)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -285,49 +329,52 @@ class Restaurants:
         at = np.flatnonzero(used)
         return at, np.bincount(self.word, self.count, minlength=len(self.ids))[at].astype(np.int64)
 
-    def sweeps(self, root: np.ndarray, seed: list[int], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """After each of ``most`` sweeps the probability of each type's word in its context, and the root's customers by place in ``ids``.
+    def sweeps(self, root: np.ndarray, seed: list[int], most: int) -> Iterator[tuple[Callable[[], np.ndarray], np.ndarray]]:
+        """After each of ``most`` sweeps a function that gives the probability of each type's word in its context, and the tables of each pair.
 
         ``root`` is the root's probability of each of ``ids``."""
         random = np.random.default_rng(seed)
-        t2 = np.minimum(self.count, 1)
-        d2 = discount_of(self.count)
         near = int(self.pair_near[-1]) + 1 if len(self.pair_near) else 0
         above = root[self.pair_word]
-        customers = np.bincount(self.pair, t2, minlength=len(self.pair_word)).astype(np.int64)
-        t1 = np.minimum(customers, 1)
+        again = np.flatnonzero(self.count > 1)
+        own, pair, context = self.count[again], self.pair[again], self.context[again]
+        t2, d2 = np.minimum(self.count, 1), discount_of(self.count)
+        customers, t1 = self._customers(t2)
+        p1 = self._shares(customers, t1, self.pair_near, np.bincount(self.pair_near, customers, minlength=near), d2, above)
         for _ in range(most):
-            d1 = discount_of(customers)
-            p1 = self._shares(customers, t1, self.pair_near, near, d1, above)
-            opened = np.bincount(self.context, t2, minlength=len(self.size))[self.context]
-            again = np.flatnonzero(self.count > 1)
-            t2[again] = tables_of(self.count[again], opened[again] - t2[again], p1[self.pair[again]], d2, random)
-            customers = np.bincount(self.pair, t2, minlength=len(self.pair_word)).astype(np.int64)
-            d1 = discount_of(customers)
+            opened = np.bincount(self.context, t2, minlength=len(self.size))[context]
+            t2[again] = tables_of(own, opened - t2[again], p1[pair], d2, random)
             opened = np.bincount(self.pair_near, t1, minlength=near)[self.pair_near] - t1
-            t1 = np.minimum(customers, 1)
-            again = np.flatnonzero(customers > 1)
-            t1[again] = tables_of(customers[again], opened[again], above[again], d1, random)
-            p1 = self._shares(customers, t1, self.pair_near, near, d1, above)
-            yield self._shares(self.count, t2, self.context, len(self.size), d2, p1[self.pair]), np.bincount(self.pair_word, t1, minlength=len(self.ids))
+            customers, t1 = self._customers(t2)
+            d1, more = discount_of(customers), np.flatnonzero(customers > 1)
+            t1[more] = tables_of(customers[more], opened[more], above[more], d1, random)
+            p1 = self._shares(customers, t1, self.pair_near, np.bincount(self.pair_near, customers, minlength=near), d1, above)
+            yield partial(self._shares, self.count, t2, self.context, self.size, d2, p1[self.pair]), t1
+
+    def _customers(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers of each pair, the ``tables`` of its types, and one table for each that has any."""
+        customers = np.bincount(self.pair, tables, minlength=len(self.pair_word)).astype(np.int64)
+        return customers, np.minimum(customers, 1)
 
     @staticmethod
-    def _shares(customers: np.ndarray, tables: np.ndarray, place: np.ndarray, places: int, discount: float, above: np.ndarray) -> np.ndarray:
-        """Probability of each dish in its restaurant (``place``): its tables' share, and the parent's (``above``)."""
-        n, t = np.bincount(place, customers, minlength=places)[place], np.bincount(place, tables, minlength=places)[place]
-        return (np.maximum(customers - discount * tables, 0) + (STRENGTH + discount * t) * above) / (STRENGTH + n)
+    def _shares(customers: np.ndarray, tables: np.ndarray, place: np.ndarray, size: np.ndarray, discount: float, above: np.ndarray) -> np.ndarray:
+        """Probability of each dish in its restaurant (``place``, of ``size`` customers): its tables' share, and the parent's (``above``)."""
+        whole = STRENGTH + size
+        left = (STRENGTH + discount * np.bincount(place, tables, minlength=len(size))) / whole
+        return np.maximum(customers - discount * tables, 0) / whole[place] + left[place] * above
 
 
-def _gathered(part: Iterator[tuple]) -> tuple[Restaurants, np.ndarray, list, dict[int, np.ndarray]]:
+def _gathered(part: Iterator[tuple], common: np.ndarray) -> tuple[Restaurants, np.ndarray, list, dict[int, np.ndarray]]:
     """The restaurants of a partition, its rows' numbers, (row, doc_id) of the texts that end here, and what the root has sent."""
     own, sent = [], {}
     for _, told in part:
         if isinstance(told, bytes):
             arrays, names = pickle.loads(told)  # noqa: S301  made by dealt()
-            own.append((*unpacked(arrays), names))
+            listed, others, *rest = unpacked(arrays)
+            own.append((np.concatenate([common[listed], others]), *rest, names))
         else:
             sent[told[0]] = told[1]
-    ids = np.unique(np.concatenate([o[0] for o in own])) if own else np.zeros(0, np.uint64)
+    ids = distinct(np.concatenate([o[0] for o in own])) if own else np.zeros(0, np.uint64)
     columns, rows, learn, ended, base = [[], [], [], []], [], [], [], 0
     for kinds, far, near, word, row, texts, mark, names in own:
         to = np.searchsorted(ids, kinds).astype(np.int32)
@@ -341,10 +388,12 @@ def _gathered(part: Iterator[tuple]) -> tuple[Restaurants, np.ndarray, list, dic
         rows.append(texts)
         learn.append(mark.astype(bool))
         base += len(texts)
-    del own
-    whole = [np.concatenate(c) if c else np.zeros(0, np.int32) for c in columns]
+    own.clear()
+    for i, c in enumerate(columns):
+        columns[i] = np.concatenate(c) if c else np.zeros(0, np.int32)
+        c.clear()
     every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return Restaurants(ids, *whole, np.concatenate(learn) if learn else np.zeros(0, bool)), every, ended, sent
+    return Restaurants(ids, columns, np.concatenate(learn) if learn else np.zeros(0, bool)), every, ended, sent
 
 
 def _root(r: Restaurants, at: np.ndarray, sent: dict[int, np.ndarray], owner: np.ndarray, known: dict | None) -> tuple[np.ndarray, np.ndarray]:
@@ -363,15 +412,15 @@ def _root(r: Restaurants, at: np.ndarray, sent: dict[int, np.ndarray], owner: np
     return root, count
 
 
-def swept(number: int, part: Iterator[tuple], parts: int, known: dict | None, round_: int) -> Iterator[tuple]:
+def swept(number: int, part: Iterator[tuple], parts: int, common: np.ndarray, known: dict | None, round_: int) -> Iterator[tuple]:
     """(q, (number, ids, counts, customers)): the words of partition ``number`` for the root's shares q after a round."""
-    r, _, _, sent = _gathered(part)
+    r, _, _, sent = _gathered(part, common)
     if len(r.ids):
         at, count = r.words()
         owner = (mixed(r.ids[at].copy()) % np.uint64(parts)).astype(np.int64)
         root, _ = _root(r, at, sent, owner, known)
-        *_, (_, customers) = r.sweeps(root, [SEED, round_, number], BURN)
-        customers = customers[at].astype(np.int64)
+        *_, (_, tables) = r.sweeps(root, [SEED, round_, number], BURN)
+        customers = np.bincount(r.pair_word, tables, minlength=len(r.ids))[at].astype(np.int64)
         for q in np.unique(owner):
             mine = owner == q
             yield int(q), (number, packed(r.ids[at[mine]], count[mine], customers[mine]))
@@ -396,17 +445,17 @@ def answered(q: int, part: Iterator[tuple]) -> Iterator[tuple]:
     return ((number, (q, told)) for number, told in totalled(part) if number is not None)
 
 
-def priced(number: int, part: Iterator[tuple], parts: int, known: dict) -> Iterator[tuple]:
+def priced(number: int, part: Iterator[tuple], parts: int, common: np.ndarray, known: dict) -> Iterator[tuple]:
     """(share of the rows, sums by row) of the tokens of a partition under the kept seatings."""
-    r, rows, ended, sent = _gathered(part)
+    r, rows, ended, sent = _gathered(part, common)
     if len(r.ids):
         at, _ = r.words()
         owner = (mixed(r.ids[at].copy()) % np.uint64(parts)).astype(np.int64)
         root, count = _root(r, at, sent, owner, known)
-        p = sum(p for i, (p, _) in enumerate(r.sweeps(root, [SEED, ROUNDS, number], BURN + KEPT)) if i >= BURN) / KEPT
+        p = sum(p() for i, (p, _) in enumerate(r.sweeps(root, [SEED, ROUNDS, number], BURN + KEPT)) if i >= BURN) / KEPT
         base = np.log10((count + 0.1) / known["whole"])
-        word, own = r.word[r.type], r.row
-        sums = [np.bincount(own, w, len(rows)) for w in (None, (count > 0)[word].astype(float), base[word], np.log10(p)[r.type])]
+        word, own, p = r.word[r.type], r.row, np.log10(p)
+        sums = [np.bincount(own, minlength=len(rows)), *[np.bincount(own, w[at], len(rows)) for w, at in ((count > 0, word), (base, word), (p, r.type))]]
         # a row may stand in several of the partition's blobs
         kinds, place = np.unique(rows, return_inverse=True)
         sums = [np.bincount(place, s, len(kinds)) for s in sums]
@@ -455,17 +504,17 @@ def evaluate(docs: DataFrame, learn: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("binary").alias("text"))
-    total, often, classes = frequent(rows)
+    total, often, classes, common = frequent(rows)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
-    tokens = rows.mapInArrow(partial(dealt, parts=parts, often=often, classes=classes), "part int, blob binary").rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts, int)
+    tokens = rows.mapInArrow(partial(dealt, parts=parts, often=often, classes=classes, common=common), "part int, blob binary").rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts, int)
     told, known = None, None
     for round_ in range(ROUNDS):
-        asked = _met(tokens, told).mapPartitionsWithIndex(_numbered(swept, parts=parts, known=known, round_=round_)).partitionBy(parts, int)
+        asked = _met(tokens, told).mapPartitionsWithIndex(_numbered(swept, parts=parts, common=common, known=known, round_=round_)).partitionBy(parts, int)
         sums = asked.mapPartitions(totalled).filter(lambda x: x[0] is None).map(lambda x: x[1]).collect()
         count, types, customers, kinds, once, twice = reduce(np.add, sums, np.zeros(6, np.int64)).tolist()
         known = {"discount": float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95)) if kinds else 0.0, "customers": customers, "kinds": kinds, "whole": count + 0.1 * (types + 1)}
         told = asked.mapPartitionsWithIndex(answered).partitionBy(parts, int)
-    found = _met(tokens, told).mapPartitionsWithIndex(_numbered(priced, parts=parts, known=known)).partitionBy(parts, int).mapPartitions(summed)
+    found = _met(tokens, told).mapPartitionsWithIndex(_numbered(priced, parts=parts, common=common, known=known)).partitionBy(parts, int).mapPartitions(summed)
     out = spark.createDataFrame(found, "doc_id long, n_tokens long, n_known long, base_score double, score double", verifySchema=False)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(count).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -474,7 +523,7 @@ def _numbered(each: Callable, **fixed: object) -> Callable:
     return lambda number, part: each(number, part, **fixed)
 
 
-def perplexity(scored: DataFrame) -> Column:
+def perplexity() -> Column:
     """Aggregate over scored rows: 10 to the mean negative score of a token."""
     return F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens"))
 
