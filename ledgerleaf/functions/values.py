@@ -63,9 +63,14 @@ def city_state_zip(address: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double in plain decimal notation: whole numbers without a point, others with up to six places and no trailing zeros."""
-    plain = x.cast("decimal(38,6)").cast("string")
-    return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(plain, r"\.?0+$", ""))
+    """A double as text: whole numbers without a point, others with the fewest digits that tell them apart, below 0.0001 with an exponent."""
+    shortest = x.cast("string")
+    plain = F.regexp_replace(shortest.try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+    # 5.0E-7 is written 5e-07
+    part, power = F.split_part(shortest, F.lit("E-"), F.lit(1)), F.split_part(shortest, F.lit("E-"), F.lit(2))
+    small = F.concat(F.regexp_replace(part, r"\.0$", ""), F.lit("e-"), F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(odd.isNotNull(), odd).when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).when((F.abs(x) < 1e-4) & shortest.contains("E-"), small).otherwise(plain)
 
 
 def percent_text(x: Column) -> Column:

@@ -10,7 +10,7 @@ from ledgerleaf.plans.catalog import OTHER, OWN
 
 
 def rules(record: Column) -> dict[str, Column]:
-    """Value of each rule for a record of the extraction contract (personal, addresses, business, checkboxes_and_questions)."""
+    """Value of each rule, whose names are fixed values, for a record of the extraction contract (personal, addresses, business, checkboxes_and_questions)."""
     pa, home = record["personal"]["primary_applicant"], record["addresses"]["current_residence"]
     firm, asked = record["business"]["primary_business"], record["checkboxes_and_questions"]
     name = V.full_name(pa["name"])
@@ -56,19 +56,36 @@ def merge_suggestions(ruled: DataFrame, model: DataFrame) -> DataFrame:
     return both.select(*keys, F.when(told, F.col("model_value")).otherwise(F.col("rule_value")).alias("value"), F.when(told, "model").otherwise("rule").alias("method"))
 
 
-def fallback_result(filled: DataFrame, fields: DataFrame) -> DataFrame:
-    """(app_id, form_id, completion, confidence, method) of rule values alone: filled of all fields in percent; 0.8 for each filled field."""
+def _each_form(applications: DataFrame, forms: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``applications`` with each of ``forms`` (form_id, ...), a catalog that is broadcast as one row."""
+    listed = forms.agg(F.collect_list(F.struct(*forms.columns)).alias("_forms")).withColumn("_one", F.lit(1))
+    rows = applications.select(*keep).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one")
+    return rows.select(*keep, F.explode("_forms").alias("_f")).select(*keep, "_f.*")
+
+
+def fallback_result(filled: DataFrame, fields: DataFrame, applications: DataFrame) -> DataFrame:
+    """(app_id, form_id, completion, confidence, method, error) of rule values alone, for each of ``applications`` (app_id, error) and each form.
+
+    completion is the percentage of all fields that are filled, 0 where none is; confidence is that of each filled field, null
+    where there is none; error says why the model's answer is missing.
+    """
     total = fields.groupBy("form_id").agg(F.count("*").alias("total"))
-    done = filled.groupBy("app_id", "form_id").agg(F.count("*").alias("n"))
-    return done.join(total, "form_id").select("app_id", "form_id", F.when(F.col("total") > 0, F.col("n") / F.col("total") * 100).otherwise(0.0).alias("completion"), F.lit(0.8).alias("confidence"), F.lit("deterministic_fallback").alias("method"))
+    done = filled.where("value <> ''").groupBy("app_id", "form_id").agg(F.count("*").alias("n"))
+    every = _each_form(applications, total, "app_id", "error").join(done, ["app_id", "form_id"], "left")
+    n = F.coalesce("n", F.lit(0))
+    told = F.concat(F.lit("LLM mapping failed, using deterministic mapping: "), F.coalesce("error", F.lit("")))
+    return every.select("app_id", "form_id", (n / F.col("total") * 100).alias("completion"), F.when(n > 0, 0.8).alias("confidence"), F.lit("deterministic_fallback").alias("method"), told.alias("error"))
 
 
-def completion(filled: DataFrame, fields: DataFrame) -> DataFrame:
-    """(app_id, form_id, completion, missing): percent of the required fields that are filled, and the names of the others, sorted."""
-    need = fields.where("required").groupBy("form_id").agg(F.array_sort(F.collect_set("field_name")).alias("need"))
+def completion(filled: DataFrame, fields: DataFrame, applications: DataFrame) -> DataFrame:
+    """(app_id, form_id, completion, missing) for each of ``applications`` (app_id) and each form: percent of the required fields that are
+    filled, and the names of the others, sorted. A form without required fields is complete."""
+    need = fields.groupBy("form_id").agg(F.array_sort(F.collect_set(F.when(F.col("required"), F.col("field_name")))).alias("need"))
     have = filled.where("value <> ''").groupBy("app_id", "form_id").agg(F.collect_set("field_name").alias("have"))
-    missing = F.array_except("need", "have")
-    return have.join(need, "form_id").select("app_id", "form_id", ((1 - F.size(missing) / F.size("need")) * 100).alias("completion"), missing.alias("missing"))
+    every = _each_form(applications, need, "app_id").join(have, ["app_id", "form_id"], "left")
+    missing = F.array_except("need", F.coalesce("have", F.array().cast("array<string>")))
+    share = F.when(F.size("need") == 0, 100.0).otherwise((1 - F.size(missing) / F.size("need")) * 100)
+    return every.select("app_id", "form_id", share.alias("completion"), missing.alias("missing"))
 
 
 def with_provenance(leaves: DataFrame, key: str = "app_id") -> DataFrame:

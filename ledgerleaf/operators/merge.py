@@ -7,69 +7,72 @@ the top. Objects merge key by key; lists are replaced. A falsy value enters only
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.values import truthy_json
+from ledgerleaf.session import saved
 
-#: Levels of keys that are told apart; what lies deeper stays one value.
-LEVELS = 6
 
+def levels_of(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> list[DataFrame]:
+    """The keys of the JSON objects in ``payload`` (VARIANT), a frame for each level, as deep as they go: (``key``, ``order``, path, object, empty, value, v).
 
-def flatten_levels(batches: DataFrame, key: str = "app_id", order: str = "batch_ord", levels: int = LEVELS) -> DataFrame:
-    """(``key``, ``order``, path, depth, object, empty, value): every key of the JSON objects in ``payload`` (VARIANT).
-
-    value is JSON text; of an object only whether it is empty counts.
+    value is JSON text, null for an object with content; v is the object. Each level is made from the objects of the one before,
+    once, and saved, so the work follows the number of keys.
     """
     spark = batches.sparkSession
     level = batches.select(key, order, F.array().cast("array<string>").alias("path"), F.col("payload").alias("v"))
-    out = []
-    for depth in range(1, levels + 1):
+    out: list[DataFrame] = []
+    while True:
         level = spark.sql(f"SELECT d.`{key}`, d.`{order}`, array_append(d.path, t.key) AS path, t.value AS v FROM {{d}} AS d, LATERAL variant_explode(d.v) AS t", d=level)
-        if depth == 1:
+        if not out:
             level = level.where(~F.startswith(F.get("path", F.lit(0)), F.lit("_")))
         kind = F.schema_of_variant("v")
-        told = level.withColumn("object", kind.startswith("OBJECT") & F.lit(depth < levels)).withColumn("empty", kind == "OBJECT<>").withColumn("value", F.to_json("v"))
-        out.append(told.select(key, order, "path", F.lit(depth).alias("depth"), "object", "empty", "value"))
-        level = told.where("object").select(key, order, "path", "v")
-    return reduce(DataFrame.unionByName, out)
+        told = level.withColumn("object", kind.startswith("OBJECT")).withColumn("empty", kind == "OBJECT<>")
+        full = F.col("object") & ~F.col("empty")
+        told = saved(told.select(key, order, "path", "object", "empty", F.when(~full, F.to_json("v")).alias("value"), F.when(full, F.col("v")).alias("v")))
+        out.append(told)
+        level = told.where("object and not empty").select(key, order, "path", "v")
+        if level.isEmpty():
+            return out
+
+
+def flatten_levels(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
+    """(``key``, ``order``, path, depth, object, empty, value): every key of the JSON objects in ``payload`` (VARIANT), at any depth; value is null for an object with content."""
+    return reduce(DataFrame.unionByName, [x.drop("v").withColumn("depth", F.lit(n)) for n, x in enumerate(levels_of(batches, key, order), 1)])
 
 
-def deep_merge(batches: DataFrame, key: str = "app_id", order: str = "batch_ord", levels: int = LEVELS) -> DataFrame:
+def deep_merge(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
     """(``key``, path, value): the leaves of each application's merged record, for records where a path is always an object (or null) or never.
 
     An object is placed by the first batch that holds it with content, or empty where its parent is placed; a falsy leaf counts
-    only from the batch that placed its parent. Each level is one aggregate and one join by application and path.
+    only from the batch that placed its parent. Each level, however deep, is one aggregate and one join by application and path.
     """
-    flat = flatten_levels(batches, key, order, levels)
-    objects = flat.where("object").select(key, "path").distinct()
-    leaves = flat.where("not object").join(objects, [key, "path"], "left_anti").withColumn("truthy", truthy_json(F.col("value")))
-    first = Window.partitionBy(key, "path")
-    placed: DataFrame | None = None
-    for depth in range(1, levels):
-        own = flat.where(F.col("object") & (F.col("depth") == depth)).select(key, order, "path", "empty")
-        if depth == 1:
-            own = own.withColumn("_first", F.min(order).over(first)).where(f"not empty or `{order}` = _first")
-        else:
-            parents = placed.select(F.col(key), F.col("path").alias("_parent"), F.col("intro").alias("_intro"))
-            own = own.withColumn("_parent", F.slice("path", 1, depth - 1)).join(parents, [key, "_parent"], "left").where(f"not empty or `{order}` = _intro")
-        here = own.groupBy(key, "path").agg(F.min(order).alias("intro"))
-        placed = here if placed is None else placed.unionByName(here)
-    top = leaves.where("depth = 1").groupBy(key, "path").agg(F.coalesce(F.min_by("value", F.when(F.col("truthy"), F.col(order))), F.min_by("value", order)).alias("value"))
-    parents = placed.select(F.col(key), F.col("path").alias("_parent"), "intro")
-    below = leaves.where("depth > 1").withColumn("_parent", F.slice("path", F.lit(1), F.size("path") - 1)).join(parents, [key, "_parent"], "left")
-    last = F.coalesce(F.max_by("value", F.when(F.col("truthy"), F.col(order))), F.max(F.when(F.col(order) == F.col("intro"), F.col("value"))))
-    below = below.groupBy(key, "path").agg(last.alias("value")).where("value is not null")
-    return top.unionByName(below)
-
-
-def rebuilt(leaves: DataFrame, key: str = "app_id", levels: int = LEVELS) -> DataFrame:
+    out, placed = [], None
+    for depth, level in enumerate(levels_of(batches, key, order), 1):
+        rows = level.drop("v").withColumn("_parent", F.slice("path", 1, depth - 1))
+        if placed is not None:
+            rows = rows.join(placed, [key, "_parent"], "left")
+        truthy = truthy_json(F.col("value"))
+        told = rows.groupBy(key, "path").agg(
+            F.bool_or("object").alias("object"), F.min(F.when(F.col("object") & ~F.col("empty"), F.col(order))).alias("full"),
+            *([F.min(F.when(F.col("object"), F.col(order))).alias("first"), F.coalesce(F.min_by("value", F.when(truthy, F.col(order))), F.min_by("value", order)).alias("value")] if placed is None else
+              [F.min(F.when(F.col("object") & (F.col(order) == F.col("intro")), F.col(order))).alias("first"), F.coalesce(F.max_by("value", F.when(truthy, F.col(order))), F.max(F.when(F.col(order) == F.col("intro"), F.col("value")))).alias("value")]),
+        )
+        told = saved(told)
+        out.append(told.where("not object and value is not null").select(key, "path", "value"))
+        placed = told.where("object").select(key, F.col("path").alias("_parent"), F.least("full", "first").alias("intro"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def rebuilt(leaves: DataFrame, key: str = "app_id") -> DataFrame:
     """(``key``, record): the leaves put together as one JSON text for each application, keys in order; an object without a leaf doesn't show."""
-    rows = leaves
-    for depth in range(levels, 0, -1):
+    rows = saved(leaves)
+    for depth in range(rows.agg(F.max(F.size("path"))).first()[0] or 0, 0, -1):
         deep = F.size("path") == depth
         pair = F.concat(F.to_json(F.array(F.element_at("path", -1))), F.lit(":"), F.col("value"))
         text = F.regexp_replace(pair, r'^\[("(?:[^"\\]|\\.)*")\]:', "$1:")
@@ -79,32 +82,51 @@ def rebuilt(leaves: DataFrame, key: str = "app_id", levels: int = LEVELS) -> Dat
     return rows.select(key, F.col("value").alias("record"))
 
 
-def folded(records: list[dict]) -> dict:
-    """The same merge of one application's records, one after another, whatever the kinds of its values."""
+def fold_into(old: dict, new: dict, top: bool = True) -> dict:
+    """``old`` with ``new`` merged into it, whatever the kinds of their values."""
+    for k, v in new.items():
+        if top and k.startswith("_"):
+            continue
+        if isinstance(old.get(k), dict) and isinstance(v, dict):
+            fold_into(old[k], v, False)
+        elif (top and k not in old) or (v and not (top and old.get(k))):
+            old[k] = v
+    return old
 
-    def into(old: dict, new: dict, top: bool) -> dict:
-        for k, v in new.items():
-            if top and k.startswith("_"):
-                continue
-            if isinstance(old.get(k), dict) and isinstance(v, dict):
-                into(old[k], v, False)
-            elif (top and k not in old) or (v and not (top and old.get(k))):
-                old[k] = v
-        return old
 
-    return reduce(lambda old, new: into(old, new, True), records, {})
+def folded(records: list[dict]) -> dict:
+    """The same merge of one application's records, one after another."""
+    return reduce(fold_into, records, {})
 
 
 def deep_merge_exact(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
-    """(``key``, record): the merge as JSON text, for records where a path may change its kind. One application's batches meet in one task."""
-
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        texts = group.sort_values(order)["text"]
-        return pd.DataFrame({key: group[key].iloc[:1], "record": [json.dumps(folded([json.loads(t) for t in texts]), sort_keys=True, separators=(",", ":"), ensure_ascii=False)]})
+    """(``key``, record): the merge as JSON text, for records where a path may change its kind.
 
-    kind = batches.schema[key].dataType.simpleString()
+    The batches of an application are folded one after another as they pass in their order; a task holds one merged record at a time.
+    """
     rows = batches.select(key, order, F.to_json("payload").alias("text")).where("text is not null")
-    return rows.groupBy(key).applyInPandas(each, f"{key} {kind}, record string")
+    schema = rows.select(key, F.col("text").alias("record")).schema
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def out(done: list) -> pa.RecordBatch:
+            texts = [json.dumps(r, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for _, r in done]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), pa.array(texts, pa.string())], [key, "record"])
+
+        for b in parts:
+            kind = b.column(key).type
+            for k, text in zip(b.column(key).to_pylist(), b.column("text").to_pylist(), strict=True):
+                if not held or held[-1][0] != k:
+                    held.append((k, {}))
+                fold_into(held[-1][1], json.loads(text))
+            if len(held) > 1:
+                yield out(held[:-1])
+                held = held[-1:]
+        if held:
+            yield out(held)
+
+    return rows.repartition(key).sortWithinPartitions(key, order).select(key, "text").mapInArrow(each, schema)
 
 
 def fill_report(filled: DataFrame, key: str = "app_id") -> DataFrame:
@@ -144,9 +166,9 @@ def coverage(filled: DataFrame, key: str = "app_id") -> DataFrame:
 
 
 def application_summary(filled: DataFrame) -> DataFrame:
-    """(app_id, form_id, fields, filled, completion), with a total for each application (form_id null) and for all."""
+    """(app_id, form_id, forms, fields, filled, completion), with a total for each application (form_id null) and for all; forms is how many were processed."""
     there = F.coalesce(F.col("value") != "", F.lit(False))
-    return filled.rollup("app_id", "form_id").agg(F.count("*").alias("fields"), F.count_if(there).alias("filled"), (F.count_if(there) / F.count("*") * 100).alias("completion"))
+    return filled.rollup("app_id", "form_id").agg(F.count_distinct(F.struct("app_id", "form_id")).alias("forms"), F.count("*").alias("fields"), F.count_if(there).alias("filled"), (F.count_if(there) / F.count("*") * 100).alias("completion"))
 
 
 def run_summary(documents: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from ledgerleaf.functions.values import extension, first_of
 
 #: Keywords of form sections, in order.
 SECTIONS = {
-    "Personal Information": "name ssn social birth phone email address city state zip marital citizen".split(),
-    "Business Information": "business company ownership ein entity corporation llc partnership".split(),
-    "Financial Information": "asset liability income expense worth financial bank loan mortgage debt".split(),
+    "Personal Information": ["name", "ssn", "social", "birth", "phone", "email", "address", "city", "state", "zip", "marital", "citizen"],
+    "Business Information": ["business", "company", "ownership", "ein", "entity", "corporation", "llc", "partnership"],
+    "Financial Information": ["asset", "liability", "income", "expense", "worth", "financial", "bank", "loan", "mortgage", "debt"],
 }
 OTHER_SECTION = "Additional Information"
 RASTER = (".png", ".jpg", ".jpeg", ".bmp", ".tiff")

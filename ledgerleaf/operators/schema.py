@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerleaf.plans.catalog import JSON_TYPES, MODELS, SPARK_TYPES, TYPES
+from ledgerleaf.plans.catalog import JSON_TYPES, MODELS, SPARK_TYPES
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -26,8 +24,7 @@ def struct_type(model: str) -> StructType:
     """Spark type of a model's records; an unknown model is an error."""
     if model not in MODELS:
         raise KeyError(f"no model {model!r}; there are {', '.join(MODELS)}")
-    parts = [item.rstrip("*").split(":") for item in MODELS[model].split()]
-    return StructType.fromDDL(", ".join(f"{f} {SPARK_TYPES[TYPES[k]]}" for f, k in parts))
+    return StructType.fromDDL(", ".join(f"{field} {SPARK_TYPES[kind]}" for field, kind, *_ in MODELS[model]))
 
 
 def schema_docs(fields: DataFrame, include_optional: bool = True, note: str | None = None) -> DataFrame:
@@ -53,9 +50,15 @@ def combined(docs: DataFrame, models: list[str]) -> DataFrame:
 
 
 def validate(values: DataFrame, fields: DataFrame, model: str) -> DataFrame:
-    """Violations (record_id, field, rule) of long records ``values`` (record_id, field, value) against the catalog of ``model``: required, pattern, enum, email."""
+    """Violations (record_id, field, rule) of long records ``values`` (record_id, field, value) against the catalog of ``model``: required, pattern, enum, email.
+
+    A required field that a record doesn't have at all is a violation like one that is null or empty.
+    """
     rules = fields.where(F.col("model") == model).select("field", "required", "format", "pattern", "enum")
-    every = values.join(F.broadcast(rules), "field")
+    need = rules.where("required").agg(F.collect_list("field").alias("_need")).withColumn("_one", F.lit(1))
+    needed = values.select("record_id").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(need), "_one").select("record_id", F.explode("_need").alias("field"))
+    absent = needed.join(values.select("record_id", "field"), ["record_id", "field"], "left_anti").withColumn("value", F.lit(None).cast("string"))
+    every = values.select("record_id", "field", "value").unionByName(absent).join(F.broadcast(rules), "field")
     v, given = F.col("value"), F.coalesce(F.col("value") != "", F.lit(False))
     broken = F.when(F.col("required") & ~given, "required").when(given & F.col("pattern").isNotNull() & ~F.regexp_like(v, F.col("pattern")), "pattern")
     broken = broken.when(given & F.col("enum").isNotNull() & ~F.array_contains(F.col("enum"), v), "enum").when(given & (F.col("format") == "email") & ~v.rlike(EMAIL), "email")
@@ -88,4 +91,4 @@ def unpivoted(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def required_names(model: str) -> list[str]:
-    return reduce(lambda out, item: [*out, item.split(":")[0]] if item.endswith("*") else out, MODELS[model].split(), [])
+    return [field for field, _, need, _ in MODELS[model] if need]

@@ -12,14 +12,14 @@ from ledgerleaf.session import ship
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 VIEWS = {
     "files": """
-        SELECT doc_id, doc_id % 50 AS app_id, doc_id AS ord, text AS content, n_chars AS length, doc_id % 13 AS pages, CAST(doc_id % 9 AS DOUBLE) AS seconds,
+        SELECT doc_id, CAST(floor(doc_id / 20.0) AS BIGINT) AS app_id, doc_id AS ord, text AS content, n_chars AS length, doc_id % 13 AS pages, CAST(doc_id % 9 AS DOUBLE) AS seconds,
             source || '/' || CASE doc_id % 6 WHEN 0 THEN 'PFS' WHEN 1 THEN 'debt_schedule' WHEN 2 THEN 'sba_form' WHEN 3 THEN 'tax' WHEN 4 THEN 'Return' ELSE 'note' END
             || '_' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.PNG' WHEN 3 THEN '.txt' ELSE '.pdf' END AS path
         FROM {documents}""",
     "registry": """
-        SELECT f.content, 'file-' || CAST(doc_id % 400 AS STRING) AS file_id, f.path AS name, f.path, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE f.length END AS size,
+        SELECT CASE WHEN doc_id % 2 = 0 THEN f.content ELSE f.content || ' (draft)' END AS content, 'file-' || CAST(doc_id % 400 AS STRING) AS file_id, f.path AS name, f.path, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE f.length END AS size,
             'text/plain' AS mime_type, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(1000000 + doc_id * 1000 AS DOUBLE) END AS uploaded_at
-        FROM {files} AS f WHERE doc_id % 2 = 0""",
+        FROM {files} AS f""",
     "applicant": """
         SELECT c_custkey AS app_id,
             CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN '' ELSE 'Given' || CAST(c_custkey % 89 AS STRING) END AS first,
@@ -49,17 +49,17 @@ VIEWS = {
             CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey END AS x, o_orderkey % 3 = 0 AS flag, o_orderkey % 6 < 4 AS has_inner, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderpriority END AS inner_text
         FROM {orders}""",
     "annotation": """
-        SELECT p_partkey % 100 AS form_id, CAST(p_partkey % 7 AS INT) AS page, p_partkey AS ord,
-            CASE p_partkey % 6 WHEN 0 THEN '/Btn' WHEN 1 THEN 'Ch' WHEN 2 THEN '/Sig' WHEN 3 THEN '/Tx' WHEN 4 THEN '/Tx' END AS "FT",
+        SELECT CAST(floor(p_partkey / 20.0) AS BIGINT) AS form_id, CAST(p_partkey % 7 AS INT) AS page, p_partkey AS ord,
+            CASE WHEN floor(p_partkey / 20.0) % 10 = 9 THEN NULL WHEN p_partkey % 6 = 0 THEN '/Btn' WHEN p_partkey % 6 = 1 THEN 'Ch' WHEN p_partkey % 6 = 2 THEN '/Sig' WHEN p_partkey % 6 < 5 THEN '/Tx' END AS "FT",
             CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_brand || CASE p_partkey % 5 WHEN 0 THEN ' Date' WHEN 1 THEN ' real estate' WHEN 2 THEN ' company' WHEN 3 THEN ' loan' ELSE ' misc' END END AS "T",
             p_size % 4 AS "Ff", p_type
-        FROM {part} WHERE p_partkey % 100 < 90""",
+        FROM {part}""",
     "ledger": """
         SELECT o_custkey AS account, CAST(o_orderdate AS DATE) AS date, o_orderkey AS seq, CASE WHEN o_orderstatus = 'O' THEN CAST(round(o_totalprice) AS BIGINT) END AS deposit,
             CASE WHEN o_orderstatus <> 'O' THEN CAST(round(o_totalprice) AS BIGINT) END AS withdrawal
         FROM {orders}""",
     "debt": """
-        SELECT l_orderkey % 500 AS applicant, l_suppkey AS creditor, CAST(round(l_extendedprice) AS BIGINT) AS original_amount, CAST(floor(l_extendedprice / 2) AS BIGINT) AS current_balance,
+        SELECT CAST(floor(l_orderkey / 40.0) AS BIGINT) AS applicant, l_suppkey AS creditor, CAST(round(l_extendedprice) AS BIGINT) AS original_amount, CAST(floor(l_extendedprice / 2) AS BIGINT) AS current_balance,
             CAST(floor(l_extendedprice / 100) AS BIGINT) AS monthly_payment, CAST(round(l_tax * 100) AS BIGINT) AS interest_rate
         FROM {lineitem}""",
     "sheet": """

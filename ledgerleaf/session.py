@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +24,20 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(to))
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the configured checkpoint folder; one of our own only on a local master."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerleaf-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, lineage cut."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.session import saved
+
 MAPPING = "version string, mappings map<string,struct<source_field:string,type:string,transform:string,required:boolean>>, fields map<string,struct<field_type:string,required:boolean>>"
 
 
@@ -18,19 +22,25 @@ def write_json(df: DataFrame, folder: str, *by: str) -> None:
     df.write.mode("append").partitionBy(*by).json(folder) if by else df.write.mode("append").json(folder)
 
 
-def statistic(name: Column, value: Column) -> Column:
-    """``name: value``; values between 0 and 1 as percent."""
-    part = (value > 0) & (value < 1)
-    return F.concat(name, F.lit(": "), F.when(part, F.format_string("%.1f%%", value * 100)).otherwise(F.format_string("%.0f", value)))
+def percent_text(share: Column) -> Column:
+    return F.when(share.isNotNull(), F.format_string("%.2f%%", share * 100))
 
 
-def report_lines(documents: DataFrame, statistics: DataFrame, key: str = "app_id") -> DataFrame:
-    """(``key``, report): a header, a line for each of ``documents`` (doc_type, path) in path order, and one for each of ``statistics`` (name, value) by name."""
-    blocks = documents.groupBy(key).agg(F.array_sort(F.collect_list(F.concat("path", F.lit(" ["), F.coalesce("doc_type", F.lit("unknown")), F.lit("]")))).alias("docs"))
-    counts = statistics.groupBy(key).agg(F.array_sort(F.collect_list(statistic(F.col("name"), F.col("value")))).alias("stats"))
-    head = F.concat(F.lit("Summary of "), F.col(key).cast("string"))
-    lines = F.concat(F.array(head), F.coalesce("docs", F.array().cast("array<string>")), F.coalesce("stats", F.array().cast("array<string>")))
-    return blocks.join(counts, key, "full_outer").select(key, F.array_join(lines, "\n").alias("report"))
+def report_lines(runs: DataFrame, documents: DataFrame, statistics: DataFrame, key: str = "app_id") -> DataFrame:
+    """(``key``, report): the summary of each of ``runs`` (``key``, method, seconds), in a fixed layout.
+
+    A block for each of ``documents`` (``key``, name, doc_type, method, confidence) in the order of names; a line for each of
+    ``statistics`` (``key``, name, share, text) by name: floats come in share and are printed as percent, others in text as they
+    are. A report is one text, so it is as long as its run's documents need.
+    """
+    own = F.concat_ws("\n", F.concat(F.lit("### "), "name"), F.concat(F.lit("- Type: "), F.coalesce("doc_type", F.lit("unknown"))), F.concat(F.lit("- Method: "), "method"), F.concat(F.lit("- Confidence: "), percent_text(F.col("confidence"))), F.lit(""))
+    blocks = documents.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", own.alias("block")))), lambda x: x["block"]), "\n").alias("docs"))
+    line = F.concat(F.lit("- "), "name", F.lit(": "), F.coalesce(percent_text(F.col("share")), F.col("text")))
+    counts = statistics.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))), lambda x: x["line"]), "\n").alias("stats"))
+    head = F.concat_ws("\n", F.lit("# Document Extraction Results"), F.lit(""), F.concat(F.lit("**Processing Time**: "), F.format_string("%.2fs", "seconds")), F.concat(F.lit("**Method**: "), F.col("_method")), F.lit(""), F.lit("## Documents Processed"), F.lit(""))
+    report = F.concat_ws("\n", head, F.col("docs"), F.concat(F.lit("## Statistics\n\n"), F.col("stats"), F.lit("\n")))
+    every = runs.select(key, F.col("method").alias("_method"), "seconds").join(blocks, key, "left").join(counts, key, "left")
+    return every.select(key, report.alias("report"))
 
 
 def write_report(reports: DataFrame, folder: str) -> None:
@@ -60,14 +70,35 @@ def mapping_rows(files: DataFrame) -> DataFrame:
     return mapped.unionByName(own)
 
 
-def load_layouts(spark: SparkSession, folder: str, depth: int = 6) -> DataFrame:
-    """(layout, path, depth, value) of layout files: every leaf of their JSON, lists by position; role is the name it stands under."""
-    level = spark.read.option("wholetext", "true").text(folder).select(F.try_parse_json("value").alias("v"), F.lit("").alias("path"))
-    out = None
-    for n in range(1, depth + 1):
-        level = spark.sql("SELECT concat(d.path, '/', coalesce(t.key, cast(t.pos AS string))) AS path, t.value AS v FROM {d} AS d, LATERAL variant_explode(d.v) AS t", d=level)
-        nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)") & F.lit(n < depth)
-        leaves = level.where(~nested).select(F.split("path", "/").alias("p"), F.to_json("v").alias("value"), F.lit(n).alias("depth"))
-        out = leaves if out is None else out.unionByName(leaves)
-        level = level.where(nested)
-    return out.select(F.get("p", F.lit(1)).alias("layout"), F.array_join(F.slice("p", 3, 99), "/").alias("path"), F.get("p", F.size("p") - 1).alias("role"), "depth", "value")
+#: Names under which layouts list their fields and lines, and the roles of single texts.
+FIELD_LISTS, LINE_LIST = r"(^|_)fields$", "line_items"
+
+
+def load_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """(layout, section, subsection, ord, line, description, field, role) of layout files, at any depth.
+
+    Role is field for the items of lists whose names end in fields, line_item for those of line_items, total, subtotal or
+    calculation for single texts of these names (total with any word before it). subsection is the path below the section, joined by ``/``; ord counts from 0.
+    """
+    level = spark.read.option("wholetext", "true").text(folder).select(F.try_parse_json("value").alias("v"), F.array().cast("array<string>").alias("path"))
+    out = []
+    while True:
+        level = spark.sql("SELECT array_append(d.path, coalesce(t.key, cast(t.pos AS string))) AS path, t.value AS v FROM {d} AS d, LATERAL variant_explode(d.v) AS t", d=level)
+        level = saved(level.withColumn("nested", F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
+        out.append(level)
+        if level.where("nested").isEmpty():
+            break
+        level = level.where("nested").select("path", "v")
+    every = reduce(DataFrame.unionByName, out)
+    text = lambda p: F.try_variant_get("v", p, "string")
+    name, last = F.get("path", F.size("path") - 2), F.element_at("path", -1)
+    items = every.where(F.size("path") > 3).where(name.rlike(FIELD_LISTS) | (name == LINE_LIST)).where(last.rlike(r"^\d+$"))
+    items = items.select(F.slice("path", F.lit(1), F.size("path") - 2).alias("path"), last.cast("int").alias("ord"), text("$.line").alias("line"), F.coalesce(text("$.description"), text("$.label")).alias("description"),
+                         F.when(F.col("nested"), text("$.field")).otherwise(text("$")).alias("field"), F.when(name == LINE_LIST, "line_item").otherwise("field").alias("role"))
+    role = F.when(last == "subtotal", "subtotal").when(last == "calculation", "calculation").when(last.rlike(r"(^|_)total$"), "total")
+    single = every.where(~F.col("nested") & role.isNotNull() & (F.size("path") > 2))
+    nothing = F.lit(None).cast("string")
+    single = single.select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.lit(None).cast("int").alias("ord"), nothing.alias("line"), text("$").alias("description"), nothing.alias("field"), role.alias("role"))
+    rows = items.unionByName(single)
+    below = F.array_join(F.slice("path", F.lit(3), F.size("path")), "/")
+    return rows.select(F.get("path", F.lit(0)).alias("layout"), F.get("path", F.lit(1)).alias("section"), F.nullif(below, F.lit("")).alias("subsection"), "ord", "line", "description", "field", "role")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import struct
 import zlib
 
@@ -25,8 +26,9 @@ def one(spark, *columns):
 def test_dates_and_numbers(spark):
     dates = ["2024-02-30", "03/04/1970", "", None, "May 1980", "a/b", "12-3-4"]
     assert one(spark, *[V.format_date(F.lit(d).cast("string")).alias(f"c{i}") for i, d in enumerate(dates)]) == ("02/30/2024", "03/04/1970", None, None, "May 1980", "a/b", "12-3-4")
-    numbers = [0.0, 12345678.5, 5e-4, 1e9, -3.0]
-    assert one(spark, *[V.number_text(F.lit(x)).alias(f"c{i}") for i, x in enumerate(numbers)]) == ("0", "12345678.5", "0.0005", "1000000000", "-3")
+    numbers = [0.0, 12345678.5, 5e-4, 1e9, -3.0, 1.23456789, 5e-7, 1.5e-10, -2.5e-5, 0.1, 123456789.123, float("nan"), float("inf"), 1e15 + 0.5, 3.25e-101]
+    expected = tuple(str(int(x)) if math.isfinite(x) and x == int(x) else str(x) for x in numbers)
+    assert one(spark, *[V.number_text(F.lit(x)).alias(f"c{i}") for i, x in enumerate(numbers)]) == expected
     assert one(spark, V.money(F.lit("$1,500,000")), V.money(F.lit("n/a")), V.percent(F.lit("75%")), V.iso_date(F.lit("March 4, 2021")), V.dashed_id(F.lit("12-3456789"), (2, 7)), V.dashed_id(F.lit("123"), (3, 2, 4))) == (1500000.0, None, 75.0, "2021-03-04", "12-3456789", None)
 
 
@@ -64,6 +66,19 @@ def test_merge_cases(spark):
     assert set_based == exact
 
 
+def nested(depth, leaves):
+    return leaves if depth == 0 else {"a": nested(depth - 1, leaves)}
+
+
+def test_merge_and_counts_at_any_depth(spark):
+    cases = [[json.dumps(nested(8, {"x": 1})), json.dumps(nested(8, {"y": 2}))], [json.dumps(nested(12, {"x": 0, "y": [1]})), json.dumps(nested(3, {"b": 5}))]]
+    exact = {r[0]: json.loads(r[1]) for r in merge.deep_merge_exact(batches(spark, cases)).collect()}
+    assert rebuilt(spark, cases) == exact and exact[0] == nested(8, {"x": 1, "y": 2})
+    flat = merge.flatten_levels(batches(spark, [[json.dumps(nested(4, {"x": 1, "y": "a", "z": [0], "_h": 1, "n": {}}))]]))
+    assert flat.agg(F.max("depth")).first()[0] == 5
+    assert replies.count_data_points(flat.where("not object")).first().data_points == 3
+
+
 leaf = st.sampled_from([0, 1, 2, "", "a", "b", False, True, [], [1]])
 inner = st.dictionaries(st.sampled_from("xy"), leaf, max_size=2)
 record = st.fixed_dictionaries({}, optional={"s": leaf, "t": leaf, "p": st.fixed_dictionaries({}, optional={"u": leaf, "v": leaf, "q": inner}), "_m": leaf})
@@ -108,6 +123,7 @@ def test_routing_and_forms(spark):
     notes = [("f", 1, 1, "/Tx", "A", 2, None), ("f", 2, 1, "/Ch", "A", 0, ["x"]), ("f", 1, 2, None, "B", 3, None), ("f", 1, 3, "/Btn", "", 3, None), ("g", 1, 1, "/Tx", "birth date", 3, None)]
     fields = forms.fields_from_annotations(spark.createDataFrame(notes, "form_id string, page int, ord int, FT string, T string, Ff int, Opt array<string>"))
     assert {(r.form_id, r.field_name, r.field_type, r.required) for r in fields.collect()} == {("f", "A", "dropdown", False), ("g", "birth date", "date", True)}
+    assert [r.options for r in fields.orderBy("form_id").collect()] == [["x"], None]
     every = forms.with_fallback(spark.createDataFrame([("f",), ("h",)], "form_id string"), fields, catalog.common_fields(spark))
     assert every.where("form_id = 'h'").count() == 25
 
@@ -174,13 +190,51 @@ def test_sinks_and_mappings(spark, tmp_path):
     rows = {(r.form_id, r.pdf_field, r.source_field, r.version) for r in sinks.load_mappings(spark, str(tmp_path / "m")).collect()}
     assert rows == {("one", "A", "a", "2"), ("two", "C", "C", "1.0")}
     (tmp_path / "l").mkdir()
-    (tmp_path / "l/x.json").write_text('{"form": {"sections": [{"line": "1a"}, {"line": "1b"}]}}')
-    assert {(r.layout, r.path, r.value) for r in sinks.load_layouts(spark, str(tmp_path / "l")).collect()} == {("form", "sections/0/line", '"1a"'), ("form", "sections/1/line", '"1b"')}
+    layout = {"sheet": {"name": "Sheet", "assets_section": {"title": "ASSETS", "current": {"line_items": [{"line": "1a", "description": "Cash", "field": "cash"}, {"description": "Other", "field": "other"}], "subtotal": "Total Current"}, "total": "TOTAL"},
+                        "info": {"fields": ["ein", {"label": "Name:", "field": "name", "width": 200}], "font": "x"}, "net": {"a": {"b": {"c": {"d": {"income_fields": ["deep"], "calculation": "A - B", "final_total": "NET"}}}}}}}
+    (tmp_path / "l/x.json").write_text(json.dumps(layout))
+    found = {tuple(r) for r in sinks.load_layouts(spark, str(tmp_path / "l")).collect()}
+    assert found == {
+        ("sheet", "assets_section", "current", 0, "1a", "Cash", "cash", "line_item"), ("sheet", "assets_section", "current", 1, None, "Other", "other", "line_item"),
+        ("sheet", "assets_section", "current", None, None, "Total Current", None, "subtotal"), ("sheet", "assets_section", None, None, None, "TOTAL", None, "total"),
+        ("sheet", "info", None, 0, None, None, "ein", "field"), ("sheet", "info", None, 1, None, "Name:", "name", "field"), ("sheet", "net", "a/b/c/d", 0, None, None, "deep", "field"),
+        ("sheet", "net", "a/b/c/d", None, None, "A - B", None, "calculation"), ("sheet", "net", "a/b/c/d", None, None, "NET", None, "total"),
+    }
     df = spark.createDataFrame([(1, "t", "x")], "app_id int, doc_type string, v string")
     sinks.write_json(df, str(tmp_path / "out"), "doc_type", "app_id")
     assert spark.read.json(str(tmp_path / "out")).first().v == "x"
 
 
+def test_report(spark):
+    runs = spark.createDataFrame([(1, "hybrid", 12.5), (2, "hybrid", 0.0)], "app_id int, method string, seconds double")
+    docs = spark.createDataFrame([(1, "b.pdf", None, "ocr", 1.0), (1, "a.pdf", "pfs", "images", 0.0)], "app_id int, name string, doc_type string, method string, confidence double")
+    stats = spark.createDataFrame([(1, "success", 1.0, None), (1, "files", None, "2"), (1, "empty", 0.0, None)], "app_id int, name string, share double, text string")
+    found = {r.app_id: r.report for r in sinks.report_lines(runs, docs, stats).collect()}
+    assert found[1] == (
+        "# Document Extraction Results\n\n**Processing Time**: 12.50s\n**Method**: hybrid\n\n## Documents Processed\n\n### a.pdf\n- Type: pfs\n- Method: images\n- Confidence: 0.00%\n\n"
+        "### b.pdf\n- Type: unknown\n- Method: ocr\n- Confidence: 100.00%\n\n## Statistics\n\n- empty: 0.00%\n- files: 2\n- success: 100.00%\n"
+    )
+    assert found[2].endswith("## Documents Processed\n")
+
+
+def test_applications_without_values(spark):
+    """Every application gets a row for every form, also one of which nothing is filled, and forms without required fields."""
+    fields = spark.createDataFrame([(1, "A", True), (1, "B", True), (2, "C", False)], "form_id int, field_name string, required boolean")
+    filled = spark.createDataFrame([(7, 1, "A", "x"), (7, 1, "B", "")], "app_id int, form_id int, field_name string, value string")
+    apps = spark.createDataFrame([(7, "late"), (8, None)], "app_id int, error string")
+    found = {(r.app_id, r.form_id): (r.completion, r.confidence, r.error[-6:]) for r in mapping.fallback_result(filled, fields, apps).collect()}
+    assert found == {(7, 1): (50.0, 0.8, ": late"), (7, 2): (0.0, None, ": late"), (8, 1): (0.0, None, "ping: "), (8, 2): (0.0, None, "ping: ")}
+    done = {(r.app_id, r.form_id): (r.completion, r.missing) for r in mapping.completion(filled, fields, apps).collect()}
+    assert done == {(7, 1): (50.0, ["B"]), (7, 2): (100.0, []), (8, 1): (0.0, ["A", "B"]), (8, 2): (100.0, [])}
+    assert mapping.fallback_result(filled, fields, apps.limit(0)).count() == 0
+
+
+def test_absent_required_fields(spark):
+    values = spark.createDataFrame([(1, "ein", "12-3456789"), (2, "businessName", "x"), (2, "ein", "bad")], "record_id int, field string, value string")
+    found = {tuple(r) for r in schema.validate(values, catalog.model_fields(spark), "BusinessMetadata").collect()}
+    assert found == {(1, "businessName", "required"), (2, "ein", "pattern")}
+
+
 def test_stream_passes_each_content_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, body in (("a.pdf", b"1"), ("b.pdf", b"1"), ("c.pdf", b"2")):

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import math
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -51,3 +55,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_rest_stands_alone(tmp_path, pipeline):
+    """Without the training-data folder, and with or without corpus_pipeline.py, the other queries are still there."""
+    top = Path(__file__).parents[1]
+    shutil.copytree(top / "ledgerleaf", tmp_path / "ledgerleaf", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py") if pipeline else ("__spark_entry__.py",):
+        if (top / name).exists():
+            shutil.copy(top / name, tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()))"
+    told = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert told.returncode == 0, told.stderr
+    assert told.stdout.strip() == str(sorted(QUERIES))
