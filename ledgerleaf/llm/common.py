@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.session import ship
+from ledgerleaf.session import saved, shared_folder, ship
+
+__all__ = ["saved", "shared_folder", "ship"]
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch that are turned into Python values at once.
+#: Rows of an Arrow batch that are turned into Python values at once; texts of a whole batch would be held twice.
 ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,20 +36,6 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the configured checkpoint folder; one of our own only where none is."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerleaf-"))
-    return context.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The batches cut into smaller ones, for work that takes more room than its rows."""
     for b in batches:
@@ -58,7 +45,10 @@ def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def release() -> None:
-    """Hands the memory that a finished partition leaves in its Python worker back to the system, as workers live on into other stages."""
+    """Hands the memory that a finished partition leaves in its Python worker back to the system, as workers live on into other stages.
+
+    Without it each worker keeps the peak of every stage that it has served, beside the heap of its executor.
+    """
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
@@ -157,31 +147,44 @@ def _arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[kind]
 
 
+#: Neighbours from which on a node's rows take its label from a broadcast; a part of all edges, so that few nodes have as many.
+HUB, HUB_PART = 64, 4096
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: long) that reach a smaller one: component is the smallest.
 
     Alternates large-star and small-star rounds until the edge set stays the same; every round is one shuffle by node for each
-    star, and no neighbourhood is collected: a node meets its smallest neighbour through an aggregate and a join.
-    Null ends are ignored; repeated and self edges do no harm.
+    star, and no neighbourhood is collected: a node meets its smallest neighbour through an aggregate and a join. A node with a
+    4096th part of all edges (HUB at least) is a hub; there are at most 2 * 4096 of them, and their rows, of which a single task would get
+    all, meet their label in a broadcast instead. Null ends are ignored; repeated and self edges do no harm.
     """
 
     def signature(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.max("b")).first())
 
-    def large(e: DataFrame) -> DataFrame:
+    def labelled(rows: DataFrame, least: DataFrame, size: int) -> DataFrame:
+        """``rows`` with m of ``least`` (a, m, n)."""
+        hub = F.col("n") >= max(HUB, size // HUB_PART)
+        hubs = saved(least.where(hub).drop("n"))
+        if hubs.isEmpty():
+            return rows.join(least.drop("n"), "a")
+        return rows.join(F.broadcast(hubs), "a").unionByName(rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(~hub).drop("n"), "a"))
+
+    def large(e: DataFrame, size: int) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        return labelled(both.where("b > a"), least, size).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame, size: int) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        return down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        return labelled(down, least, size).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
 
     current = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = signature(current)
     while seen[0]:
-        current = saved(small(large(current)).where("a <> b").distinct())
+        current = saved(small(saved(large(current, seen[0]).distinct()), seen[0]).where("a <> b").distinct())
         now = signature(current)
         if now == seen:
             break
