@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.common import WordHasher, components, mixed, parts, release, saved
@@ -82,8 +82,12 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - 17)).astype(np.int64)
 
 
+def text_id(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, class, point) and one for each task with counts: occurrences of shingles by bucket."""
+    """Rows of documents (doc_id, text_id, n, class, point) and one for each task with counts: occurrences of shingles by bucket."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, counts = Shingler(), np.zeros(BUCKETS, np.int64)
@@ -91,10 +95,11 @@ def sketched(docs: DataFrame) -> DataFrame:
             sets = [shingler(t) for t in b["text"]]
             if sets:
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "class": [class_of(s) for s in sets], "point": [point_of(s) for s in sets], "counts": [None] * len(sets)})
-        yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "point": [None], "counts": [counts]}).astype({"n": "Int64", "class": "Int64"})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_id": b["text_id"], "n": [len(s) for s in sets], "class": [class_of(s) for s in sets], "point": [point_of(s) for s in sets], "counts": [None] * len(sets)})
+        yield pd.DataFrame({"doc_id": [None], "text_id": [0], "n": [None], "class": [None], "point": [None], "counts": [counts]}).astype({"n": "Int64", "class": "Int64"})
 
-    told = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(each, "doc_id string, n long, class long, point array<smallint>, counts array<long>")
+    told = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_id(F.col("text")).alias("text_id"), F.col("text").cast("binary").alias("text"))
+    told = told.mapInPandas(each, "doc_id string, text_id long, n long, class long, point array<smallint>, counts array<long>")
     return told.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -309,27 +314,44 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("class", F.col("text").cast("binary").alias("text")).mapInPandas(each, "class long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) → doc_id, n_shingles, component_id: one row for each input row.
+def classes_of(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) → doc_id, text_id, n, class, component: one row for each input row.
 
-    Texts of fewer than WORDS words have one shingle, their words; without words, or null, a text has none and links with nothing,
-    so its component is its own id. Texts with equal sets link. Rows with a repeated id share what that id reaches; null ids
-    neither become nor change a component's id. An empty table gives no rows.
+    n is the size of the shingle set. class names the set and component the classes that it reaches; both are null where n is 0.
+    Ids play no part in it: rows without one and rows that share one link by their texts like all others.
     """
     sketch = saved(sketched(docs))
-    rows = sketch.where("counts is null").select("doc_id", "n", "class")
-    heads = sketch.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"), F.first("point").alias("point"))
+    rows = sketch.where("counts is null").select("doc_id", "text_id", "n", "class")
+    heads = sketch.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("text_id").alias("head_text"), F.first("point").alias("point"))
     met = dealt(saved(territories(docs, _ranks(sketch)))).join(heads.select("class", "point"), "class")
     left = saved(together(met).mapInArrow(with_partner, "root long, class long").distinct())
-    heads = heads.drop("point")
-    wanted = saved(left.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("_head")))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    picked = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_head"))
-    sets = shingle_sets(picked)
+    wanted = saved(left.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("_head"), F.col("head_text").alias("_text")))
+    some = wanted.count()
+
+    def picked(texts: DataFrame, those: DataFrame, on: Column) -> DataFrame:
+        those = F.broadcast(those) if some <= BROADCAST_ROWS else those
+        return texts.join(those, on).select("class", "text")
+
+    texts = docs.select("doc_id", "text")
+    named = picked(texts, wanted.where("_head is not null"), F.col("doc_id") == F.col("_head"))
+    # a class of which no row has an id is met by the hash of one of its texts
+    nameless = picked(texts.where("doc_id is null"), wanted.where("_head is null"), text_id(F.col("text")) == F.col("_text"))
+    sets = shingle_sets(named.unionByName(nameless)).dropDuplicates(["class"]) if not wanted.where("_head is null").isEmpty() else shingle_sets(named)
     links = together(dealt(left).join(sets, "class")).mapInArrow(linked, "a long, b long")
     reached = components(links).select(F.col("node").alias("class"), "component")
-    told = heads.join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = told.groupBy("component").agg(F.min("head").alias("component_id"))
-    told = told.join(least, "component").select("class", "component_id")
-    out = rows.join(told, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(reached, "class", "left")
+    return out.select("doc_id", "text_id", "n", "class", F.coalesce("component", "class").alias("component"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) → doc_id, n_shingles, component_id: one row for each input row.
+
+    Texts of fewer than WORDS words have one shingle, their words; without words, or null, a text has none and links with nothing,
+    so its component is its own id. Texts with equal sets link. Rows with a repeated id each have what their own text reaches; null
+    ids link others but never become a component's id, which is null where all it holds have none. Texts of any length are read
+    whole. Other columns don't matter, whatever their names. An empty table gives no rows.
+    """
+    rows = classes_of(docs)
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
