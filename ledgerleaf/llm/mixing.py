@@ -1,11 +1,12 @@
 """Mixing of sources to target weights by a low-discrepancy schedule (DataFrame functions only).
 
-The words of each source are laid out in a shuffled order and cut into blocks of equal size: LEAST blocks at least, or one for each
-word. Slot t of the schedule takes the golden-ratio point frac((t + 1) / phi), which the cumulative targets map to a source; the
-r-th slot of a source takes its block r, beginning anew after the last one. Every prefix of the schedule then has nearly the target
-shares. A source has as many slots as its target has blocks; those that the points don't give it, for a small source all, are
-spread evenly over the schedule. Positions inside a source and ranks of slots are running sums over chunks whose totals are
-summed first, so that no source is ordered in one task.
+The words of each source are laid out in a shuffled order and cut into blocks of equal size, BLOCK words; a source too small for
+LEAST such blocks has smaller ones, down to one word. Slot t of the schedule takes the golden-ratio point frac((t + 1) / phi), which
+the cumulative targets map to a source; the source's next BLOCK words, one block or as many small ones as make them up, go there,
+beginning anew after the last one. Every prefix of the schedule then has nearly the target shares. A source has as many blocks in all
+as its target needs; those that the points don't give it are spread evenly over the schedule. Positions inside a source and ranks
+of slots are running sums over chunks that grow in number with the source, whose totals are summed first, so that no source is
+ordered in one task.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm.common import WORD, saved
 
-#: Most passes over a source; slots that the schedule aims at; most words of a block; cells of [0, 1) by which points meet sources; chunks of a source; slots of a chunk.
-MOST, SLOTS, BLOCK, CELLS, CHUNKS, RUN = 3, 1 << 21, 1024, 4096, 1024, 8192
+#: Most passes over a source; words of a block; cells of [0, 1) by which points meet sources; rows of a chunk; slots of a chunk; chunks that are summed at once.
+MOST, BLOCK, CELLS, CHUNK, RUN, FEW = 3, 256, 4096, 1024, 8192, 1024
 GOLDEN = 0.6180339887498949
 #: Fewest blocks of a source that has as many words.
 LEAST = 512
@@ -62,8 +63,7 @@ def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
     blocks = F.ceil(F.col("source_size") / block_words(block))
     own = goals.where("target > 0 and source_size > 0").withColumn("blocks", blocks)
     own = own.withColumn("ranks", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * MOST))
-    # the points are as dense as blocks of the full size
-    own = own.withColumn("fine", F.col("blocks") != F.ceil(F.col("source_size") / block)).select("no", "blocks", "ranks", "fine")
+    own = own.select("no", "blocks", "ranks", F.greatest(F.round(block / block_words(block)), F.lit(1)).cast("long").alias("each"))
     upto = F.sum("target").over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(Window.partitionBy())
     cuts = goals.withColumn("hi", upto).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("no")), F.lit(0.0)))
     last = F.col("no") == F.max("no").over(Window.partitionBy())
@@ -72,26 +72,38 @@ def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * CELLS))
     placed = points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "no", F.floor(F.col("slot") / RUN).alias("run"))
-    placed = placed.join(F.broadcast(own.where("not fine").select("no")), "no", "left_semi")
-    runs = placed.groupBy("no", "run").agg(F.count("*").alias("n"))
-    given = runs.groupBy("no").agg(F.sum("n").alias("given"))
-    runs = runs.select("no", "run", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.col("base") + F.row_number().over(Window.partitionBy("no", "run").orderBy("slot")) - 1
-    ranked = placed.join(runs, ["no", "run"]).select("slot", "no", rank.alias("rank"))
-    lacking = own.join(given, "no", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("ranks > given")
+    runs = running(placed.groupBy("no", "run").agg(F.count("*").alias("n")), "run", "n")
+    given = runs.groupBy("no").agg(F.sum("n").alias("points"))
+    runs = runs.select("no", "run", "base")
+    turn = F.col("base") + F.row_number().over(Window.partitionBy("no", "run").orderBy("slot")) - 1
+    ranked = placed.join(runs, ["no", "run"]).select("slot", "no", turn.alias("turn")).join(F.broadcast(own.select("no", "each")), "no")
+    ranked = ranked.select("slot", "no", F.explode(F.sequence(F.col("turn") * F.col("each"), (F.col("turn") + 1) * F.col("each") - 1)).alias("rank"))
+    lacking = own.join(given, "no", "left").withColumn("given", F.coalesce(F.col("points") * F.col("each"), F.lit(0))).where("ranks > given")
     lacking = lacking.withColumn("rank", F.explode(F.sequence(F.col("given"), F.col("ranks") - 1)))
     spread = F.floor((F.col("rank") - F.col("given") + 0.5) / (F.col("ranks") - F.col("given")) * slots)
     out = ranked.unionByName(lacking.select(spread.alias("slot"), "no", "rank")).join(F.broadcast(own), "no").where("rank < ranks")
     return out.select("slot", "no", F.floor(F.col("rank") / F.col("blocks")).alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block")).where(F.col("epoch") < MOST)
 
 
+def running(sums: DataFrame, order: str, value: str) -> DataFrame:
+    """``sums`` (no, ``order``: a number from 0 on, ``value``) with base, what comes before in the order of its no; FEW rows of the order are summed together first."""
+    before = lambda *by: F.coalesce(F.sum(value).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.floor(F.col(order) / FEW)
+    whole = sums.groupBy("no", part.alias("_part")).agg(F.sum(value).alias(value))
+    whole = whole.select("no", "_part", before("no", "_part").alias("_base"))
+    inside = sums.withColumn("_part", part).withColumn("_inside", before("no", "_part", order))
+    return inside.join(whole, ["no", "_part"]).withColumn("base", F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside")
+
+
 def laid_out(rows: DataFrame) -> DataFrame:
-    """``rows`` (row, doc_id, no, size) with start: the words of the same source that come before it in the shuffled order."""
-    mixed = F.xxhash64(F.lit("mix"), "doc_id")
-    r = rows.where("size > 0").withColumn("mixed", mixed).withColumn("chunk", F.pmod(F.shiftright("mixed", 40), F.lit(CHUNKS)))
-    sums = r.groupBy("no", "chunk").agg(F.sum("size").alias("words"))
-    sums = sums.select("no", "chunk", F.coalesce(F.sum("words").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("no", "chunk").orderBy("mixed", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    """``rows`` (row, doc_id, text_id, no, size) with start: the words of the same source that come before it in the shuffled order."""
+    mixed = F.xxhash64(F.lit("mix"), "doc_id", "text_id")
+    r = rows.where("size > 0").withColumn("mixed", mixed)
+    chunks = r.groupBy("no").agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
+    r = r.join(F.broadcast(chunks), "no").withColumn("chunk", F.pmod(F.shiftright("mixed", 20), F.col("_chunks"))).drop("_chunks")
+    sums = running(r.groupBy("no", "chunk").agg(F.sum("size").alias("words")), "chunk", "words").drop("words")
+    # rows that tie up to their text are equal in all that the result holds
+    inside = Window.partitionBy("no", "chunk").orderBy("mixed", "size", "text_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     return r.join(sums, ["no", "chunk"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
 
@@ -103,22 +115,23 @@ def pieces(rows: DataFrame, block: int) -> DataFrame:
     return out.select("row", "no", "block", words.alias("words"))
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) → row, doc_id, size, source, source_size, target, taken.
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), block: int = BLOCK) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) → row, doc_id, text_id, size, source, source_size, target, taken.
 
-    One row for each input row, repeated ids included. size: words of the text, 0 for a null or empty one, which is never taken.
-    taken: the document's words in all scheduled blocks, repeats counted; at most MOST times size. A null source is a source of
-    its own. The result depends on the rows' ids alone, so runs agree; rows with one id may swap places. An empty table gives none.
+    One row for each input row, repeated ids included. size: words of the text, 0 for a null or empty one, which is never taken; a
+    text of any length counts whole. taken: the document's words in all scheduled blocks, repeats counted; at most MOST times size.
+    A null source is a source of its own. The result depends on the rows' ids and texts alone, so runs agree, over other partitions
+    too. Sources are met in one window, so their number must fit a task. Other columns don't matter, whatever their names. An empty
+    table gives none.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_id")).withColumn("row", F.monotonically_increasing_id())
     rows = saved(rows)
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cycle)
     goals = saved(goals.withColumn("no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
     total = goals.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, min(BLOCK, total // SLOTS))
     known = goals.select(F.col("source").alias("goal"), "no", "source_size", "target")
     named = rows.join(known, F.col("source").eqNullSafe(F.col("goal"))).drop("goal")
     used = schedule(goals, total, block).groupBy("no", "block").agg(F.count("*").alias("times"))
     taken = pieces(named, block).join(used, ["no", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = named.join(taken, "row", "left")
-    return out.select("row", "doc_id", "size", "source", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("row", "doc_id", "text_id", "size", "source", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
