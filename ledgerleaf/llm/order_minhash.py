@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, ELL, BINS, MOST = 3, 2, 32, 16
-#: Low bits of a packed value hold the position (later tokens share the last one), the others the hash.
-POSITION = 23
+#: Low bits of a packed value hold the position, the others the hash. No text of less than 2 GB has as many tokens.
+POSITION = 30
 LOW = (1 << POSITION) - 1
-#: Rows of a run of neighbouring ids; runs of fewer than this many firsts are broadcast.
-RUN, BROADCAST_ROWS = 512, 4096
+#: Rows of a run of neighbouring ids; most runs (longer ones then); values that a lookup compares at once; up to so many firsts of runs are broadcast.
+RUN, RUNS, STEP, BROADCAST_ROWS = 512, 1 << 18, 64, 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,16 +102,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
+def _below(value: Column, cuts: list[int], equal: bool) -> Column:
+    """How many of the sorted ``cuts`` are below ``value``, or equal to it if asked, by a search in steps of STEP."""
+    under = (lambda c: c <= value) if equal else (lambda c: c < value)
+    level, levels = cuts, []
+    while len(level) > STEP:
+        levels.append(level)
+        level = level[::STEP]
+    listed = lambda x: F.from_json(F.lit(str(x)), "array<bigint>")
+    at = F.size(F.filter(listed(level), under))
+    for finer in reversed(levels):
+        # every STEP-th of the finer ones was compared; of those after the last that is under, the others
+        first = F.greatest(at - 1, F.lit(0)) * STEP
+        at = first + F.size(F.filter(F.slice(listed(finer), first + 1, F.lit(STEP)), under))
+    return at
+
+
+def with_runs(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text, ...) with _tie, the text's hash, and _run, ascending with doc_id and _tie; and how many runs there are.
+
+    Runs end at quantiles of the ids, so that they are of even size however the ids lie; an id that many rows share, or that
+    is null, has several runs by the texts' hashes.
+    """
+    known, count = rows.agg(F.count("doc_id"), F.count("*")).first()
+    runs, bare = (min(RUNS, max(1, n // RUN)) for n in (known, count - known))
+    cuts: list[int] = []
+    if runs > 1:
+        shares = F.from_json(F.lit(str([i / runs for i in range(1, runs)])), "array<double>")
+        cuts = sorted(rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * runs))).first()[0])
+    tie = F.xxhash64("text")
+    part = tie / float(1 << 64) + 0.5
+    low, high = (_below(F.col("doc_id").cast("long"), cuts, equal) if cuts else F.lit(0) for equal in (False, True))
+    run = F.when(F.col("doc_id").isNull(), F.floor(part * bare) - bare).otherwise(low + F.floor(part * (high - low + 1)))
+    return rows.withColumn("_tie", tie).withColumn("_run", run.cast("long")), runs + bare
+
+
 def with_next(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, text, own) with next and following, the text and signature of the row after in ascending id; the first after the last.
 
     Null ids come first; of rows with one id, texts' hashes decide. Rows are dealt by runs of neighbouring ids, the last row of a
     run takes the first of the next run that has any.
     """
-    low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    runs = max(1, count // RUN)
-    place = F.lit(0) if low is None else F.floor((F.col("doc_id") - F.lit(low)).cast("double") * F.lit(runs / (high - low + 1)))
-    dealt = rows.withColumn("_run", F.coalesce(place, F.lit(-1)).cast("long")).withColumn("_tie", F.xxhash64("text"))
+    dealt, runs = with_runs(rows)
     leaders = dealt.groupBy("_run").agg(F.min(F.struct(F.col("doc_id"), F.col("_tie"))).alias("lead"))
     order = Window.orderBy("_run")
     after = F.coalesce(F.lead("lead").over(order), F.first("lead").over(order))
@@ -135,8 +167,9 @@ def edited(text: Column, following: Column) -> Column:
 def compare_edits(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) → doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    One row for each input row. A null text counts as empty: n_chars 0, fingerprint ''. Two texts without words have likeness 1.
-    Equal texts have equal fingerprints. An only row is followed by itself; an empty table gives no rows.
+    One row for each input row, repeated rows and ids included. A null text counts as empty: n_chars 0, fingerprint ''. Two texts
+    without words have likeness 1. Texts of any length are signed whole. Equal texts have equal fingerprints. Other columns don't
+    matter, whatever their names. An only row is followed by itself; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(rows.withColumn("own", signature(F.col("text"))))
