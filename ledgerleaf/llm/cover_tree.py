@@ -4,13 +4,17 @@ A cover tree nests levels of centres: those of a level are farther apart than it
 radius halves from level to level. Two trees are compared from their roots; a pair of nodes is dropped when its centres are
 farther apart than the threshold distance plus both covering radii, so that exactly the linked pairs are left at the leaves.
 
-A label's vectors are dealt into blocks by hash; each pair of blocks is one task, so no label meets in one place. Equal vectors
-are compared once. Tasks return counts and a spanning forest of their links, never the links of a dense group.
+The top of the trees is Spark's: a label of more than BLOCK vectors is dealt to the nearest of its pivots, and two pivots' cells meet
+only if the same bound allows it. Cells are cut into blocks by hash, so no label meets in one place. Each block's tree is built once;
+each pair of blocks is one task. Equal vectors are compared once. Tasks return counts and a spanning forest of their links, never
+the links of a dense group.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import components, saved
+from ledgerleaf.llm.common import components, release, saved
 
-#: Vectors of a block; rounding that the pruning allows for.
-BLOCK, SLACK = 2048, 1e-7
+#: Vectors of a block; pivots of all labels at most, about, as they are broadcast; rounding that the pruning allows for.
+BLOCK, PIVOTS, SLACK = 2048, 1024, 1e-7
 
 
 @dataclass
@@ -34,41 +38,42 @@ class Node:
     leaves: np.ndarray | None = None
 
 
+def distances(x: np.ndarray, rows: np.ndarray, centre: int) -> np.ndarray:
+    return np.sqrt(np.clip(2 - 2 * (x[rows] @ x[centre]), 0, None))
+
+
 def build(x: np.ndarray) -> Node:
-    """Cover tree over the rows of ``x``; radii are the largest distances that occur, so they bound as tightly as they can."""
-    gram = np.clip(2 - 2 * (x @ x.T), 0, None)
-    distance = np.sqrt(gram)
-    np.fill_diagonal(distance, 0)
+    """Cover tree over the rows of ``x``, all of length one; each row is compared with the centres it passes, not with all rows.
+
+    Radii are the largest distances that occur, so they bound as tightly as they can.
+    """
 
-    def grow(centre: int, members: np.ndarray) -> Node:
-        node = Node(centre, float(distance[centre, members].max()))
+    def grow(centre: int, members: np.ndarray, far: np.ndarray) -> Node:
+        """``members`` begins with ``centre``; ``far``: how far they are from it."""
+        node = Node(centre, float(far.max()))
         if len(members) == 1:
             return node
         if node.radius <= SLACK:
-            return _flat(centre, members, distance)
-        radius = node.radius / 2
-        rest = members[np.argsort(members != centre, kind="stable")]
-        while len(rest):
-            near = distance[rest[0], rest] <= radius
-            near[0] = True
-            node.below.append(grow(int(rest[0]), rest[near]))
-            rest = rest[~near]
+            node.below = [Node(int(m), 0.0) for m in members]  # rounding can't tell them apart
+        else:
+            limit = node.radius / 2
+            while len(members):
+                near = far <= limit
+                near[0] = True  # rounding may put a centre at a distance from itself
+                node.below.append(grow(int(members[0]), members[near], far[near]))
+                members = members[~near]
+                far = distances(x, members, members[0]) if len(members) else far
         node.centres, node.radii = np.array([b.centre for b in node.below]), np.array([b.radius for b in node.below])
         node.leaves = np.array([not b.below for b in node.below])
         return node
 
-    return grow(0, np.arange(len(x)))
-
-
-def _flat(centre: int, members: np.ndarray, distance: np.ndarray) -> Node:
-    """Node over vectors that rounding can't tell apart."""
-    below = [Node(int(m), 0.0) for m in members]
-    return Node(centre, float(distance[centre, members].max()), below, members, np.zeros(len(members)), np.ones(len(members), bool))
+    every = np.arange(len(x))
+    return grow(0, every, distances(x, every, 0))
 
 
 def linked(x: np.ndarray, y: np.ndarray, a: Node, b: Node, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows (of x, of y) whose dot product reaches ``threshold``, by dual traversal."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    reach = reach_of(threshold)
     one, other, todo = [], [], [(a, b)]
     while todo:
         p, q = todo.pop()
@@ -102,31 +107,40 @@ def forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         root = new
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), float)
+def _unit(vectors: pd.Series | np.ndarray | list) -> np.ndarray:
+    x = np.array(vectors.tolist() if isinstance(vectors, pd.Series) else vectors, float)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def reach_of(threshold: float) -> float:
+    """Distance of two vectors of length one whose cosine is ``threshold``."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+
+def block_of(group: pd.DataFrame) -> bytes:
+    """A block (id, many, v) with its tree; vectors of single precision stay so."""
+    group = group.sort_values("id")
+    v = np.array(group["v"].tolist(), float)
+    short = v.astype(np.float32)
+    return pickle.dumps((group["id"].to_numpy(), group["many"].to_numpy(), short if np.array_equal(short, v) else v, build(_unit(group["v"]))))
+
+
+def compare(one: bytes, other: bytes | None, threshold: float) -> pd.DataFrame:
     """Rows (a, b, links): the links of a to other vectors, and b, a vector that a reaches (itself if none is smaller).
 
-    ``group`` has id, block, many (equal vectors that the row stands for) and v; of two blocks only links between them count.
+    Of two blocks only links between them count, of one those inside it.
     """
-    group = group.sort_values("id")
-    blocks = sorted(group["block"].unique())
-    first = group[group["block"] == blocks[0]]
-    x, ids, many = _unit(first["v"]), first["id"].to_numpy(), first["many"].to_numpy()
-    tree = build(x)
-    if len(blocks) == 1:
+    ids, many, x, tree = pickle.loads(one)  # noqa: S301  made by block_of()
+    x = _unit(x)
+    if other is None:
         a, b = linked(x, x, tree, tree, threshold)
         a, b = a[a < b], b[a < b]
     else:
-        second = group[group["block"] == blocks[1]]
-        y = _unit(second["v"])
-        a, b = linked(x, y, tree, build(y), threshold)
+        more, times, y, second = pickle.loads(other)  # noqa: S301
+        a, b = linked(x, _unit(y), tree, second, threshold)
         b = b + len(x)
-        ids, many = np.concatenate([ids, second["id"].to_numpy()]), np.concatenate([many, second["many"].to_numpy()])
+        ids, many = np.concatenate([ids, more]), np.concatenate([many, times])
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
@@ -136,23 +150,89 @@ def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[seen], "b": root[seen], "links": links[seen].astype(np.int64)})
 
 
+def pivots_of(whole: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """Pivots, of length one, of each (label as text, length) with more than BLOCK vectors: those whose hash is the multiple of a number, or the one with the smallest."""
+    large = whole.groupBy("label", "length").agg(F.count("*").alias("n"), F.min(F.xxhash64("v")).alias("least")).where(F.col("n") > BLOCK)
+    large = saved(large)
+    total = large.agg(F.sum("n")).first()[0] or 0
+    if not total or large.count() > PIVOTS:
+        return {}
+    step = max(BLOCK, -(-total // PIVOTS))
+    hashed = F.xxhash64("v")
+    drawn = whole.join(F.broadcast(large), ["label", "length"]).where((F.pmod(hashed, F.lit(step)) == 0) | (hashed == F.col("least"))).select(F.col("label").cast("string"), "length", "v")
+    out: dict[tuple[str, int], list] = {}
+    for label, length, v in sorted(drawn.collect(), key=lambda r: (r[0], r[1], r[2])):
+        out.setdefault((label, length), []).append(v)
+    return {k: _unit(v) for k, v in out.items()}
+
+
+def celled(whole: DataFrame, pivots: dict[tuple[str, int], np.ndarray]) -> DataFrame:
+    """``whole`` with pivot, the nearest of its label's, and far, how far it is; 0 and the largest distance where there is none."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at, far = np.zeros(len(b), np.int32), np.full(len(b), 2.0)
+            for key, rows in b.reset_index(drop=True).groupby(["label", "length"], sort=False):
+                known = pivots.get((str(key[0]), key[1]))
+                if known is not None:
+                    dot = _unit(rows["v"]) @ known.T
+                    at[rows.index] = dot.argmax(1)
+                    far[rows.index] = np.sqrt(np.clip(2 - 2 * dot.max(1), 0, None))
+            yield b.assign(pivot=at, far=far)
+        release()
+
+    return whole.mapInPandas(each, whole.withColumn("pivot", F.lit(0)).withColumn("far", F.lit(0.0)).schema)
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
     """``rows`` (vec_id, embedding, label, ...) → vec_id, n_links, component_id, kept: one row for each input row.
 
     Vectors link when labels are equal and not null, lengths are equal and the cosine reaches ``threshold``. A vector that is null,
     empty or zero, or holds a null or non-finite component, links with nothing. Equal vectors of one label link with each other.
-    So does a row without an id. A row with a repeated id counts as a vector of its own. An empty table gives no rows.
+    A row without an id links with nothing. A row with a repeated id counts as a vector of its own. Other columns don't matter,
+    whatever their names. An empty table gives no rows.
     """
+    spark = rows.sparkSession
     v = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     # adding zero makes a negative zero equal to zero
     marked = rows.select("vec_id", "label", F.when(fine, F.transform(v, lambda c: c + F.lit(0.0))).alias("v"))
     whole = marked.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"))
     whole = saved(whole.withColumn("length", F.size("v")))
-    sizes = whole.groupBy("label", "length").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = whole.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, ["label", "length"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    found = saved(paired.select("label", "length", "low", "high", "id", "block", "many", "v").groupBy("label", "length", "low", "high").applyInPandas(lambda g: compare(g, threshold), "a long, b long, links long"))
+    pivots, reach = pivots_of(whole), reach_of(threshold)
+    dealt = saved(celled(whole, pivots)) if pivots else whole.withColumn("pivot", F.lit(0)).withColumn("far", F.lit(2.0))
+    cells = dealt.groupBy("label", "length", "pivot").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
+    cells = saved(cells.withColumn("name", F.col("label").cast("string")))
+    # as many rows as there are pivots at most
+    ours = F.concat_ws("\x1f", "name", F.col("length").cast("string")).isin([f"{name}\x1f{length}" for name, length in pivots])
+    spread = {(r.name, r.length, r.pivot): r.radius for r in cells.where(ours).select("name", "length", "pivot", "radius").collect()} if pivots else {}
+    meet = [(name, length, p, q) for (name, length), x in pivots.items() for p, q in _near_cells(x, {k[2]: r for k, r in spread.items() if k[:2] == (name, length)}, reach)]
+    pairs = spark.createDataFrame(meet, "name string, length int, pivot int, other int")
+    inside = cells.select("label", "name", "length", "pivot", "subs")
+    cross = inside.join(F.broadcast(pairs), ["name", "length", "pivot"]).join(inside.select("name", "length", F.col("pivot").alias("other"), F.col("subs").alias("_subs")), ["name", "length", "other"])
+    every = inside.select("label", "length", "pivot", F.col("pivot").alias("other"), "subs", F.col("subs").alias("_subs")).unionByName(cross.select("label", "length", "pivot", "other", "subs", "_subs"))
+    every = every.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
+    every = every.where("pivot <> other or sub <= _sub")
+
+    def grown(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": [key[0]], "length": [key[1]], "pivot": [key[2]], "sub": [key[3]], "tree": [block_of(group)]})
+
+    blocks = dealt.join(F.broadcast(cells.drop("name", "radius")) if cells.count() <= 100_000 else cells.drop("name", "radius"), ["label", "length", "pivot"])
+    blocks = blocks.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")).select("label", "length", "pivot", "sub", "id", "many", "v")
+    kind = blocks.schema["label"].dataType.simpleString()
+    blocks = saved(blocks.groupBy("label", "length", "pivot", "sub").applyInPandas(grown, f"label {kind}, length int, pivot int, sub int, tree binary"))
+    second = blocks.select("label", "length", F.col("pivot").alias("other"), F.col("sub").alias("_sub"), F.col("tree").alias("_tree"))
+    same = (F.col("pivot") == F.col("other")) & (F.col("sub") == F.col("_sub"))
+    alone = blocks.select("tree", F.lit(None).cast("binary").alias("_tree"))
+    met = every.where(~same).join(blocks, ["label", "length", "pivot", "sub"]).join(second, ["label", "length", "other", "_sub"]).select("tree", "_tree").unionByName(alone)
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for one, other in zip(b["tree"], b["_tree"], strict=True):
+                yield compare(one, other, threshold)
+        release()
+
+    found = saved(met.mapInPandas(compared, "a long, b long, links long"))
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     reached = components(found.select("a", "b")).select(F.col("node").alias("id"), "component")
     told = whole.join(links, "id", "left").join(reached, "id", "left").select("label", "v", "many", "id", "links", "component")
@@ -160,3 +240,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
     n = F.coalesce("links", F.lit(0)) + F.coalesce("many", F.lit(1)) - 1
     component = F.coalesce("component", "id", "vec_id")
     return out.select("vec_id", n.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+def _near_cells(pivots: np.ndarray, radii: dict[int, float], reach: float) -> list[tuple[int, int]]:
+    """Pairs p < q of the cells whose vectors may link, by the distance of the ``pivots`` and the covering ``radii``."""
+    r = np.array([radii.get(i, -np.inf) for i in range(len(pivots))])
+    far = np.sqrt(np.clip(2 - 2 * pivots @ pivots.T, 0, None))
+    return [(int(p), int(q)) for p, q in np.argwhere(np.triu(far <= r[:, None] + r[None, :] + reach, 1))]
