@@ -19,7 +19,7 @@ from ledgerleaf.llm.common import attached, release
 
 #: Hash buckets for n-grams; n-gram lengths; centroids of a language; rounds of k-means.
 BUCKETS, GRAMS, CENTROIDS, ROUNDS = 4096, (1, 2, 3), 4, 12
-#: Most labelled texts of a language that the clustering takes (those with the smallest hashes of their ids).
+#: Most labelled texts of a language, about, that the clustering takes (those with the smallest hashes, equal ones once).
 SAMPLE = 2000
 #: A text is rejected below this cosine, and below the part SLACK of the cosine that all but the part RARE of its language's learning rows reach;
 #: cosines are counted in BINS, and raised for short texts: n letters have n / (n + SHORT) of a long text's cosine.
@@ -118,8 +118,9 @@ class Centroids:
 def fit(rows: DataFrame) -> Centroids | None:
     """``rows`` (doc_id, text, lang) → centroids; None if none has a language and a letter.
 
-    Document frequencies count all rows. Each language's centroids come from at most SAMPLE rows: those whose hashed id lies
-    below a share that its row count sets, so one language's sample is the same wherever it is drawn.
+    Document frequencies count all rows. Each language's centroids come from about SAMPLE rows: those whose hashed id and text lie
+    below a share that its row count sets, rows equal in both once, so one language's sample is the same wherever it is drawn, and
+    of bounded size.
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
 
@@ -147,15 +148,26 @@ def fit(rows: DataFrame) -> Centroids | None:
     share = F.lit(0.0)
     for lang, n in known.items():
         share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n)).otherwise(share)
-    rows = rows.select(F.col("doc_id").cast("string").alias("at"), "doc_id", "text", "lang")
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    hashed = rows.withColumn("at", F.xxhash64("doc_id", "text"))
+    drawn = hashed.where(F.pmod(F.xxhash64(F.lit("sample"), "at"), F.lit(1 << 20)) < share * (1 << 20)).select("at", "text", "lang")
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(at, lang, x): the vectors of texts with a letter, so that a language's group holds no texts."""
+        for b in batches:
+            for at in range(0, len(b), 128):
+                part = b.slice(at, 128)
+                texts = part.column("text").to_pylist()
+                good = [i for i, t in enumerate(texts) if has_letter(t)]
+                x = vectors([texts[i] for i in good], idf)
+                yield pa.RecordBatch.from_arrays([part.column("at").take(pa.array(good, pa.int64())), part.column("lang").take(pa.array(good, pa.int64())), pa.array(list(x), pa.list_(pa.float32()))], ["at", "lang", "x"])
+        release()
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in group.sort_values(["at", "text"])["text"] if has_letter(t)]
-        rows = cluster(vectors(texts, idf)) if texts else np.zeros((0, BUCKETS))
-        return pd.DataFrame({"lang": [key[0]] * len(rows), "row": list(rows)})
+        rows = cluster(np.array(group.sort_values("at")["x"].tolist(), np.float32))
+        return pd.DataFrame({"lang": [key[0]] * len(rows), "row": [r.astype(float) for r in rows]})
 
-    found = sorted(((r["lang"], r["row"]) for r in drawn.drop("doc_id").groupBy("lang").applyInPandas(centroids, "lang string, row array<double>").collect()), key=lambda r: (r[0], r[1]))
+    drawn = drawn.mapInArrow(points, "at long, lang string, x array<float>").dropDuplicates(["lang", "at"])
+    found = sorted(((r["lang"], r["row"]) for r in drawn.groupBy("lang").applyInPandas(centroids, "lang string, row array<double>").collect()), key=lambda r: (r[0], r[1]))
     if not found:
         return None
     model = Centroids(idf, [r[0] for r in found], np.array([r[1] for r in found]))
@@ -213,7 +225,9 @@ def identify(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",)
     """``docs`` (doc_id, text, lang, ...) → ``keep``, lang_pred, score, rejected; learned from the rows where ``learn`` holds.
 
     A text that is null or has no letter is ``und`` with score 0 and is rejected. Others get the nearest learned language, its
-    cosine as score, and are rejected below ``reject`` or the language's own limit. Where nothing could be learned, every text is ``und`` and rejected.
+    cosine as score, and are rejected below ``reject`` or the language's own limit; of equal cosines the first centroid's wins. Texts
+    of any length count whole. Repeated rows are answered one by one and count in learning. Where nothing could be learned, every text
+    is ``und`` and rejected; an empty table gives no rows. Columns other than those named don't matter.
     """
     model = fit(docs.where(learn))
 
