@@ -305,7 +305,9 @@ def _sampled(keys: list, texts: list, vocabulary: Pieces, salt: int) -> Iterator
 def encode(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, sharpness: float = SHARPNESS, salt: int = 0) -> DataFrame:
     """``docs`` (``key``, text, ...) → ``keep`` and ids, array<int>.
 
-    Equal keys and texts get equal ids. A null text has null ids, an empty one none. A null key is a key like any other.
+    Equal keys and texts get equal ids, in repeated rows too. A null text has null ids, an empty one none. A null key is a key like
+    any other. Texts of any length are cut into chunks, so only the ids of one text are held whole. Other columns don't matter,
+    whatever their names. An empty table gives no rows.
     """
 
     def each(keys: list, texts: list) -> Iterator[tuple[int, int, list]]:
@@ -316,8 +318,8 @@ def encode(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("doc_i
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """``rows`` with ids → the same rows with text in its place; null ids give a null text."""
-    keep = [c for c in rows.columns if c != "ids"]
+    """``rows`` with ids → the same rows with text in its place; null ids give a null text. A column text that is there already is replaced."""
+    keep = [c for c in rows.columns if c not in ("ids", "text")]
 
     def each(ids: list) -> Iterator[tuple[int, int, list]]:
         vocabulary = pieces_of(model, SHARPNESS)
@@ -329,7 +331,8 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 def round_trip(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, sharpness: float = SHARPNESS, salt: int = 0) -> DataFrame:
     """``keep`` with n_pieces, ids_sha256 (of little-endian int32), decoded_sha256 (UTF-8) and lossless, whether decoding gives the text.
 
-    Encodes and decodes in one pass. A null text has 0 pieces, null digests and is lossless.
+    Encodes and decodes in one pass, whole texts of any length. A null text has 0 pieces, null digests and is lossless. Repeated
+    rows are answered one by one; other columns don't matter; an empty table gives no rows.
     """
 
     def each(keys: list, texts: list) -> Iterator[tuple[int, int, list]]:

@@ -155,8 +155,9 @@ def score(rows: DataFrame, model: Discriminant, limit: float = 0.3) -> DataFrame
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs`` (doc_id, text, ...) → ``keep``, score, predicted; learned from ``labels`` (doc_id, quality) of the rows where ``learn`` holds.
 
-    Every row is scored, null and empty texts too. An id that is labelled more than once counts once for each label; null labels
-    and null ids teach nothing. Without any label all scores are 0.5; an empty table gives no rows.
+    Every row is scored, null and empty texts and repeated rows too, over its whole text, however long. An id that is labelled more
+    than once counts once for each label; null labels and null ids teach nothing. Without any label all scores are 0.5; an empty
+    table gives no rows. Other columns don't matter, whatever their names.
     """
     stats = saved(with_statistics(docs, *keep))
     return score(stats, _learned(stats, labels, learn))

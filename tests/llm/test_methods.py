@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,6 +56,14 @@ def test_components(spark):
     assert components(df.limit(0)).collect() == []
 
 
+def test_components_of_hubs(spark):
+    """Two stars of many leaves, one with its smallest node at the centre and one with its largest, and a chain between them."""
+    edges = [(5, i) for i in range(10, 2010)] + [(90_000, i) for i in range(3000, 4500)] + [(10, 20_000), (20_000, 20_001), (20_001, 3000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    found = {r.node: r.component for r in components(df).collect()}
+    assert found == {n: c for n, c in grouped(edges, {x for e in edges for x in e}).items() if n != c} and set(found.values()) == {5}
+
+
 def test_quality_held_out(spark, data):
     found = {r.doc_id: r for r in QUERIES["op1_quality_scores"](spark, "/root/testdata/sf0.01").collect()}
     labels = table(spark, "/root/testdata/sf0.01", "labels").collect()
@@ -84,12 +93,89 @@ def test_language_held_out(spark):
     assert sum(held) / len(held) > 0.97 and not any(r.rejected for r in found)
 
 
+def test_nearest_centroid_by_brute_force(spark, documents, rows):
+    """Document frequencies, vectors and cosines counted anew, with dictionaries of n-grams for the hash buckets."""
+    learn = [r for r in rows.values() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None]
+    model = langid.fit(documents.where(fold(F.col("doc_id"), 4) != 2))
+    seen = sum((langid.counts(r.text) > 0).astype(int) for r in learn)
+    assert np.allclose(model.idf, np.log((1 + len(learn)) / (1 + seen)) + 1, rtol=1e-6)
+    text = "Ab, c"
+    assert langid.counts(text).sum() == len(" ab c ") + len(" ab c ") - 1 + len(" ab c ") - 2
+    found = {r.doc_id: r for r in QUERIES["op6_languages"](spark, "/root/testdata/sf0.001").collect()}
+    for r in list(rows.values())[:60]:
+        if not r.text or not any(map(str.isalpha, r.text)):
+            continue
+        x = np.sqrt(langid.counts(r.text)) * model.idf
+        cosines = model.rows @ x / np.linalg.norm(x)
+        assert found[r.doc_id].lang_pred == model.names[int(np.argmax(cosines))] and abs(found[r.doc_id].score - cosines.max()) < 1e-4
+    for name in set(model.names):
+        assert np.allclose(np.linalg.norm(model.rows[[n == name for n in model.names]], axis=1), 1, atol=1e-5)
+
+
 def test_far_text_is_rejected(documents):
     model = langid.fit(documents.where(fold(F.col("doc_id"), 4) != 2))
     names, cosines = model.nearest(["Ωμέγα και άλφα είναι γράμματα", "漢字仮名交じり文"])
     assert (cosines < langid.REJECT).all()
 
 
+@pytest.mark.parametrize("count", [1, 63, 64, 65, 4096, 5000])
+def test_search_in_steps(spark, count):
+    random.seed(count)
+    cuts = sorted(random.choice([random.randrange(10**6), 5]) for _ in range(count))
+    values = [-1, 5, 10**6, *cuts[:20], *[c + 1 for c in cuts[:20]], *random.sample(range(10**6), 20)]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    found = df.select("v", order_minhash._below(F.col("v"), cuts, False).alias("low"), order_minhash._below(F.col("v"), cuts, True).alias("high")).collect()
+    assert all((r.low, r.high) == (sum(c < r.v for c in cuts), sum(c <= r.v for c in cuts)) for r in found)
+
+
+def test_runs_are_even(spark, monkeypatch):
+    """Ids far apart, one id on a third of the rows and rows without an id: runs of even size, in the order of the ids."""
+    monkeypatch.setattr(order_minhash, "RUN", 50)
+    rows = [(i * i * 1000, f"a{i}") for i in range(1000)] + [(77, f"b{i}") for i in range(800)] + [(None, f"c{i}") for i in range(600)] + [(1 << 62, "z")]
+    dealt, _ = order_minhash.with_runs(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = dealt.collect()
+    sizes = Counter(r._run for r in found)
+    assert max(sizes.values()) <= 120 and len(sizes) > 30
+    ordered = sorted(found, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r._tie))
+    assert [r._run for r in ordered] == sorted(r._run for r in found)
+
+
+def order_min_hash(spark, text):
+    """The signature by its definition, each hash asked of Spark."""
+    words = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % order_minhash.MOST, text)
+    k, low = order_minhash.K, order_minhash.LOW
+    signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    if not words:
+        return []
+    grams = [tuple((words + [None] * k)[i : i + k]) for i in range(max(len(words) - k + 1, min(len(words), 1)))]
+    rows = spark.createDataFrame([(n, *g) for n, g in enumerate(grams)], "n long, a string, b string, c string")
+    head = {r.n: signed(r.h & ~low) for r in rows.select("n", F.xxhash64("a", "b", "c").alias("h")).collect()}
+    seen, numbered = Counter(), []
+    for n in range(len(grams)):
+        numbered.append((n, head[n], seen[head[n]]))
+        seen[head[n]] += 1
+    rows = spark.createDataFrame(numbered, "n long, head long, turn int")
+    items = sorted(signed((r.h & ~low) | r.n) for r in rows.select("n", F.xxhash64("head", "turn").alias("h")).collect())
+    bins = defaultdict(list)
+    for x in items:
+        bins[(x % (1 << 64)) >> (64 - (order_minhash.BINS - 1).bit_length())].append(x)
+    out = []
+    for b, own in bins.items():
+        own = sorted(own)[: order_minhash.ELL]
+        by_place = sorted(own, key=lambda x: (x & low, x % (1 << 64) >> (order_minhash.POSITION + 1)))
+        values = [(x % (1 << 64)) >> (order_minhash.POSITION + 1) for x in by_place]
+        h = spark.createDataFrame([(values,)], "v array<long>").select(F.xxhash64("v")).first()[0]
+        out.append((b << 32) | (h & 0xFFFFFFFF))
+    return sorted(out)
+
+
+def test_signature_by_definition(spark):
+    random.seed(12)
+    for text in ("a b c a b c a b c a b c", "", "one", "two words", " ".join(random.choice("abcdefgh") * random.choice([1, 20]) for _ in range(150))):
+        found = spark.createDataFrame([(text,)], "t string").select(order_minhash.signature(F.col("t"))).first()[0]
+        assert sorted(found) == order_min_hash(spark, text)
+
+
 def test_edited_texts_and_likeness(spark, data, rows):
     found = {r.doc_id: r for r in QUERIES["op3_order_fingerprints"](spark, data).collect()}
     ids = sorted(rows)
@@ -148,49 +234,115 @@ def test_schedule_spreads(spark):
         assert all(abs(seen[k] - n * w) <= 4 for k, w in ((1, 0.1), (2, 0.2), (3, 0.7)))
 
 
-def test_model_is_a_distribution(spark, data, documents, rows):
-    learn = fold(F.col("doc_id"), 10) != 0
-    model = pitman_yor.fit(documents, learn)
-    whole = model.words.agg(F.sum(F.pow(F.lit(10.0), "score"))).first()[0] + 10 ** model.unseen[1]
-    assert 0.98 < whole < 1.02
-    found = {r.doc_id: r for r in pitman_yor.evaluate(documents, learn).collect()}
+@pytest.fixture(scope="module")
+def modelled(spark, data):
+    return {r.doc_id: r for r in QUERIES["op5_language_model"](spark, data).collect()}
+
+
+def test_model_counts_and_base(modelled, rows):
     trained = [i for i in rows if zlib.crc32(str(i).encode()) % 10 != 0]
     counts = Counter(w for i in trained for w in [*words_of(rows[i].text), b"\n"])
     n, v = sum(counts.values()), len(counts)
-    for i, r in found.items():
+    for i, r in modelled.items():
         tokens = [*words_of(rows[i].text), b"\n"]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(w in counts for w in tokens), n)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(w in counts for w in tokens), n, i not in set(trained))
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel_tol=1e-9)
-    held = [r for i, r in found.items() if i not in set(trained)]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_spelling_sums_to_one():
-    import pyarrow as pa
-
-    class Counts:
-        def __init__(self, code, n):
-            self.table = pa.table({"code": code, "n": n})
+    for held in (False, True):
+        some = [r for r in modelled.values() if r.held_out == held]
+        assert sum(r.score for r in some) > sum(r.base_score for r in some)
 
-        def toArrow(self):
-            return self.table
 
-    code, _ = pitman_yor.places([b"abc", b"abd", b"b", b"\n"])
-    kinds, n = np.unique(code, return_counts=True)
-    empty = Counts(np.zeros(0, np.int64), np.zeros(0, np.int64))
-    model = pitman_yor.spellings([empty] * pitman_yor.DEPTH + [Counts(kinds, n)], 1)[0]
-    for context in (0, code[0] >> pitman_yor.BITS, code[1] >> pitman_yor.BITS):
-        every = (int(context) << pitman_yor.BITS) | np.arange(pitman_yor.EDGE + 1)
-        assert math.isclose(model.probability(every).sum(), 1.0, rel_tol=1e-9)
-
-
-def test_seats_follow_the_restaurant():
-    random_ = np.random.default_rng(3)
-    tables = pitman_yor._seats(np.full(4000, 30.0), np.zeros(4000), np.ones(4000), 0.5, random_)
+def test_tables_have_their_distribution():
+    """Tables of one dish against the weights of all set partitions of its customers."""
+    def partitions(n):
+        if n == 0:
+            yield []
+            return
+        for p in partitions(n - 1):
+            yield [*p, 1]
+            for i in range(len(p)):
+                yield [*p[:i], p[i] + 1, *p[i + 1 :]]
+
+    discount, others, parent, n = 0.6, 3, 0.2, 6
+    weights = np.zeros(n + 1)
+    for p in partitions(n):
+        opened = math.prod((pitman_yor.STRENGTH + discount * (others + k)) * parent for k in range(len(p)))
+        weights[len(p)] += opened * math.prod(math.prod(j - discount for j in range(1, size)) for size in p)
+    drawn = pitman_yor.tables_of(np.full(40_000, n), np.full(40_000, others), np.full(40_000, parent), discount, np.random.default_rng(3))
+    assert np.abs(np.bincount(drawn, minlength=n + 1) / 40_000 - weights / weights.sum()).max() < 0.01
+    many = pitman_yor.tables_of(np.full(500, 5000), np.zeros(500, int), np.full(500, 1.0), 0.5, np.random.default_rng(4))
     t = 1.0
-    for k in range(1, 30):
+    for k in range(1, 5000):
         t += (1.0 + 0.5 * t) / (1.0 + k)
-    assert abs(tables.mean() - t) < 0.3 and tables.min() >= 1
+    assert abs(many.mean() / t - 1) < 0.1 and many.min() >= 1
+
+
+def tokens_of(texts):
+    hasher = pitman_yor.WordHasher()
+    ids, first = pitman_yor.stream([t.encode() for t in texts], hasher)
+    to = pitman_yor.places_of(ids, first)
+    kinds, at = np.unique(ids, return_inverse=True)
+    return kinds, at[to - 2], at[to - 1], at[to], np.repeat(np.arange(len(texts)), np.diff(first) - 2)
+
+
+def test_contexts_sum_to_one():
+    """A partition that holds every word after some contexts, seen and unseen ones: each context's probabilities sum to one."""
+    random.seed(2)
+    names = [f"w{i}" for i in range(12)]
+    train = [" ".join(random.choice(names) for _ in range(60)) for _ in range(40)]
+    contexts = [("w1", "w2"), ("w3", "w3"), ("new", "w4"), ("x", "never")]
+    asked = [f"{u} {v} {w}".strip() for u, v in contexts for w in [*names, ""]]
+    kinds, far, near, word, row = tokens_of([*train, *asked])
+    r = pitman_yor.Restaurants(kinds, [far, near, word, row], np.arange(len(train) + len(asked)) < len(train))
+    at, count = r.words()
+    assert count.sum() == 40 * 61 and (count > 0).sum() == 13
+    root = np.zeros(len(kinds))
+    root[at[count > 0]] = 1 / 13
+    place = {(f, n, w): t for t, (n, f, w) in enumerate(sorted(set(zip(near.tolist(), far.tolist(), word.tolist(), strict=True))))}
+    for shares, tables in r.sweeps(root, [1], 3):
+        p = shares()
+        assert (np.bincount(r.pair_word, tables)[at[count > 0]] >= 1).all()
+        last = {}
+        for i in range(len(train) * 61, len(word)):
+            last.setdefault((far[i], near[i]), {})[word[i]] = p[place[far[i], near[i], word[i]]]
+        whole = [sum(x.values()) for x in last.values() if len(x) == 13]
+        assert len(whole) == 4 and np.allclose(whole, 1)
+
+
+@pytest.mark.parametrize("limit", [20, 1 << 20])
+def test_model_feels_word_order(spark, monkeypatch, limit):
+    """Fluent texts score above their shuffled words, with frequent contexts split and whole."""
+    monkeypatch.setattr(pitman_yor, "LIMIT", limit)
+    random.seed(4)
+    after = {i: [random.randrange(60) for _ in range(3)] for i in range(60)}
+    texts = []
+    for _ in range(150):
+        at, words = random.randrange(60), []
+        for _ in range(40):
+            words.append(f"w{at}")
+            at = random.choice(after[at])
+        texts.append(words)
+    held = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    mixed = [(200 + i, " ".join(random.sample(w, len(w)))) for i, w in enumerate(texts[120:])]
+    docs = spark.createDataFrame(held + mixed, "doc_id long, text string")
+    found = {r.doc_id: r for r in pitman_yor.evaluate(docs, F.col("doc_id") < 120).collect()}
+    assert found[0].train_tokens == 120 * 41
+    assert all(found[120 + i].score > found[200 + i].score + 10 for i in range(30))
+    assert docs.where("doc_id >= 120").count() == 60
+    perplexity = pitman_yor.evaluate(docs, F.col("doc_id") < 120).where("doc_id between 120 and 149").agg(pitman_yor.perplexity()).first()[0]
+    assert 2 < perplexity < 8  # three words follow each
+
+
+def test_frequent_contexts_are_split():
+    """Tokens of a frequent pair go to restaurants by classes of rows, those of a frequent nearer word to restaurants by classes of farther words."""
+    far, near, row = np.array([5, 5, 5, 5, 6, 7], np.uint64), np.array([9, 9, 9, 9, 9, 8], np.uint64), np.arange(6)
+    pair = pitman_yor.pair_ids(far, near)
+    often = np.sort(np.array([9, pair[0]], np.uint64))
+    new_far, new_near = pitman_yor.split_contexts(far, near, np.repeat(np.arange(3), 2), often, np.array([2, 2], np.uint64))
+    assert new_far[4] == 6 and (new_far[5], new_near[5]) == (7, 8) and 9 not in new_near[:5].tolist() and 5 not in new_far[:4].tolist()
+    assert new_far[0] == new_far[1] and new_near[0] == new_near[1]
+    new_far, new_near = pitman_yor.split_contexts(np.full(1000, 5, np.uint64), np.full(1000, 9, np.uint64), np.arange(1000), often, np.array([2, 4], np.uint64) if often[0] == 9 else np.array([4, 2], np.uint64))
+    assert len(set(new_far.tolist())) == 4 and len(set(new_near.tolist())) <= 2
 
 
 def test_traversal_equals_brute_force():
@@ -240,6 +392,17 @@ def test_shingle_join_equals_brute_force(spark, monkeypatch, block):
     assert pairs and {(r.doc_id, r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(df).collect()} == {(i, len(sets[i]), reach[i]) for i in sets}
 
 
+def test_links_without_ids(spark):
+    """Texts 1 - x - 2, where only x is near both: they meet whether x has an id, shares one or has none."""
+    words = [f"w{i}" for i in range(200)]
+    one, x, two = words[:200], words[12:] + [f"n{i}" for i in range(12)], words[24:] + [f"n{i}" for i in range(24)]
+    for key in (9, 1, None):
+        df = spark.createDataFrame([(1, " ".join(one)), (key, " ".join(x)), (2, " ".join(two)), (None, "alone here"), (None, None)], "doc_id long, text string")
+        found = shingle_join.near_duplicates(df).collect()
+        assert sorted((r.doc_id or 0, r.component_id or 0) for r in found if r.n_shingles > 5) == sorted([(1, 1), (key or 0, 1), (2, 1)])
+        assert {(r.n_shingles, r.component_id) for r in found if r.n_shingles < 5} == {(1, None), (0, None)}
+
+
 def test_bounds_lose_nothing():
     shingler = shingle_join.Shingler()
     sets = [shingler(t.encode()) for t in near_copies(11)]
@@ -277,6 +440,11 @@ def test_sampled_paths_have_their_shares():
     assert alone[0] == many[0][0] and np.allclose(shares(alone[1]), shares(many[1][: len(alone[1])]))
 
 
+def test_decoding_replaces_a_text(spark):
+    encoded = piece_sampling.encode(spark.createDataFrame([(1, "as it was"), (2, None)], "doc_id long, text string"), keep=("doc_id", "text"))
+    assert sorted(map(tuple, piece_sampling.decode(encoded).collect())) == [(1, "as it was"), (2, None)]
+
+
 def test_pieces_round_trip(spark, data, rows):
     encoded = piece_sampling.encode(table(spark, data, "documents"))
     back = {r.doc_id: r.text for r in piece_sampling.decode(encoded).collect()}
@@ -302,32 +470,72 @@ def test_pipeline(spark, data, rows):
     assert sorted(r.doc_id for r in pipeline.run(spark, data).collect()) == sorted(r.doc_id for r in seen["SentencePiece encoding"])
 
 
-def test_all_are_registered():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE) <= set(QUERIES)
+def test_near_duplicate_stage_goes_by_texts(spark):
+    import corpus_pipeline as pipeline
 
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, long), (1, "another text of its own that is near nothing"), (1, "another text of its own that is near nothing"), (2, long + " more"), (2, "clean words under the second id, near nothing at all"), (None, long), (None, "no id and alone"), (None, "no id and alone"), (3, None), (4, ""), (5, ""), (6, long)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("class", F.lit(1)).withColumn("component", F.lit(2))
+    out = pipeline.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert kept == sorted([(1, long), rows[1], rows[4], rows[6], (3, None), (4, ""), (5, "")], key=str)
 
-def test_model_feels_word_order(spark):
-    """Fluent texts score above their shuffled words, contexts sum to one, and seatings see the tables of other words."""
-    random.seed(4)
-    after = {i: [random.randrange(60) for _ in range(3)] for i in range(60)}
-    texts = []
-    for _ in range(150):
-        at, words = random.randrange(60), []
-        for _ in range(40):
-            words.append(f"w{at}")
-            at = random.choice(after[at])
-        texts.append(words)
-    train = [(i, " ".join(w)) for i, w in enumerate(texts[:120])]
-    held = [(i, " ".join(w)) for i, w in enumerate(texts[120:])]
-    mixed = [(100 + i, " ".join(random.sample(w, len(w)))) for i, w in enumerate(texts[120:])]
-    model = pitman_yor.fit(spark.createDataFrame(train, "doc_id long, text string"), F.lit(True))
-    found = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(held + mixed, "doc_id long, text string"), model).collect()}
-    assert all(found[i] > found[100 + i] + 10 for i, _ in held)
-    ids = [r.wid for r in model.words.collect()]
-    u, v = (pitman_yor.word_id(w.encode()) for w in texts[0][:2])
-    for context in ((u, v), (1, v), (1, 2)):
-        types = spark.createDataFrame([(*context, w) for w in [*ids, 12345]], "u long, v long, w long")
-        assert math.isclose(pitman_yor.prices(types, model).agg(F.sum("p")).first()[0], 1.0, rel_tol=1e-6)
+
+def test_stages_on_odd_tables(spark, data):
+    """Empty tables, null and empty texts, repeated ids and clashing columns pass all stages."""
+    import corpus_pipeline as pipeline
+
+    docs = table(spark, data, "documents").limit(60)
+    odd = docs.unionByName(docs.limit(3)).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = spark.createDataFrame(odd.collect(), odd.schema).withColumn("stats", F.lit("x")).withColumn("row", F.lit(1)).withColumn("taken", F.lit(1)).withColumn("ids", F.lit(0))
+    for start in (odd, odd.limit(0)):
+        docs = start
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, data)
+            rows = out.collect()
+            if name != pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(rows, docs.schema)
+        assert bool(rows) == (start is odd)
+
+
+def test_mix_by_brute_force(spark):
+    """Golden-ratio points, ranks and blocks of each source walked one by one, against what each document gives."""
+    random.seed(6)
+    rows = [(i, " ".join(["w"] * random.randrange(0, 90)), random.choice("aab") if i % 3 else "c") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block = 16
+    found = mixing.mix(df, block=block).collect()
+    keyed = {r.doc_id: r for r in df.select("doc_id", F.xxhash64("text").alias("t")).select("doc_id", "t", F.xxhash64(F.lit("mix"), "doc_id", "t").alias("m")).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows})
+    total = sum(size.values())
+    taken = Counter()
+    goal = {r.source: (r.source_size, r.target) for r in found}
+    whole = sum(goal[s][1] for s in names)
+    upto = np.cumsum([goal[s][1] / whole for s in names])
+    slots = -(-total // block)
+    points = [math.fmod((t + 1) * mixing.GOLDEN, 1.0) for t in range(slots)]
+    hits = Counter(min(int(np.searchsorted(upto, x, side="right")), len(names) - 1) for x in points)
+    for n, s in enumerate(names):
+        own = [i for i, _, x in rows if x == s and size[i]]
+        chunks = max(1, -(-len(own) // mixing.CHUNK))
+        own.sort(key=lambda i: ((keyed[i].m >> 20) % chunks, keyed[i].m, size[i], keyed[i].t))
+        words = [i for i in own for _ in range(size[i])]
+        count = max(-(-len(words) // block), min(len(words), mixing.LEAST))
+        step = -(-len(words) // count)
+        blocks = -(-len(words) // step)
+        each = max(1, round(block / step))
+        ranks = min(round(goal[s][1] * blocks / goal[s][0]), 3 * blocks)
+        assert abs(hits[n] * each - ranks) <= max(each + 1, 0.02 * ranks)  # the points alone come near the target
+        for r in range(ranks):
+            taken.update(words[(r % blocks) * step : (r % blocks + 1) * step])
+    assert {r.doc_id: r.taken for r in found} == {i: taken[i] for i in size}
+
+
+def test_all_are_registered():
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE) <= set(QUERIES)
 
 
 def test_tree_holds_nearly_equal_directions():
@@ -354,8 +562,8 @@ def test_tree_holds_nearly_equal_directions():
 @pytest.mark.parametrize("block", [7, 1024])
 def test_small_sources_meet_their_targets(spark, monkeypatch, block):
     """A source of few words beside large ones is taken as often as its target says, whatever the size of the table's blocks."""
-    monkeypatch.setattr(mixing, "SLOTS", 1)
-    monkeypatch.setattr(mixing, "BLOCK", block)
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    monkeypatch.setattr(mixing, "FEW", 5)
     sizes = {"a": 100_000, "b": 100, "c": 20_000, "d": 1, "e": 200_000, "f": 60}
     rows, i = [], 0
     for source, n in sizes.items():
@@ -363,7 +571,7 @@ def test_small_sources_meet_their_targets(spark, monkeypatch, block):
             rows.append((i, "w " * min(n, 25), source))
             n, i = n - 25, i + 1
     taken, goal = Counter(), {}
-    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=block).collect():
         taken[r.source] += r.taken
         goal[r.source] = r.target
         assert r.taken <= 3 * r["size"]
