@@ -19,13 +19,13 @@ from ledgerleaf.llm.common import attached, saved
 #: Share of the pooled covariance and of the scaled identity in each class covariance; least eigenvalue scale.
 POOLED, IDENTITY, LEAST = 0.2, 0.02, 1e-4
 NAMES = (
-    "chars", "words", "word_length", "upper", "digits", "marks", "bars", "letters", "distinct", "repeats", "line_words",
-    "line_copies", "top_word", "word_marks", "long_words", "short_words", "spread",
+    "chars", "words", "word_length", "upper", "digits", "marks", "letters", "distinct", "repeats", "line_words", "line_copies",
+    "top_word", "long_words", "short_words", "spread",
 )
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MARK = np.zeros(256, bool)
-_MARK[[i for i in range(33, 127) if not _ALNUM[i] and chr(i) not in ",.|'-"]] = True
+_MARK[[i for i in range(33, 127) if not _ALNUM[i] and chr(i) not in ",.'-"]] = True
 
 
 def _logit(part: float, whole: float) -> float:
@@ -51,18 +51,13 @@ def statistics(text: str | None) -> list[float]:
     share = counts[counts > 0] / max(1, total)
     return [
         np.log1p(total), np.log1p(n), np.log1p(float(lengths.mean()) if n else 0.0), _logit(upper, max(upper, letters)), _logit(digits, total),
-        _logit(marks, total), _logit(int(counts[124]), total), _logit(letters, total), _logit(len(seen), n), _logit(repeats, max(0, n - 1)),
+        _logit(marks, total), _logit(letters, total), _logit(len(seen), n), _logit(repeats, max(0, n - 1)),
         np.log1p(n / max(1, len(lines))), _logit(len(lines) - len(set(lines)), len(lines)), _logit(max(seen.values(), default=0), n),
-        _logit(sum(map(_marked, seen)), len(seen)), _logit(int((lengths > 20).sum()), n), _logit(int((lengths == 1).sum()), n),
+        _logit(int((lengths > 20).sum()), n), _logit(int((lengths == 1).sum()), n),
         float(-(share * np.log(share)).sum()),
     ]
 
 
-def _marked(word: bytes) -> bool:
-    """Whether two equal marks end the word."""
-    return len(word) > 2 and word[-1] == word[-2] and not _ALNUM[word[-1]]
-
-
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` and stats, array<double>, of its text."""
 
