@@ -10,12 +10,14 @@
    drops boxes and pairs. Pairs that are left are verified on the sets, unless both are already in one component.
 4. Links become components of classes, and these components of documents.
 
-Large territories are cut into blocks, each pair of blocks is one task. No step holds a list of all partners of a document.
+In a territory of more than a block each class is first compared with the root. Those that link with it are in one component, so only
+the others are compared with all: large groups of near copies cost as much as they hold, not its square. What is left is cut into
+blocks, each pair of blocks is one task. No step holds a list of all partners of a document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -288,16 +290,40 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(kind[at[:, 0]]), pa.array(kind[at[:, 1]])], ["a", "b"])
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` (root, class) with block, low and high: a row for each pair of blocks of its territory that it takes part in."""
-    large = saved(rows.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1"))
+def dealt(rows: DataFrame, kin: DataFrame) -> DataFrame:
+    """``rows`` (root, class) with block, low and high: a row for each pair of blocks of its territory that it takes part in.
+
+    In a territory of more than BLOCK classes, ``kin`` (root, class), those that link with the root, have blocks of their own, which meet
+    those of the others only.
+    """
+    marked = rows.join(kin.withColumn("kin", F.lit(1)), ["root", "class"], "left").withColumn("kin", F.coalesce("kin", F.lit(0)))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    large = marked.groupBy("root").agg(blocks(F.sum("kin")).alias("_kin"), blocks(F.sum(1 - F.col("kin"))).alias("_others"), F.count("*").alias("_n")).where(F.col("_n") > BLOCK)
+    large = saved(large.drop("_n"))
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    own = rows.join(large, "root", "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1)))
-    own = own.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = marked.join(large, "root", "left").withColumn("_others", F.coalesce("_others", F.lit(1))).withColumn("first", F.coalesce("_kin", F.lit(0)))
+    turn = F.xxhash64("class")
+    block = F.when(F.col("_kin").isNull(), 0).when(F.col("kin") == 1, F.pmod(turn, F.col("first"))).otherwise(F.col("first") + F.pmod(turn, F.col("_others"))).cast("int")
+    begin = F.when(F.col("kin") * F.col("first") > 0, F.col("first")).otherwise(0)
+    last = F.col("first") + F.col("_others") - 1
+    paired = own.withColumn("block", block).withColumn("other", F.explode(F.when(begin <= last, F.sequence(begin, last))))
     return paired.select("root", "class", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
+def kin_of(found: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(root, class) of ``found`` that link with the root, in territories of more than BLOCK classes; the root itself too. ``sets`` gives (class, shingles) of classes."""
+    large = saved(found.groupBy("root").count().where(F.col("count") > BLOCK).select("root"))
+    if large.isEmpty():
+        return large.select("root", F.col("root").alias("class"))
+    members = found.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "root")
+    own = saved(sets(saved(members.select("class").distinct())))
+    roots = own.join(large.select(F.col("root").alias("class")), "class").select(F.col("class").alias("root"), F.col("shingles").alias("_root"))
+    size = roots.agg(F.sum(F.size("_root"))).first()[0] or 0
+    roots = F.broadcast(roots) if size <= BROADCAST_ROWS else roots
+    shared, whole = F.size(F.array_intersect("shingles", "_root")), F.size("shingles") + F.size("_root")
+    return saved(members.join(own, "class").join(roots, "root").where(100 * shared >= PERCENT * (whole - shared)).select("root", "class"))
+
+
 def together(rows: DataFrame) -> DataFrame:
     return rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "class")
 
@@ -323,21 +349,24 @@ def classes_of(docs: DataFrame) -> DataFrame:
     sketch = saved(sketched(docs))
     rows = sketch.where("counts is null").select("doc_id", "text_id", "n", "class")
     heads = sketch.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("text_id").alias("head_text"), F.first("point").alias("point"))
-    met = dealt(saved(territories(docs, _ranks(sketch)))).join(heads.select("class", "point"), "class")
-    left = saved(together(met).mapInArrow(with_partner, "root long, class long").distinct())
-    wanted = saved(left.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("_head"), F.col("head_text").alias("_text")))
-    some = wanted.count()
-
-    def picked(texts: DataFrame, those: DataFrame, on: Column) -> DataFrame:
-        those = F.broadcast(those) if some <= BROADCAST_ROWS else those
-        return texts.join(those, on).select("class", "text")
-
     texts = docs.select("doc_id", "text")
-    named = picked(texts, wanted.where("_head is not null"), F.col("doc_id") == F.col("_head"))
-    # a class of which no row has an id is met by the hash of one of its texts
-    nameless = picked(texts.where("doc_id is null"), wanted.where("_head is null"), text_id(F.col("text")) == F.col("_text"))
-    sets = shingle_sets(named.unionByName(nameless)).dropDuplicates(["class"]) if not wanted.where("_head is null").isEmpty() else shingle_sets(named)
-    links = together(dealt(left).join(sets, "class")).mapInArrow(linked, "a long, b long")
+
+    def sets(classes: DataFrame) -> DataFrame:
+        """(class, shingles) of ``classes`` (class): each class's text is met by the id of its head, or by its hash where no row of the class has an id."""
+        wanted = saved(classes.join(heads.drop("point"), "class"))
+        those = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        named = texts.join(those, F.col("doc_id") == F.col("head")).select("class", "text")
+        if wanted.where("head is null").isEmpty():
+            return shingle_sets(named)
+        nameless = texts.where("doc_id is null").join(those.where("head is null"), text_id(F.col("text")) == F.col("head_text")).select("class", "text")
+        return shingle_sets(named.unionByName(nameless)).dropDuplicates(["class"])
+
+    found = saved(territories(docs, _ranks(sketch)))
+    kin = kin_of(found, sets)
+    met = dealt(found, kin).join(heads.select("class", "point"), "class")
+    left = saved(together(met).mapInArrow(with_partner, "root long, class long").distinct())
+    links = together(dealt(left, kin).join(sets(left.select("class").distinct()), "class")).mapInArrow(linked, "a long, b long")
+    links = links.unionByName(kin.select(F.col("root").alias("a"), F.col("class").alias("b")))
     reached = components(links).select(F.col("node").alias("class"), "component")
     out = rows.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(reached, "class", "left")
     return out.select("doc_id", "text_id", "n", "class", F.coalesce("component", "class").alias("component"))

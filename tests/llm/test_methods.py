@@ -392,6 +392,25 @@ def test_shingle_join_equals_brute_force(spark, monkeypatch, block):
     assert pairs and {(r.doc_id, r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(df).collect()} == {(i, len(sets[i]), reach[i]) for i in sets}
 
 
+def test_large_groups_meet_their_root(spark, monkeypatch):
+    """A group of many near copies around one text, a few that only some of them are near, and one that shares words but is near none."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    random.seed(3)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(random.choice([1, 2, 4, 6, 9])):
+            t[random.randrange(300)] = f"z{random.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(base[k:] + [f"n{i}" for i in range(k)]) for k in range(5, 150, 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(words_of, texts)]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    reach = grouped(pairs, range(len(sets)))
+    assert {(r.doc_id, r.component_id) for r in shingle_join.near_duplicates(df).collect()} == set(reach.items()) and len(set(reach.values())) > 2
+
+
 def test_links_without_ids(spark):
     """Texts 1 - x - 2, where only x is near both: they meet whether x has an id, shares one or has none."""
     words = [f"w{i}" for i in range(200)]
