@@ -95,12 +95,17 @@ def s9_report(files: DataFrame) -> DataFrame:
 
 
 @query("annotation", sql="""
-SELECT form_id, "T" AS pdf_field, max("FT") AS type, count(*) AS n FROM annotation WHERE "T" <> '' AND "FT" IS NOT NULL GROUP BY ALL""")
+SELECT form_id, "T" AS pdf_field, CASE WHEN form_id % 2 = 0 THEN lower("T") ELSE "T" END AS source_field, max("FT") AS type, CASE WHEN form_id % 2 = 0 THEN 'uppercase' END AS transform, form_id % 2 = 0 AND max(page) > 3 AS required,
+ CASE WHEN form_id % 2 = 0 THEN '2.1' ELSE '1.0' END AS version FROM annotation WHERE "T" <> '' AND "FT" IS NOT NULL GROUP BY 1, 2, 3, form_id""")
 def s10_mapping_rows(annotation: DataFrame) -> DataFrame:
-    pairs = annotation.where("T <> '' and FT is not null").groupBy("form_id", "T").agg(F.max("FT").alias("field_type"), F.count("*").alias("n"))
-    files = pairs.groupBy("form_id").agg(F.map_from_entries(F.collect_list(F.struct("T", F.struct("field_type", F.lit(False).alias("required"))))).alias("fields"))
-    rows = sinks.mapping_rows(files.withColumn("version", F.lit(None).cast("string")).withColumn("mappings", F.lit(None).cast("map<string,struct<source_field:string,type:string,transform:string,required:boolean>>")))
-    return rows.select("form_id", "pdf_field", "type").join(pairs.select("form_id", F.col("T").alias("pdf_field"), "n"), ["form_id", "pdf_field"])
+    """Forms with an even id come in the layout with mappings, others in the one with fields."""
+    pairs = annotation.where("T <> '' and FT is not null").groupBy("form_id", "T").agg(F.max("FT").alias("kind"), F.max("page").alias("page"))
+    ruled = F.struct(F.lower("T").alias("source_field"), F.col("kind").alias("type"), F.lit("uppercase").alias("transform"), (F.col("page") > 3).alias("required"))
+    listed = lambda value: F.map_from_entries(F.collect_list(F.struct("T", value)))
+    files = pairs.groupBy("form_id").agg(listed(ruled).alias("mappings"), listed(F.struct(F.col("kind").alias("field_type"), F.lit(False).alias("required"))).alias("fields"))
+    even = F.col("form_id") % 2 == 0
+    files = files.select("form_id", F.when(even, "2.1").alias("version"), F.when(even, F.col("mappings")).alias("mappings"), F.when(~even, F.col("fields")).alias("fields"))
+    return sinks.mapping_rows(files)
 
 
 # registry
@@ -503,9 +508,13 @@ def f6_fallback(annotation: DataFrame, part: DataFrame) -> DataFrame:
     return every.groupBy("form_id").agg(F.count("*").alias("fields"), F.bool_or(F.col("field_name") == "Spouse Name").alias("fallback"))
 
 
-@query("annotation", sql=_FIELDS + f", s AS (SELECT *, {_SECTION} AS section FROM f) SELECT form_id, count(*) AS total_fields, count_if(required) AS required_fields, count(DISTINCT section) AS sections FROM s GROUP BY 1")
+@query("annotation", sql=_FIELDS + f""", s AS (SELECT *, {_SECTION} AS section FROM f),
+g AS (SELECT form_id, section, CASE section WHEN 'Personal Information' THEN 0 WHEN 'Business Information' THEN 1 WHEN 'Financial Information' THEN 2 ELSE 3 END AS no, string_agg(field_name, ',' ORDER BY field_name) AS names FROM s GROUP BY ALL),
+h AS (SELECT form_id, string_agg(section || '=' || names, '|' ORDER BY no) AS sections FROM g GROUP BY 1)
+SELECT form_id, count(*) AS total_fields, count_if(required) AS required_fields, any_value(h.sections) AS sections FROM s JOIN h USING (form_id) GROUP BY 1""")
 def f7_structure(annotation: DataFrame) -> DataFrame:
-    return forms.form_structure(_fields(annotation)).withColumn("sections", F.size("sections").cast("long"))
+    named = F.transform("sections", lambda x: F.concat(x["section"], F.lit("="), F.array_join(x["field_names"], ",")))
+    return forms.form_structure(_fields(annotation)).select("form_id", "total_fields", "required_fields", F.array_join(named, "|").alias("sections"))
 
 
 @query("annotation", "part", sql=_FIELDS + """, a AS (SELECT DISTINCT CAST(floor(p_partkey / 20.0) AS BIGINT) AS form_id FROM part), st AS (SELECT form_id, count(DISTINCT "T") AS n FROM annotation WHERE form_id % 4 = 0 GROUP BY 1), dy AS (SELECT form_id, count(*) AS n FROM f GROUP BY 1)
