@@ -52,8 +52,8 @@ def deep_merge(batches: DataFrame, key: str = "app_id", order: str = "batch_ord"
     An object is placed by the first batch that holds it with content, or empty where its parent is placed; a falsy leaf counts
     only from the batch that placed its parent. Each level, however deep, is one aggregate and one join by application and path.
     """
-    out, placed = [], None
-    for depth, level in enumerate(levels_of(batches, key, order), 1):
+    out, placed, levels = [], None, levels_of(batches, key, order)
+    for depth, level in enumerate(levels, 1):
         rows = level.drop("v").withColumn("_parent", F.slice("path", 1, depth - 1))
         if placed is not None:
             rows = rows.join(placed, [key, "_parent"], "left")
@@ -63,7 +63,7 @@ def deep_merge(batches: DataFrame, key: str = "app_id", order: str = "batch_ord"
             *([F.min(F.when(F.col("object"), F.col(order))).alias("first"), F.coalesce(F.min_by("value", F.when(truthy, F.col(order))), F.min_by("value", order)).alias("value")] if placed is None else
               [F.min(F.when(F.col("object") & (F.col(order) == F.col("intro")), F.col(order))).alias("first"), F.coalesce(F.max_by("value", F.when(truthy, F.col(order))), F.max(F.when(F.col(order) == F.col("intro"), F.col("value")))).alias("value")]),
         )
-        told = saved(told)
+        told = saved(told) if depth < len(levels) else told
         out.append(told.where("not object and value is not null").select(key, "path", "value"))
         placed = told.where("object").select(key, F.col("path").alias("_parent"), F.least("full", "first").alias("intro"))
     return reduce(DataFrame.unionByName, out)
