@@ -148,7 +148,7 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 #: Neighbours from which on a node's rows take its label from a broadcast; a part of all edges, so that few nodes have as many.
-HUB, HUB_PART = 64, 4096
+HUB, HUB_PART = 256, 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,11 +165,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     def labelled(rows: DataFrame, least: DataFrame, size: int) -> DataFrame:
         """``rows`` with m of ``least`` (a, m, n)."""
-        hub = F.col("n") >= max(HUB, size // HUB_PART)
-        hubs = saved(least.where(hub).drop("n"))
-        if hubs.isEmpty():
+        if size < HUB:
             return rows.join(least.drop("n"), "a")
-        return rows.join(F.broadcast(hubs), "a").unionByName(rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(~hub).drop("n"), "a"))
+        hub = F.col("n") >= max(HUB, size // HUB_PART)
+        hubs = F.broadcast(least.where(hub).drop("n"))
+        return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(least.where(~hub).drop("n"), "a"))
 
     def large(e: DataFrame, size: int) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -184,7 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
     current = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = signature(current)
     while seen[0]:
-        current = saved(small(saved(large(current, seen[0]).distinct()), seen[0]).where("a <> b").distinct())
+        current = saved(small(large(current, seen[0]), seen[0]).where("a <> b").distinct())
         now = signature(current)
         if now == seen:
             break
