@@ -489,6 +489,51 @@ def test_pipeline(spark, data, rows):
     assert sorted(r.doc_id for r in pipeline.run(spark, data).collect()) == sorted(r.doc_id for r in seen["SentencePiece encoding"])
 
 
+def test_stages_by_brute_force(spark, data):
+    """What each stage of the pipeline keeps, worked out row by row from what it was given."""
+    import corpus_pipeline as pipeline
+
+    docs, given = table(spark, data, "documents"), None
+    for name, stage in pipeline.STAGES:
+        given = {r.doc_id: r for r in docs.collect()} if name != pipeline.STAGES[-1][0] else [r for r in docs.collect()]
+        rows = stage(spark, docs, data).collect()
+        kept = Counter(r.doc_id for r in rows)
+        if name == "quality classifier":
+            labels = {r.doc_id: r.quality for r in table(spark, data, "labels").collect() if r.quality in (0, 1)}
+            x = {i: np.array(quality.statistics(r.text)) for i, r in given.items()}
+            learn = {k: [x[i] for i in given if labels.get(i) == k and zlib.crc32(str(i).encode()) % 5] for k in (0, 1)}
+            model = quality.Discriminant(np.array([float(len(learn[k])) for k in (0, 1)]), np.stack([sum(learn[k]) for k in (0, 1)]), np.stack([sum(np.outer(v, v) for v in learn[k]) for k in (0, 1)]))
+            expected = Counter(i for i in given if model.score(x[i][None])[0] >= 0.3)
+        elif name == "language ID":
+            model = langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
+            expected = Counter()
+            for i, r in given.items():
+                if r.text and any(map(str.isalpha, r.text)):
+                    v = np.sqrt(langid.counts(r.text)) * model.idf
+                    cosines = model.rows @ v / np.linalg.norm(v)
+                    letters = sum(map(str.isalpha, r.text.lower()))
+                    best = int(np.argmax(cosines))
+                    if cosines[best] >= langid.REJECT and cosines[best] * (letters + langid.SHORT) / letters >= model.limits[model.names[best]]:
+                        expected[i] = 1
+        elif name == "n-gram Jaccard join":
+            sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, words_of(r.text)) for i, r in given.items()) if w}
+            pairs = [(i, j) for i, j in itertools.combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+            expected = Counter(i for i, root in grouped(pairs, given).items() if i == root)
+        elif name == "mixing sources":
+            taken = {r.doc_id: r for r in mixing.mix(docs).collect()}
+            expected = Counter({i: math.floor(t.taken / max(1, t["size"]) + 0.5) for i, t in taken.items()})
+            expected = +expected
+        else:
+            pieces = piece_sampling.pieces_of(piece_sampling.MODEL, piece_sampling.SHARPNESS)
+            texts = Counter((r.doc_id, r.lang, r.source, r.text) for r in given)
+            assert Counter((r.doc_id, r.lang, r.source, piece_sampling.decoded(np.array(r.ids), pieces)) for r in rows) == texts
+            expected = Counter(r.doc_id for r in given)
+        assert kept == expected and kept
+        if name != pipeline.STAGES[-1][0]:
+            assert sorted(map(str, rows)) == sorted(str(given[r.doc_id]) for r in rows)
+            docs = spark.createDataFrame(rows, docs.schema)
+
+
 def test_near_duplicate_stage_goes_by_texts(spark):
     import corpus_pipeline as pipeline
 
