@@ -1,8 +1,8 @@
 """Jaccard self-join of word shingles with R-trees of count vectors.
 
 1. Each text becomes its set of hashed shingles; texts with equal sets are one class.
-2. Two sets with similarity t share one of the n - ceil(t n) + 1 first shingles of either in any common order. The order puts
-   shingles last that hold a large part of all occurrences (a table of fixed size tells), so a passage that many documents share
+2. Two sets with similarity t share one of the n - ceil(t n) + 1 first shingles of either in any common order. The order puts the
+   HEAVY most frequent shingles last, which tasks propose from all that they have read, so a passage that many documents share
    brings no two of them together unless it makes up most of both. Classes that share such a shingle meet in the territory of
    the smallest of them.
 3. In a territory a class is a point: its shingles hashed into groups, the counts of the groups its coordinates. An R-tree
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.common import WordHasher, components, mixed, parts, release, saved
 
 WORDS, PERCENT = 5, 80
-#: Buckets of the table of occurrences (a fixed size, as it is broadcast); points of a box; classes of a block.
-BUCKETS, BOX, BLOCK = 1 << 17, 16, 1024
+#: Shingles of the table of frequent ones, as it is broadcast; how many each task proposes, and shingles that it counts at once; points of a box; classes of a block.
+HEAVY, PROPOSED, COUNTED, BOX, BLOCK = 1 << 17, 1 << 13, 1 << 20, 16, 1024
 #: Numbers of groups, and the most shingles of a set that gets as many.
 GROUPS, MOST = (64, 256, 1024, 4096, 16384, 65536), (800, 3200, 12800, 51200, 204800)
 #: Classes that a task remembers so as not to name them again; candidate rows up to which they are broadcast.
@@ -80,8 +80,33 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63)
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - 17)).astype(np.int64)
+class Frequent:
+    """Counts of shingles that keep to the most frequent ones."""
+
+    def __init__(self) -> None:
+        self.ids, self.times, self.held, self.size = np.zeros(0, np.uint64), np.zeros(0), [], 0
+
+    def add(self, shingles: np.ndarray) -> None:
+        self.held.append(shingles)
+        self.size += len(shingles)
+        if self.size > COUNTED:
+            self._fold()
+
+    def _fold(self) -> None:
+        own, seen = np.unique(np.concatenate(self.held), return_counts=True)
+        own, seen = own[seen > 1], seen[seen > 1]
+        self.ids, at = np.unique(np.concatenate([self.ids, own]), return_inverse=True)
+        self.times = np.bincount(at, np.concatenate([self.times, seen]))
+        self.held, self.size = [], 0
+        if len(self.ids) > 8 * PROPOSED:
+            most = np.argpartition(-self.times, 4 * PROPOSED)[: 4 * PROPOSED]
+            self.ids, self.times = self.ids[most], self.times[most]
+
+    def most(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.held:
+            self._fold()
+        order = np.argsort(-self.times, kind="stable")[:PROPOSED]
+        return self.ids[order], self.times[order].astype(np.int64)
 
 
 def text_id(text: Column) -> Column:
@@ -89,40 +114,45 @@ def text_id(text: Column) -> Column:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, text_id, n, class, point) and one for each task with counts: occurrences of shingles by bucket."""
+    """Rows of documents (doc_id, text_id, n, class, point), and of the shingles that tasks propose as frequent (class: the shingle, times)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, counts = Shingler(), np.zeros(BUCKETS, np.int64)
+        shingler, frequent = Shingler(), Frequent()
         for b in parts(batches):
             sets = [shingler(t) for t in b["text"]]
-            if sets:
-                counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_id": b["text_id"], "n": [len(s) for s in sets], "class": [class_of(s) for s in sets], "point": [point_of(s) for s in sets], "counts": [None] * len(sets)})
-        yield pd.DataFrame({"doc_id": [None], "text_id": [0], "n": [None], "class": [None], "point": [None], "counts": [counts]}).astype({"n": "Int64", "class": "Int64"})
+            for s in sets:
+                frequent.add(s)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_id": b["text_id"], "n": [len(s) for s in sets], "class": [class_of(s) for s in sets], "point": [point_of(s) for s in sets], "times": pd.array([None] * len(sets), "Int64")})
+        ids, times = frequent.most()
+        if len(ids):
+            yield pd.DataFrame({"doc_id": [None] * len(ids), "text_id": 0, "n": 0, "class": ids.view(np.int64), "point": [None] * len(ids), "times": pd.array(times, "Int64")})
 
     told = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_id(F.col("text")).alias("text_id"), F.col("text").cast("binary").alias("text"))
-    told = told.mapInPandas(each, "doc_id string, text_id long, n long, class long, point array<smallint>, counts array<long>")
+    told = told.mapInPandas(each, "doc_id string, text_id long, n long, class long, point array<smallint>, times long")
     return told.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _ranks(sketch: DataFrame) -> np.ndarray:
-    """By bucket 0, or the binary logarithm of how far its occurrences exceed the mean, in units that chance seldom reaches."""
-    counts = np.zeros(BUCKETS)
-    for at, n in sketch.where("counts is not null").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col")).collect():
-        counts[at] = n
-    mean = counts.mean()
-    return np.log2(np.maximum(1, (counts - mean) / (6 * np.sqrt(mean) + 16) + 1)).astype(np.int8)
+def _ranks(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, sorted, and of each the binary logarithm of its occurrences, as far as tasks have proposed it."""
+    told = sketch.where("times is not null").groupBy("class").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "class").limit(HEAVY).toPandas()
+    ids = told["class"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(ids)
+    return ids[order], np.log2(told["n"].to_numpy(float)[order]).astype(np.int8)
 
 
-def prefix(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+def prefix(shingles: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The shingles of which any set that is similar enough shares one with its own first ones."""
     n = len(shingles)
     first = n - (n * PERCENT + 99) // 100 + 1
-    rank = ranks[_bucket(shingles)]
-    return shingles[np.argsort(rank, kind="stable")[:first]] if rank.any() else shingles[:first]
+    ids, rank = ranks
+    if not len(ids):
+        return shingles[:first]
+    at = np.minimum(np.searchsorted(ids, shingles), len(ids) - 1)
+    own = np.where(ids[at] == shingles, rank[at], 0)
+    return shingles[np.argsort(own, kind="stable")[:first]] if own.any() else shingles[:first]
 
 
-def territories(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
+def territories(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(root, class), distinct: the classes that share a first shingle with ``root``, the smallest class that has it, and root itself."""
     send = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -347,8 +377,8 @@ def classes_of(docs: DataFrame) -> DataFrame:
     Ids play no part in it: rows without one and rows that share one link by their texts like all others.
     """
     sketch = saved(sketched(docs))
-    rows = sketch.where("counts is null").select("doc_id", "text_id", "n", "class")
-    heads = sketch.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("text_id").alias("head_text"), F.first("point").alias("point"))
+    rows = sketch.where("times is null").select("doc_id", "text_id", "n", "class")
+    heads = sketch.where("n > 0 and times is null").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("text_id").alias("head_text"), F.first("point").alias("point"))
     texts = docs.select("doc_id", "text")
 
     def sets(classes: DataFrame) -> DataFrame:
