@@ -73,7 +73,7 @@ def fallback_result(filled: DataFrame, fields: DataFrame, applications: DataFram
     done = filled.where("value <> ''").groupBy("app_id", "form_id").agg(F.count("*").alias("n"))
     every = _each_form(applications, total, "app_id", "error").join(done, ["app_id", "form_id"], "left")
     n = F.coalesce("n", F.lit(0))
-    told = F.concat(F.lit("LLM mapping failed, using deterministic mapping: "), F.coalesce("error", F.lit("")))
+    told = F.concat(F.lit("LLM mapping failed, using deterministic mapping: "), F.coalesce("error", F.lit("")))  # a fixed text
     return every.select("app_id", "form_id", (n / F.col("total") * 100).alias("completion"), F.when(n > 0, 0.8).alias("confidence"), F.lit("deterministic_fallback").alias("method"), told.alias("error"))
 
 

@@ -33,6 +33,7 @@ def report_lines(runs: DataFrame, documents: DataFrame, statistics: DataFrame, k
     ``statistics`` (``key``, name, share, text) by name: floats come in share and are printed as percent, others in text as they
     are. A report is one text, so it is as long as its run's documents need.
     """
+    # headings and labels are fixed values
     own = F.concat_ws("\n", F.concat(F.lit("### "), "name"), F.concat(F.lit("- Type: "), F.coalesce("doc_type", F.lit("unknown"))), F.concat(F.lit("- Method: "), "method"), F.concat(F.lit("- Confidence: "), percent_text(F.col("confidence"))), F.lit(""))
     blocks = documents.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", own.alias("block")))), lambda x: x["block"]), "\n").alias("docs"))
     line = F.concat(F.lit("- "), "name", F.lit(": "), F.coalesce(percent_text(F.col("share")), F.col("text")))
