@@ -31,10 +31,10 @@ def levels_of(batches: DataFrame, key: str = "app_id", order: str = "batch_ord")
         level = spark.sql(f"SELECT d.`{key}`, d.`{order}`, array_append(d.path, t.key) AS path, t.value AS v FROM {{d}} AS d, LATERAL variant_explode(d.v) AS t", d=level)
         if not out:
             level = level.where(~F.startswith(F.get("path", F.lit(0)), F.lit("_")))
-        kind = F.schema_of_variant("v")
-        told = level.withColumn("object", kind.startswith("OBJECT")).withColumn("empty", kind == "OBJECT<>")
+        text = level.withColumn("text", F.to_json("v"))
+        told = text.withColumn("object", F.coalesce(F.startswith("text", F.lit("{")), F.lit(False))).withColumn("empty", F.col("text") == "{}")
         full = F.col("object") & ~F.col("empty")
-        told = saved(told.select(key, order, "path", "object", "empty", F.when(~full, F.to_json("v")).alias("value"), F.when(full, F.col("v")).alias("v")))
+        told = saved(told.select(key, order, "path", "object", "empty", F.when(~full, F.col("text")).alias("value"), F.when(full, F.col("v")).alias("v")))
         out.append(told)
         level = told.where("object and not empty").select(key, order, "path", "v")
         if level.isEmpty():
