@@ -10,9 +10,9 @@
    drops boxes and pairs. Pairs that are left are verified on the sets, unless both are already in one component.
 4. Links become components of classes, and these components of documents.
 
-In a territory of more than a block each class is first compared with the root. Those that link with it are in one component, so only
-the others are compared with all: large groups of near copies cost as much as they hold, not its square. What is left is cut into
-blocks, each pair of blocks is one task. No step holds a list of all partners of a document.
+In a territory of more than a block each class is first compared with one of them, its pivot. Those that link with it are in one
+component, so only the others are compared with all: large groups of near copies cost as much as they hold, not its square. What is
+left is cut into blocks, each pair of blocks is one task. No step holds a list of all partners of a document.
 """
 
 from __future__ import annotations
@@ -140,15 +140,20 @@ def _ranks(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.log2(told["n"].to_numpy(float)[order]).astype(np.int8)
 
 
+def ranks_of(shingles: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Ranks of shingles, 0 for those that aren't frequent."""
+    ids, rank = ranks
+    if not len(ids):
+        return np.zeros(len(shingles), np.int8)
+    at = np.minimum(np.searchsorted(ids, shingles), len(ids) - 1)
+    return np.where(ids[at] == shingles, rank[at], 0)
+
+
 def prefix(shingles: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The shingles of which any set that is similar enough shares one with its own first ones."""
     n = len(shingles)
     first = n - (n * PERCENT + 99) // 100 + 1
-    ids, rank = ranks
-    if not len(ids):
-        return shingles[:first]
-    at = np.minimum(np.searchsorted(ids, shingles), len(ids) - 1)
-    own = np.where(ids[at] == shingles, rank[at], 0)
+    own = ranks_of(shingles, ranks)
     return shingles[np.argsort(own, kind="stable")[:first]] if own.any() else shingles[:first]
 
 
@@ -323,10 +328,10 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dealt(rows: DataFrame, kin: DataFrame) -> DataFrame:
     """``rows`` (root, class) with block, low and high: a row for each pair of blocks of its territory that it takes part in.
 
-    In a territory of more than BLOCK classes, ``kin`` (root, class), those that link with the root, have blocks of their own, which meet
-    those of the others only.
+    In a territory of more than BLOCK classes, ``kin`` (root, class, ...), those that link with its pivot, have blocks of their own, which
+    meet those of the others only.
     """
-    marked = rows.join(kin.withColumn("kin", F.lit(1)), ["root", "class"], "left").withColumn("kin", F.coalesce("kin", F.lit(0)))
+    marked = rows.join(kin.select("root", "class").distinct().withColumn("kin", F.lit(1)), ["root", "class"], "left").withColumn("kin", F.coalesce("kin", F.lit(0)))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     large = marked.groupBy("root").agg(blocks(F.sum("kin")).alias("_kin"), blocks(F.sum(1 - F.col("kin"))).alias("_others"), F.count("*").alias("_n")).where(F.col("_n") > BLOCK)
     large = saved(large.drop("_n"))
@@ -340,18 +345,31 @@ def dealt(rows: DataFrame, kin: DataFrame) -> DataFrame:
     return paired.select("root", "class", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
-def kin_of(found: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(root, class) of ``found`` that link with the root, in territories of more than BLOCK classes; the root itself too. ``sets`` gives (class, shingles) of classes."""
+def kin_of(found: DataFrame, sets: Callable[[DataFrame], DataFrame], ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(root, class, pivot) of ``found`` (root, class) in territories of more than BLOCK classes: the classes that link with their territory's pivot, itself too.
+
+    The pivot is the class whose shingles are the most frequent on average: of copies of one text that differ from each other, it
+    is most like the text. Any class would do, as links are tested. ``sets`` gives (class, shingles) of classes.
+    """
     large = saved(found.groupBy("root").count().where(F.col("count") > BLOCK).select("root"))
     if large.isEmpty():
-        return large.select("root", F.col("root").alias("class"))
+        return large.select("root", F.col("root").alias("class"), F.col("root").alias("pivot"))
     members = found.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "root")
     own = saved(sets(saved(members.select("class").distinct())))
-    roots = own.join(large.select(F.col("root").alias("class")), "class").select(F.col("class").alias("root"), F.col("shingles").alias("_root"))
-    size = roots.agg(F.sum(F.size("_root"))).first()[0] or 0
-    roots = F.broadcast(roots) if size <= BROADCAST_ROWS else roots
-    shared, whole = F.size(F.array_intersect("shingles", "_root")), F.size("shingles") + F.size("_root")
-    return saved(members.join(own, "class").join(roots, "root").where(100 * shared >= PERCENT * (whole - shared)).select("root", "class"))
+    send = found.sparkSession.sparkContext.broadcast(ranks)
+
+    def common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"class": b["class"], "common": [float(ranks_of(np.asarray(s, np.int64).view(np.uint64), send.value).mean()) for s in b["shingles"]]})
+        release()
+
+    told = members.join(own.mapInPandas(common, "class long, common double"), "class")
+    pivots = saved(told.groupBy("root").agg(F.max_by("class", F.struct("common", "class")).alias("pivot")))
+    middle = pivots.join(own.select(F.col("class").alias("pivot"), F.col("shingles").alias("_pivot")), "pivot")
+    size = middle.agg(F.sum(F.size("_pivot"))).first()[0] or 0
+    middle = F.broadcast(middle) if size <= BROADCAST_ROWS else middle
+    shared, whole = F.size(F.array_intersect("shingles", "_pivot")), F.size("shingles") + F.size("_pivot")
+    return saved(members.join(own, "class").join(middle, "root").where(100 * shared >= PERCENT * (whole - shared)).select("root", "class", "pivot"))
 
 
 def together(rows: DataFrame) -> DataFrame:
@@ -370,12 +388,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("class", F.col("text").cast("binary").alias("text")).mapInPandas(each, "class long, shingles array<long>")
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) → doc_id, text_id, n, class, component: one row for each input row.
-
-    n is the size of the shingle set. class names the set and component the classes that it reaches; both are null where n is 0.
-    Ids play no part in it: rows without one and rows that share one link by their texts like all others.
-    """
+def compared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_id, n, class), one for each of ``docs`` (doc_id, text, ...), and classes (class, head, component) with their smallest id."""
     sketch = saved(sketched(docs))
     rows = sketch.where("times is null").select("doc_id", "text_id", "n", "class")
     heads = sketch.where("n > 0 and times is null").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("text_id").alias("head_text"), F.first("point").alias("point"))
@@ -391,15 +405,26 @@ def classes_of(docs: DataFrame) -> DataFrame:
         nameless = texts.where("doc_id is null").join(those.where("head is null"), text_id(F.col("text")) == F.col("head_text")).select("class", "text")
         return shingle_sets(named.unionByName(nameless)).dropDuplicates(["class"])
 
-    found = saved(territories(docs, _ranks(sketch)))
-    kin = kin_of(found, sets)
+    ranks = _ranks(sketch)
+    found = saved(territories(docs, ranks))
+    kin = kin_of(found, sets, ranks)
     met = dealt(found, kin).join(heads.select("class", "point"), "class")
     left = saved(together(met).mapInArrow(with_partner, "root long, class long").distinct())
     links = together(dealt(left, kin).join(sets(left.select("class").distinct()), "class")).mapInArrow(linked, "a long, b long")
-    links = links.unionByName(kin.select(F.col("root").alias("a"), F.col("class").alias("b")))
+    links = links.unionByName(kin.select(F.col("pivot").alias("a"), F.col("class").alias("b")))
     reached = components(links).select(F.col("node").alias("class"), "component")
-    out = rows.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(reached, "class", "left")
-    return out.select("doc_id", "text_id", "n", "class", F.coalesce("component", "class").alias("component"))
+    kinds = heads.join(reached, "class", "left").select("class", "head", F.coalesce("component", "class").alias("component"))
+    return rows.withColumn("class", F.when(F.col("n") > 0, F.col("class"))), kinds
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) → doc_id, text_id, n, class, component: one row for each input row.
+
+    n is the size of the shingle set. class names the set and component the classes that it reaches; both are null where n is 0.
+    Ids play no part in it: rows without one and rows that share one link by their texts like all others.
+    """
+    rows, kinds = compared(docs)
+    return rows.join(kinds.select("class", "component"), "class", "left").select("doc_id", "text_id", "n", "class", "component")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -410,7 +435,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids link others but never become a component's id, which is null where all it holds have none. Texts of any length are read
     whole. Other columns don't matter, whatever their names. An empty table gives no rows.
     """
-    rows = classes_of(docs)
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "component", "left")
+    rows, kinds = compared(docs)
+    least = kinds.groupBy("component").agg(F.min("head").alias("component_id"))
+    told = kinds.join(least, "component").select("class", "component_id")
+    out = rows.join(told, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
