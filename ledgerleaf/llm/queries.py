@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import cover_tree, langid, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, url_cascade, warc
+from ledgerleaf.llm import cover_tree, langid, line_dedup, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, url_cascade, warc
 from ledgerleaf.llm.common import fold, table
 
 #: The contract's rules: action, host, path.
@@ -55,6 +55,11 @@ def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_scores": quality_scores,
     "op2_derived_records": derived_records,
@@ -66,6 +71,7 @@ QUERIES = {
     "op8_sampled_pieces": sampled_pieces,
     "op9_url_filter": url_filter,
     "op10_shingle_components": shingle_components,
+    "op13_line_dedup": deduplicated_lines,
 }
 
 ORACLE: dict[str, str] = {
@@ -109,5 +115,16 @@ WITH RECURSIVE w AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.component_id FROM reach r JOIN links l ON l.a = r.doc_id
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.component_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id) GROUP BY 1, 2
+""",
+    "op13_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+), frequent AS (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT l.doc_id, l.pos, l.line, f.key IS NOT NULL AND l.doc_id <> f.keeper AS gone FROM lines l LEFT JOIN frequent f USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id
 """,
 }
