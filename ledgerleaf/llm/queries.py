@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import cover_tree, langid, line_dedup, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, url_cascade, warc
+from ledgerleaf.llm import cover_tree, langid, line_dedup, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, spelling, url_cascade, warc
 from ledgerleaf.llm.common import fold, table
 
 #: The contract's rules: action, host, path.
@@ -55,6 +55,10 @@ def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return left.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_sampled_pieces": sampled_pieces,
     "op9_url_filter": url_filter,
     "op10_shingle_components": shingle_components,
+    "op12_spelling_variants": spelling_variants,
     "op13_line_dedup": deduplicated_lines,
 }
 
@@ -115,6 +120,34 @@ WITH RECURSIVE w AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.component_id FROM reach r JOIN links l ON l.a = r.doc_id
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.component_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id) GROUP BY 1, 2
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE poly AS (
+  -- the 256 remainders of the crc32, by its rule
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM runs GROUP BY 1, 2
+), hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM counted, poly
+), v AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), d AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest
+), best AS (
+  SELECT word, count(*) AS n_near, min({'less': -n, 'near': near}) AS best FROM near GROUP BY word
+), formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * v.n THEN best.near END AS form, CASE WHEN -best.less >= 2 * v.n THEN -best.less END AS form_n FROM v LEFT JOIN best USING (word)
+), steps(word, reached, form) AS (
+  SELECT word, word, form FROM formed UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON f.word = s.form
+)
+SELECT f.word, f.form, s.reached AS root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON s.word = f.word AND s.form IS NULL
 """,
     "op13_line_dedup": r"""
 WITH lines AS (
