@@ -26,10 +26,6 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    return ascii_lower(F.trim(line, F.lit(ENDS)))
-
-
 def _row(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """What tells rows apart: the id and a hash of the text, so that rows that repeat an id keep lines of their own."""
     return [F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__text")]
@@ -38,8 +34,9 @@ def _row(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def _hashed(docs: DataFrame, least_length: int) -> DataFrame:
     """(h1, h2, __id, __text, pos) of each line whose key is long enough; pos counts from 1."""
     texts = docs.select(*_row(), lines_of(F.col("text")).alias("lines"))  # the text is hashed once, not for each of its lines
-    keyed = texts.select("__id", "__text", F.posexplode("lines").alias("at", "line")).select("__id", "__text", (F.col("at") + 1).alias("pos"), key_of(F.col("line")).alias("key"))
-    return keyed.where(F.char_length("key") >= least_length).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "__id", "__text", "pos")
+    bare = texts.select("__id", "__text", F.posexplode("lines").alias("at", "line")).select("__id", "__text", (F.col("at") + 1).alias("pos"), F.trim("line", F.lit(ENDS)).alias("bare"))
+    key = ascii_lower(F.col("bare"))  # as long as it was
+    return bare.where(F.char_length("bare") >= least_length).select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "__id", "__text", "pos")
 
 
 def frequent_lines(docs: DataFrame, least_length: int = 40, least_documents: int = 5) -> DataFrame:
@@ -56,11 +53,13 @@ def dropped_places(docs: DataFrame, frequent: DataFrame, least_length: int = 40)
     """(__id, __text, pos) of the lines that go; ``frequent`` as saved by the caller."""
     total = frequent.agg(F.sum("lines")).first()[0] or 0
     heavy = F.col("lines") >= max(HEAVY_LINES, -(-total // HEAVY_PART))
-    few, rest = F.broadcast(frequent.where(heavy).drop("lines")), frequent.where(~heavy).drop("lines")
-    lines = _hashed(docs, least_length)
-    key = ["h1", "h2"]
-    met = lines.join(few, key).unionByName(lines.join(few.select(*key), key, "left_anti").join(rest, key))
-    return met.where(~F.col("__id").eqNullSafe(F.col("keeper"))).select("__id", "__text", "pos")
+    few = F.broadcast(frequent.where(heavy).select("h1", "h2", F.col("keeper").alias("known")))
+    # lines of heavy keys have met theirs already, so they pass the shuffle under hashes of their places
+    lines = _hashed(docs, least_length).join(few, ["h1", "h2"], "left")
+    met = F.col("known").isNotNull()
+    lines = lines.select(F.when(met, F.xxhash64("__id", "__text", "pos")).otherwise(F.col("h1")).alias("h1"), F.when(met, 0).otherwise(F.col("h2")).alias("h2"), "known", "__id", "__text", "pos")
+    keeper = F.coalesce("known", "keeper")
+    return lines.join(frequent.where(~heavy).drop("lines"), ["h1", "h2"], "left").where(keeper.isNotNull() & ~F.col("__id").eqNullSafe(keeper)).select("__id", "__text", "pos")
 
 
 def deduplicate(docs: DataFrame, least_length: int = 40, least_documents: int = 5) -> DataFrame:
