@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import cover_tree, langid, line_dedup, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, spelling, url_cascade, warc
+from ledgerleaf.llm import cover_tree, gnat, langid, line_dedup, mixing, order_minhash, piece_sampling, pitman_yor, quality, shingle_join, spelling, url_cascade, warc
 from ledgerleaf.llm.common import fold, table
 
 #: The contract's rules: action, host, path.
@@ -55,6 +55,12 @@ def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return gnat.mine(moved, F.col("vec_id") % 100 == 0)
+
+
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op8_sampled_pieces": sampled_pieces,
     "op9_url_filter": url_filter,
     "op10_shingle_components": shingle_components,
+    "op11_hard_negatives": hard_negatives,
     "op12_spelling_variants": spelling_variants,
     "op13_line_dedup": deduplicated_lines,
 }
@@ -120,6 +127,20 @@ WITH RECURSIVE w AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.component_id FROM reach r JOIN links l ON l.a = r.doc_id
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.component_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id) GROUP BY 1, 2
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
 """,
     "op12_spelling_variants": r"""
 WITH RECURSIVE poly AS (
