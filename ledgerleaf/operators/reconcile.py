@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +51,54 @@ def statement_balance(transactions: DataFrame, opening: DataFrame) -> DataFrame:
     return opening.join(sums, "account", "left").select("account", (F.col("opening") + F.coalesce("net", F.lit(0.0))).alias("ending"))
 
 
+#: Rules of a catalog of forms, at most: they stand as a literal in the expression.
+RULES = 10_000
+
+
+def rule_order(rules: DataFrame) -> list[tuple[str, str, list[tuple[str, float]]]]:
+    """(form, target, [(source, sign)]) of ``rules`` (form, target, source, sign; a catalog), each target after the targets that it depends on."""
+    rows = rules.select("form", "target", "source", "sign").limit(RULES + 1).collect()
+    if len(rows) > RULES:
+        raise ValueError(f"more than {RULES} rules are no catalog")
+    waiting: dict[tuple[str, str], list[tuple[str, float]]] = {}
+    for r in sorted(rows):
+        waiting.setdefault((r.form, r.target), []).append((r.source, float(r.sign)))
+    out: list[tuple[str, str, list[tuple[str, float]]]] = []
+    while waiting:
+        ready = [k for k, sources in waiting.items() if not any((k[0], source) in waiting for source, _ in sources)]
+        if not ready:
+            raise ValueError(f"rules depend on each other: {sorted(waiting)}")
+        out += [(*k, waiting.pop(k)) for k in ready]
+    return out
+
+
+def computed_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """(record_id, form, target, stated, computed): every line of a record's form that has a rule, what the record states for it (null if
+    nothing) and the signed sum of its sources.
+
+    A source counts what is stated; one that isn't stated and has a rule counts its own computed value, whatever the depth; any other
+    counts 0. ``lines`` has record_id, form, line, value: a null value is none, repeated lines add up. Rules that depend on
+    each other in a circle are an error. One aggregate puts a record's lines in a map; the rules are one expression over it, in the order of dependency.
+    """
+    sums = lines.where("value is not null and line is not null").groupBy("record_id", "form", "line").agg(F.sum("value").cast("double").alias("value"))
+    maps = sums.groupBy("record_id", "form").agg(F.map_from_entries(F.collect_list(F.struct("line", "value"))).alias("stated"))
+    kind = "array<struct<form: string, target: string, sources: array<struct<source: string, sign: double>>>>"
+    order = F.from_json(F.lit(json.dumps([{"form": f, "target": t, "sources": [{"source": s, "sign": g} for s, g in sources]} for f, t, sources in rule_order(rules)])), kind)
+
+    def step(known: Column, rule: Column) -> Column:
+        value = lambda s: s["sign"] * F.coalesce(F.element_at(known["stated"], s["source"]), F.element_at(known["computed"], s["source"]), F.lit(0.0))
+        total = F.aggregate(rule["sources"], F.lit(0.0), lambda t, s: t + value(s))
+        return F.struct(known["stated"].alias("stated"), F.map_concat(known["computed"], F.create_map(rule["target"], total)).alias("computed"))
+
+    start = F.struct(F.col("stated"), F.create_map().cast("map<string,double>").alias("computed"))
+    known = F.aggregate(F.filter(order, lambda r: r["form"] == F.col("form")), start, step, lambda k: k["computed"])
+    told = maps.select("record_id", "form", "stated", F.explode(known).alias("target", "computed"))
+    return told.select("record_id", "form", "target", F.element_at("stated", F.col("target")).alias("stated"), "computed")
+
+
 def check_lines(lines: DataFrame, rules: DataFrame, tol: float = TOLERANCE) -> DataFrame:
-    """(record_id, form, target, stated, computed, ok): each target line of ``lines`` (record_id, form, line, value) against the signed sum of its sources; an absent source counts 0."""
-    used = lines.join(F.broadcast(rules), (lines["form"] == rules["form"]) & (lines["line"] == rules["source"])).groupBy("record_id", lines["form"], "target").agg(F.sum(F.col("sign") * F.col("value")).alias("computed"))
-    stated = lines.select("record_id", "form", F.col("line").alias("target"), F.col("value").alias("stated")).join(F.broadcast(rules.select("form", "target").distinct()), ["form", "target"], "left_semi")
-    out = stated.join(used, ["record_id", "form", "target"], "left").withColumn("computed", F.coalesce("computed", F.lit(0.0)))
-    return out.select("record_id", "form", "target", "stated", "computed", matches(F.col("stated"), F.col("computed"), tol).alias("ok"))
+    """(record_id, form, target, stated, computed, ok): each stated target line of ``lines`` against the signed sum of its sources, as in computed_lines()."""
+    return computed_lines(lines, rules).where("stated is not null").withColumn("ok", matches(F.col("stated"), F.col("computed"), tol))
 
 
 def debt_summary(debts: DataFrame) -> DataFrame:

@@ -41,3 +41,16 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, in any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers n of the complete tables ``folder/name=n``, ascending."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
+    there = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in there or [])

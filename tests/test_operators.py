@@ -16,7 +16,7 @@ from ledgerleaf.functions import values as V
 from ledgerleaf.operators import forms, mapping, merge, planning, registry, replies, routing, schema
 from ledgerleaf.plans import catalog
 from ledgerleaf.sources import files, sinks
-from ledgerleaf.streaming import intake
+
 
 
 def one(spark, *columns):
@@ -233,14 +233,3 @@ def test_absent_required_fields(spark):
     values = spark.createDataFrame([(1, "ein", "12-3456789"), (2, "businessName", "x"), (2, "ein", "bad")], "record_id int, field string, value string")
     found = {tuple(r) for r in schema.validate(values, catalog.model_fields(spark), "BusinessMetadata").collect()}
     assert found == {(1, "businessName", "required"), (2, "ein", "pattern")}
-
-
-def test_stream_passes_each_content_once(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for name, body in (("a.pdf", b"1"), ("b.pdf", b"1"), ("c.pdf", b"2")):
-        (tmp_path / "in" / name).write_bytes(body)
-    out = str(tmp_path / "out")
-    intake.run_once(intake.first_seen(intake.arriving(spark, str(tmp_path / "in"))), out, str(tmp_path / "state"))
-    (tmp_path / "in/d.pdf").write_bytes(b"2")
-    intake.run_once(intake.first_seen(intake.arriving(spark, str(tmp_path / "in"))), out, str(tmp_path / "state"))
-    assert sorted(bytes(r.content) for r in spark.read.parquet(out).collect()) == [b"1", b"2"]
