@@ -62,6 +62,43 @@ def city_state_zip(address: Column) -> Column:
     return F.when(every, F.concat(city, F.lit(", "), state, F.lit(" "), code)).otherwise(F.nullif(F.concat_ws(", ", city, state, code), F.lit("")))
 
 
+#: A limb of a large whole number, and the power of two by which it is made up.
+_LIMB, _STEP = 10**9, 29
+
+
+def whole_text(x: Column) -> Column:
+    """All digits of a finite double that is a whole number, of any size.
+
+    Up to 2^62 it is cast. Beyond, it is a first part below 2^62 times a power of two, and _STEP bits for each power less (all exact); the
+    digits are made up from the top in limbs of nine.
+    """
+    size = F.abs(x)
+    steps = F.greatest(F.lit(0), F.ceil((F.log2(size) - 60) / _STEP).cast("int"))
+    power = lambda n: F.pow(F.lit(2.0), n * _STEP)
+    first = F.floor(size / power(steps))
+    limbs = F.array(first % _LIMB, _div(first, _LIMB) % _LIMB, _div(_div(first, _LIMB), _LIMB))
+    start = F.struct(limbs.alias("limbs"), (size - first.cast("double") * power(steps)).alias("rest"))
+
+    def step(known: Column, n: Column) -> Column:
+        part = F.floor(known["rest"] / power(n))
+        carried = F.aggregate(
+            known["limbs"], F.struct(F.array().cast("array<bigint>").alias("out"), part.alias("carry")),
+            lambda c, limb: F.struct(F.array_append(c["out"], (limb * (1 << _STEP) + c["carry"]) % _LIMB).alias("out"), _div(limb * (1 << _STEP) + c["carry"], _LIMB).alias("carry")),
+            lambda c: F.array_append(c["out"], c["carry"]),
+        )
+        return F.struct(carried.alias("limbs"), (known["rest"] - part.cast("double") * power(n)).alias("rest"))
+
+    made = F.aggregate(F.reverse(F.sequence(F.lit(0), steps - 1)), start, step, lambda k: k["limbs"])
+    digits = F.ltrim(F.array_join(F.reverse(F.transform(made, lambda limb: F.lpad(limb.cast("string"), 9, "0"))), ""), F.lit("0"))
+    large = F.concat(F.when(x < 0, "-").otherwise(""), digits)
+    return F.when(size < float(1 << 62), x.cast("bigint").cast("string")).otherwise(large)
+
+
+def _div(a: Column, b: int) -> Column:
+    """Whole division of a non-negative bigint; the quotient is below 2^33, so the double nearest to it is rounded right."""
+    return F.rint((a - a % b) / F.lit(b)).cast("bigint")
+
+
 def number_text(x: Column) -> Column:
     """A double as text: whole numbers without a point, others with the fewest digits that tell them apart, below 0.0001 with an exponent."""
     shortest = x.cast("string")
@@ -70,12 +107,12 @@ def number_text(x: Column) -> Column:
     part, power = F.split_part(shortest, F.lit("E-"), F.lit(1)), F.split_part(shortest, F.lit("E-"), F.lit(2))
     small = F.concat(F.regexp_replace(part, r"\.0$", ""), F.lit("e-"), F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
     odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    return F.when(odd.isNotNull(), odd).when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).when((F.abs(x) < 1e-4) & shortest.contains("E-"), small).otherwise(plain)
+    return F.when(odd.isNotNull(), odd).when(x == F.rint(x), whole_text(x)).when((F.abs(x) < 1e-4) & shortest.contains("E-"), small).otherwise(plain)
 
 
 def percent_text(x: Column) -> Column:
     """A double as percentage; whole numbers keep one place, as in ``50.0%``."""
-    return F.concat(F.when(x == F.floor(x), F.concat(number_text(x), F.lit(".0"))).otherwise(number_text(x)), F.lit("%"))
+    return F.concat(F.when(x == F.rint(x), F.concat(number_text(x), F.lit(".0"))).otherwise(number_text(x)), F.lit("%"))
 
 
 def ownership_pct(own: Column, owners: Column, name: Column) -> Column:

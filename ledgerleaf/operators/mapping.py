@@ -9,43 +9,94 @@ from ledgerleaf.functions import values as V
 from ledgerleaf.plans.catalog import OTHER, OWN
 
 
-def rules(record: Column) -> dict[str, Column]:
-    """Value of each rule, whose names are fixed values, for a record of the extraction contract (personal, addresses, business, checkboxes_and_questions)."""
+#: The rules by name, each with the part of a record that it takes.
+RULES = {
+    "Name": "name", "First Name": "first", "Last Name": "last",
+    "Social Security Number": "ssn", "SSN": "ssn", "Date of Birth": "born", "DOB": "born",
+    "Mobile Telephone Number": "mobile", "Mobile Phone": "mobile", "Business Phone": "work",
+    "Email address": "email", "Email": "email",
+    "Residence Address": "street", "Home Address": "street", "City, State, Zip": "csz",
+    "City": "city", "State": "state", "Zip": "zip",
+    "Business Applicant Name": "firm", "Business Name": "firm", OWN: "share", "Ownership Percentage": "share", "EIN": "ein",
+    "Are you a U.S. Citizen?": "citizen", "US Citizen": "citizen", OTHER: "other",
+    "Have you ever declared bankruptcy?": "bankrupt",
+    "Are you a defendant in any lawsuits or legal actions?": "lawsuits",
+    "Are you delinquent on any taxes?": "taxes",
+}
+#: Rows of a catalog of forms, at most, that stands as a literal in an expression; forms whose fields are broadcast, at most.
+LITERAL, BROADCAST = 10_000, 100_000
+
+
+def record_parts(records: DataFrame, key: str = "app_id") -> DataFrame:
+    """(``key``, a column for each part of RULES) of ``records`` (record, of the extraction contract), each part evaluated once for a record."""
+    record = F.col("record")
     pa, home = record["personal"]["primary_applicant"], record["addresses"]["current_residence"]
     firm, asked = record["business"]["primary_business"], record["checkboxes_and_questions"]
-    name = V.full_name(pa["name"])
-    share = V.ownership_pct(pa["ownership_percentage"], firm["ownership"], name)
-    born, citizen = V.format_date(pa["dob"]), V.yes_no(pa["citizenship"]["is_us_citizen"], True)
-    return {
-        "Name": name, "First Name": pa["name"]["first"], "Last Name": pa["name"]["last"],
-        "Social Security Number": pa["ssn"], "SSN": pa["ssn"], "Date of Birth": born, "DOB": born,
-        "Mobile Telephone Number": pa["phones"]["mobile"], "Mobile Phone": pa["phones"]["mobile"], "Business Phone": pa["phones"]["business"],
-        "Email address": pa["email"], "Email": pa["email"],
-        "Residence Address": V.street(home), "Home Address": V.street(home), "City, State, Zip": V.city_state_zip(home),
-        "City": home["city"], "State": home["state"], "Zip": home["zip"],
-        "Business Applicant Name": firm["legal_name"], "Business Name": firm["legal_name"], OWN: share, "Ownership Percentage": share, "EIN": firm["ein"],
-        "Are you a U.S. Citizen?": citizen, "US Citizen": citizen, OTHER: V.other_businesses(record["business"]["affiliated_businesses"]),
-        "Have you ever declared bankruptcy?": V.yes_no(asked["has_declared_bankruptcy"], True),
-        "Are you a defendant in any lawsuits or legal actions?": V.yes_no(asked["pending_lawsuits"], True),
-        "Are you delinquent on any taxes?": V.yes_no(asked["delinquent_on_taxes"], True),
+    plain = {
+        "first": pa["name"]["first"], "last": pa["name"]["last"], "ssn": pa["ssn"], "mobile": pa["phones"]["mobile"], "work": pa["phones"]["business"], "email": pa["email"],
+        "street": V.street(home), "city": home["city"], "state": home["state"], "zip": home["zip"], "firm": firm["legal_name"], "ein": firm["ein"],
     }
+    made = {
+        "name": V.full_name(pa["name"]), "born": V.format_date(pa["dob"]), "csz": V.city_state_zip(home), "citizen": V.yes_no(pa["citizenship"]["is_us_citizen"], True),
+        "other": V.other_businesses(record["business"]["affiliated_businesses"]), "bankrupt": V.yes_no(asked["has_declared_bankruptcy"], True),
+        "lawsuits": V.yes_no(asked["pending_lawsuits"], True), "taxes": V.yes_no(asked["delinquent_on_taxes"], True),
+    }
+    own = {"_own": pa["ownership_percentage"], "_owners": firm["ownership"]}
+    one = records.select(key, *[c.alias(n) for n, c in (plain | made | own).items()])
+    return one.withColumn("share", V.ownership_pct(F.col("_own"), F.col("_owners"), F.col("name"))).drop(*own)
+
+
+def rule_maps(records: DataFrame, key: str = "app_id") -> DataFrame:
+    """(``key``, values): the truthy values of all rules, in a map by the rule's name in lower case."""
+    names, parts = F.array(*[F.lit(n.lower()) for n in RULES]), F.array(*[F.col(p) for p in RULES.values()])
+    return record_parts(records, key).select(key, F.map_filter(F.map_from_arrays(names, parts), lambda _, v: v != "").alias("values"))
 
 
 def rule_values(records: DataFrame, key: str = "app_id") -> DataFrame:
     """(``key``, rule_name, value): the truthy values of all rules, one pass over ``records`` (record)."""
-    pairs = F.array(*[F.struct(F.lit(name).alias("rule_name"), value.alias("value")) for name, value in rules(F.col("record")).items()])
-    return records.select(key, F.explode(pairs).alias("r")).select(key, "r.rule_name", "r.value").where("value <> ''")
+    # the outer form is read once; the inner one is repeated in a filter that the optimizer infers
+    pairs = F.explode_outer(F.array(*[F.struct(F.lit(name).alias("rule_name"), F.col(part).alias("value")) for name, part in RULES.items()]))
+    return record_parts(records, key).select(key, pairs.alias("r")).select(key, "r.rule_name", "r.value").where("value <> ''")
+
+
+def unmapped_fields(fields: DataFrame) -> DataFrame:
+    """The ``fields`` (form_id, field_name, ...) that no rule has the name of, without regard to case."""
+    return fields.where(~F.lower("field_name").isin(*[n.lower() for n in RULES]))
+
+
+def _form_names(fields: DataFrame) -> DataFrame:
+    """(form_id, names): the fields of each form that a rule has the name of."""
+    ruled = fields.where(F.lower("field_name").isin(*[n.lower() for n in RULES])).select("form_id", "field_name")
+    return ruled.groupBy("form_id").agg(F.array_sort(F.collect_list("field_name")).alias("names"))
 
 
-def map_fields(values: DataFrame, fields: DataFrame, key: str = "app_id") -> tuple[DataFrame, DataFrame]:
-    """(filled, unmapped): ``fields`` (form_id, field_name) met by rule names without regard to case; the unmapped fields have no rule of that name at all.
+def map_fields(maps: DataFrame, fields: DataFrame, requests: DataFrame | None = None, key: str = "app_id") -> DataFrame:
+    """(``key``, form_id, field_name, value): each form's fields that a rule has a truthy value for, found in the application's map by name without regard to case.
 
-    A catalog of forms is broadcast only as far as Spark's own size check allows.
+    ``maps`` is of rule_maps(), ``fields`` has form_id, field_name. ``requests`` (``key``, form_id) says which forms an application asks for.
+    Without it every application gets every form of a catalog of at most LITERAL ruled fields, which stands in the expression as a
+    literal; a larger catalog needs requests. Nothing is shuffled by name.
     """
-    filled = values.join(fields, F.lower("rule_name") == F.lower("field_name")).select(key, "form_id", "field_name", "value")
-    names = values.sparkSession.createDataFrame([(n.lower(),) for n in rules(F.col("record"))], "_rule string")
-    unmapped = fields.join(F.broadcast(names), F.lower("field_name") == F.col("_rule"), "left_anti")
-    return filled, unmapped
+    found = lambda names: F.filter(F.transform(names, lambda n: F.struct(n.alias("field_name"), F.element_at("values", F.lower(n)).alias("value"))), lambda f: f["value"].isNotNull())
+    if requests is None:
+        ruled = fields.where(F.lower("field_name").isin(*[n.lower() for n in RULES])).select("form_id", "field_name")
+        rows = ruled.limit(LITERAL + 1).collect()
+        if len(rows) > LITERAL:
+            raise ValueError(f"a catalog of more than {LITERAL} fields needs requests")
+        if not rows:
+            return maps.select(key, F.lit(None).cast(ruled.schema["form_id"].dataType).alias("form_id"), F.lit("").alias("field_name"), F.lit("").alias("value")).where("false")
+        kind = ruled.schema["form_id"].dataType
+        listed = F.array(*[F.struct(F.lit(r.form_id).cast(kind).alias("form_id"), F.lit(r.field_name).alias("field_name")) for r in sorted(rows)])
+        each = F.transform(listed, lambda f: F.struct(f["form_id"].alias("form_id"), f["field_name"].alias("field_name"), F.element_at("values", F.lower(f["field_name"])).alias("value")))
+        return maps.select(key, F.explode_outer(each).alias("f")).select(key, "f.*").where("value is not null")
+    names = _form_names(fields)
+    asked = requests.select(key, "form_id").distinct().join(_catalog(names), "form_id").join(maps, key)
+    return asked.select(key, "form_id", F.explode_outer(found(F.col("names"))).alias("f")).select(key, "form_id", "f.*").where("value is not null")
+
+
+def _catalog(forms: DataFrame) -> DataFrame:
+    """``forms``, a row for each form, for a join: broadcast up to BROADCAST forms."""
+    return F.broadcast(forms) if forms.limit(BROADCAST + 1).count() <= BROADCAST else forms
 
 
 def merge_suggestions(ruled: DataFrame, model: DataFrame) -> DataFrame:
@@ -56,36 +107,40 @@ def merge_suggestions(ruled: DataFrame, model: DataFrame) -> DataFrame:
     return both.select(*keys, F.when(told, F.col("model_value")).otherwise(F.col("rule_value")).alias("value"), F.when(told, "model").otherwise("rule").alias("method"))
 
 
-def _each_form(applications: DataFrame, forms: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``applications`` with each of ``forms`` (form_id, ...), a catalog that is broadcast as one row."""
-    listed = forms.agg(F.collect_list(F.struct(*forms.columns)).alias("_forms")).withColumn("_one", F.lit(1))
-    rows = applications.select(*keep).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one")
-    return rows.select(*keep, F.explode("_forms").alias("_f")).select(*keep, "_f.*")
+def fallback_result(filled: DataFrame, fields: DataFrame, requests: DataFrame) -> DataFrame:
+    """(app_id, form_id, completion, confidence, method, error) of rule values alone, for each of ``requests`` (app_id, form_id, error).
 
-
-def fallback_result(filled: DataFrame, fields: DataFrame, applications: DataFrame) -> DataFrame:
-    """(app_id, form_id, completion, confidence, method, error) of rule values alone, for each of ``applications`` (app_id, error) and each form.
-
-    completion is the percentage of all fields that are filled, 0 where none is; confidence is that of each filled field, null
-    where there is none; error says why the model's answer is missing.
+    completion is the percentage of all the form's fields that are filled, 0 where none is or the form has none; confidence is that of
+    each filled field, null where there is none; error says why the model's answer is missing.
     """
     total = fields.groupBy("form_id").agg(F.count("*").alias("total"))
     done = filled.where("value <> ''").groupBy("app_id", "form_id").agg(F.count("*").alias("n"))
-    every = _each_form(applications, total, "app_id", "error").join(done, ["app_id", "form_id"], "left")
+    every = requests.select("app_id", "form_id", "error").distinct().join(_catalog(total), "form_id", "left").join(done, ["app_id", "form_id"], "left")
     n = F.coalesce("n", F.lit(0))
     told = F.concat(F.lit("LLM mapping failed, using deterministic mapping: "), F.coalesce("error", F.lit("")))  # a fixed text
-    return every.select("app_id", "form_id", (n / F.col("total") * 100).alias("completion"), F.when(n > 0, 0.8).alias("confidence"), F.lit("deterministic_fallback").alias("method"), told.alias("error"))
-
-
-def completion(filled: DataFrame, fields: DataFrame, applications: DataFrame) -> DataFrame:
-    """(app_id, form_id, completion, missing) for each of ``applications`` (app_id) and each form: percent of the required fields that are
-    filled, and the names of the others, sorted. A form without required fields is complete."""
-    need = fields.groupBy("form_id").agg(F.array_sort(F.collect_set(F.when(F.col("required"), F.col("field_name")))).alias("need"))
-    have = filled.where("value <> ''").groupBy("app_id", "form_id").agg(F.collect_set("field_name").alias("have"))
-    every = _each_form(applications, need, "app_id").join(have, ["app_id", "form_id"], "left")
-    missing = F.array_except("need", F.coalesce("have", F.array().cast("array<string>")))
-    share = F.when(F.size("need") == 0, 100.0).otherwise((1 - F.size(missing) / F.size("need")) * 100)
-    return every.select("app_id", "form_id", share.alias("completion"), missing.alias("missing"))
+    return every.select("app_id", "form_id", F.coalesce(n / F.col("total") * 100, F.lit(0.0)).alias("completion"), F.when(n > 0, 0.8).alias("confidence"), F.lit("deterministic_fallback").alias("method"), told.alias("error"))
+
+
+def completion(filled: DataFrame, fields: DataFrame, requests: DataFrame) -> DataFrame:
+    """(app_id, form_id, completion, missing) for each of ``requests`` (app_id, form_id): percent of the form's required fields that are
+    filled, and the names of the others, sorted. A form without required fields is complete.
+
+    The required fields of a form are bits, 63 to a word, in the order of their names; filled ones are OR-ed for each application and form,
+    what is missing is the rest, and names come back for those bits only.
+    """
+    need = fields.where("required").groupBy("form_id").agg(F.array_sort(F.collect_set("field_name")).alias("need"))
+    need = _catalog(need)
+    words = -(-(need.agg(F.max(F.size("need"))).first()[0] or 1) // 63)
+    numbered = need.select("form_id", F.posexplode("need").alias("at", "field_name"))
+    bits = filled.where("value <> ''").join(_catalog(numbered), ["form_id", "field_name"])
+    word = lambda w: F.bit_or(F.when(F.floor(F.col("at") / 63) == w, F.expr("shiftleft(1L, at % 63)")).otherwise(F.lit(0).cast("long")))
+    have = bits.groupBy("app_id", "form_id").agg(F.array(*[word(w) for w in range(words)]).alias("have"))
+    every = requests.select("app_id", "form_id").distinct().join(need, "form_id", "left").join(have, ["app_id", "form_id"], "left")
+    set_ = lambda at: F.coalesce(F.getbit(F.get("have", (at / 63).cast("int")), at % 63) == 1, F.lit(False))
+    missing = F.coalesce(F.filter("need", lambda _, at: ~set_(at)), F.array().cast("array<string>"))
+    told = every.select("app_id", "form_id", F.coalesce(F.size("need"), F.lit(0)).alias("n"), missing.alias("missing"))
+    share = F.when(F.col("n") == 0, 100.0).otherwise((1 - F.size("missing") / F.col("n")) * 100)
+    return told.select("app_id", "form_id", share.alias("completion"), "missing")
 
 
 def with_provenance(leaves: DataFrame, key: str = "app_id") -> DataFrame:

@@ -22,13 +22,13 @@ ORACLE: dict[str, str] = {}
 NOW = 1_700_000.0
 
 
-def query(*views: str, sql: str | None = None) -> Callable:
-    """Registers a function of (spark, sf_dir, the named tables or views ...); ``sql`` selects from the same names."""
+def query(*views: str, sql: str | None = None, names: tuple[str, ...] = ("applicant",)) -> Callable:
+    """Registers a function of the tables or views ``views``, or of (spark, sf_dir) without them; ``sql`` selects from ``views``, or from ``names``."""
 
     def register(f: Callable) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[table(spark, sf_dir, v) for v in views]) if views else f(spark, sf_dir)
         if sql:
-            with_ = ctes(*views or ("applicant",))
+            with_ = ctes(*views or names)
             head = with_ if with_.strip() != "WITH" else ""
             body = sql.strip()
             body = body.replace("count_if(", "count(*) FILTER (WHERE ")  # a sum of 128 bits in DuckDB
@@ -500,10 +500,12 @@ def n1_record_values(applicant: DataFrame) -> DataFrame:
     return applicant.select("app_id", V.format_date(F.col("dob")).alias("born"), V.yes_no(F.col("citizen"), True).alias("citizen"), name.alias("name"), V.city_state_zip(F.struct("city", "state", "zip")).alias("csz"), V.other_businesses(listed).alias("other"))
 
 
-@query("lineitem", sql="""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '' WHEN l_extendedprice = floor(l_extendedprice) THEN CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR) ELSE regexp_replace(CAST(CAST(l_extendedprice AS DECIMAL(38,6)) AS VARCHAR), '\\.?0+$', '') END AS text,
+@query("lineitem", sql="""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '' WHEN l_linenumber = 5 THEN CAST(CAST(-floor(l_extendedprice) * 1e15 AS HUGEINT) AS VARCHAR) WHEN l_extendedprice = floor(l_extendedprice) THEN CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR) ELSE regexp_replace(CAST(CAST(l_extendedprice AS DECIMAL(38,6)) AS VARCHAR), '\\.?0+$', '') END AS text,
  CASE WHEN l_linenumber = 2 THEN upper(l_returnflag || 'x') WHEN l_linenumber = 4 THEN 'Off' ELSE l_returnflag || 'x' END AS ruled FROM lineitem""".replace("\\\\", "\\"))
 def n7_value_text(lineitem: DataFrame) -> DataFrame:
-    number = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice"))
+    """Prices, absent ones, and amounts of 10^18 to 10^20, past a long."""
+    large = -F.floor("l_extendedprice").cast("double") * 1e15
+    number = F.when(F.col("l_linenumber") == 5, large).when(F.col("l_linenumber") != 3, F.col("l_extendedprice"))
     kind = F.when(F.col("l_linenumber") == 4, "button").otherwise("text")
     rule = F.when(F.col("l_linenumber") == 2, "uppercase")
     return lineitem.select("l_orderkey", "l_linenumber", V.value_text(number, "number").alias("text"), V.transform(F.concat("l_returnflag", F.lit("x")), rule, kind).alias("ruled"))
@@ -577,9 +579,10 @@ def k1_rule_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.rule_values(records(spark, sf_dir))
 
 
-def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every applicant's record mapped to the common form, and its fields."""
     fields = catalog.common_fields(spark).withColumn("form_id", F.lit(1))
-    return *mapping.map_fields(mapping.rule_values(records(spark, sf_dir)), fields), fields
+    return mapping.map_fields(mapping.rule_maps(records(spark, sf_dir)), fields), fields
 
 
 @query(sql=_MAPPED + " SELECT * FROM mapped")
@@ -594,8 +597,7 @@ _NAMES = ", ".join("'" + n.lower() + "'" for n in _RULE_SQL)
 def k2_unmapped(annotation: DataFrame) -> DataFrame:
     spark = annotation.sparkSession
     fields = _fields(annotation).select("form_id", "field_name").unionByName(catalog.common_fields(spark).select(F.lit(-1).cast("long").alias("form_id"), "field_name"))
-    values = spark.createDataFrame([], "app_id long, rule_name string, value string")
-    return mapping.map_fields(values, fields)[1].select("form_id", "field_name")
+    return mapping.unmapped_fields(fields).select("form_id", "field_name")
 
 
 @query(sql=_MAPPED + """, model AS (SELECT app_id, 'Net Worth' AS field_name, CAST(cents AS VARCHAR) AS value FROM applicant UNION ALL SELECT app_id, 'Name', CASE WHEN app_id % 2 = 0 THEN 'Model Name' ELSE '' END FROM applicant)
@@ -618,8 +620,8 @@ def _applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql=_MAPPED + _APPLIED + """ SELECT app_id, count(value) / 25 * 100 AS completion, CASE WHEN count(value) > 0 THEN 0.8::DOUBLE END AS confidence, 'deterministic_fallback' AS method,
  'LLM mapping failed, using deterministic mapping: code ' || app_id AS error FROM every LEFT JOIN mapped USING (app_id) GROUP BY app_id""")
 def k4_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled, _, fields = _mapped(spark, sf_dir)
-    return mapping.fallback_result(filled, fields, _applications(spark, sf_dir)).drop("form_id")
+    filled, fields = _mapped(spark, sf_dir)
+    return mapping.fallback_result(filled, fields, _applications(spark, sf_dir).withColumn("form_id", F.lit(1))).drop("form_id")
 
 
 @query(sql=_MAPPED + _APPLIED + """, need AS (SELECT 1 AS form_id, field_name FROM common WHERE required), f AS (SELECT form_id, count(field_name) AS n FROM (VALUES (1), (2)) v(form_id) LEFT JOIN need USING (form_id) GROUP BY 1),
@@ -627,10 +629,44 @@ lost AS (SELECT app_id, form_id, field_name FROM every, need WHERE (app_id, fiel
 l AS (SELECT app_id, form_id, count(*) AS n, string_agg(field_name, '|' ORDER BY field_name) AS missing FROM lost GROUP BY ALL)
 SELECT app_id, form_id, CASE WHEN f.n = 0 THEN 100 ELSE (1 - coalesce(l.n, 0) / f.n) * 100 END::DOUBLE AS completion, coalesce(missing, '') AS missing FROM every CROSS JOIN f LEFT JOIN l USING (app_id, form_id)""")
 def k5_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled, _, fields = _mapped(spark, sf_dir)
+    filled, fields = _mapped(spark, sf_dir)
     optional = spark.createDataFrame([(2, "Remarks", False)], "form_id int, field_name string, required boolean")
     both = fields.select("form_id", "field_name", "required").unionByName(optional)
-    return mapping.completion(filled, both, _applications(spark, sf_dir)).select("app_id", "form_id", "completion", F.array_join("missing", "|").alias("missing"))
+    requests = _applications(spark, sf_dir).withColumn("form_id", F.explode(F.array(F.lit(1), F.lit(2))))
+    return mapping.completion(filled, both, requests).select("app_id", "form_id", "completion", F.array_join("missing", "|").alias("missing"))
+
+
+_REQUESTED = """, asked AS (SELECT app_id, -1 - app_id % 2 AS form_id FROM applicant UNION ALL SELECT app_id, app_id % 7 FROM applicant WHERE app_id % 3 = 0 UNION ALL SELECT app_id, -1 FROM applicant WHERE app_id % 5 = 0),
+a AS (SELECT DISTINCT app_id, form_id FROM asked)"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(app_id, form_id): each applicant asks for one of two large forms, some for the first again, some for a form made from the parts."""
+    a = table(spark, sf_dir, "applicant").select("app_id")
+    own = a.select("app_id", (-1 - F.col("app_id") % 2).alias("form_id"))
+    return own.unionByName(a.where("app_id % 3 = 0").select("app_id", (F.col("app_id") % 7).alias("form_id"))).unionByName(a.where("app_id % 5 = 0").select("app_id", F.lit(-1).cast("long").alias("form_id")))
+
+
+def _all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(form_id, field_name, required): the forms of the parts, the common one as -1, and as -2 one of whose fields all but the name are required."""
+    common = catalog.common_fields(spark).select("field_name", "required")
+    own = _fields(table(spark, sf_dir, "annotation")).select("form_id", "field_name", "required")
+    first = common.select(F.lit(-1).cast("long").alias("form_id"), "field_name", "required")
+    return own.unionByName(first).unionByName(common.where("field_name <> 'Name'").select(F.lit(-2).cast("long").alias("form_id"), "field_name", F.lit(True).alias("required")))
+
+
+@query(names=("annotation", "applicant"), sql=_FIELDS + _RULES + _REQUESTED + f""", u AS (SELECT form_id, field_name, required FROM f UNION ALL SELECT -1, t.field_name, t.required FROM (VALUES {_COMMON}) t(field_name, required)
+ UNION ALL SELECT -2, t.field_name, true FROM (VALUES {_COMMON}) t(field_name, required) WHERE t.field_name <> 'Name'),
+m AS (SELECT a.app_id, a.form_id, u.field_name, u.required, r.value FROM a JOIN u USING (form_id) LEFT JOIN ruled r ON r.app_id = a.app_id AND lower(r.rule_name) = lower(u.field_name)),
+g AS (SELECT app_id, form_id, count(value) AS filled, count(*) FILTER (WHERE required) AS need, count(*) FILTER (WHERE required AND value IS NULL) AS lost, string_agg(field_name, '|' ORDER BY field_name) FILTER (WHERE required AND value IS NULL) AS missing FROM m GROUP BY ALL)
+SELECT app_id, form_id, coalesce(filled, 0) AS filled, CASE WHEN coalesce(need, 0) = 0 THEN 100 ELSE (1 - lost / need) * 100 END::DOUBLE AS completion, coalesce(missing, '') AS missing FROM a LEFT JOIN g USING (app_id, form_id)""")
+def k5_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is filled and what is missing of the forms that each applicant asked for."""
+    fields, requests = _all_forms(spark, sf_dir), _requests(spark, sf_dir)
+    filled = mapping.map_fields(mapping.rule_maps(records(spark, sf_dir)), fields, requests)
+    n = filled.groupBy("app_id", "form_id").agg(F.count("*").alias("filled"))
+    done = mapping.completion(filled, fields, requests).join(n, ["app_id", "form_id"], "left")
+    return done.select("app_id", "form_id", F.coalesce("filled", F.lit(0)).alias("filled"), "completion", F.array_join("missing", "|").alias("missing"))
 
 
 @query("batch", sql="SELECT app_id, arg_max(status, batch_ord) FILTER (WHERE status <> '') AS value, arg_max(batch_ord, batch_ord) FILTER (WHERE status <> '') AS source FROM batch GROUP BY 1 HAVING count_if(status <> '') > 0")
@@ -882,8 +918,8 @@ def v8_balance(lineitem: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applicants' records mapped to the common form, with the share of its fields that is filled."""
-    filled, _, fields = _mapped(spark, sf_dir)
-    return mapping.fallback_result(filled, fields, table(spark, sf_dir, "applicant").select("app_id", F.lit("no model").alias("error")))
+    filled, fields = _mapped(spark, sf_dir)
+    return mapping.fallback_result(filled, fields, table(spark, sf_dir, "applicant").select("app_id", F.lit(1).alias("form_id"), F.lit("no model").alias("error")))
 
 
 def scored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import struct
 import zlib
 
@@ -217,19 +218,41 @@ def test_report(spark):
     assert found[2].endswith("## Documents Processed\n")
 
 
-def test_applications_without_values(spark):
-    """Every application gets a row for every form, also one of which nothing is filled, and forms without required fields."""
-    fields = spark.createDataFrame([(1, "A", True), (1, "B", True), (2, "C", False)], "form_id int, field_name string, required boolean")
-    filled = spark.createDataFrame([(7, 1, "A", "x"), (7, 1, "B", "")], "app_id int, form_id int, field_name string, value string")
-    apps = spark.createDataFrame([(7, "late"), (8, None)], "app_id int, error string")
-    found = {(r.app_id, r.form_id): (r.completion, r.confidence, r.error[-6:]) for r in mapping.fallback_result(filled, fields, apps).collect()}
-    assert found == {(7, 1): (50.0, 0.8, ": late"), (7, 2): (0.0, None, ": late"), (8, 1): (0.0, None, "ping: "), (8, 2): (0.0, None, "ping: ")}
-    done = {(r.app_id, r.form_id): (r.completion, r.missing) for r in mapping.completion(filled, fields, apps).collect()}
-    assert done == {(7, 1): (50.0, ["B"]), (7, 2): (100.0, []), (8, 1): (0.0, ["A", "B"]), (8, 2): (100.0, [])}
-    assert mapping.fallback_result(filled, fields, apps.limit(0)).count() == 0
+def test_requested_forms(spark):
+    """Every request gets a row, also for a form of which nothing is filled, one without required fields and one without fields; repeated requests are one."""
+    wide = [(3, f"F{n:03}", n % 2 == 0) for n in range(300)]
+    fields = spark.createDataFrame([(1, "A", True), (1, "B", True), (2, "C", False), *wide], "form_id int, field_name string, required boolean")
+    filled = spark.createDataFrame([(7, 1, "A", "x"), (7, 1, "B", ""), (7, 2, "C", "x"), *[(7, 3, f"F{n:03}", "x") for n in range(300) if n % 4]], "app_id int, form_id int, field_name string, value string")
+    asked = spark.createDataFrame([(7, 1, "late"), (8, 2, None), (7, 1, "late"), (7, 9, "late"), (7, 3, "late")], "app_id int, form_id int, error string")
+    found = {(r.app_id, r.form_id): (r.completion, r.confidence, r.error[-6:]) for r in mapping.fallback_result(filled, fields, asked).collect()}
+    assert found == {(7, 1): (50.0, 0.8, ": late"), (8, 2): (0.0, None, "ping: "), (7, 9): (0.0, None, ": late"), (7, 3): (75.0, 0.8, ": late")}
+    done = {(r.app_id, r.form_id): (r.completion, r.missing) for r in mapping.completion(filled, fields, asked).collect()}
+    assert done == {(7, 1): (50.0, ["B"]), (8, 2): (100.0, []), (7, 9): (100.0, []), (7, 3): (50.0, [f"F{n:03}" for n in range(0, 300, 4)])}
+    assert mapping.fallback_result(filled, fields, asked.limit(0)).count() == mapping.completion(filled, fields, asked.limit(0)).count() == 0
+
+
+def test_fields_are_looked_up_without_a_shuffle_by_name(spark, data):
+    from ledgerleaf.plans.bridge import records
+
+    maps = mapping.rule_maps(records(spark, data))
+    fields = spark.createDataFrame([(1, "FIRST name"), (1, "Remarks"), (2, "dob"), (2, "DOB")], "form_id int, field_name string")
+    every = mapping.map_fields(maps, fields)
+    asked = maps.select("app_id", F.lit(2).alias("form_id"))
+    assert sorted(map(tuple, every.where("form_id = 2").collect())) == sorted(map(tuple, mapping.map_fields(maps, fields, asked).collect()))
+    assert {r.field_name for r in every.collect()} == {"FIRST name", "dob", "DOB"}
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "nation" in plan  # the join of the given tables that makes applicants; no other
+    assert mapping.map_fields(maps, fields.limit(0)).count() == 0
 
 
 def test_absent_required_fields(spark):
     values = spark.createDataFrame([(1, "ein", "12-3456789"), (2, "businessName", "x"), (2, "ein", "bad")], "record_id int, field string, value string")
     found = {tuple(r) for r in schema.validate(values, catalog.model_fields(spark), "BusinessMetadata").collect()}
     assert found == {(1, "businessName", "required"), (2, "ein", "pattern")}
+
+
+def test_whole_numbers_of_any_size(spark):
+    dice = random.Random(1)
+    numbers = [0.0, -0.0, 1.0, -5.0, 1e19, 9.3e18, -1e20, 1e39, 1e23, 2.0**62, 2.0**63, -(2.0**63), 2.0**64, 1.7976931348623157e308, -1e300, 123456789012345680.0] + [dice.uniform(1, 10) * 10 ** dice.randrange(16, 308) for _ in range(100)]
+    found = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", V.number_text(F.col("x")).alias("text")).collect()
+    assert all(r.text == str(int(r.x)) for r in found)
