@@ -18,55 +18,112 @@ from ledgerleaf.functions.values import truthy_json
 from ledgerleaf.session import saved
 
 
-def levels_of(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> list[DataFrame]:
-    """The keys of the JSON objects in ``payload`` (VARIANT), a frame for each level, as deep as they go: (``key``, ``order``, path, object, empty, value, v).
+#: Levels of objects that are opened in one pass over the data.
+AT_ONCE = 6
 
-    value is JSON text, null for an object with content; v is the object. Each level is made from the objects of the one before,
-    once, and saved, so the work follows the number of keys.
+
+def leaves_of(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
+    """(``key``, ``order``, path, value): everything in the JSON objects in ``payload`` (VARIANT) that holds nothing more, at any depth; value is JSON text.
+
+    An empty object is a leaf, a list is one. AT_ONCE levels are opened in one pass, each row going on as its members; only records that
+    are deeper take another. A payload that is no object has no leaves.
     """
     spark = batches.sparkSession
-    level = batches.select(key, order, F.array().cast("array<string>").alias("path"), F.col("payload").alias("v"))
-    out: list[DataFrame] = []
+    rows = batches.select(key, order, F.array().cast("array<string>").alias("path"), F.col("payload").alias("v")).where(F.try_variant_get("v", "$", "map<string,variant>").isNotNull())
+    done: list[DataFrame] = []
     while True:
-        level = spark.sql(f"SELECT d.`{key}`, d.`{order}`, array_append(d.path, t.key) AS path, t.value AS v FROM {{d}} AS d, LATERAL variant_explode(d.v) AS t", d=level)
-        if not out:
-            level = level.where(~F.startswith(F.get("path", F.lit(0)), F.lit("_")))
-        text = level.withColumn("text", F.to_json("v"))
-        told = text.withColumn("object", F.coalesce(F.startswith("text", F.lit("{")), F.lit(False))).withColumn("empty", F.col("text") == "{}")
-        full = F.col("object") & ~F.col("empty")
-        told = saved(told.select(key, order, "path", "object", "empty", F.when(~full, F.col("text")).alias("value"), F.when(full, F.col("v")).alias("v")))
-        out.append(told)
-        level = told.where("object and not empty").select(key, order, "path", "v")
-        if level.isEmpty():
-            return out
+        for _ in range(AT_ONCE):
+            opened = spark.sql("SELECT d.*, t.k, t.m FROM {d} AS d LATERAL VIEW OUTER explode(try_variant_get(d.v, '$', 'map<string,variant>')) t AS k, m", d=rows)
+            inner = F.col("k").isNotNull()
+            rows = opened.select(key, order, F.when(inner, F.array_append("path", F.col("k"))).otherwise(F.col("path")).alias("path"), F.when(inner, F.col("m")).otherwise(F.col("v")).alias("v"))
+        text = F.to_json("v")
+        deep = F.startswith(text, F.lit("{")) & (text != "{}")
+        rows = saved(rows.where(F.size("path") > 0).select(key, order, "path", F.when(~F.coalesce(deep, F.lit(False)), F.coalesce(text, F.lit("null"))).alias("value"), F.when(deep, F.col("v")).alias("v")))
+        done.append(rows.where("value is not null").drop("v"))
+        rows = rows.where("value is null").drop("value")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def _merged_paths(batches: DataFrame, key: str, order: str) -> DataFrame:
+    """(``key``, paths): what each application's batches say of each path, in one aggregate by application and path.
+
+    paths is an array of path; full, the first batch in which the path is an object with content; empty, the first in which it is an
+    empty one; first and given, the first batch that has it and the value there; won, the value that truth decides: the first truthy one at the top, the last one below.
+    """
+    leaves = leaves_of(batches, key, order).where(~F.startswith(F.get("path", F.lit(0)), F.lit("_")))
+    # each leaf says of the paths above it that they have content
+    above = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.struct(F.slice("path", F.lit(1), n).alias("path"), F.when(n == F.size("path"), F.col("value")).alias("value")))
+    rows = leaves.select(key, order, F.explode(above).alias("p")).select(key, order, "p.path", "p.value")
+    truth, at = truthy_json(F.col("value")), F.col(order)
+    top = F.size("path") == 1
+    told = rows.groupBy(key, "path").agg(
+        F.min(F.when(F.col("value").isNull(), at)).alias("full"), F.min(F.when(F.col("value") == "{}", at)).alias("empty"), F.min(at).alias("first"),
+        F.min_by("value", F.when(F.col("value").isNotNull(), at)).alias("given"), F.min_by("value", F.when(truth, at)).alias("won_first"), F.max_by("value", F.when(truth, at)).alias("won_last"),
+    )
+    won = F.when(top, F.col("won_first")).otherwise(F.col("won_last")).alias("won")
+    return told.groupBy(key).agg(F.collect_list(F.struct("path", "full", "empty", "first", "given", won)).alias("paths"))
+
+
+def _conflict(paths: Column) -> Column:
+    """Whether a path is an object with content in one batch and another truthy value in another, so that the order of batches decides its kind."""
+    return F.exists(paths, lambda p: p["full"].isNotNull() & p["won"].isNotNull())
+
+
+def _set_based(merged: DataFrame, key: str) -> DataFrame:
+    """(``key``, path, value): the merged record of each application without conflicts: its leaves, and objects as ``{}``.
+
+    An object that comes with content is placed whole, falsy members and all; one that was placed empty (in the batch that placed its
+    parent whole, or at the top as the first value) takes truthy members only.
+    """
+    objects = F.map_from_entries(F.transform(F.filter("paths", lambda p: p["full"].isNotNull()), lambda p: F.struct(p["path"], F.struct(p["full"], p["empty"], p["first"]))))
+    rows = merged.select(key, objects.alias("objects"), F.explode("paths").alias("p"))
+
+    def from_top(known: Column, n: Column) -> Column:
+        """``known``: whether the object above was placed empty, and the batch of its first content."""
+        own = F.element_at("objects", F.slice("p.path", F.lit(1), n))
+        bare = F.when(n == 1, own["empty"] == own["first"]).otherwise(~known["bare"] & (own["empty"] == known["full"]))
+        return F.struct((F.coalesce(bare, F.lit(False)) & (own["empty"] < own["full"])).alias("bare"), own["full"].alias("full"))
 
+    depth = F.size("p.path")
+    start = F.struct(F.lit(False).alias("bare"), F.lit(None).cast(merged.schema["paths"].dataType.elementType["full"].dataType).alias("full"))
+    parent = F.aggregate(F.filter(F.sequence(F.lit(0), depth - 1), lambda n: n > 0), start, from_top)
+    placed = F.when(depth == 1, F.col("p.given")).when(~F.col("parent.bare") & (F.col("p.first") == F.col("parent.full")), F.col("p.given"))
+    value = F.when(F.col("p.full").isNotNull(), "{}").otherwise(F.coalesce("p.won", placed))
+    return rows.withColumn("parent", parent).select(key, "p.path", value.alias("value")).where("value is not null")
 
-def flatten_levels(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
-    """(``key``, ``order``, path, depth, object, empty, value): every key of the JSON objects in ``payload`` (VARIANT), at any depth; value is null for an object with content."""
-    return reduce(DataFrame.unionByName, [x.drop("v").withColumn("depth", F.lit(n)) for n, x in enumerate(levels_of(batches, key, order), 1)])
+
+def _merged(batches: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame | None]:
+    """(paths and values of applications without conflicts, folded records of those with some, None if there are none)."""
+    paths = saved(_merged_paths(batches, key, order))
+    odd = paths.where(_conflict(F.col("paths"))).select(key)
+    if odd.isEmpty():
+        return _set_based(paths, key), None
+    return _set_based(paths.where(~_conflict(F.col("paths"))), key), saved(fold_records(batches.join(odd, key, "left_semi"), key, order))
 
 
 def deep_merge(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
-    """(``key``, path, value): the leaves of each application's merged record, for records where a path is always an object (or null) or never.
+    """(``key``, path, value): the leaves of each application's merged record, as JSON texts, but for empty objects and nulls in an object's place.
+
+    One aggregate by application and path and one by application, however deep the records are. Applications in which the kind of a path
+    depends on the order of its batches, and only those, are folded (fold_records).
+    """
+    values, folded_ = _merged(batches, key, order)
+    out = values.where("value <> '{}'")
+    if folded_ is None:
+        return out
+    again = leaves_of(folded_.select(key, F.lit(0).alias(order), F.parse_json("record").alias("payload")), key, order)
+    return out.unionByName(again.where("value <> '{}'").select(key, "path", "value"))
+
+
+def merge_records(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
+    """(``key``, record): each application's merged record as one JSON text, keys in order, with all its empty objects and nulls.
 
-    An object is placed by the first batch that holds it with content, or empty where its parent is placed; a falsy leaf counts
-    only from the batch that placed its parent. Each level, however deep, is one aggregate and one join by application and path.
+    As deep_merge(); equal to the fold of all batches, whatever the kinds of their values. An application without any key has no record.
     """
-    out, placed, levels = [], None, levels_of(batches, key, order)
-    for depth, level in enumerate(levels, 1):
-        rows = level.drop("v").withColumn("_parent", F.slice("path", 1, depth - 1))
-        if placed is not None:
-            rows = rows.join(placed, [key, "_parent"], "left")
-        truthy = truthy_json(F.col("value"))
-        told = rows.groupBy(key, "path").agg(
-            F.bool_or("object").alias("object"), F.min(F.when(F.col("object") & ~F.col("empty"), F.col(order))).alias("full"),
-            *([F.min(F.when(F.col("object"), F.col(order))).alias("first"), F.coalesce(F.min_by("value", F.when(truthy, F.col(order))), F.min_by("value", order)).alias("value")] if placed is None else
-              [F.min(F.when(F.col("object") & (F.col(order) == F.col("intro")), F.col(order))).alias("first"), F.coalesce(F.max_by("value", F.when(truthy, F.col(order))), F.max(F.when(F.col(order) == F.col("intro"), F.col("value")))).alias("value")]),
-        )
-        told = saved(told) if depth < len(levels) else told
-        out.append(told.where("not object and value is not null").select(key, "path", "value"))
-        placed = told.where("object").select(key, F.col("path").alias("_parent"), F.least("full", "first").alias("intro"))
-    return reduce(DataFrame.unionByName, out)
+    values, folded_ = _merged(batches, key, order)
+    out = rebuilt(values, key)
+    return out if folded_ is None else out.unionByName(folded_)
 
 
 def rebuilt(leaves: DataFrame, key: str = "app_id") -> DataFrame:
@@ -99,12 +156,12 @@ def folded(records: list[dict]) -> dict:
     return reduce(fold_into, records, {})
 
 
-def deep_merge_exact(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
-    """(``key``, record): the merge as JSON text, for records where a path may change its kind.
+def fold_records(batches: DataFrame, key: str = "app_id", order: str = "batch_ord") -> DataFrame:
+    """(``key``, record): the merge as JSON text by a sequential fold, which conflicts need.
 
     The batches of an application are folded one after another as they pass in their order; a task holds one merged record at a time.
     """
-    rows = batches.select(key, order, F.to_json("payload").alias("text")).where("text is not null")
+    rows = batches.select(key, order, F.to_json("payload").alias("text")).where(F.startswith("text", F.lit("{")))
     schema = rows.select(key, F.col("text").alias("record")).schema
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -370,8 +370,7 @@ def x10_contract(batch: DataFrame) -> DataFrame:
 
 @query("batch", sql="SELECT app_id, CAST(sum((batch_ord <> 0)::INT + (status <> '')::INT + (x <> 0)::INT + flag::INT + (has_inner AND inner_text <> '')::INT) AS BIGINT) AS data_points FROM batch GROUP BY 1")
 def x12_data_points(batch: DataFrame) -> DataFrame:
-    flat = merge.flatten_levels(_payloads(batch))
-    return replies.count_data_points(flat.where("not object"))
+    return replies.count_data_points(merge.leaves_of(_payloads(batch)))
 
 
 @query("batch", sql="SELECT batch_ord, (status <> '')::INT + (x <> 0)::INT + flag::INT AS score FROM batch")
@@ -405,7 +404,18 @@ def m1_deep_merge(batch: DataFrame) -> DataFrame:
 @query("batch", sql=_MERGED + """
 SELECT app_id, '{"k":' || k || ',"p":{"flag":' || flag || ',"in":{' || CASE WHEN t IS NOT NULL THEN '"t":"' || t || '"' ELSE '' END || '},"x":' || x || '},"s":"' || s || '"}' AS record FROM m""")
 def m2_deep_merge_exact(batch: DataFrame) -> DataFrame:
-    return merge.deep_merge_exact(_payloads(batch))
+    return merge.merge_records(_payloads(batch))
+
+
+@query("batch", sql="""
+, b AS (SELECT *, app_id % 3 = 0 AND batch_ord % 5 = 1 AS scalar FROM batch), s AS (SELECT app_id, coalesce(max(batch_ord) FILTER (WHERE scalar), -1) AS last FROM b GROUP BY 1),
+q AS (SELECT app_id, last, count(*) FILTER (WHERE batch_ord > last) AS objects, coalesce(arg_max(x % 4, batch_ord) FILTER (WHERE batch_ord > last AND x % 4 <> 0), arg_min(x % 4, batch_ord) FILTER (WHERE batch_ord > last)) AS d FROM b JOIN s USING (app_id) GROUP BY ALL)
+SELECT app_id, '{"p":{"q":' || CASE WHEN objects = 0 THEN last::VARCHAR ELSE '{"d":' || d || '}' END || '}}' AS record FROM q""")
+def m2_conflicts(batch: DataFrame) -> DataFrame:
+    """In a third of the applications some batches have a number where others have an object: those are folded, the rest is merged as sets."""
+    odd = (F.col("app_id") % 3 == 0) & (F.col("batch_ord") % 5 == 1)
+    text = F.format_string('{"p":{"q":%s}}', F.when(odd, F.col("batch_ord").cast("string")).otherwise(F.concat(F.lit('{"d":'), (F.col("x") % 4).cast("string"), F.lit("}"))))
+    return merge.merge_records(batch.select("app_id", "batch_ord", F.try_parse_json(text).alias("payload")))
 
 
 @query("filled", sql="""SELECT app_id, count(*) AS total, count_if(value <> '') AS filled, count_if(value <> '') / count(*) * 100 AS fill_rate, count_if(value <> '' AND (boolean OR value IN ('Yes', 'No', '/Yes', '/No'))) AS checkboxes,

@@ -57,11 +57,11 @@ def batches(spark, cases):
 
 
 def rebuilt(spark, cases):
-    return {r[0]: json.loads(r[1]) for r in merge.rebuilt(merge.deep_merge(batches(spark, cases))).collect()}
+    return {r[0]: json.loads(r[1]) for r in merge.merge_records(batches(spark, cases)).collect()}
 
 
 def test_merge_cases(spark):
-    exact = {r[0]: json.loads(r[1]) for r in merge.deep_merge_exact(batches(spark, [m[0] for m in MERGES])).collect()}
+    exact = {r[0]: json.loads(r[1]) for r in merge.fold_records(batches(spark, [m[0] for m in MERGES])).collect()}
     assert exact == {i: m[1] for i, m in enumerate(MERGES)}
     set_based = rebuilt(spark, [m[0] for m in MERGES])
     assert set_based == exact
@@ -73,28 +73,40 @@ def nested(depth, leaves):
 
 def test_merge_and_counts_at_any_depth(spark):
     cases = [[json.dumps(nested(8, {"x": 1})), json.dumps(nested(8, {"y": 2}))], [json.dumps(nested(12, {"x": 0, "y": [1]})), json.dumps(nested(3, {"b": 5}))]]
-    exact = {r[0]: json.loads(r[1]) for r in merge.deep_merge_exact(batches(spark, cases)).collect()}
+    exact = {r[0]: json.loads(r[1]) for r in merge.fold_records(batches(spark, cases)).collect()}
     assert rebuilt(spark, cases) == exact and exact[0] == nested(8, {"x": 1, "y": 2})
-    flat = merge.flatten_levels(batches(spark, [[json.dumps(nested(4, {"x": 1, "y": "a", "z": [0], "_h": 1, "n": {}}))]]))
-    assert flat.agg(F.max("depth")).first()[0] == 5
-    assert replies.count_data_points(flat.where("not object")).first().data_points == 3
+    flat = merge.leaves_of(batches(spark, [[json.dumps(nested(4, {"x": 1, "y": "a", "z": [0], "_h": 1, "n": {}}))]]))
+    assert flat.agg(F.max(F.size("path"))).first()[0] == 5
+    assert replies.count_data_points(flat).first().data_points == 3
 
 
-leaf = st.sampled_from([0, 1, 2, "", "a", "b", False, True, [], [1]])
+leaf = st.sampled_from([0, 1, 2, "", "a", "b", False, True, None, [], [1], {}])
 inner = st.dictionaries(st.sampled_from("xy"), leaf, max_size=2)
-record = st.fixed_dictionaries({}, optional={"s": leaf, "t": leaf, "p": st.fixed_dictionaries({}, optional={"u": leaf, "v": leaf, "q": inner}), "_m": leaf})
+member = st.one_of(inner, st.fixed_dictionaries({}, optional={"z": inner, "x": leaf}))
+steady = st.fixed_dictionaries({}, optional={"s": leaf, "t": leaf, "p": st.fixed_dictionaries({}, optional={"u": leaf, "q": member}), "_m": leaf})
+mixed = st.fixed_dictionaries({}, optional={"s": st.one_of(leaf, inner), "p": st.one_of(leaf, st.fixed_dictionaries({}, optional={"u": leaf, "q": st.one_of(leaf, member)})), "_m": leaf})
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.lists(record, min_size=1, max_size=4), min_size=20, max_size=40))
-def test_merge_agrees_with_fold(spark, cases):
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(steady, min_size=1, max_size=4), min_size=20, max_size=60), st.lists(st.lists(mixed, min_size=1, max_size=5), min_size=20, max_size=60))
+def test_merge_agrees_with_fold(spark, some, others):
+    """Records whose paths keep their kind, and such whose paths change it from batch to batch."""
+    cases = some + others
     expected = {i: merge.folded([json.loads(json.dumps(r)) for r in c]) for i, c in enumerate(cases)}
+    found = rebuilt(spark, [[json.dumps(r) for r in c] for c in cases])
+    assert {i: found.get(i, {}) for i in expected} == expected
 
-    def without_empty(v):
-        return {k: w for k, w in ((k, without_empty(x)) for k, x in v.items()) if w != {}} if isinstance(v, dict) else v
 
-    found = rebuilt(spark, [[json.dumps(r) for r in c] for c in cases])
-    assert {i: without_empty(found.get(i, {})) for i in expected} == {i: without_empty(v) for i, v in expected.items()}
+def test_only_conflicts_are_folded(spark, monkeypatch):
+    cases = [['{"p":{"q":{"d":1}}}', '{"p":{"q":5}}'], ['{"p":{"q":{"d":1}}}', '{"p":{"q":0}}', '{"p":{"q":{}}}'], ["[1]", '{"p":3}', "7", '{"p":{"q":1}}'], ["[1]"]]
+    asked, fold = [], merge.fold_records
+    monkeypatch.setattr(merge, "fold_records", lambda df, *how: asked.extend(r.app_id for r in df.collect()) or fold(df, *how))
+    assert rebuilt(spark, cases) == {0: {"p": {"q": 5}}, 1: {"p": {"q": {"d": 1}}}, 2: {"p": 3}} and set(asked) == {0, 2}
+    leaves = {(r.app_id, tuple(r.path)): r.value for r in merge.deep_merge(batches(spark, cases)).collect()}
+    assert leaves == {(0, ("p", "q")): "5", (1, ("p", "q", "d")): "1", (2, ("p",)): "3"}
+    plan = merge.merge_records(batches(spark, cases[1:2]))._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    assert merge.merge_records(batches(spark, cases).limit(0)).count() == 0
 
 
 def test_replies(spark):
@@ -237,11 +249,11 @@ def test_fields_are_looked_up_without_a_shuffle_by_name(spark, data):
     maps = mapping.rule_maps(records(spark, data))
     fields = spark.createDataFrame([(1, "FIRST name"), (1, "Remarks"), (2, "dob"), (2, "DOB")], "form_id int, field_name string")
     every = mapping.map_fields(maps, fields)
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "nation" in plan  # the join of the given tables that makes applicants; no other
     asked = maps.select("app_id", F.lit(2).alias("form_id"))
     assert sorted(map(tuple, every.where("form_id = 2").collect())) == sorted(map(tuple, mapping.map_fields(maps, fields, asked).collect()))
     assert {r.field_name for r in every.collect()} == {"FIRST name", "dob", "DOB"}
-    plan = every._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "nation" in plan  # the join of the given tables that makes applicants; no other
     assert mapping.map_fields(maps, fields.limit(0)).count() == 0
 
 
