@@ -51,6 +51,68 @@ def statement_balance(transactions: DataFrame, opening: DataFrame) -> DataFrame:
     return opening.join(sums, "account", "left").select("account", (F.col("opening") + F.coalesce("net", F.lit(0.0))).alias("ending"))
 
 
+#: Days of a bucket, by which transactions meet the periods of their account.
+BUCKET = 31
+
+
+def _bucket(date: Column) -> Column:
+    return F.floor(F.unix_date(date.cast("date")) / BUCKET)
+
+
+def period_gaps(periods: DataFrame) -> DataFrame:
+    """``periods`` (account, period, first_day, last_day, ...) with gap and overlap: the days between a period and all earlier ones of its account that no
+    period covers, and those that it shares with an earlier one; both null for the first.
+
+    Periods of an account come in the order of first_day, last_day and period. One without a first or last day, or that ends before it begins, is not
+    ``valid``; it has neither, and the others are judged as if it weren't there.
+    """
+    valid = F.coalesce(F.col("first_day") <= F.col("last_day"), F.lit(False))
+    order = Window.partitionBy("account", "valid").orderBy("first_day", "last_day", "period")
+    before = F.when(F.col("valid"), F.max("last_day").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    space = F.date_diff(F.col("first_day"), F.col("_before")) - 1
+    shared = F.date_diff(F.least("last_day", "_before"), F.col("first_day")) + 1
+    marked = periods.withColumn("valid", valid).withColumn("_before", before)
+    counted = lambda days: F.when(F.col("_before").isNotNull(), F.greatest(days, F.lit(0)))
+    return marked.withColumn("gap", counted(space)).withColumn("overlap", counted(shared)).drop("_before")
+
+
+def in_periods(transactions: DataFrame, periods: DataFrame) -> DataFrame:
+    """``transactions`` (account, date, ...) with period: a row for each period of their account that holds their date, or one with null.
+
+    Periods are listed under each bucket of BUCKET days that they touch, so an account's transactions meet the few periods of their bucket by
+    equality, and no account's history meets in one task.
+    """
+    spans = periods.where("first_day <= last_day").select("account", "period", "first_day", "last_day", F.explode(F.sequence(_bucket(F.col("first_day")), _bucket(F.col("last_day")))).alias("_bucket"))
+    day = F.col("date").cast("date")
+    met = transactions.withColumn("_bucket", _bucket(F.col("date"))).alias("t").join(spans.alias("p"), (F.col("t.account") == F.col("p.account")) & (F.col("t._bucket") == F.col("p._bucket")) & day.between(F.col("p.first_day"), F.col("p.last_day")), "left")
+    return met.select(*[F.col(f"t.`{c}`") for c in transactions.columns], F.col("p.period").alias("period"))
+
+
+def check_periods(transactions: DataFrame, periods: DataFrame, tol: float = TOLERANCE) -> DataFrame:
+    """One row for each of ``periods`` (account, period, first_day, last_day, beginning, ending), with what its transactions make of it.
+
+    start is the beginning balance: what the statement says, or else what the period before ended with: its stated ending, or else its
+    own start and transactions, and so on back to a balance that is stated; null if there is none. deposits and withdrawals are summed over the period's
+    transactions (account, date, deposit, withdrawal); computed is start plus deposits less withdrawals; ok tells whether the stated ending
+    fits it, carried whether a stated beginning fits what the period before ended with, each null where there is nothing to compare. gap and overlap are those of
+    period_gaps(); a period that isn't valid has no transactions and carries nothing on.
+    """
+    sums = in_periods(transactions, periods).where("period is not null").groupBy("account", "period")
+    sums = sums.agg(F.sum(F.coalesce("deposit", F.lit(0))).cast("double").alias("deposits"), F.sum(F.coalesce("withdrawal", F.lit(0))).cast("double").alias("withdrawals"), F.count("*").alias("transactions"))
+    rows = period_gaps(periods).join(sums, ["account", "period"], "left").fillna(0, ["deposits", "withdrawals", "transactions"])
+    order = Window.partitionBy("account", "valid").orderBy("first_day", "last_day", "period")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    net = F.col("deposits") - F.col("withdrawals")
+    rows = rows.withColumn("_moved", F.coalesce(F.sum(net).over(so_far), F.lit(0.0)))
+    known = F.when(F.col("valid"), F.coalesce("beginning", F.lag("ending").over(order)))
+    # a known balance less what was moved before it is the same for all periods up to the next known one
+    rows = rows.withColumn("_base", F.last(known - F.col("_moved"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("start", F.when(F.col("valid"), F.coalesce("beginning", F.col("_base") + F.col("_moved")))).withColumn("computed", F.col("start") + net)
+    ended = F.when(F.col("valid"), F.lag(F.coalesce("ending", "computed")).over(order))
+    rows = rows.withColumn("ok", matches(F.col("ending"), F.col("computed"), tol)).withColumn("carried", matches(F.col("beginning"), ended, tol))
+    return rows.select("account", "period", "valid", "gap", "overlap", "transactions", "start", "deposits", "withdrawals", "computed", "ok", "carried")
+
+
 #: Rules of a catalog of forms, at most: they stand as a literal in the expression.
 RULES = 10_000
 

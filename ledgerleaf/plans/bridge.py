@@ -58,6 +58,14 @@ VIEWS = {
         SELECT o_custkey AS account, CAST(o_orderdate AS DATE) AS date, o_orderkey AS seq, CASE WHEN o_orderstatus = 'O' THEN CAST(round(o_totalprice) AS BIGINT) END AS deposit,
             CASE WHEN o_orderstatus <> 'O' THEN CAST(round(o_totalprice) AS BIGINT) END AS withdrawal
         FROM {orders}""",
+    "period": """
+        SELECT account, no AS period, make_date(CAST(floor(no / 4.0) AS INT), CAST(no % 4 * 3 + 1 AS INT), 1) AS first_day,
+            CASE WHEN no % 23 = 0 THEN NULL ELSE make_date(CAST(floor(no / 4.0) AS INT), CAST(no % 4 * 3 + 3 AS INT), CASE WHEN account % 3 = 0 THEN 20 ELSE 28 END) END AS last_day,
+            CASE WHEN (account + no) % 3 = 0 THEN CAST(deposits AS DOUBLE) END AS beginning, CASE WHEN (account + no) % 4 = 0 THEN CAST(deposits - withdrawals AS DOUBLE) END AS ending
+        FROM (SELECT account, no, sum(coalesce(deposit, 0)) AS deposits, sum(coalesce(withdrawal, 0)) AS withdrawals
+            FROM (SELECT account, year(date) * 4 + quarter(date) - 1 AS no, deposit, withdrawal FROM {ledger}
+                UNION ALL SELECT account, year(date) * 4 + quarter(date) AS no, 0, 0 FROM {ledger} WHERE account % 2 = 0) AS l GROUP BY account, no) AS s
+        UNION ALL SELECT account, -seq AS period, date AS first_day, date + 40 AS last_day, NULL AS beginning, CAST(deposit AS DOUBLE) AS ending FROM {ledger} WHERE seq % 9 = 0""",
     "debt": """
         SELECT CAST(floor(l_orderkey / 40.0) AS BIGINT) AS applicant, l_suppkey AS creditor, CAST(round(l_extendedprice) AS BIGINT) AS original_amount, CAST(floor(l_extendedprice / 2) AS BIGINT) AS current_balance,
             CAST(floor(l_extendedprice / 100) AS BIGINT) AS monthly_payment, CAST(round(l_tax * 100) AS BIGINT) AS interest_rate
@@ -96,7 +104,7 @@ def ctes(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ", ".join(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[n])})" for n in order) + " "
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[n])})" for n in order) + " "
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,10 @@ def query(*views: str, sql: str | None = None, names: tuple[str, ...] = ("applic
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[table(spark, sf_dir, v) for v in views]) if views else f(spark, sf_dir)
         if sql:
             with_ = ctes(*views or names)
-            head = with_ if with_.strip() != "WITH" else ""
+            head = with_ if with_.strip() != "WITH RECURSIVE" else ""
             body = sql.strip()
             body = body.replace("count_if(", "count(*) FILTER (WHERE ")  # a sum of 128 bits in DuckDB
-            ORACLE[f.__name__] = head + body if head else ("WITH" + body[1:] if body.startswith(",") else body)
+            ORACLE[f.__name__] = head + body if head else ("WITH RECURSIVE" + body[1:] if body.startswith(",") else body)
         return f
 
     return register
@@ -765,6 +765,29 @@ def v5_ending(ledger: DataFrame) -> DataFrame:
     return reconcile.statement_balance(cast, ledger.select("account").distinct().withColumn("opening", F.lit(1000.0)))
 
 
+_VALID_PERIODS = """, good AS (SELECT * FROM period WHERE first_day <= last_day), held AS (SELECT l.account, l.seq, l.deposit, l.withdrawal, g.period FROM ledger l LEFT JOIN good g ON g.account = l.account AND l.date BETWEEN g.first_day AND g.last_day)"""
+
+
+@query("ledger", "period", sql=_VALID_PERIODS + " SELECT account, seq, count(period) AS periods FROM held GROUP BY 1, 2")
+def v5_assigned(ledger: DataFrame, period: DataFrame) -> DataFrame:
+    """How many statement periods hold each transaction: none in a gap, several in an overlap."""
+    return reconcile.in_periods(ledger, period).groupBy("account", "seq").agg(F.count("period").alias("periods"))
+
+
+@query("ledger", "period", sql=_VALID_PERIODS + """
+, t AS (SELECT account, period, sum(coalesce(deposit, 0))::DOUBLE AS deposits, sum(coalesce(withdrawal, 0))::DOUBLE AS withdrawals, count(*) AS transactions FROM held WHERE period IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT g.*, coalesce(t.deposits, 0) AS deposits, coalesce(t.withdrawals, 0) AS withdrawals, coalesce(t.transactions, 0) AS transactions, row_number() OVER (PARTITION BY g.account ORDER BY first_day, last_day, g.period) AS i,
+ max(last_day) OVER (PARTITION BY g.account ORDER BY first_day, last_day, g.period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM good g LEFT JOIN t ON t.account = g.account AND t.period = g.period),
+walk AS (SELECT account, i, beginning AS start, beginning + deposits - withdrawals AS computed, coalesce(ending, beginning + deposits - withdrawals) AS ended, NULL::DOUBLE AS former FROM r WHERE i = 1
+ UNION ALL SELECT r.account, r.i, coalesce(r.beginning, w.ended), coalesce(r.beginning, w.ended) + r.deposits - r.withdrawals, coalesce(r.ending, coalesce(r.beginning, w.ended) + r.deposits - r.withdrawals), w.ended FROM walk w JOIN r ON r.account = w.account AND r.i = w.i + 1)
+SELECT r.account, r.period, true AS valid, CASE WHEN before IS NOT NULL THEN greatest(date_diff('day', before, first_day) - 1, 0) END AS gap, CASE WHEN before IS NOT NULL THEN greatest(date_diff('day', first_day, least(last_day, before)) + 1, 0) END AS overlap, transactions, start, deposits, withdrawals, computed,
+ abs(ending - computed) <= 0.01 AS ok, abs(beginning - former) <= 0.01 AS carried FROM r JOIN walk w ON w.account = r.account AND w.i = r.i
+UNION ALL SELECT account, period, false, NULL, NULL, 0, NULL, 0, 0, NULL, NULL, NULL FROM period WHERE NOT coalesce(first_day <= last_day, false)""")
+def v5_periods(ledger: DataFrame, period: DataFrame) -> DataFrame:
+    """Statement periods with gaps and overlaps, balances carried from one to the next where they aren't stated."""
+    return reconcile.check_periods(ledger, period)
+
+
 _LINE_SUMS = ", l AS (SELECT l_orderkey AS id, " + ", ".join(f"sum(l_quantity) FILTER (WHERE l_linenumber = {n}) AS l{n}" for n in range(1, 8)) + " FROM lineitem GROUP BY 1)"
 
 
