@@ -15,6 +15,7 @@ from ledgerleaf.plans.bridge import ctes, records, table
 from ledgerleaf.session import shared_folder
 from ledgerleaf.sources import files as files_source
 from ledgerleaf.sources import sinks
+from ledgerleaf.streaming import rates
 from ledgerleaf.streaming.intake import Registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,6 +290,35 @@ def p5_plan_totals(files: DataFrame) -> DataFrame:
     return planning.plan_totals(plan, files.select(there.alias("name"), "length"))
 
 
+#: Requests of a minute or so for each ten events: tokens of the replies, at times that come out of order.
+_USAGE = """, usage AS (SELECT CAST(app_id % 20 AS VARCHAR) AS account, make_timestamp((1700000000 + event_id * 3 - CASE WHEN event_id % 50 = 0 THEN 900 ELSE event_id % 7 * 5 END) * 1000000) AS time, 20 * (coalesce(input_tokens, 0) + output_tokens) AS tokens FROM reply),
+w AS (SELECT account, time_bucket(INTERVAL 10 SECOND, time) - INTERVAL (k * 10) SECOND AS start, tokens FROM usage, range(6) r(k)),
+s AS (SELECT account, start, start + INTERVAL 60 SECOND AS "end", CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS requests FROM w GROUP BY ALL)
+SELECT *, CASE WHEN tokens > 25000 THEN 'HIGH' WHEN tokens > 20000 THEN 'MEDIUM' ELSE 'LOW' END AS risk, tokens > 30000 AS over FROM s"""
+
+
+def _usage(reply: DataFrame) -> DataFrame:
+    behind = F.when(F.col("event_id") % 50 == 0, 900).otherwise(F.col("event_id") % 7 * 5)
+    return reply.select("event_id", (F.col("app_id") % 20).cast("string").alias("account"), F.timestamp_seconds(1700000000 + F.col("event_id") * 3 - behind).alias("time"), (20 * (F.coalesce("input_tokens", F.lit(0)) + F.col("output_tokens"))).alias("tokens"))
+
+
+@query("reply", sql=_USAGE)
+def p4_token_rates(reply: DataFrame) -> DataFrame:
+    """Tokens of each account in sliding minutes, against the service's limit."""
+    return rates.token_rates(_usage(reply))
+
+
+@query("reply", sql=_USAGE)
+def p4_rate_stream(reply: DataFrame) -> DataFrame:
+    """The same from usage that comes in four batches, some of it late: closed windows, open ones and what came late, together."""
+    spark, usage = reply.sparkSession, _usage(reply)
+    log = rates.RateLog(spark, f"{shared_folder(spark)}/rates-{uuid.uuid4().hex}")
+    least, most = usage.agg(F.min("event_id"), F.max("event_id")).first()
+    for n in range(4 if least is not None else 0):
+        log.absorb(usage.where(F.floor((F.col("event_id") - least) * 4 / (most - least + 1)) == n).drop("event_id"), n)
+    return log.whole()
+
+
 @query("files", sql=", r AS (SELECT doc_id, CAST(sum(pages) OVER (PARTITION BY app_id ORDER BY ord) AS BIGINT) AS running_pages FROM files) SELECT * FROM r WHERE running_pages <= 50")
 def p6_page_budget(files: DataFrame) -> DataFrame:
     return planning.page_budget(files).select("doc_id", "running_pages")
