@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerleaf.plans.catalog import JSON_TYPES, MODELS, SPARK_TYPES
+from ledgerleaf.session import saved
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -84,6 +85,61 @@ def match_labels(labels: DataFrame, hints: DataFrame) -> DataFrame:
     return labels.join(best, F.lower(F.trim("label")) == F.col("hint"), "left").drop("hint")
 
 
+#: Length of the pieces of text that propose a hint for a label; labels whose matches are broadcast, at most.
+GRAM, MATCHES = 3, 1_000_000
+
+
+def edits_allowed(length: Column) -> Column:
+    """Edits by which a label may differ from a hint of this length: none below 4 characters, one below 8, else two."""
+    return F.when(length < 4, 0).when(length < 8, 1).otherwise(2)
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of GRAM characters of ``text`` between two marks on each side."""
+    padded = F.concat(F.lit("\x02" * (GRAM - 1)), text, F.lit("\x03" * (GRAM - 1)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) + GRAM - 1), lambda at: F.substring(padded, at, F.lit(GRAM))))
+
+
+def _index(hints: DataFrame) -> DataFrame:
+    """(piece, hint): under which pieces a label finds ``hints`` (hint).
+
+    An edit changes GRAM pieces at most, so a label within k edits has one of any k * GRAM + 1 pieces of the hint: the rarest are taken. A hint
+    with fewer pieces is listed under the lengths that a label may have.
+    """
+    k = edits_allowed(F.char_length("hint"))
+    named = hints.where(k > 0).select("hint", k.alias("k"), _grams(F.col("hint")).alias("grams"))
+    each = named.where(F.size("grams") > F.col("k") * GRAM).select("hint", "k", F.explode("grams").alias("piece"))
+    rare = each.groupBy("piece").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("hint").orderBy("n", "piece")
+    kept = each.join(rare, "piece").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= F.col("k") * GRAM + 1).select("piece", "hint")
+    length = F.char_length("hint")
+    lengths = F.transform(F.sequence(length - F.col("k"), length + F.col("k")), lambda n: F.concat(F.lit("\x01"), n.cast("string")))
+    return kept.unionByName(named.where(F.size("grams") <= F.col("k") * GRAM).select(F.explode(lengths).alias("piece"), "hint"))
+
+
+def match_near_labels(labels: DataFrame, hints: DataFrame) -> DataFrame:
+    """``labels`` (label, ...) with field, hint and distance: the field one of whose ``hints`` (field, hints) is the label, or else the nearest hint within a few edits.
+
+    Labels are compared in lower case without spaces at their ends. Equality comes first (distance 0; as match_labels()); else the hint with
+    the least edit distance within edits_allowed() of its length, the earliest in its list, then the field's name. Null where there is none.
+    Distinct labels meet the hints through an index of pieces of text, and only proposed pairs are compared; no label meets all hints.
+    """
+    each = hints.select("field", F.posexplode("hints").alias("pos", "hint")).withColumn("hint", F.lower("hint"))
+    best = each.groupBy("hint").agg(F.min(F.struct("pos", "field")).alias("best"))
+    key = F.lower(F.trim("label"))
+    asked = labels.select(key.alias("_key")).where("_key is not null").distinct()
+    same = asked.join(best, F.col("_key") == F.col("hint")).select("_key", "best.field", "hint", F.lit(0).alias("distance"))
+    rest = asked.join(best, F.col("_key") == F.col("hint"), "left_anti")
+    pieces = F.array_append(_grams(F.col("_key")), F.concat(F.lit("\x01"), F.char_length("_key").cast("string")))
+    proposed = rest.select("_key", F.explode(pieces).alias("piece")).join(_index(best.select("hint")), "piece").select("_key", "hint").distinct()
+    k = edits_allowed(F.char_length("hint"))
+    near = proposed.where(F.abs(F.char_length("_key") - F.char_length("hint")) <= k).withColumn("distance", F.levenshtein("_key", "hint")).where(F.col("distance") <= k).join(best, "hint")
+    near = near.groupBy("_key").agg(F.min(F.struct("distance", "best.pos", "best.field", "hint")).alias("m")).select("_key", "m.field", "m.hint", "m.distance")
+    found = saved(same.unionByName(near))
+    found = F.broadcast(found) if found.count() <= MATCHES else found
+    return labels.join(found, key == F.col("_key"), "left").select(*[labels[c] for c in labels.columns], "field", "hint", "distance")
+
+
 def unpivoted(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(record_id, field, value): the string columns of ``records`` as rows."""
     args = ", ".join(f"'{c}', `{c}`" for c in columns)

@@ -524,6 +524,31 @@ def d8_label_match(conversations: DataFrame) -> DataFrame:
     return schema.match_labels(conversations.select("conv_id", "turn", label.alias("label")), hints).select("conv_id", "turn", "field")
 
 
+_HINTS = [(n, field, pos, hint) for n, (field, pos, hint) in enumerate((f, p, h) for f, listed in catalog.ALIASES.items() for p, h in enumerate(listed))]
+_ALLOWED = "CASE WHEN length({0}) < 4 THEN 0 WHEN length({0}) < 8 THEN 1 ELSE 2 END"
+
+
+@query("customer", sql=f"""
+, h AS (SELECT * FROM (VALUES {", ".join(f"({n}, '{f}', {p}, '{x}')" for n, f, p, x in _HINTS)}) v(n, field, pos, hint)), b AS (SELECT hint, min({{'pos': pos, 'field': field}}) AS best FROM h GROUP BY 1),
+e AS (SELECT c_custkey, hint, CAST(c_custkey // 7 % length(hint) AS INT) AS i FROM customer JOIN h ON n = c_custkey % {len(_HINTS)}),
+l AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' ' || upper(hint) WHEN 1 THEN substr(hint, 1, i) || substr(hint, i + 2) WHEN 2 THEN substr(hint, 1, i) || 'x' || substr(hint, i + 1) WHEN 3 THEN substr(hint, 1, i) || 'qz' || substr(hint, i + 3)
+ WHEN 4 THEN substr(hint, 1, i) || substr(hint, i + 4) END AS label FROM e),
+k AS (SELECT DISTINCT lower(trim(label)) AS key FROM l WHERE label IS NOT NULL), d AS (SELECT key, hint, best, levenshtein(key, hint) AS distance FROM k, b),
+m AS (SELECT key, min({{'distance': distance, 'pos': best.pos, 'field': best.field, 'hint': hint}}) AS m FROM d WHERE distance <= {_ALLOWED.format("hint")} GROUP BY 1)
+SELECT c_custkey, m.field, m.hint, CAST(m.distance AS INT) AS distance FROM l LEFT JOIN m ON key = lower(trim(label))""")
+def d8_near_labels(customer: DataFrame) -> DataFrame:
+    """A label for each customer: a hint, one with a letter off, with two, with more, or none."""
+    spark = customer.sparkSession
+    listed = spark.createDataFrame(_HINTS, "n int, field string, pos int, hint string")
+    hint, at = F.col("hint"), F.expr("cast(c_custkey div 7 % length(hint) as int)")
+    cut = lambda middle, skip: F.concat(F.substring(hint, F.lit(1), at), F.lit(middle), F.substring(hint, at + skip, F.length(hint)))
+    turn = F.col("c_custkey") % 6
+    label = F.when(turn == 0, F.concat(F.lit(" "), F.upper(hint))).when(turn == 1, cut("", 2)).when(turn == 2, cut("x", 1)).when(turn == 3, cut("qz", 3)).when(turn == 4, cut("", 4))
+    labels = customer.select("c_custkey").join(F.broadcast(listed), F.col("c_custkey") % len(_HINTS) == F.col("n")).select("c_custkey", label.alias("label"))
+    hints = listed.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hint"))), lambda x: x["hint"]).alias("hints"))
+    return schema.match_near_labels(labels, hints).select("c_custkey", "field", "hint", "distance")
+
+
 # values
 
 _NAME = "nullif(concat_ws(' ', nullif(first, ''), nullif(middle, ''), nullif(last, ''), nullif(suffix, '')), '')"
