@@ -33,6 +33,29 @@ def latency_band(seconds: Column) -> Column:
     return F.when(seconds <= 2, "fast").when(seconds <= 5, "acceptable").when(seconds <= 10, "slow").otherwise("too slow")
 
 
+#: Size of a latency sketch: the rank of a quantile is off by about 1.3 %, by 2.7 % at most in all but one of a hundred sketches.
+SKETCH = 200
+
+
+def latency_sketches(runs: DataFrame, *keys: str) -> DataFrame:
+    """(``keys`` ..., runs, slowest, sketch) of ``runs`` (seconds): a quantile sketch for each group, of a few kilobytes whatever its size.
+
+    Sketches are made on each side of the shuffle, so a group's runs never meet; stored for each day, they merge into any period. A run without
+    seconds counts in none.
+    """
+    seconds = F.col("seconds").cast("double")
+    timed = runs.where(seconds.isNotNull() & ~F.isnan(seconds))
+    return timed.groupBy(*keys).agg(F.count("*").alias("runs"), F.max(seconds).alias("slowest"), F.kll_sketch_agg_double(seconds, F.lit(SKETCH)).alias("sketch"))
+
+
+def latency_quantiles(sketches: DataFrame, *keys: str, shares: tuple[float, ...] = (0.5, 0.99)) -> DataFrame:
+    """(``keys`` ..., runs, slowest, and p50, p50_band and so on for each of ``shares``): the stored ``sketches`` merged into larger groups."""
+    parts = sketches.groupBy(*keys).agg(F.sum("runs").alias("runs"), F.max("slowest").alias("slowest"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"))
+    named = {f"p{share * 100:g}": F.kll_sketch_get_quantile_double("sketch", F.lit(share)) for share in shares}
+    out = parts.select(*keys, "runs", "slowest", *[q.alias(n) for n, q in named.items()])
+    return out.select("*", *[latency_band(F.col(f"`{n}`")).alias(f"{n}_band") for n in named])
+
+
 def accuracy(compared: DataFrame) -> DataFrame:
     """(app_id, accuracy, band)."""
     share = F.avg(F.col("match").cast("double"))

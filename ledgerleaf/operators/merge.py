@@ -223,9 +223,25 @@ def coverage(filled: DataFrame, key: str = "app_id") -> DataFrame:
 
 
 def application_summary(filled: DataFrame) -> DataFrame:
-    """(app_id, form_id, forms, fields, filled, completion), with a total for each application (form_id null) and for all; forms is how many were processed."""
+    """(app_id, form_id, level, forms, fields, filled, completion): each form of an application (level 0), with a total for each application (level 1,
+    form_id null) and for all (level 3, both null); forms is how many were processed. A form or an application without an id is one of its own, at its level."""
     there = F.coalesce(F.col("value") != "", F.lit(False))
-    return filled.rollup("app_id", "form_id").agg(F.count_distinct(F.struct("app_id", "form_id")).alias("forms"), F.count("*").alias("fields"), F.count_if(there).alias("filled"), (F.count_if(there) / F.count("*") * 100).alias("completion"))
+    form = F.struct("app_id", "form_id")
+    return filled.withColumn("_form", form).rollup("app_id", "form_id").agg(F.grouping_id().cast("int").alias("level"), F.count_distinct("_form").alias("forms"), F.count("*").alias("fields"), F.count_if(there).alias("filled"), (F.count_if(there) / F.count("*") * 100).alias("completion"))
+
+
+def application_records(filled: DataFrame) -> DataFrame:
+    """(app_id, forms_processed, fields, filled, completion, forms): one row for each application, with an entry (form_id, fields, filled, completion)
+    for each of its forms, in the order of their ids, one without an id first.
+
+    Each form is summed up once; the application's own figures are the sums of its forms', so the share is over all its fields.
+    """
+    there = F.coalesce(F.col("value") != "", F.lit(False))
+    each = filled.groupBy("app_id", "form_id").agg(F.count("*").alias("fields"), F.count_if(there).alias("filled"))
+    entry = F.struct("form_id", "fields", "filled", (F.col("filled") / F.col("fields") * 100).alias("completion"))
+    out = each.groupBy("app_id").agg(F.count("*").alias("forms_processed"), F.sum("fields").alias("fields"), F.sum("filled").alias("filled"), F.collect_list(entry).alias("forms"))
+    order = lambda a, b: F.when(a["form_id"].isNull() & b["form_id"].isNull(), 0).when(a["form_id"].isNull(), -1).when(b["form_id"].isNull(), 1).when(a["form_id"] < b["form_id"], -1).when(a["form_id"] > b["form_id"], 1).otherwise(0)
+    return out.select("app_id", "forms_processed", "fields", "filled", (F.col("filled") / F.col("fields") * 100).alias("completion"), F.array_sort("forms", order).alias("forms"))
 
 
 def run_summary(documents: DataFrame) -> DataFrame:
