@@ -16,19 +16,27 @@ FENCE = "```"
 
 
 def score(requests: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``model`` applied to Arrow batches of ``requests``. ``schema`` holds the model's columns, ok and error: a batch that raises becomes failure rows.
+    """``model`` applied to Arrow batches of ``requests``. ``schema`` holds the model's columns, ok and error: a request that raises becomes a failure row.
 
-    The rows of a failed batch keep the columns of ``requests`` that ``schema`` names; the rest is null.
+    A batch that raises is given to the model again request by request, so what fails doesn't depend on how requests are batched. A failure
+    row keeps the columns of ``requests`` that ``schema`` names; the rest is null.
     """
     wanted = [f.name for f in StructType.fromDDL(schema)]
 
+    def scored(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield model(b).assign(ok=True, error=None)[wanted]
+        except Exception as e:  # the reply's failure is data
+            if len(b) > 1:
+                for at in range(len(b)):
+                    yield from scored(b.iloc[at : at + 1])
+                return
+            failed = pd.DataFrame({c: b[c] if c in b else pd.Series([None] * len(b), index=b.index, dtype=object) for c in wanted})
+            yield failed.assign(ok=False, error=f"{type(e).__name__}: {e}")
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                yield model(b).assign(ok=True, error=None)[wanted]
-            except Exception as e:  # the reply's failure is data
-                failed = pd.DataFrame({c: b[c] if c in b else pd.Series([None] * len(b), index=b.index, dtype=object) for c in wanted})
-                yield failed.assign(ok=False, error=f"{type(e).__name__}: {e}")
+            yield from scored(b)
 
     return requests.mapInPandas(each, schema)
 

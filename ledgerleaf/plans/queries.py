@@ -408,6 +408,18 @@ def x13_presence(batch: DataFrame) -> DataFrame:
     return _payloads(batch).select("batch_ord", replies.presence_score(F.col("payload"), ["$.s", "$.p.x", "$.p.flag", "$.q.z"]).alias("score"))
 
 
+@query("applicant", sql="""SELECT app_id, CAST((coalesce(first, '') <> '' OR app_id % 4 <> 1)::INT + coalesce(ssn <> '', false)::INT + coalesce(own_pct <> 0, false)::INT + (legal_name <> '')::INT + (ein <> '')::INT + (affiliated <> 0)::INT
+ + (cents <> 0)::INT + (app_id % 2 = 0)::INT + (app_id % 3 = 0 AND cents <> 0)::INT AS INT) AS score FROM applicant""")
+def x13_complete(applicant: DataFrame) -> DataFrame:
+    """The nine paths of a complete extraction, each of them absent, null or falsy in some records."""
+    firm = F.struct("legal_name", "ein", F.col("affiliated").alias("annual_revenue"))
+    sums = F.struct(F.struct(F.col("cents").alias("total_assets")).alias("assets"), F.struct((F.col("app_id") % 2 == 0).alias("total_liabilities")).alias("liabilities"), F.when(F.col("app_id") % 3 == 0, F.col("cents")).alias("net_worth"))
+    name = F.coalesce(F.nullif(F.col("first"), F.lit("")), F.lit(""))
+    person = F.struct(F.when(F.col("app_id") % 4 != 1, F.to_json(F.struct(name.alias("first")))).otherwise(name).alias("name"), "ssn", F.col("own_pct").alias("ownership_percentage"))
+    record = F.struct(F.struct(person.alias("primary_applicant")).alias("personal"), F.struct(firm.alias("primary_business")).alias("business"), sums.alias("financials"))
+    return applicant.select("app_id", replies.presence_score(F.parse_json(F.to_json(record))).alias("score"))
+
+
 @query("applicant", sql="SELECT app_id, CASE WHEN app_id % 3 = 0 THEN NULL ELSE cents END AS total_assets, nullif(cents % 2, 0) AS total_liabilities, nullif(cents, 0) AS net_worth, coalesce(own_pct, 0) AS average_confidence FROM applicant")
 def x14_application_row(applicant: DataFrame) -> DataFrame:
     docs = applicant.select("app_id", F.when(F.col("app_id") % 3 == 0, 0).otherwise(F.col("cents")).alias("total_assets"), (F.col("cents") % 2).alias("total_liabilities"), F.col("cents").alias("net_worth"), F.col("own_pct").alias("confidence"))
@@ -522,13 +534,18 @@ def d6_validation(applicant: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@query("part", sql="""
+_LISTED = ", ".join(f"('{f}', '{'|'.join(x)}')" for f, x in catalog.ALIASES.items())
+
+
+@query("part", sql=f"""
 , n AS (SELECT DISTINCT replace(lower(p_brand), '#', '_') AS f FROM part), s AS (SELECT f, replace(f, '_', ' ') AS b FROM n)
 SELECT f AS field, array_to_string(list_sort(list_distinct([f, b, replace(f, '_', ''), upper(b[1]) || substr(b, 2), 'total ' || b, b || ' total', 'annual ' || b, b || ' amount', b || ' value'])), '|') AS hints FROM s
-UNION ALL SELECT 'email', 'email|email address|e-mail|electronic mail|contact email|business email'""")
+UNION ALL SELECT * FROM (VALUES {_LISTED}) l(field, hints)""")
 def d7_alias_hints(part: DataFrame) -> DataFrame:
-    names = part.select(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")).alias("field")).unionByName(part.limit(1).select(F.lit("email").alias("field")))
-    return schema.alias_hints(names, catalog.aliases(part.sparkSession)).select("field", F.array_join("hints", "|").alias("hints"))
+    """Generated hints for fields named by brand, and the listed ones of every field that has some."""
+    listed = catalog.aliases(part.sparkSession)
+    names = part.select(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")).alias("field")).unionByName(listed.select("field"))
+    return schema.alias_hints(names, listed).select("field", F.array_join("hints", "|").alias("hints"))
 
 
 @query("conversations", sql="""SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'net_worth' WHEN 2 THEN 'first_name' WHEN 3 THEN 'business_name' END AS field FROM conversations""")
@@ -1033,14 +1050,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scorer surface over whole documents: a model function that fails on some batches leaves failure rows."""
+    """The scorer surface over whole documents: a model that raises on some of them leaves failure rows for those, and answers for the rest of their batch."""
 
     def model(batch):  # noqa: ANN001, ANN202
+        if (batch["doc_id"] % 97 == 3).any():
+            raise ValueError("no answer")
         return batch.assign(reply=["{" + f'"chars": {len(t or "")}' + "}" for t in batch["content"]])
 
     scored = replies.score(table(spark, sf_dir, "files").select("doc_id", "content"), model, "doc_id long, reply string, ok boolean, error string")
-    return replies.parse_reply(scored.select("doc_id", "reply", "ok")).select("doc_id", "ok", replies.get_path(F.col("payload"), "$.chars", "bigint").alias("chars"))
+    told = replies.parse_reply(scored.select("doc_id", "reply", "ok", F.col("error").alias("failure")))
+    return told.select("doc_id", "ok", F.col("failure").alias("error"), replies.get_path(F.col("payload"), "$.chars", "bigint").alias("chars"))
 
 
 QUERIES["x1_scorer"] = scored_replies
-ORACLE["x1_scorer"] = "SELECT doc_id, true AS ok, length(text) AS chars FROM documents"
+ORACLE["x1_scorer"] = "SELECT doc_id, doc_id % 97 <> 3 AS ok, CASE WHEN doc_id % 97 = 3 THEN 'ValueError: no answer' END AS error, CASE WHEN doc_id % 97 <> 3 THEN coalesce(length(text), 0) END AS chars FROM documents"
