@@ -26,7 +26,7 @@ def order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,14 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
+def one_line(value: Column) -> Column:
+    """``value`` for a header or a field, where a line end would begin another: line ends are percent-encoded, as in a URL."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 HEADERS = "array<struct<name:string,value:string>>"
+#: What a derived record takes of its response.
+SOURCE = ("page_id", "record_id", "target_uri", "date", "status", "warc_headers", "http_headers", "payload_digest")
 
 
 def _headers(**values: Column) -> Column:
@@ -116,17 +123,17 @@ def derive(sources: DataFrame) -> DataFrame:
     """Two rows for each response: page_id, record_type, record_id, refers_to, linked_id, target_uri, date, content_type, source_payload_digest, block, block_digest, content_length.
 
     The block of a conversion is the page's text, that of a metadata record its fields. Pages without text, title or links get
-    records too, with an empty text and fewer fields. Equal responses get equal records; an empty table gives none.
+    records too, with an empty text and fewer fields; pages of any length are scanned whole. Line ends in a header's value are percent-encoded.
+    Equal responses get equal records; an empty table gives none. Columns of ``sources`` that a response doesn't have don't matter, whatever their names.
     """
-    keep = [c for c in sources.columns if c != "payload"]
 
     def each(payloads: list) -> Iterator[tuple[int, int, list]]:
         told = [scanned(p) for p in payloads]
         yield 0, len(payloads), list(map(list, zip(*told, strict=True)))
 
-    s = attached(sources, tuple(keep), ("payload",), "text string, title string, language string, links array<string>", each)
+    s = attached(sources, SOURCE, ("payload",), "text string, title string, language string, links array<string>", each)
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value))
-    listed = lambda column, kind: F.when(F.size(column) > 0, F.array_join(F.transform(column, lambda h: F.concat(F.lit(f"source-{kind}-"), F.lower(h["name"]), F.lit(": "), h["value"])), CRLF))
+    listed = lambda column, kind: F.when(F.size(column) > 0, F.array_join(F.transform(column, lambda h: F.concat(F.lit(f"source-{kind}-"), F.lower(h["name"]), F.lit(": "), one_line(h["value"]))), CRLF))
     fields = F.concat_ws(
         CRLF, field("source-status", F.col("status")), field("source-payload-digest", F.col("payload_digest")), listed("warc_headers", "warc"), listed("http_headers", "http"),
         field("title", F.col("title")), field("language", F.col("language")), F.concat(F.lit("outlinks: "), F.size("links")), F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), x)), CRLF),
@@ -145,7 +152,7 @@ def derive(sources: DataFrame) -> DataFrame:
 
 def serialised(derived: DataFrame) -> DataFrame:
     """One column, value: each record as WARC text without the two line ends that close it."""
-    header = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), value))
+    header = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), one_line(value)))
     head = F.concat_ws(
         CRLF, F.lit(VERSION), header("WARC-Type", F.col("record_type")), header("WARC-Record-ID", F.col("record_id")), header("WARC-Date", F.col("date")), header("WARC-Target-URI", F.col("target_uri")),
         header("WARC-Refers-To", F.col("refers_to")), header("WARC-Refers-To-Target-URI", F.col("target_uri")), header("WARC-Refers-To-Date", F.col("date")), header("WARC-Concurrent-To", F.col("linked_id")),
@@ -209,7 +216,7 @@ def responses_of(records: DataFrame) -> DataFrame:
     """Response records of read() in the shape of responses(); page_id is null. The HTTP head of a block gives status and headers. Payloads are taken for UTF-8, what isn't is replaced."""
     text = F.make_valid_utf8(F.col("block").cast("string"))
     head, body = F.substring_index(text, CRLF * 2, 1), F.substring(text, F.instr(text, CRLF * 2) + 4, F.length(text))
-    lines = F.filter(F.slice(F.split(head, CRLF), 2, 100_000), lambda x: F.contains(x, F.lit(":")))
+    lines = F.filter(F.slice(F.split(head, CRLF), F.lit(2), F.size(F.split(head, CRLF))), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
     rows = records.where(F.lower(header(F.col("headers"), "WARC-Type")) == "response").select("headers", head.alias("head"), body.alias("payload"), pairs.alias("http_headers"))
     warc = lambda name: header(F.col("headers"), name)

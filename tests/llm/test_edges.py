@@ -155,6 +155,23 @@ def test_foreign_records(spark, tmp_path):
     assert warc.derive(found).where("record_type = 'conversion'").first().block.startswith("WARC/1.1\nWARC-Type: response")
 
 
+def test_line_ends_and_clashing_columns(spark, tmp_path):
+    """A url with line ends stays in its header, many header lines are all kept, columns named as what is added don't matter."""
+    rows = [(1, "http://a/\r\nX: y\r\n\r\nzz", "<p>one"), (2, "http://b/", "<title>t</title>two")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sources = warc.responses(pages).select("*", *[F.lit(1).alias(c) for c in ("text", "title", "language", "links", "r", "id")])
+    derived = warc.derive(sources)
+    warc.write(derived, str(tmp_path / "w"))
+    back = warc.read(spark, str(tmp_path / "w/*.txt")).select(warc.header(F.col("headers"), "WARC-Target-URI").alias("uri"), warc.header(F.col("headers"), "X").alias("x"), warc.header(F.col("headers"), "WARC-Refers-To").alias("to"), "block").collect()
+    assert sorted(bytes(r.block).decode() for r in back) == sorted(r.block for r in derived.collect())
+    assert {(r.uri, r.x) for r in back} == {("http://a/%0D%0AX: y%0D%0A%0D%0Azz", None), ("http://b/", None)} and all(r.to for r in back)
+    assert all("\r\nX:" not in r.block for r in derived.collect())
+    many = "\r\n".join(f"H{n}: {n}" for n in range(120_000))
+    body = f"HTTP/1.1 200 OK\r\n{many}\r\n\r\n<p>x".encode()
+    (tmp_path / "m.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body)
+    assert warc.responses_of(warc.read(spark, str(tmp_path / "m.warc"))).select(F.size("http_headers").alias("n")).first().n == 120_000
+
+
 def test_hostile_pages_are_linear():
     for bad in ("<a " * 300_000, '<a x="' * 150_000 + ">", "<!--" * 300_000, "<script>" * 100_000, "<" * 1_000_000, "<a x='\">" * 100_000, "<a" + " " * 1_000_000 + ">"):
         began = time.process_time()
