@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.session import ship
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 VIEWS = {
     "files": """
         SELECT doc_id, CAST(floor(doc_id / 20.0) AS BIGINT) AS app_id, doc_id AS ord, text AS content, n_chars AS length, doc_id % 13 AS pages, CAST(doc_id % 9 AS DOUBLE) AS seconds,
