@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.values import truthy_json
-from ledgerleaf.session import saved
+from ledgerleaf.session import dealt_out, saved
 
 
 #: Levels of objects that are opened in one pass over the data.
@@ -30,6 +30,7 @@ def leaves_of(batches: DataFrame, key: str = "app_id", order: str = "batch_ord")
     """
     spark = batches.sparkSession
     rows = batches.select(key, order, F.array().cast("array<string>").alias("path"), F.col("payload").alias("v")).where(F.try_variant_get("v", "$", "map<string,variant>").isNotNull())
+    rows = dealt_out(rows)
     done: list[DataFrame] = []
     while True:
         for _ in range(AT_ONCE):

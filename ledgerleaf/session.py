@@ -54,3 +54,14 @@ def numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
     there = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in there or [])
+
+
+#: Bytes of a split of files.
+SPLIT = 128 << 20
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if by Spark's estimate it has less than a split for each, as work on a few small files would be a few tasks; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT else df
