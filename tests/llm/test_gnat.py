@@ -42,7 +42,7 @@ def clustered(count, seed, size=6):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in {"FANOUT": 6, "SAMPLE": 40, "BLOCK": 60, "LEAF": 8, "CHUNK": 10}.items():
+    for name, value in {"FANOUT": 6, "SAMPLE": 60, "BLOCK": 90, "LEAF": 8, "CHUNK": 16}.items():
         monkeypatch.setattr(gnat, name, value)
 
 
@@ -51,7 +51,7 @@ def test_levels(spark, small):
     df = spark.createDataFrame(rows, SCHEMA)
     named, _ = gnat.classes(df, F.col("vec_id") % 20 == 0, 10, 256)
     tree = gnat.grow(named)
-    assert len(tree.levels) >= 2 and tree.blocks.count() > 12
+    assert len(tree.levels) >= 2 and tree.blocks.count() > 6
     told = expected(rows)
     assert found(df) == told and len(told) > 500
 

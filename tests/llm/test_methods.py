@@ -599,7 +599,7 @@ def test_mix_by_brute_force(spark):
 
 
 def test_all_are_registered():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE) <= set(QUERIES)
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLE) <= set(QUERIES)
 
 
 def test_tree_holds_nearly_equal_directions():
