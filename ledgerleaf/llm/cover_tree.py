@@ -242,8 +242,8 @@ def _centres(chunks: DataFrame, kind: str) -> DataFrame:
                 ids, many, v = pickle.loads(r.blob)  # noqa: S301
                 at = (_mixed_ids(ids) >> np.uint64(11)).astype(float) < SAMPLE / r.total * 2.0**53
                 if at.any():
-                    out.append({"label": r.label, "length": r.length, "node": r.node} | _chunk(r.mark, ids[at], many[at], v[at]))
-            yield _frame(out, [*KEY, "mark", "n", "blob"])
+                    out.append({"label": r.label, "length": r.length, "node": r.node, "total": r.total} | _chunk(r.mark, ids[at], many[at], v[at]))
+            yield _frame(out, [*KEY, "total", "mark", "n", "blob"])
         release()
 
     def each(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -251,12 +251,13 @@ def _centres(chunks: DataFrame, kind: str) -> DataFrame:
         x = _unit(v[np.argsort(ids, kind="stable")].astype(float))
         picked = [0]
         far = distances(x, np.arange(len(x)), 0)
-        while len(picked) < FAN and far.max() > SLACK:
+        fan = min(FAN, max(2, -(-3 * int(group["total"].iloc[0]) // (2 * BLOCK))))  # children of two thirds of a block, so that there are no more pairs of blocks than need be
+        while len(picked) < fan and far.max() > SLACK:
             picked.append(int(far.argmax()))
             far = np.minimum(far, distances(x, np.arange(len(x)), picked[-1]))
         return _named(key, {"centres": pickle.dumps(x[picked])})
 
-    return chunks.mapInPandas(drawn, f"label {kind}, length int, node long, {_MADE}").groupBy(*KEY).applyInPandas(each, f"label {kind}, length int, node long, centres binary")
+    return chunks.mapInPandas(drawn, f"label {kind}, length int, node long, total long, {_MADE}").groupBy(*KEY).applyInPandas(each, f"label {kind}, length int, node long, centres binary")
 
 
 def _to_children(chunks: DataFrame, kind: str) -> DataFrame:
