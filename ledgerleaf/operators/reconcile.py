@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.session import dealt_out
+
 TOLERANCE = 0.01
 
 
@@ -115,6 +117,8 @@ def check_periods(transactions: DataFrame, periods: DataFrame, tol: float = TOLE
 
 #: Rules of a catalog of forms, at most: they stand as a literal in the expression.
 RULES = 10_000
+#: Lines of records that a task sums up.
+LINES = 250_000
 
 
 def rule_order(rules: DataFrame) -> list[tuple[str, str, list[tuple[str, float]]]]:
@@ -141,8 +145,10 @@ def computed_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     A source counts what is stated; one that isn't stated and has a rule counts its own computed value, whatever the depth; any other
     counts 0. ``lines`` has record_id, form, line, value: a null value is none, repeated lines add up. Rules that depend on
     each other in a circle are an error. One aggregate puts a record's lines in a map; the rules are one expression over it, in the order of dependency.
+    Records are dealt once, LINES lines to a task, and both aggregates keep to that.
     """
-    sums = lines.where("value is not null and line is not null").groupBy("record_id", "form", "line").agg(F.sum("value").cast("double").alias("value"))
+    there = lines.where("value is not null and line is not null").select("record_id", "form", "line", "value")
+    sums = dealt_out(there, LINES, "record_id").groupBy("record_id", "form", "line").agg(F.sum("value").cast("double").alias("value"))
     maps = sums.groupBy("record_id", "form").agg(F.map_from_entries(F.collect_list(F.struct("line", "value"))).alias("stated"))
     kind = "array<struct<form: string, target: string, sources: array<struct<source: string, sign: double>>>>"
     order = F.from_json(F.lit(json.dumps([{"form": f, "target": t, "sources": [{"source": s, "sign": g} for s, g in sources]} for f, t, sources in rule_order(rules)])), kind)

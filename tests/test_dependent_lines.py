@@ -33,3 +33,18 @@ def test_deep_chains_and_circles(spark):
     assert found == {(1, "l39"): (-5.0, False), (2, "l20"): (5.0, False), (2, "l39"): (-1.0, True)}
     with pytest.raises(ValueError, match="depend on each other"):
         reconcile.check_lines(df, spark.createDataFrame([*chain, ("f", "l0", "l39", 1)], schema))
+
+
+def test_tasks_do_not_grow_with_the_lines(spark, monkeypatch):
+    """Twice the lines are twice the tasks, whatever AQE would put together."""
+    rules = catalog.line_rules(spark)
+    monkeypatch.setattr(reconcile, "LINES", 1000, raising=False)
+
+    def parts(records):
+        lines = spark.range(records * 2).selectExpr("cast(id div 2 as int) as record_id", "'form_1120' as form", "if(id % 2 = 0, '1a', '1c') as line", "1.0D as value")
+        found = reconcile.computed_lines(lines, rules)
+        assert found.where("target = '1c' and stated = 1 and computed = 1").count() == records
+        return found.rdd.getNumPartitions()
+
+    assert parts(5000) == 10
+    assert parts(10000) == 20
