@@ -268,3 +268,18 @@ def test_whole_numbers_of_any_size(spark):
     numbers = [0.0, -0.0, 1.0, -5.0, 1e19, 9.3e18, -1e20, 1e39, 1e23, 2.0**62, 2.0**63, -(2.0**63), 2.0**64, 1.7976931348623157e308, -1e300, 123456789012345680.0] + [dice.uniform(1, 10) * 10 ** dice.randrange(16, 308) for _ in range(100)]
     found = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", V.number_text(F.col("x")).alias("text")).collect()
     assert all(r.text == str(int(r.x)) for r in found)
+
+
+def test_failures_share_calls_of_the_model(spark):
+    """One request in a hundred fails: the others near it are not asked one by one, and all values stay as they are."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(b):
+        asked.add(1)
+        if (b["id"] % 100 == 7).any():
+            raise ValueError("no")
+        return b.assign(out=b["id"] + (1 << 60))
+
+    rows = replies.score(spark.range(0, 2000, 1, 1), model, "id long, out long, ok boolean, error string").collect()
+    assert sorted((r.id, r.out, r.ok, r.error) for r in rows) == [(i, None, False, "ValueError: no") if i % 100 == 7 else (i, i + (1 << 60), True, None) for i in range(2000)]
+    assert asked.value < 1000  # one by one: 2001
