@@ -283,3 +283,17 @@ def test_failures_share_calls_of_the_model(spark):
     rows = replies.score(spark.range(0, 2000, 1, 1), model, "id long, out long, ok boolean, error string").collect()
     assert sorted((r.id, r.out, r.ok, r.error) for r in rows) == [(i, None, False, "ValueError: no") if i % 100 == 7 else (i, i + (1 << 60), True, None) for i in range(2000)]
     assert asked.value < 1000  # one by one: 2001
+
+
+def test_tasks_do_not_grow_with_the_batches(spark, monkeypatch):
+    """Twice the batches are opened and sorted by twice the tasks."""
+    monkeypatch.setattr(merge, "BATCHES", 500, raising=False)
+
+    def parts(n):
+        batches = spark.range(n).selectExpr("id div 10 as app_id", "id as batch_ord", "parse_json('{\"a\":' || id || ',\"p\":{\"q\":1}}') as payload")
+        leaves = merge.leaves_of(batches)
+        assert leaves.count() == 2 * n
+        return leaves.rdd.getNumPartitions()
+
+    assert parts(4000) == 8
+    assert parts(8000) == 16
