@@ -154,8 +154,9 @@ HUB, HUB_PART = 256, 4096
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: long) that reach a smaller one: component is the smallest.
 
-    Alternates large-star and small-star rounds until the edge set stays the same; every round is one shuffle by node for each
-    star, and no neighbourhood is collected: a node meets its smallest neighbour through an aggregate and a join. A node with a
+    Alternates large-star and small-star rounds until the edge set stays the same; no neighbourhood is collected: a node meets its
+    smallest neighbour through an aggregate and a join. Each star and its smallest neighbours are saved, as they are read more than
+    once: a round in one plan would work them out again for each use, and the driver would hold all these stages at once. A node with a
     4096th part of all edges (HUB at least) is a hub; there are at most 2 * 4096 of them, and their rows, of which a single task would get
     all, meet their label in a broadcast instead. Null ends are ignored; repeated and self edges do no harm.
     """
@@ -173,12 +174,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     def large(e: DataFrame, size: int) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-        return labelled(both.where("b > a"), least, size).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")))
+        return saved(labelled(both.where("b > a"), least, size).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
     def small(e: DataFrame, size: int) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = saved(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         return labelled(down, least, size).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
 
     current = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

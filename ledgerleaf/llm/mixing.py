@@ -63,12 +63,12 @@ def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
     blocks = F.ceil(F.col("source_size") / block_words(block))
     own = goals.where("target > 0 and source_size > 0").withColumn("blocks", blocks)
     own = own.withColumn("ranks", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * MOST))
-    own = own.select("no", "blocks", "ranks", F.greatest(F.round(block / block_words(block)), F.lit(1)).cast("long").alias("each"))
+    own = saved(own.select("no", "blocks", "ranks", F.greatest(F.round(block / block_words(block)), F.lit(1)).cast("long").alias("each")))
     upto = F.sum("target").over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(Window.partitionBy())
     cuts = goals.withColumn("hi", upto).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("no")), F.lit(0.0)))
     last = F.col("no") == F.max("no").over(Window.partitionBy())
-    cuts = cuts.withColumn("hi", F.when(last, 1.0).otherwise(F.col("hi"))).where("target > 0")
-    cells = cuts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
+    cuts = cuts.withColumn("hi", F.when(last, 1.0).otherwise(F.col("hi"))).where("target > 0").select("no", "lo", "hi")
+    cells = saved(cuts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))))))
     points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * CELLS))
     placed = points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "no", F.floor(F.col("slot") / RUN).alias("run"))
@@ -86,13 +86,17 @@ def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
 
 
 def running(sums: DataFrame, order: str, value: str) -> DataFrame:
-    """``sums`` (no, ``order``: a number from 0 on, ``value``) with base, what comes before in the order of its no; FEW rows of the order are summed together first."""
+    """``sums`` (no, ``order``: a number from 0 on, ``value``) with base, what comes before in the order of its no; FEW rows of the order are summed together first.
+
+    Both sums and result are saved, as they are read more than once and are small: a row for each chunk.
+    """
+    sums = saved(sums)
     before = lambda *by: F.coalesce(F.sum(value).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = F.floor(F.col(order) / FEW)
     whole = sums.groupBy("no", part.alias("_part")).agg(F.sum(value).alias(value))
     whole = whole.select("no", "_part", before("no", "_part").alias("_base"))
     inside = sums.withColumn("_part", part).withColumn("_inside", before("no", "_part", order))
-    return inside.join(whole, ["no", "_part"]).withColumn("base", F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside")
+    return saved(inside.join(whole, ["no", "_part"]).withColumn("base", F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside"))
 
 
 def laid_out(rows: DataFrame) -> DataFrame:
@@ -131,7 +135,8 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), block: int = BLOCK)
     total = goals.agg(F.sum("source_size")).first()[0] or 0
     known = goals.select(F.col("source").alias("goal"), "no", "source_size", "target")
     named = rows.join(known, F.col("source").eqNullSafe(F.col("goal"))).drop("goal")
-    used = schedule(goals, total, block).groupBy("no", "block").agg(F.count("*").alias("times"))
-    taken = pieces(named, block).join(used, ["no", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the schedule and what it takes are saved, so that no plan holds both and the rows again
+    used = saved(schedule(goals, total, block).groupBy("no", "block").agg(F.count("*").alias("times")))
+    taken = saved(pieces(named, block).join(used, ["no", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
     out = named.join(taken, "row", "left")
     return out.select("row", "doc_id", "text_id", "size", "source", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
