@@ -48,3 +48,11 @@ def test_tasks_do_not_grow_with_the_lines(spark, monkeypatch):
 
     assert parts(5000) == 10
     assert parts(10000) == 20
+
+
+def test_dealt_out_keeps_to_the_writer_that_holds_no_rows(spark):
+    """A table of many times the rows of a task isn't dealt over more partitions than are written row by row."""
+    from ledgerleaf.session import dealt_out
+
+    assert dealt_out(spark.range(1000), 2, "id").rdd.getNumPartitions() == 200
+    assert dealt_out(spark.range(1000), 100, "id").rdd.getNumPartitions() == 10
