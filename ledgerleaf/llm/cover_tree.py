@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import components, mixed, release, saved
+from ledgerleaf.llm.common import components, mixed, release, saved, unsized
 
 #: Vectors of a block; rounding that the pruning allows for.
 BLOCK, SLACK = 2048, 1e-7
@@ -222,7 +222,7 @@ def covered(whole: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         centres = saved(_centres(chunks.join(_few(large, 100_000), KEY), kind))
         dealt = saved(_to_children(chunks.join(_few(centres, WIDE), KEY), kind))
         levels.append(saved(_kids(dealt, centres, kind)))
-        chunks = saved(_repacked(dealt.select("label", "length", (F.col("node") * FAN + F.col("child")).alias("node"), "mark", "n", "blob"), kind))
+        chunks = unsized(saved(_repacked(dealt.select("label", "length", (F.col("node") * FAN + F.col("child")).alias("node"), "mark", "n", "blob"), kind)))
     else:
         leaves.append(chunks)
     return reduce(DataFrame.unionByName, leaves), levels
